@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import langid, packing, pii, simhash, winnow
+from quillon.llm import idfile, langid, licenses, mih, packing, pii, simhash, spans, tokencounts, winnow
 from quillon.llm.arrow import TOKENIZERS, tokenizer_path
+from quillon.storage import cut, fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +20,43 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after two batches: all documents come in, then all copies of a text but the first go out."""
+    counted = cut(tokencounts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZERS["byte"]), "byte_bpe_50k"), "counted")
+    ledger = tokencounts.TokenLedger(spark, fresh_path(spark, "ledger"))
+    ledger.commit("inserts", tokencounts.signed(counted, 1))
+    ledger.commit("copies", tokencounts.copies_leaving(counted))
+    ledger.commit("inserts", tokencounts.signed(counted, 1))  # a batch that comes again changes nothing
+    return ledger.totals()
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs.filter(~langid.held_out(docs["doc_id"]))))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return mih.nearest(table, table.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZERS["word"]))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.repeated_sentences(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -37,8 +67,13 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_token_counts": op2_token_counts,
     "op3_language": op3_language,
+    "op4_nearest": op4_nearest,
+    "op5_licenses": op5_licenses,
+    "op6_token_ids": op6_token_ids,
     "op7_decontaminate": op7_decontaminate,
+    "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
     "op10_pack": op10_pack,
 }
