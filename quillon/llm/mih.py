@@ -161,28 +161,45 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, codes: Codes | No
     dim = sizes[0]["n"]
     rows, asked = rows.filter(F.size("embedding") == dim), asked.filter(F.size("embedding") == dim)
     codes = codes or learn(rows, k=k)
-    n_blocks = max(1, math.ceil(rows.count() / block))
-    dealt = rows.withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "slot")
-    index = _pack(dealt, codes, block, ("ids", "vectors", "codes"))
-    asked_blocks = _pack(asked.withColumn("slot", F.lit(0)), codes, query_block, ("qids", "qvectors", "qcodes"))
-    sent = asked_blocks.drop("slot").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    # Rows are dealt into slots and queries into groups, as many as the root of the number of blocks: then neither what
+    # is sent nor the partial results, k for each query and slot, grow with the product of both.
+    slots = max(1, math.ceil(math.sqrt(rows.count() / block)))
+    groups = max(1, math.ceil(slots / 2))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    index = _pack(rows.withColumn("slot", deal(slots)).repartition(slots, "slot"), codes, block, ("ids", "vectors", "codes"))
+    asked_blocks = _pack(asked.withColumn("slot", deal(groups)).repartition(groups, "slot"), codes, query_block, ("qids", "qvectors", "qcodes"))
+    sent = asked_blocks.withColumnRenamed("slot", "group").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    held = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     schema = _arrow_schema(_FOUND)
     width = codes.rotation.shape[1] // 8
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[bytes, Block] | None = None
+        """Pairs of blocks; those of one query block come one after the other, and their results are merged."""
+        asking: bytes | None = None
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def results() -> Iterator[pa.RecordBatch]:
+            if found:
+                columns = (np.concatenate([np.full(len(v), q) for q, (v, _) in found.items()]), *(np.concatenate([r[i] for r in found.values()]) for i in (0, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda c, kind, i=i, batch=batch: np.frombuffer(batch.column(c)[i].as_py(), kind)
-                key = batch.column("ids")[i].as_py()
-                if held is None or held[0] != key:
-                    ids = np.frombuffer(key, "<i8")
-                    held = key, Block(ids, get("vectors", "<f8").reshape(-1, dim), get("codes", np.uint8).reshape(-1, width))
-                out = [(np.full(len(v), q), v, s) for q, v, s in held[1].search(get("qids", "<i8"), get("qvectors", "<f8").reshape(-1, dim), get("qcodes", np.uint8).reshape(-1, width), codes.radius, k)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-    pairs = sent.join(index, "slot").select("ids", "vectors", "codes", "qids", "qvectors", "qcodes")
+                key = batch.column("qids")[i].as_py()
+                if key != asking:
+                    yield from results()
+                    asking, found = key, {}
+                part = Block(get("ids", "<i8"), get("vectors", "<f8").reshape(-1, dim), get("codes", np.uint8).reshape(-1, width))
+                for q, v, s in part.search(np.frombuffer(key, "<i8"), get("qvectors", "<f8").reshape(-1, dim), get("qcodes", np.uint8).reshape(-1, width), codes.radius, k):
+                    if q in found:
+                        v, s = np.concatenate((found[q][0], v)), np.concatenate((found[q][1], s))
+                        order = np.lexsort((v, -s))[:k]
+                        v, s = v[order], s[order]
+                    found[q] = v, s
+        yield from results()
+
+    pairs = sent.join(held, ["group", "slot"]).select("ids", "vectors", "codes", "qids", "qvectors", "qcodes")
     found = pairs.mapInArrow(search, _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
