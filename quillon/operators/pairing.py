@@ -16,10 +16,10 @@ def alignment(stem: Column, excerpt: Column) -> Column:
     1 without an excerpt, which nothing speaks against; 0 if either has fewer than four characters.
     """
     q, t = for_alignment(F.coalesce(stem, F.lit(""))), for_alignment(excerpt)
-    grams = shingles(q, 2)
-    every = F.regexp_extract_all(t, F.lit("(?s)(?=(.{2}))"), 1)
-    hits = F.size(F.filter(every, lambda g: F.array_contains(grams, g)))
-    return F.when(F.coalesce(excerpt, F.lit("")) == "", 1.0).when((F.length(q) < 4) | (F.length(t) < 4), 0.0).otherwise(hits / F.size(grams))
+    # Both lists are bound once: inside a lambda, an outer expression would be evaluated for every element.
+    both = F.struct(shingles(q, 2).alias("grams"), F.regexp_extract_all(t, F.lit("(?s)(?=(.{2}))"), 1).alias("every"))
+    score = F.transform(F.array(both), lambda b: F.size(F.filter(b["every"], lambda g: F.array_contains(b["grams"], g))) / F.size(b["grams"]))[0]
+    return F.when(F.coalesce(excerpt, F.lit("")) == "", 1.0).when((F.length(q) < 4) | (F.length(t) < 4), 0.0).otherwise(score)
 
 
 def by_key(questions: DataFrame, solutions: DataFrame, answers: DataFrame | None = None) -> DataFrame:

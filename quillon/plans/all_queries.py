@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers theirs."""
 
-from quillon.plans import practice_queries, text_queries  # noqa: F401
+from quillon.plans import ingest_queries, practice_queries, text_queries  # noqa: F401
 from quillon.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
