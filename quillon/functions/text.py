@@ -271,3 +271,19 @@ def essay_score(text: Column, keywords: Column, low: Column, high: Column) -> Co
 def literal(pattern: str) -> str:
     """A text as a pattern that matches only it."""
     return re.escape(pattern)
+
+
+def clean_title(x: Column) -> Column:
+    """A heading without numbering and bullets before it and without leaders, page numbers and brackets after it.
+
+    Both patterns repeat, so what cleaning once would lay bare is taken too.
+    """
+    before = r"^(?:\s*(?:[0-9]{1,3}\s*[.、．]|[（(][0-9一二三四五六七八九十]{1,3}[)）]|[-—·•*#]+)\s*)+"
+    after = r"(?:\s*(?:[.。…·•]{2,}\s*[0-9]{0,4}|[（(][^()（）]*[)）]))+\s*$"
+    return F.trim(replaced(x, (before, ""), (after, "")))
+
+
+def has_excerpt(source: Column, excerpt: Column, length: int = 20) -> Column:
+    """Whether a source holds the first characters of an excerpt, white space aside. An empty excerpt is in none."""
+    start = F.substring(no_space(F.coalesce(excerpt, F.lit(""))), 1, length)
+    return (start != "") & F.contains(no_space(F.coalesce(source, F.lit(""))), start)

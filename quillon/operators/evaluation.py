@@ -148,3 +148,16 @@ def annotation_errors(pages: DataFrame, sets: tuple[str, ...] = ("tune", "check"
 def passed(cases: DataFrame) -> DataFrame:
     """(feature, failures array) to cases and the share without failures."""
     return cases.groupBy("feature").agg(F.count("*").alias("cases"), F.round(F.avg((F.size("failures") == 0).cast("int")), 4).alias("accuracy"))
+
+
+def sequence_accuracy(truth: list | None, read: list | None) -> float | None:
+    """Share of the truth that a longest common subsequence of both lists keeps; None for an empty truth."""
+    truth, read = list(truth if truth is not None else []), list(read if read is not None else [])
+    if not truth:
+        return None
+    row = [0] * (len(read) + 1)
+    for t in truth:
+        corner = 0
+        for j, r in enumerate(read, 1):
+            corner, row[j] = row[j], corner + 1 if t == r else max(row[j], row[j - 1])
+    return row[-1] / len(truth)
