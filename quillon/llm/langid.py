@@ -96,15 +96,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(labelled: DataFrame, sample: int = 3000, landmarks: int = 40, ridge: float = 1e-3) -> KernelModel:
+def train(labelled: DataFrame, sample: int = 3000, landmarks: int = 40, ridge: float = 1e-3, most_languages: int = 500) -> KernelModel:
     """Learn from columns doc_id, text and lang.
 
     At most ``sample`` texts are learned from, as many of each language as may be, chosen by a hash of doc_id;
     ``landmarks`` of each language are landmarks. Their whole texts are read, on the executors; the driver gets
-    their n-grams. Rows with null text or lang are left out.
+    their n-grams. Rows with null text or lang are left out. Only the ``most_languages`` commonest labels are learned, so
+    a column of stray labels can't fill the driver.
     """
     rows = labelled.filter("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("draw"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not sizes:
         return KernelModel([], np.zeros(_SPACE, np.int32), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)))
     each = max(1, sample // len(sizes))
