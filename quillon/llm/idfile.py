@@ -31,15 +31,16 @@ from quillon.storage import fresh_path
 MAGIC = b"QID1"
 _HEAD = struct.Struct("<4sIIQBB")
 _FILES = "file_no int, segment int, documents long, ids long, payload binary"
-_SLOTS = 4096
+_SLOTS = 1024
 _FULL = 1 << 48
-_BOTTOM = 1 << 20
-_ONE = 15
-_RATES = (5, 4, 4, 3, 3, 3, 3, 3)
+_LOW = 1 << 32
+_ONE = 14
+_NODES = 256
+_RATES = np.array([5, 4, 4, 3, 3, 3, 3, 3], np.int16)
 
 _STRETCH: np.ndarray | None = None
 _SQUASH: np.ndarray | None = None
-_TARGETS = np.array([[i if i <= s else (1 << _ONE) - 16 + i for i in range(17)] for s in range(16)], np.int32)
+_TARGETS = np.array([[i if i <= s else (1 << _ONE) - 16 + i for i in range(17)] for s in range(16)], np.int16)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -54,93 +55,103 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Lanes:
-    """The models and coder states of many blocks in step."""
+    """The models of many blocks in step."""
 
     def __init__(self, lanes: int, digits: int):
         self.lanes, self.digits = lanes, digits
         self.stretch, self.squash = _tables()
         self.rows = np.arange(lanes)
-        self.low = np.zeros(lanes, np.int64)
         self.range = np.full(lanes, _FULL - 1, np.int64)
         self.before1 = np.zeros(lanes, np.int64)
         self.before2 = np.zeros(lanes, np.int64)
-        self.guess2 = np.full(lanes * _SLOTS, -1, np.int32)
-        self.guess1 = np.full(lanes * _SLOTS, -1, np.int32)
-        self.sure2 = np.zeros(lanes * _SLOTS, np.uint8)
-        self.sure1 = np.zeros(lanes * _SLOTS, np.uint8)
+        # What followed a context, and in the low five bits how sure that is; orders 2 and 1 one after the other.
+        self.guess = np.zeros(2 * lanes * _SLOTS, np.int32)
         # Records of 16-bit hit probabilities: by order 2's and order 1's sureness and agreement, and of all guesses.
-        self.hit = np.full((3, lanes * 64), 1 << 15, np.int64)
+        self.hit = np.full(3 * lanes * 64, 1 << 15, np.int64)
         self.weights = np.full((3, lanes), 1 << 15, np.int64)
+        self.of_order = np.array([[0], [lanes * _SLOTS]]) + self.rows * _SLOTS
+        self.of_record = np.array([[0], [lanes * 64], [2 * lanes * 64]]) + self.rows * 64
         # Order-0 counts: for each place the nodes of the digits before it, hashed where they are many.
-        self.nodes = [min(16**d, 1024) for d in range(digits)]
-        self.counts = [np.tile((np.arange(17) << (_ONE - 4)).astype(np.int32), (lanes * n, 1)) for n in self.nodes]
+        self.nodes = [min(16**d, _NODES) for d in range(digits)]
+        self.first = np.cumsum([0, *self.nodes])
+        self.counts = np.tile((np.arange(17) << (_ONE - 4)).astype(np.int16), (lanes * int(self.first[-1]), 1))
 
     def guesses(self, n: int) -> tuple:
-        """For the first n lanes: slots, the guess (or -1), its mixed probability and what was mixed."""
-        rows = self.rows[:n]
-        slot2 = rows * _SLOTS + ((self.before1[:n] * 0x9E3B + self.before2[:n] * 0x85EB) >> 3 & (_SLOTS - 1))
-        slot1 = rows * _SLOTS + (self.before1[:n] * 0x9E37 >> 2 & (_SLOTS - 1))
-        g2, g1, s2, s1 = self.guess2[slot2], self.guess1[slot1], self.sure2[slot2], self.sure1[slot1]
-        agree = (g2 == g1).astype(np.int64)
-        guess = np.where(s2 > 0, g2, g1)
-        place = np.stack((rows * 64 + s2 * 2 + agree, rows * 64 + s1 * 2 + agree, rows * 64))
-        p = np.stack((self.hit[0][place[0]], self.hit[1][place[1]], self.hit[2][place[2]]))
+        """For the first n lanes: slots and what they hold, the guess (or -1), its mixed probability and what was mixed."""
+        b1 = self.before1[:n]
+        slots = self.of_order[:, :n].copy()
+        slots[0] += (b1 * 0x9E3B + self.before2[:n] * 0x85EB) >> 3 & (_SLOTS - 1)
+        slots[1] += b1 * 0x9E37 >> 2 & (_SLOTS - 1)
+        held = self.guess[slots].astype(np.int64)
+        sure = held & 31
+        ids = (held >> 5) - 1
+        guess = np.where(sure[0] > 0, ids[0], ids[1])
+        place = self.of_record[:, :n].copy()
+        place[:2] += 2 * sure + (ids[0] == ids[1])
+        p = self.hit[place]
         st = self.stretch[p >> 4]
-        mixed = self.squash[np.clip((self.weights[:, :n] * st).sum(axis=0) >> 16, -2047, 2047) + 2047]
-        return slot2, slot1, guess, place, p, st, mixed
+        dot = (self.weights[:, :n] * st).sum(axis=0) >> 16
+        np.minimum(dot, 2047, out=dot)
+        np.maximum(dot, -2047, out=dot)
+        return slots, sure, ids, guess, place, p, st, self.squash[dot + 2047]
 
     def learn_hit(self, at: np.ndarray, hit: np.ndarray, place: np.ndarray, p: np.ndarray, st: np.ndarray, mixed: np.ndarray) -> None:
         """Adjust records and weights of lanes ``at``, whose guesses were right or not."""
         one = hit.astype(np.int64)
-        place, st = place[:, at], st[:, at]
-        moved = p[:, at] + (((one << 16) - one - p[:, at]) >> 4)
-        for k in range(3):
-            self.hit[k][place[k]] = np.clip(moved[k], 32, 65503)
-        self.weights[:, at] += (st * ((one << 12) - mixed[at]) * 6) >> 10
-
-    def learn_id(self, n: int, ids: np.ndarray, slot2: np.ndarray, slot1: np.ndarray) -> None:
-        for guess, sure, slot in ((self.guess2, self.sure2, slot2), (self.guess1, self.sure1, slot1)):
-            g, s = guess[slot], sure[slot].astype(np.int64)
-            right = g == ids
-            drop = ~right & (s <= 1)
-            guess[slot] = np.where(drop, ids, g)
-            sure[slot] = np.where(right, np.minimum(s + 1, 31), np.where(drop, 1, s >> 1))
+        was = p[:, at]
+        # Shifts keep a record between 16 and 65,519, so it never reaches a sure 0 or 1.
+        self.hit[place[:, at]] = was + ((one * 65519 + (1 - one) * 16 - was) >> 4)
+        self.weights[:, at] += (st[:, at] * ((one << 12) - mixed[at]) * 6) >> 10
+
+    def learn_id(self, n: int, x: np.ndarray, slots: np.ndarray, sure: np.ndarray, ids: np.ndarray) -> None:
+        right = ids == x
+        fresh = ~right & (sure <= 1)
+        kept = np.where(right, np.minimum(sure + 1, 31), sure >> 1)
+        self.guess[slots] = np.where(fresh, ((x + 1) << 5) | 1, ((ids + 1) << 5) | kept)
         self.before2[:n] = self.before1[:n]
-        self.before1[:n] = ids
+        self.before1[:n] = x
 
     def node(self, digit: int, at: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-        return at * self.nodes[digit] + (prefix if self.nodes[digit] == 16**digit else (prefix * 37 + (prefix >> 10)) & 1023)
+        own = prefix if self.nodes[digit] == 16**digit else (prefix * 37 + (prefix >> 8)) & (_NODES - 1)
+        return at * int(self.first[-1]) + (own + int(self.first[digit]))
 
 
 class _Writer(_Lanes):
     def __init__(self, lanes: int, digits: int, length: int):
         super().__init__(lanes, digits)
-        self.out = np.empty((lanes, length * (digits + 1) + 8), np.uint16)
-        self.place = np.zeros(lanes, np.int64)
+        self.low = np.zeros(lanes, np.int64)
+        # The first unit only takes a carry. No step takes more than 14 bits.
+        self.out = np.zeros((lanes, length * (digits + 1) + 8), np.uint16)
+        self.place = np.ones(lanes, np.int64)
 
     def put(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
         """Code for lanes ``at`` the part [start, start + size) of 2^bits."""
         step = self.range[at] >> bits
-        low, span = self.low[at] + start * step, size * step
-        settled = (low ^ (low + span)) < (1 << 32)
-        tight = ~settled & (span < _BOTTOM)
-        go = np.flatnonzero(settled | tight)
+        self.low[at] += start * step
+        span = size * step
+        self.range[at] = span
+        go = at[span < _LOW]
         while len(go):
-            lane = at[go]
-            lo, sp = low[go], span[go]
-            t = ((lo ^ (lo + sp)) >= (1 << 32)) & (sp < _BOTTOM)
-            sp = np.where(t, -lo & (_BOTTOM - 1), sp)
-            self.out[lane, self.place[lane]] = lo >> 32
-            self.place[lane] += 1
-            low[go] = lo = (lo << 16) & (_FULL - 1)
-            span[go] = sp = sp << 16
-            go = go[((lo ^ (lo + sp)) < (1 << 32)) | (sp < _BOTTOM)]
-        self.low[at], self.range[at] = low, span
+            self._emit(go)
+            self.range[go] <<= 16
+            go = go[self.range[go] < _LOW]
+
+    def _emit(self, lane: np.ndarray) -> None:
+        low, place = self.low[lane], self.place[lane]
+        over = low >= _FULL
+        if over.any():
+            carry, back = lane[over], place[over] - 1
+            while len(carry):  # a carry runs on through units that are full
+                self.out[carry, back] += 1
+                on = self.out[carry, back] == 0
+                carry, back = carry[on], back[on] - 1
+        self.out[lane, place] = (low >> 32) & 0xFFFF
+        self.place[lane] = place + 1
+        self.low[lane] = (low & (_LOW - 1)) << 16
 
     def finish(self) -> list[bytes]:
-        for shift in (32, 16, 0):
-            self.out[self.rows, self.place] = (self.low >> shift) & 0xFFFF
-            self.place += 1
+        for _ in range(3):
+            self._emit(self.rows)
         return [self.out[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.place.tolist())]
 
 
@@ -148,30 +159,29 @@ class _Reader(_Lanes):
     def __init__(self, blocks: list[bytes], digits: int):
         super().__init__(len(blocks), digits)
         size = max(map(len, blocks)) // 2 + 4
-        self.data = np.zeros((len(blocks), size), np.int64)
+        self.data = np.zeros((len(blocks), size), np.uint16)
         for i, b in enumerate(blocks):
             self.data[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-        self.code = (self.data[:, 0] << 32) | (self.data[:, 1] << 16) | self.data[:, 2]
-        self.place = np.full(len(blocks), 3, np.int64)
+        first = self.data[:, :4].astype(np.int64)
+        # What is left of the number above the interval's start; the first unit held the carry alone.
+        self.code = (first[:, 0] << 48) | (first[:, 1] << 32) | (first[:, 2] << 16) | first[:, 3]
+        self.place = np.full(len(blocks), 4, np.int64)
 
-    def peek(self, at: np.ndarray, bits: int) -> np.ndarray:
-        return np.minimum(((self.code[at] - self.low[at]) & (_FULL - 1)) // (self.range[at] >> bits), (1 << bits) - 1)
-
-    def take(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
+    def peek(self, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         step = self.range[at] >> bits
-        low, span = self.low[at] + start * step, size * step
-        go = np.flatnonzero(((low ^ (low + span)) < (1 << 32)) | (span < _BOTTOM))
+        return np.minimum(self.code[at] // step, (1 << bits) - 1), step
+
+    def take(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, step: np.ndarray) -> None:
+        self.code[at] -= start * step
+        span = size * step
+        self.range[at] = span
+        go = at[span < _LOW]
         while len(go):
-            lane = at[go]
-            lo, sp = low[go], span[go]
-            t = ((lo ^ (lo + sp)) >= (1 << 32)) & (sp < _BOTTOM)
-            sp = np.where(t, -lo & (_BOTTOM - 1), sp)
-            self.code[lane] = ((self.code[lane] << 16) & (_FULL - 1)) | self.data[lane, np.minimum(self.place[lane], self.data.shape[1] - 1)]
-            self.place[lane] += 1
-            low[go] = lo = (lo << 16) & (_FULL - 1)
-            span[go] = sp = sp << 16
-            go = go[((lo ^ (lo + sp)) < (1 << 32)) | (sp < _BOTTOM)]
-        self.low[at], self.range[at] = low, span
+            place = self.place[go]
+            self.code[go] = (self.code[go] << 16) | self.data[go, np.minimum(place, self.data.shape[1] - 1)]
+            self.place[go] = place + 1
+            self.range[go] <<= 16
+            go = go[self.range[go] < _LOW]
 
 
 def _digits(ids: np.ndarray) -> int:
@@ -184,34 +194,38 @@ def encode_blocks(ids: np.ndarray, length: int, digits: int) -> list[bytes]:
     lanes = -(-len(ids) // length)
     if not lanes:
         return []
-    table = np.zeros((lanes, length), np.int64)
+    if int(ids.max()) >= 1 << 25:
+        raise ValueError("ids of 2^25 and more are not provided for")
+    table = np.zeros((lanes, length), np.uint32)
     table.reshape(-1)[: len(ids)] = ids
+    table = np.ascontiguousarray(table.T)
     short = len(ids) - (lanes - 1) * length
     w = _Writer(lanes, digits, length)
     for t in range(length):
         n = lanes if t < short else lanes - 1
         if not n:
             break
-        x = table[:n, t]
-        slot2, slot1, guess, place, p, st, mixed = w.guesses(n)
-        has = np.flatnonzero(guess >= 0)
+        x = table[t, :n].astype(np.int64)
+        slots, sure, held, guess, place, p, st, mixed = w.guesses(n)
         hit = x == guess
+        has = np.flatnonzero(guess >= 0)
         if len(has):
             h, m = hit[has], mixed[has]
             w.put(has, np.where(h, 0, m), np.where(h, m, 4096 - m), 12)
             w.learn_hit(has, h, place, p, st, mixed)
         at = np.flatnonzero(~hit)
         if len(at):
+            # All digits are known here, and no two share a node: their counts are read and adjusted together.
             v = x[at]
+            digit = np.stack([(v >> 4 * (digits - 1 - d)) & 15 for d in range(digits)])
+            node = np.stack([w.node(d, at, v >> 4 * (digits - d)) for d in range(digits)])
+            counts = w.counts[node]
+            start = np.take_along_axis(counts, digit[:, :, None], axis=2)[:, :, 0].astype(np.int64)
+            stop = np.take_along_axis(counts, digit[:, :, None] + 1, axis=2)[:, :, 0]
+            w.counts[node] = counts + ((_TARGETS[digit] - counts) >> _RATES[:digits, None, None])
             for d in range(digits):
-                digit = (v >> 4 * (digits - 1 - d)) & 15
-                node = w.node(d, at, v >> 4 * (digits - d))
-                counts = w.counts[d][node]
-                k = np.arange(len(at))
-                start = counts[k, digit].astype(np.int64)
-                w.put(at, start, counts[k, digit + 1] - start, _ONE)
-                w.counts[d][node] = counts + ((_TARGETS[digit] - counts) >> _RATES[d])
-        w.learn_id(n, x, slot2, slot1)
+                w.put(at, start[d], stop[d] - start[d], _ONE)
+        w.learn_id(n, x, slots, sure, held)
     return w.finish()
 
 
@@ -220,39 +234,41 @@ def decode_blocks(blocks: list[bytes], sizes: list[int], digits: int) -> np.ndar
     if not blocks:
         return np.zeros(0, np.uint32)
     lanes, length, short = len(blocks), max(sizes), sizes[-1]
-    table = np.zeros((lanes, length), np.int64)
+    table = np.zeros((length, lanes), np.uint32)
     r = _Reader(blocks, digits)
     for t in range(length):
         n = lanes if t < short else lanes - 1
-        slot2, slot1, guess, place, p, st, mixed = r.guesses(n)
-        x = guess.astype(np.int64)
+        slots, sure, held, guess, place, p, st, mixed = r.guesses(n)
+        x = guess.copy()
         has = np.flatnonzero(guess >= 0)
         miss = guess < 0
         if len(has):
             m = mixed[has]
-            h = r.peek(has, 12) < m
-            r.take(has, np.where(h, 0, m), np.where(h, m, 4096 - m), 12)
+            value, step = r.peek(has, 12)
+            h = value < m
+            r.take(has, np.where(h, 0, m), np.where(h, m, 4096 - m), step)
             r.learn_hit(has, h, place, p, st, mixed)
             miss[has] = ~h
         at = np.flatnonzero(miss)
         if len(at):
             v = np.zeros(len(at), np.int64)
+            k = np.arange(len(at))
             for d in range(digits):
                 node = r.node(d, at, v)
-                counts = r.counts[d][node]
-                digit = (counts[:, 1:] <= r.peek(at, _ONE)[:, None]).sum(axis=1)
-                k = np.arange(len(at))
+                counts = r.counts[node]
+                value, step = r.peek(at, _ONE)
+                digit = (counts[:, 1:16] <= value.astype(np.int16)[:, None]).sum(axis=1)
                 start = counts[k, digit].astype(np.int64)
-                r.take(at, start, counts[k, digit + 1] - start, _ONE)
-                r.counts[d][node] = counts + ((_TARGETS[digit] - counts) >> _RATES[d])
+                r.take(at, start, counts[k, digit + 1] - start, step)
+                r.counts[node] = counts + ((_TARGETS[digit] - counts) >> _RATES[d])
                 v = v * 16 + digit
             x[at] = v
-        table[:n, t] = x
-        r.learn_id(n, x, slot2, slot1)
-    return table.reshape(-1)[: (lanes - 1) * length + short].astype(np.uint32)
+        table[t, :n] = x
+        r.learn_id(n, x, slots, sure, held)
+    return np.ascontiguousarray(table.T).reshape(-1)[: (lanes - 1) * length + short]
 
 
-def to_payload(doc_ids: list[int | None], documents: list[np.ndarray], block: int = 4096, lanes: int = 256) -> bytes:
+def to_payload(doc_ids: list[int | None], documents: list[np.ndarray], block: int = 2048, lanes: int = 512) -> bytes:
     """Documents' ids as one payload. Small payloads take shorter blocks, so that many can be coded in step."""
     ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
     length = int(max(512, min(block, len(ids) // lanes)))
