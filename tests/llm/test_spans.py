@@ -31,7 +31,9 @@ def test_planted_passage_without_full_stops(spark):
     got = {r["doc_id"]: r for r in spans.repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got) == {2} and got[2]["first_doc_ids"] == [1]
     clean = {r["doc_id"]: r["text"] for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert clean[1] == rows[0][1] and clean[3] == rows[2][1] and len(clean[2].split()) < 35
+    # Runs that both copies have whole go; the passage's ends, cut off by other words, may stay.
+    assert {d: r["removed"] for d, r in got.items()} == brute(rows)
+    assert clean[1] == rows[0][1] and clean[3] == rows[2][1] and len(rows[1][1].split()) - len(clean[2].split()) >= 20
 
 
 def test_odd_rows(odd, none):
