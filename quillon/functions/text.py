@@ -18,7 +18,7 @@ QUARANTINE_NOTE = "> [图表数字串，OCR 无法确认语义，请对照原图
 QUESTION_NUMBER = r"^\s*([0-9]{1,3})\s*[.、．](?![0-9])"
 
 # The replacements that turn HTML into text, in order.
-HTML_ASSET = r"(?i)<img[^>]*src=[\"']?openexam-asset://question-assets/([0-9a-f]{40}\.[a-z0-9]+)[\"']?[^>]*>"
+HTML_ASSET = r"(?i)<img[^>]*src=[\"']?[a-z-]+-asset://[a-z-]+/([0-9a-f]{40}\.[a-z0-9]+)[\"']?[^>]*>"
 HTML_STEPS = (
     (HTML_ASSET, "\n![](assets/$1)\n"),
     (r"(?i)<br\s*/?>", "\n"),
