@@ -6,7 +6,8 @@ that id is the guess, and whether it is right is coded with a probability mixed
 rate so far (order 0); the mixer's weights learn as it goes. A wrong or missing guess is followed by the id itself, four
 bits at a time, under adaptive order-0 counts. All arithmetic is on whole numbers: files decode alike everywhere.
 
-Many blocks are coded in step with each other, one id of each at a time, so numpy works on whole columns.
+The executors' JVMs code and decode (``jvmcoder``). The same coder in numpy, which takes many blocks in step with each
+other, one id of each at a time, reads and writes single payloads without Spark; a test holds their bytes equal.
 
 Layout of a payload (little-endian): magic ``QID1``; u32 documents, u32 block length, u64 ids, u8 digits per id, u8 0;
 per document i64 doc_id, u8 whether it is null, u64 ids; per block u32 ids, u32 coded bytes, u32 crc32 of its ids; the
@@ -25,12 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm import jvmcoder
 from quillon.llm.arrow import _arrow_schema, encoder, id_and_text
 from quillon.storage import fresh_path
 
 MAGIC = b"QID1"
 _HEAD = struct.Struct("<4sIIQBB")
-_FILES = "file_no int, segment int, documents long, ids long, payload binary"
+_SEGMENTS = "file_no int, segment int, documents long, ids long, head binary, raw binary, length int"
 _SLOTS = 1024
 _FULL = 1 << 48
 _LOW = 1 << 32
@@ -194,8 +196,6 @@ def encode_blocks(ids: np.ndarray, length: int, digits: int) -> list[bytes]:
     lanes = -(-len(ids) // length)
     if not lanes:
         return []
-    if int(ids.max()) >= 1 << 25:
-        raise ValueError("ids of 2^25 and more are not provided for")
     table = np.zeros((lanes, length), np.uint32)
     table.reshape(-1)[: len(ids)] = ids
     table = np.ascontiguousarray(table.T)
@@ -268,16 +268,24 @@ def decode_blocks(blocks: list[bytes], sizes: list[int], digits: int) -> np.ndar
     return np.ascontiguousarray(table.T).reshape(-1)[: (lanes - 1) * length + short]
 
 
-def to_payload(doc_ids: list[int | None], documents: list[np.ndarray], block: int = 2048, lanes: int = 512) -> bytes:
-    """Documents' ids as one payload. Small payloads take shorter blocks, so that many can be coded in step."""
-    ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
+def head(doc_ids: list[int | None], documents: list[np.ndarray], ids: np.ndarray, block: int = 2048, lanes: int = 512) -> tuple[bytes, int]:
+    """What stands before the blocks' heads, and the length of a block. Small payloads take shorter blocks, so that many can be coded in step."""
     length = int(max(512, min(block, len(ids) // lanes)))
-    digits = _digits(ids)
-    coded = encode_blocks(ids, length, digits)
-    out = [_HEAD.pack(MAGIC, len(documents), length, len(ids), digits, 0)]
+    if len(ids) and int(ids.max()) >= 1 << 25:
+        raise ValueError("ids of 2^25 and more are not provided for")
+    out = [_HEAD.pack(MAGIC, len(documents), length, len(ids), _digits(ids), 0)]
     out.append(np.array([d or 0 for d in doc_ids], "<i8").tobytes())
     out.append(np.array([d is None for d in doc_ids], np.uint8).tobytes())
     out.append(np.array([len(d) for d in documents], "<u8").tobytes())
+    return b"".join(out), length
+
+
+def to_payload(doc_ids: list[int | None], documents: list[np.ndarray], block: int = 2048, lanes: int = 512) -> bytes:
+    """Documents' ids as one payload, coded here; ``write_ids`` has the executors' JVMs make the same bytes."""
+    ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
+    top, length = head(doc_ids, documents, ids, block, lanes)
+    coded = encode_blocks(ids, length, _digits(ids))
+    out = [top]
     raw = ids.astype("<u4")
     for i, b in enumerate(coded):
         part = raw[i * length : (i + 1) * length]
@@ -319,7 +327,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segme
     Null ids come first; rows with the same id follow each other in no set order. A segment is closed at the first
     document that brings it to ``segment`` ids.
     """
-    schema = _arrow_schema(_FILES)
+    schema = _arrow_schema(_SEGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file_no, number = TaskContext.get().partitionId(), 0
@@ -327,7 +335,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segme
         doc_ids, held, size = [], [], 0
 
         def close() -> pa.RecordBatch:
-            row = (file_no, number, len(held), size, to_payload(doc_ids, held))
+            ids = np.concatenate(held)
+            top, length = head(doc_ids, held, ids)
+            row = (file_no, number, len(held), size, top, ids.astype("<u4").tobytes(), length)
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
@@ -344,31 +354,17 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segme
             yield close()
 
     in_order = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    in_order.mapInArrow(run, _FILES).write.parquet(path)
+    segments = in_order.mapInArrow(run, _SEGMENTS)
+    segments.select("file_no", "segment", "documents", "ids", jvmcoder.encoded(docs.sparkSession, "head", "raw", "length").alias("payload")).write.parquet(path)
 
 
-def read_ids(spark, path: str) -> DataFrame:
-    """Decode the files at ``path``: doc_id, start, n_tokens, ids_crc32 and ids of each document, ids as an array."""
-    schema = _arrow_schema("file_no int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    files = spark.read.parquet(path)
+def read_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
+    """Decode the files at ``path``: doc_id, start, n_tokens and ids_crc32 of each document.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc_ids, documents = from_payload(batch.column("payload")[i].as_py())
-                sizes = np.fromiter(map(len, documents), np.int64, len(documents))
-                n = len(documents)
-                columns = {
-                    "file_no": [batch.column("file_no")[i].as_py()] * n,
-                    "segment": [batch.column("segment")[i].as_py()] * n,
-                    "doc_id": doc_ids,
-                    "inside": np.cumsum(sizes) - sizes,
-                    "n_tokens": sizes,
-                    "ids_crc32": [zlib.crc32(d.astype("<u4").tobytes()) for d in documents],
-                }
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-    decoded = files.select("file_no", "segment", "payload").mapInArrow(run, "file_no int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    With ``with_ids`` also ids, as little-endian unsigned 32-bit integers. A wrong checksum fails the query.
+    """
+    files = spark.read.parquet(path)
+    decoded = files.select("file_no", "segment", F.inline(jvmcoder.decoded(spark, "payload", with_ids)))
     # One number for each file comes to the driver; segments are summed up within their file.
     totals = sorted((r["file_no"], r["n"]) for r in files.groupBy("file_no").agg(F.sum("ids").alias("n")).collect())
     begins, at = [], 0
@@ -378,7 +374,7 @@ def read_ids(spark, path: str) -> DataFrame:
     by_file = spark.createDataFrame(begins, "file_no int, begin long")
     earlier = Window.partitionBy("file_no").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     segments = files.select("file_no", "segment", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("earlier")).join(by_file, "file_no")
-    return decoded.join(segments.select("file_no", "segment", (F.col("begin") + F.col("earlier")).alias("base")), ["file_no", "segment"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return decoded.join(segments.select("file_no", "segment", (F.col("begin") + F.col("earlier")).alias("base")), ["file_no", "segment"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

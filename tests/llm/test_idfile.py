@@ -6,9 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quillon.llm import idfile
+from quillon.llm import idfile, jvmcoder
 from quillon.llm.arrow import tokenizer_path
 from quillon.llm.pretokens import WordEncoder
+from quillon.storage import fresh_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
 _PIECES = ["a", "b", "S", "s", "'s", "'", "'re", "'LL", " ", "  ", "\n", "\t", "1", "23", "!", "?", "é", "É", "’", "|", "re", "ve", "ll", "d", "İ", "中", "́", "<|endoftext|>", " ", " ", "ſ", "ŉ"]
@@ -63,3 +64,35 @@ def test_files(documents, odd, none):
     _check(documents, idfile.round_trip(documents, PATH))
     _check(odd, idfile.round_trip(odd, PATH))
     assert idfile.round_trip(none, PATH).count() == 0
+
+
+def test_the_executors_coder_makes_the_same_bytes(spark, rng):
+    repeated = np.concatenate((rng.integers(0, 49_408, 3000), np.tile(rng.integers(0, 49_408, 500), 20), np.zeros(2000, int)))
+    cases = [[], [[]], [[1]], [rng.integers(0, 49_408, 5000), [], [7, 7]], [repeated, [3] * 100], [rng.integers(0, 2**25 - 1, 9000)], [rng.zipf(1.3, 20_000).clip(0, 49_407)]]
+    cases = [[np.array(d, np.uint32) for d in c] for c in cases]
+    rows, want = [], []
+    for n, c in enumerate(cases):
+        names = [None if i % 2 else i * 7 - 3 for i in range(len(c))]
+        ids = np.concatenate(c) if c else np.zeros(0, np.uint32)
+        top, length = idfile.head(names, c, ids)
+        rows.append((n, bytearray(top), bytearray(ids.astype("<u4").tobytes()), length))
+        want.append((names, idfile.to_payload(names, c)))
+    made = spark.createDataFrame(rows, "n int, head binary, raw binary, length int").select("n", jvmcoder.encoded(spark, "head", "raw", "length").alias("payload"))
+    assert [bytes(r["payload"]) for r in made.orderBy("n").collect()] == [w for _, w in want]
+    for r, (names, _), c in zip(made.select("n", jvmcoder.decoded(spark, "payload", True).alias("docs")).orderBy("n").collect(), want, cases):
+        assert [d["doc_id"] for d in r["docs"]] == names
+        assert [bytes(d["ids"]) for d in r["docs"]] == [d.astype("<u4").tobytes() for d in c]
+
+
+def test_the_executors_coder_finds_damage(spark):
+    whole = idfile.to_payload([1], [np.arange(3000, dtype=np.uint32)])
+    for bad in (b"", whole[:30], whole[:100] + bytes([whole[100] ^ 1]) + whole[101:]):
+        with pytest.raises(Exception, match="damaged"):
+            spark.createDataFrame([(bytearray(bad),)], "payload binary").select(jvmcoder.decoded(spark, "payload", False)).collect()
+
+
+def test_ids_read_back(spark, odd):
+    path = fresh_path(spark, "ids")
+    idfile.write_ids(odd, path, PATH)
+    for r in idfile.read_ids(spark, path, with_ids=True).collect():
+        assert len(r["ids"]) == 4 * r["n_tokens"] and zlib.crc32(r["ids"]) == r["ids_crc32"] and bytes(r["ids"][-4:]) == b"\1\0\0\0"
