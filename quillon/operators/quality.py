@@ -71,6 +71,59 @@ def repeated_headers(lines: DataFrame, least: int = 3, band: float | None = 0.15
     return top.groupBy("doc", "text").agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") >= least)
 
 
+def edge_texts(regions: DataFrame, top: float = 160, least: int = 3) -> DataFrame:
+    """(doc, page, type, bbox, text) to doc and text of edge noise: discarded texts, and short ones at the top again and again."""
+    text = F.trim("text")
+    long, bottom = F.char_length(text), F.element_at("bbox", 4)
+    seen = regions.select("doc", text.alias("text"), (F.col("type") == "discarded").alias("out"), ((F.col("type") == "text") & (F.size("bbox") == 4) & (bottom < top) & (long <= REPEAT_LENGTH)).alias("head")).filter(F.char_length("text") >= 3)
+    counted = seen.groupBy("doc", "text").agg(F.coalesce(F.max("out"), F.lit(False)).alias("out"), F.count_if("head").alias("n"))
+    return counted.filter(F.col("out") | (F.col("n") >= least)).select("doc", "text")
+
+
+def header_images(regions: DataFrame, share: float = 0.25) -> DataFrame:
+    """(doc, page, region_no, type, bbox, img_path) to the small images at the top that stand in one place on many pages.
+
+    Returns doc and img_path. "One place" is first-fit clustering within a tolerance, in reading order; equal boxes
+    always share a cluster, so only a document's different boxes are clustered, and pages are counted apart.
+    Many: two of up to three pages, else ``share`` of the pages and three at least. Null boxes and pages take no part.
+    """
+    left, up, right, low = (F.col("bbox")[i] for i in range(4))
+    box = F.struct(left.alias("x"), up.alias("y"), (right - left).alias("w"), (low - up).alias("h"))
+    pages = regions.groupBy("doc").agg((F.max("page") + 1).alias("total"))
+    small = regions.filter((F.col("type") == "image") & (F.char_length("img_path") > 0) & (F.size("bbox") == 4)).select("doc", "page", "region_no", "img_path", box.alias("box"), low.alias("low"))
+    small = small.filter((F.col("low") < 155) & (F.col("box.h") > 0) & (F.col("box.h") < 130) & (F.col("box.w") > 0) & (F.col("box.w") < 420) & F.col("page").isNotNull())
+    boxes = small.groupBy("doc", "box").agg(F.min(F.struct("page", "region_no")).alias("first")).select("doc", "box.*", "first.*")
+    kind = regions.schema["doc"].dataType.simpleString()
+
+    def cluster(frame):
+        frame = frame.sort_values(["page", "region_no", "x", "y", "w", "h"])
+        heads, found = [], []
+        for at in frame[["x", "y", "w", "h"]].itertuples(index=False, name=None):
+            fits = (n for n, head in enumerate(heads) if all(abs(a - b) <= t for a, b, t in zip(at, head, (35, 25, 35, 25))))
+            n = next(fits, len(heads))
+            heads += [at] if n == len(heads) else []
+            found.append(n)
+        return frame.assign(cluster=found)[["doc", "x", "y", "w", "h", "cluster"]]
+
+    clustered = boxes.select("doc", *(F.col(c).cast("double").alias(c) for c in "xywh"), "page", "region_no").groupBy("doc").applyInPandas(cluster, f"doc {kind}, x double, y double, w double, h double, cluster int")
+    flat = small.select("doc", "page", "img_path", *(F.col(f"box.{c}").cast("double").alias(c) for c in "xywh"))
+    of_cluster = flat.join(clustered, ["doc", "x", "y", "w", "h"])
+    many = of_cluster.groupBy("doc", "cluster").agg(F.countDistinct("page").alias("n")).join(pages, "doc")
+    many = many.filter(F.col("n") >= F.when(F.col("total") <= 3, 2).otherwise(F.greatest(F.lit(3), F.ceil(F.col("total") * share))))
+    return of_cluster.join(many.select("doc", "cluster"), ["doc", "cluster"], "left_semi").select("doc", "img_path").distinct()
+
+
+def without_edge_noise(docs: DataFrame, texts: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc, text) with the document's noise texts, longest first, and links to its header images taken out."""
+    held = texts.groupBy("doc").agg(F.array_sort(F.collect_set("text"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("_texts"))
+    names = F.concat(F.lit(r"!\[[^\]]*\]\([^)]*\Q"), F.regexp_extract("img_path", "([^/]*)$", 1), F.lit(r"\E\)\s*"))
+    linked = images.groupBy("doc").agg(F.array_sort(F.collect_set(names)).alias("_links"))
+    none = F.array().cast("array<string>")
+    bare = F.aggregate(F.coalesce("_texts", none), F.col("text"), lambda t, x: F.replace(t, x, F.lit("")))
+    joined = docs.join(held, "doc", "left").join(linked, "doc", "left").withColumn("text", bare)
+    return joined.withColumn("text", F.aggregate(F.coalesce("_links", none), F.col("text"), lambda t, x: F.regexp_replace(t, x, F.lit("")))).select(*docs.columns)
+
+
 def kept_lines(lines: DataFrame, number: str = r"^[0-9]{1,3}\s*[.、．]") -> DataFrame:
     """(doc, page, text, score, top, bottom, height) without page numbers, fragments, recurring lines and page edges."""
     low, high = F.col("top") < F.col("height") * EDGE, F.col("bottom") > F.col("height") * (1 - EDGE)

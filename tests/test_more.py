@@ -38,3 +38,18 @@ def test_repair_and_splits(spark):
     assert evaluation.balanced_split({("s1", "k"): 1}, {"x": {"k": 2}}) is None
     page = spark.sql("select 0 as pageNumber, 'odd' as `set`, 'prefill' as annotator, array(named_struct('setNumber', 1, 'number', 5, 'stem', 's'), named_struct('setNumber', 1, 'number', 5, 'stem', ' ')) as questions, array(array(0d, 0d, 1d, 1d)) as boxes")
     assert evaluation.annotation_errors(page).first()["errors"] == ["page", "set", "annotator", "twice", "stem"]
+
+
+def test_edge_noise(spark):
+    s = "doc int, page int, region_no int, type string, bbox array<double>, img_path string, text string"
+    rows = [(1, p, 0, "image", [10.0 + 3 * p, 5.0, 110.0 + 3 * p, 60.0], f"d/logo{p}.png", "") for p in range(6)]
+    rows += [(1, p, 1, "text", [0.0, 0.0, 9.0, 20.0], "", " 页眉文字 ") for p in range(3)]
+    rows += [(1, 0, 2, "image", [200.0, 5.0, 300.0, 60.0], "d/once.png", ""), (1, 0, 3, "image", [10.0, 300.0, 110.0, 400.0], "d/body.png", ""), (1, 1, 4, "discarded", None, None, "水印水印"), (1, None, 5, "image", None, None, None), (None, 0, 0, "text", None, None, None)]
+    regions = spark.createDataFrame(rows, s)
+    texts, images = quality.edge_texts(regions), quality.header_images(regions)
+    assert {r["text"] for r in texts.collect()} == {"页眉文字", "水印水印"}
+    assert {r["img_path"] for r in images.collect()} == {f"d/logo{p}.png" for p in range(6)}
+    docs = spark.createDataFrame([(1, "页眉文字题干![x](a/logo2.png) ![](d/once.png)水印水印", 7), (2, None, 8), (3, "页眉文字", 9)], "doc int, text string, k int")
+    got = {r["doc"]: (r["text"], r["k"]) for r in quality.without_edge_noise(docs, texts, images).collect()}
+    assert got == {1: ("题干![](d/once.png)", 7), 2: (None, 8), 3: ("页眉文字", 9)}
+    assert quality.header_images(spark.createDataFrame([], s)).count() == 0
