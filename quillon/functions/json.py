@@ -34,9 +34,9 @@ def messages(turns: Column, roles: tuple[str, ...] = ("user", "assistant"), last
 
 
 def warnings(raw: Column, most: int = 5, length: int = 200) -> Column:
-    """Warnings trimmed, without blanks and repeats, each and all of bounded length."""
-    clean = F.filter(F.transform(raw, lambda x: F.substring(F.trim(x), 1, length)), lambda x: x.isNotNull() & (x != ""))
-    return F.slice(F.array_distinct(clean), 1, most)
+    """Warnings trimmed, without blanks and repeats; the first ``most``, each cut to ``length``."""
+    clean = F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    return F.transform(F.slice(F.array_distinct(clean), 1, most), lambda x: F.substring(x, 1, length))
 
 
 def tags(own: Column, aliases: Column) -> Column:

@@ -220,18 +220,3 @@ def trace_coverage(evidence: DataFrame) -> DataFrame:
     counted = pages.agg(F.count_if("p.exact").alias("exact"), F.count_if(~F.col("p.exact")).alias("estimated")).withColumn("_k", F.lit(1))
     states = evidence.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("available", "partial", "unavailable"))).withColumn("_k", F.lit(1))
     return states.join(F.broadcast(counted), "_k").drop("_k")
-
-
-def validated(candidates: DataFrame, kinds: tuple[str, ...] = ("single", "multiple", "judge", "essay"), promo: str = r"(?i)微信|公众号|subscribe|扫码") -> DataFrame:
-    """Adds ``errors``: why a candidate question (kind, stem, options of key and text, answer array, year) is refused."""
-    keys = F.transform("options", lambda o: o["key"])
-    objective = F.col("kind") != "essay"
-    checks = {
-        "kind": ~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)),
-        "stem": F.coalesce(F.char_length(F.trim("stem")), F.lit(0)) < 6,
-        "options": objective & (F.coalesce(F.size("options"), F.lit(0)) < 2),
-        "answer": objective & ((F.coalesce(F.size("answer"), F.lit(0)) < 1) | (F.size(F.array_except("answer", keys)) > 0)),
-        "year": F.col("year").isNotNull() & ~F.col("year").between(1900, 2200),
-        "promotion": F.coalesce(F.col("stem").rlike(promo), F.lit(False)),
-    }
-    return candidates.withColumn("errors", F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(True)), name) for name, bad in checks.items())), lambda e: e.isNotNull()))

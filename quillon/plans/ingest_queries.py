@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import json as J
 from quillon.functions import math as M
 from quillon.functions import text as T
-from quillon.operators import evaluation, layout, pairing, practice, quality, versions
+from quillon.operators import evaluation, extraction, layout, pairing, practice, quality, versions
 from quillon.plans.model import table
 from quillon.plans.registry import query
 from quillon.sources import parsers
@@ -258,13 +258,18 @@ def channel_routing(spark, sf):
     return quality.route(d).select("doc_id", "channel")
 
 
-@query("candidate_validation", "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 8 = 0 THEN 'stem' END, CASE WHEN p_size % 3 < 2 THEN 'options' END, CASE WHEN p_size % 3 < 1 + p_partkey % 2 THEN 'answer' END, CASE WHEN p_partkey % 9 = 0 THEN 'year' END) AS errors FROM part")
+@query("candidate_validation", "SELECT p_partkey AS doc, CASE WHEN p_size % 3 = 0 THEN 'essay' ELSE 'single' END AS type, CASE WHEN p_partkey % 9 > 0 THEN CAST(1990 + p_size AS INT) END AS year, CAST(CASE WHEN p_size % 7 = 0 THEN 2 ELSE least(5, p_size % 7) END AS INT) AS difficulty, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'low_confidence,' END || 'short_explanation' AS warnings FROM part WHERE p_partkey % 8 > 0 AND p_size % 3 <> 1")
 def candidate_validation(spark, sf):
-    option = lambda k: F.struct(F.lit(k).alias("key"), F.lit("t").alias("text"))
-    p = table(spark, sf, "part").select(
-        "p_partkey", F.lit("single").alias("kind"), F.when(F.col("p_partkey") % 8 == 0, " tiny ").otherwise(F.col("p_name")).alias("stem"), F.slice(F.array(option("A"), option("B")), 1, F.col("p_size") % 3).alias("options"), F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("A"))).otherwise(F.array(F.lit("B"))).alias("answer"), F.when(F.col("p_partkey") % 9 == 0, 1500).alias("year")
+    option = lambda k: F.struct(F.lit(k).alias("key"), F.lit(" t ").alias("text"))
+    stem, size = F.when(F.col("p_partkey") % 8 == 0, " tiny ").otherwise(F.col("p_name")), F.col("p_size")
+    item = F.struct(
+        F.lit("question").alias("kind"), stem.alias("stem"), F.slice(F.array(option("a"), option("B")), 1, size % 3).alias("options"), F.array(F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b")).alias("answer"),
+        F.when(F.col("p_partkey") % 9 == 0, 1500).otherwise(1990 + size).alias("year"), (size % 7).alias("difficulty"), F.when(size % 2 == 0, 0.9).otherwise(0.5).alias("confidence"),
     )
-    return quality.validated(p).select("p_partkey", F.array_join("errors", ",").alias("errors"))
+    # The same item twice: the second is dropped.
+    reply = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(F.array(item, item).alias("items"))), F.lit("\n```"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("doc"), F.lit(0).alias("chunk_no"), F.lit("").alias("chunk"), reply.alias("reply"))
+    return extraction.candidates(p).select("doc", "type", "year", "difficulty", F.array_join("warnings", ",").alias("warnings"))
 
 
 @query("evidence_status", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'unavailable' WHEN doc_id % 3 = 0 OR doc_id % 70 + 1 > 60 THEN 'partial' ELSE 'available' END AS status FROM documents")

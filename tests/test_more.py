@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
 from quillon.functions import json as J
-from quillon.operators import evaluation, layout, pairing, practice, quality
-from quillon.sources import sinks
+from quillon.functions import math as M
+from quillon.functions import text as X
+from quillon.operators import evaluation, extraction, layout, pairing, practice, quality, versions
+from quillon.sources import readers, sinks
 
 
 def test_by_section(spark):
@@ -53,3 +55,44 @@ def test_edge_noise(spark):
     got = {r["doc"]: (r["text"], r["k"]) for r in quality.without_edge_noise(docs, texts, images).collect()}
     assert got == {1: ("题干![](d/once.png)", 7), 2: (None, 8), 3: ("页眉文字", 9)}
     assert quality.header_images(spark.createDataFrame([], s)).count() == 0
+
+
+def test_extraction_with_a_model_of_the_callers(spark):
+    docs = spark.createDataFrame([(1, "第一段的文字" * 20 + "\n\n" + "x" * 2990), (2, None)], "doc int, text string")
+    question = '{"kind":"question","subject":"xingce","stem":"题干题干题干","options":[{"key":"a","text":"t"},{"key":"b","text":"u"}],"answer":["b"],"year":"2020","difficulty":9,"confidence":0.9,"explanation":"足够长的解析内容","evidenceExcerpt":"第一段 的文字"}'
+    document = '{"title":"标题","content":"' + "内容" * 30 + '","confidence":"?"}'
+    bad = '{"kind":"question","stem":"题干题干题干","options":[],"answer":[]},{"title":"扫码","content":"' + "扫码" * 30 + '"},7'
+    ask = lambda r: r.withColumn("reply", F.when(F.col("chunk_no") == 0, F.lit(f'```json\n{{"items":[{question},{document},{bad},{question}]}}\n```')).otherwise(F.lit(f"[{question}]")))
+    got = sorted(extraction.extracted(docs, ask).collect(), key=lambda r: r["kind"])
+    assert [(r["doc"], r["chunk_no"], r["kind"], r["subject"], r["warnings"], r["confidence"], r["title"]) for r in got] == [(1, 0, "document", "common", ["low_confidence"], 0.5, "标题"), (1, 0, "question", "xingce", [], 0.9, "题干题干题干")]
+    assert got[1]["type"] == "single" and got[1]["answer"] == ["B"] and got[1]["year"] == 2020 and got[1]["difficulty"] == 5 and len(got[0]["id"]) == 27 and got[0]["category"] == "未分类"
+    review = lambda r: r.withColumn("reply", F.lit("nothing"))
+    assert extraction.extracted(docs, ask, review).count() == 0 and extraction.extracted(docs, ask, mode="questions").count() == 1
+
+
+def test_small_expressions(spark):
+    one = spark.range(1)
+    score = lambda t, k: tuple(one.select(X.essay_score(F.lit(t), F.array(*map(F.lit, k)).cast("array<string>")).alias("s")).first()["s"])
+    assert score("首先做甲\n其次做乙" + "字" * 100, ["甲", "丙"]) == (79, 70, 87, 88)
+    assert score("短", []) == (64, 73, 55, 55)
+    w = one.select(J.warnings(F.array(*map(F.lit, [" a ", "a", "", "b" * 300, "c", "d", "e", "f"]))).alias("w")).first()["w"]
+    assert w == ["a", "b" * 200, "c", "d", "e"]
+    assert one.select(J.tags(F.array(F.lit("x"), F.lit("y")), F.array(F.lit("Y"), F.lit("Z"))).alias("t")).first()["t"] == ["x", "y", "z"]
+    box = lambda *v: F.array(*map(F.lit, v))
+    assert one.select(M.iou(box(0.0, 0.0, 2.0, 2.0), box(1.0, 0.0, 3.0, 2.0)).alias("i")).first()["i"] == 2 / 6
+    assert abs(one.select(M.reading_score(box(0.5, 0.7), F.array(F.lit("a1"), F.lit("b"))).alias("r")).first()["r"] - 0.61) < 1e-12
+
+
+def test_reviews_and_readers(spark, tmp_path):
+    a = spark.createDataFrame([(1, "approved", True), (2, "approved", False), (3, "pending", True)], "id int, status string, allowed boolean")
+    assert [r["status"] for r in versions.published(a).orderBy("id").collect()] == ["published", "approved", "pending"]
+    assert [r["id"] for r in versions.reverted(spark.range(1, 5), a).collect()] == [4]
+    (tmp_path / "r.json").write_text('{"doc":1,"page":0,"region_no":0,"type":"text","bbox":[0,0,1,1],"text":"t"}\n')
+    assert readers.regions(spark, str(tmp_path)).first()["bbox"] == [0.0, 0.0, 1.0, 1.0]
+    pages = spark.sql("select 1 as doc, 2 as page, array(named_struct('type', 'figure', 'bbox', array(0.0D), 'text', null, 'path', 'p'), named_struct('type', 'table', 'bbox', array(1.0D), 'text', 'x', 'path', null)) as blocks")
+    assert [(r["region_no"], r["type"], r["img_path"], r["text"]) for r in readers.blocks(pages).collect()] == [(0, "image", "p", ""), (1, "table", "", "x")]
+    row = spark.sql("select 'c' as category, 'k' as cause, 3 as attempts, 50.0 as accuracy, 120 as seconds, 40 as mean_seconds").first()
+    text = sinks.report(row, [row], [row])
+    assert "3 attempts, 50.0 % right, 2 minutes" in text and "| c | 3 | 50.0 | 40 |" in text
+    clusters = spark.createDataFrame([(1, 2, 0.9), (2, 5, 0.8)], "cluster int, size int, similarity double")
+    assert sinks.cluster_report(clusters, 1).splitlines()[-1] == "| 2 | 5 | 0.8 |"
