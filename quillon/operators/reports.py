@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.math import percent
-from quillon.functions.time import instant, local_date, midnight_plus, since
+from quillon.functions.time import local_date, midnight_plus, since
 
 
 def totals(attempts: DataFrame) -> DataFrame:
@@ -88,10 +88,19 @@ def weaknesses(categories: DataFrame, below: float = 80.0, top: int = 4) -> Data
     return rest.filter(F.col("accuracy") < below).orderBy("accuracy", F.desc("attempts"), "category").limit(top)
 
 
-def recommendations(weak: DataFrame) -> DataFrame:
-    """A line of advice for each weakness."""
-    text = F.when(F.col("accuracy") < 50, F.concat(F.lit("Review the basics of "), "category")).otherwise(F.concat(F.lit("Practise more of "), "category"))
-    return weak.select("category", text.alias("advice"))
+def recommendations(total: DataFrame, weak: DataFrame, causes: DataFrame, none: str = "(unlabelled)") -> DataFrame:
+    """Advice by rules, in order: place, rule, what it is about and its figure.
+
+    By the accuracy of all attempts: first_assessment (there are none), basics (below 60), alternate (below 80) or
+    timed_exams. Then the weakest category, and the commonest cause of errors if that is labelled.
+    """
+    level = F.when(F.col("attempts") == 0, "first_assessment").when(F.col("accuracy") < 60, "basics").when(F.col("accuracy") < 80, "alternate").otherwise("timed_exams")
+    overall = total.select(F.lit(1).alias("place"), level.alias("rule"), F.lit("").alias("about"), F.col("accuracy").cast("double").alias("figure"))
+    worst = weak.agg(F.min_by(F.struct("category", "accuracy"), F.struct("accuracy", -F.col("attempts"), "category")).alias("w"))
+    weakest_one = worst.filter(F.col("w").isNotNull()).select(F.lit(2).alias("place"), F.lit("weakest").alias("rule"), F.col("w.category").alias("about"), F.col("w.accuracy").cast("double").alias("figure"))
+    common = causes.agg(F.min_by(F.struct("cause", "attempts"), F.struct(-F.col("attempts"), "cause")).alias("c"))
+    cause = common.filter(F.col("c").isNotNull() & (F.col("c.cause") != none)).select(F.lit(3).alias("place"), F.lit("cause").alias("rule"), F.col("c.cause").alias("about"), F.col("c.attempts").cast("double").alias("figure"))
+    return overall.unionByName(weakest_one).unionByName(cause)
 
 
 def essay_summary(evaluations: DataFrame, as_of: str | None = None, days: int | None = None) -> DataFrame:
@@ -106,17 +115,24 @@ def essay_summary(evaluations: DataFrame, as_of: str | None = None, days: int |
     return sums.select("essays", "prompts", F.floor(F.col("mean") + 0.5).cast("long").alias("mean"), "best")
 
 
-def plan(weak: DataFrame, as_of: str, zone: str, days: int = 7) -> DataFrame:
-    """A plan of three items a day: practice on a weakness in rotation, wrong questions, and an exam each third day.
+def plan(weak: DataFrame, days: int = 7, minutes: int = 60, focus: list[str] | None = None, other: str = "综合能力") -> DataFrame:
+    """Three items a day on a category in rotation: day (from 1), slot, type, category, target.
 
-    ``weak``: category and priority (1 is the weakest). day, slot, kind, focus, target.
+    The categories are those asked for (six at most), else the three weakest, else ``other``. A day has reading of a
+    quarter of its minutes (10 at least), practice of a question for three minutes (5 to 50) and, each third day, three
+    variants, else five reviews. Days are held to 1..30 and minutes to 10..300.
     """
-    ranked = weak.select("category", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("priority", "category")).alias("n"))
-    focus = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "category"))), lambda s: s["category"]).alias("focus"))
-    day = F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
-    items = focus.select("focus", day.alias("d")).select("focus", "d", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("slot"))
-    at = F.element_at("focus", F.col("d") % F.size("focus") + 1)
-    kind = F.when(F.col("slot") == 1, "practice").when(F.col("slot") == 2, "review").when(F.col("d") % 3 == 2, "exam").otherwise("reading")
-    return items.filter(F.size("focus") > 0).select(
-        F.date_add(local_date(instant(as_of), zone), F.col("d")).alias("day"), "slot", kind.alias("kind"), F.when(F.col("slot") == 1, at).otherwise("").alias("focus"), F.when(F.col("slot") == 1, 20).when(F.col("slot") == 2, 10).otherwise(1).alias("target")
-    )
+    days, minutes = min(max(int(days + 0.5), 1), 30), min(max(int(minutes + 0.5), 10), 300)
+    reading, practice = max(10, int(minutes * 0.25 + 0.5)), min(max(int(minutes / 3 + 0.5), 5), 50)
+    if focus:
+        chosen = weak.sparkSession.range(1).select(F.array(*map(F.lit, focus[:6])).alias("focus"))
+    else:
+        worst = weak.orderBy("accuracy", F.desc("attempts"), "category").limit(3).agg(F.array_sort(F.collect_list(F.struct("accuracy", (-F.col("attempts")).alias("n"), "category"))).alias("w"))
+        found = F.transform("w", lambda x: x["category"])
+        chosen = worst.select(F.when(F.size("w") > 0, found).otherwise(F.array(F.lit(other))).alias("focus"))
+    day, slot = F.explode(F.sequence(F.lit(1), F.lit(days))), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    third = F.col("day") % 3 == 0
+    kind = F.when(F.col("slot") == 1, "read_knowledge").when(F.col("slot") == 2, "official_practice").when(third, "ai_variant").otherwise("official_review")
+    target = F.when(F.col("slot") == 1, reading).when(F.col("slot") == 2, practice).when(third, 3).otherwise(5)
+    items = chosen.select("focus", day.alias("day")).select("focus", "day", slot.alias("slot"))
+    return items.select("day", "slot", kind.alias("type"), F.element_at("focus", (F.col("day") - 1) % F.size("focus") + 1).alias("category"), target.alias("target"))

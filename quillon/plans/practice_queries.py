@@ -108,17 +108,21 @@ def diagnosis_weaknesses(spark, sf):
     return reports.weaknesses(_categories(spark, sf))
 
 
-@query("diagnosis_advice", f"WITH {_CATS}, s AS (SELECT * FROM cats WHERE attempts >= 3 AND accuracy >= 70 ORDER BY accuracy DESC, attempts DESC, category LIMIT 4), w AS (SELECT * FROM cats WHERE accuracy < 80 AND category NOT IN (SELECT category FROM s) ORDER BY accuracy, attempts DESC, category LIMIT 4) SELECT category, concat(CASE WHEN accuracy < 50 THEN 'Review the basics of ' ELSE 'Practise more of ' END, category) AS advice FROM w")
+_WEAK = "s AS (SELECT * FROM cats WHERE attempts >= 3 AND accuracy >= 70 ORDER BY accuracy DESC, attempts DESC, category LIMIT 4), w AS (SELECT * FROM cats WHERE accuracy < 80 AND category NOT IN (SELECT category FROM s) ORDER BY accuracy, attempts DESC, category LIMIT 4)"
+
+
+@query("diagnosis_advice", f"""WITH {_CATS}, {_WEAK}, t AS (SELECT count(*) AS attempts, {_GOOD} AS accuracy FROM attempts), c AS (SELECT coalesce(nullif(trim(wrong_cause), ''), '(unlabelled)') AS cause, count(*) AS n FROM attempts WHERE NOT correct GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
+    SELECT 1 AS place, CASE WHEN attempts = 0 THEN 'first_assessment' WHEN accuracy < 60 THEN 'basics' WHEN accuracy < 80 THEN 'alternate' ELSE 'timed_exams' END AS rule, '' AS about, CAST(accuracy AS DOUBLE) AS figure FROM t
+    UNION ALL (SELECT 2, 'weakest', category, accuracy FROM w ORDER BY accuracy, attempts DESC, category LIMIT 1) UNION ALL SELECT 3, 'cause', cause, n FROM c WHERE cause <> '(unlabelled)'""")
 def diagnosis_advice(spark, sf):
-    return reports.recommendations(diagnosis_weaknesses(spark, sf))
+    return reports.recommendations(reports.totals(attempts(spark, sf)), diagnosis_weaknesses(spark, sf), reports.wrong_causes(attempts(spark, sf)))
 
 
-@query("plan_generation", f"""WITH {_CATS}, s AS (SELECT * FROM cats WHERE attempts >= 3 AND accuracy >= 70 ORDER BY accuracy DESC, attempts DESC, category LIMIT 4), w AS (SELECT * FROM cats WHERE accuracy < 80 AND category NOT IN (SELECT category FROM s) ORDER BY accuracy, attempts DESC, category LIMIT 4),
-    f AS (SELECT category, row_number() OVER (ORDER BY accuracy, category) AS n, count(*) OVER () AS m FROM w), g AS (SELECT CAST(d AS INT) AS d, CAST(k AS INT) AS slot FROM range(7) t(d), range(1, 4) u(k))
-    SELECT DATE '2024-01-31' + d AS day, slot, CASE WHEN slot = 1 THEN 'practice' WHEN slot = 2 THEN 'review' WHEN d % 3 = 2 THEN 'exam' ELSE 'reading' END AS kind, CASE WHEN slot = 1 THEN f.category ELSE '' END AS focus,
-    CAST(CASE WHEN slot = 1 THEN 20 WHEN slot = 2 THEN 10 ELSE 1 END AS INT) AS target FROM g JOIN f ON f.n = g.d % f.m + 1""")
+@query("plan_generation", f"""WITH {_CATS}, {_WEAK}, f AS (SELECT category, row_number() OVER (ORDER BY accuracy, attempts DESC, category) AS n, least(3, count(*) OVER ()) AS m FROM w), g AS (SELECT CAST(d AS INT) AS day, CAST(k AS INT) AS slot FROM range(1, 8) t(d), range(1, 4) u(k))
+    SELECT day, slot, CASE WHEN slot = 1 THEN 'read_knowledge' WHEN slot = 2 THEN 'official_practice' WHEN day % 3 = 0 THEN 'ai_variant' ELSE 'official_review' END AS type, f.category,
+    CAST(CASE WHEN slot = 1 THEN 15 WHEN slot = 2 THEN 20 WHEN day % 3 = 0 THEN 3 ELSE 5 END AS INT) AS target FROM g JOIN f ON f.n = (g.day - 1) % f.m + 1""")
 def plan_generation(spark, sf):
-    return reports.plan(diagnosis_weaknesses(spark, sf).withColumnRenamed("accuracy", "priority"), AS_OF, TIME_ZONE)
+    return reports.plan(diagnosis_weaknesses(spark, sf))
 
 
 @query("essay_summary", """SELECT count(*) AS essays, count(DISTINCT user_id % 40) AS prompts, CAST(floor(avg(duration_seconds) + 0.5) AS BIGINT) AS mean, CAST(max(duration_seconds) AS DOUBLE) AS best FROM attempts WHERE id % 7 > 1""")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from quillon.functions import json as J
 from quillon.functions import math as M
 from quillon.functions import text as X
-from quillon.operators import evaluation, extraction, layout, pairing, practice, quality, versions
+from quillon.operators import evaluation, extraction, layout, pairing, practice, quality, reports, versions
 from quillon.sources import readers, sinks
 
 
@@ -96,3 +96,17 @@ def test_reviews_and_readers(spark, tmp_path):
     assert "3 attempts, 50.0 % right, 2 minutes" in text and "| c | 3 | 50.0 | 40 |" in text
     clusters = spark.createDataFrame([(1, 2, 0.9), (2, 5, 0.8)], "cluster int, size int, similarity double")
     assert sinks.cluster_report(clusters, 1).splitlines()[-1] == "| 2 | 5 | 0.8 |"
+
+
+def test_advice_and_plans(spark):
+    weak = spark.createDataFrame([("a", 3, 40.0), ("b", 9, 40.0), ("c", 1, 70.0), ("d", 1, 75.0)], "category string, attempts long, accuracy double")
+    total = lambda n, a: spark.createDataFrame([(n, a)], "attempts long, accuracy double")
+    causes = spark.createDataFrame([("x", 2), ("y", 5)], "cause string, attempts long")
+    rows = lambda *a: [tuple(r)[1:3] for r in reports.recommendations(*a).orderBy("place").collect()]
+    assert rows(total(9, 59.9), weak, causes) == [("basics", ""), ("weakest", "b"), ("cause", "y")]
+    assert rows(total(0, 0.0), weak.limit(0), causes.filter("false")) == [("first_assessment", "")]
+    assert rows(total(9, 80.0), weak.limit(0), spark.sql("select '(unlabelled)' as cause, 3L as attempts")) == [("timed_exams", "")]
+    p = [tuple(r) for r in reports.plan(weak, 4, 300).orderBy("day", "slot").collect()]
+    assert p[:3] == [(1, 1, "read_knowledge", "b", 75), (1, 2, "official_practice", "b", 50), (1, 3, "official_review", "b", 5)]
+    assert [r[3] for r in p[::3]] == ["b", "a", "c", "b"] and p[8] == (3, 3, "ai_variant", "c", 3)
+    assert {r["category"] for r in reports.plan(weak.limit(0)).collect()} == {"综合能力"} and reports.plan(weak, 99, 1, ["q"]).count() == 90
