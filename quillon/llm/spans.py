@@ -4,6 +4,14 @@ A text is cut into sentences; a long sentence is also cut after words that a has
 passage is cut alike wherever it stands. From each sentence the shortest run of at least ``sentences`` sentences with
 at least ``words`` words is hashed. Runs are joined globally; every run that isn't the first of its hash, by doc_id
 and place, covers its sentences, and these are removed.
+
+``repeated_runs`` covers every run that repeats, not the shortest from each sentence only. A text is cut into pieces:
+at the ends of its sentences and, in each ``_WINDOW`` words without one, after the word with the smallest hash, so two
+copies of a passage have the same cuts but for the first and last of these windows, where a passage that starts or ends
+within a sentence may keep some words. Two kinds of runs are hashed: each
+two neighbouring sentences, whatever their length, which cover every run of whole sentences; and for the rest from each
+cut the shortest run of at least ``words`` words, and the shortest that ends there, which together cover every longer
+run of pieces.
 """
 
 from __future__ import annotations
@@ -22,6 +30,14 @@ from quillon.storage import cut
 _WORD = re.compile(r"\S+")
 _ENDS = (".", "!", "?", "…")
 _CUT = 16
+_WINDOW = 15
+_STOPS = frozenset(".!?…。！？．｡")
+_CLOSERS = "\"'”’»›)]}」』）】》〉*_"
+# Scripts without blank space between words: each character is a word, with the stops and closing marks behind it.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_UNIT = re.compile(rf"{_UNSPACED.pattern}[。！？．｡.!?…]*[{re.escape(_CLOSERS)}]*|(?:(?!{_UNSPACED.pattern})\S)+")
+_BASE = 0x9E3779B97F4A7C15 | 5
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def sentences_of(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -80,13 +96,125 @@ def _run_rows(docs: DataFrame, sentences: int, words: int) -> DataFrame:
     return map_batches(id_and_text(docs).filter("doc_id is not null and text is not null"), make, "h long, doc_id long, at int, n int")
 
 
+class _Words(dict):
+    """Hash of a word; the lowest bit is set when it closes a sentence."""
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > 1_000_000:
+            self.clear()
+        h = xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1
+        self[word] = h | (word[-1] in _STOPS or word.rstrip(_CLOSERS)[-1:] in _STOPS)
+        return self[word]
+
+
+_HASHES = _Words()
+# Powers of the base and of its inverse, as far as the longest text so far needs them.
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, _INVERSE)):
+            _POWERS[i] = np.concatenate((np.ones(1, np.uint64), np.full(2 * n, base, np.uint64))).cumprod(dtype=np.uint64)
+    return _POWERS
+
+
+def _words_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words in lower case, and whether a sentence ends behind each: at a stop or a line's end."""
+    low, hashes, lines = text.lower(), [], []
+    split = _UNIT.findall if _UNSPACED.search(low) else str.split
+    for line in low.split("\n"):
+        hashes += map(_HASHES.__getitem__, split(line))
+        lines.append(len(hashes))
+    h = np.array(hashes, np.uint64)
+    closes = (h & np.uint64(1)).astype(bool)
+    closes[np.array(lines)[np.array(lines) > 0] - 1] = True
+    return h, closes
+
+
+def _cuts_of(h: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """Numbers of words before each piece's end, with 0 first. Among a window's words the last of the smallest wins, and
+    a word that closes a sentence is smallest."""
+    n = len(h)
+    chosen = closes.copy()
+    chosen[-1:] = True
+    if n >= _WINDOW:
+        key = (np.where(closes, 0, (h >> np.uint64(34)) + np.uint64(1)).astype(np.int64) << 32) + np.arange(n, 0, -1)
+        least = key
+        for step in (1, 2, 4):
+            least = np.minimum(least[:-step], least[step:])
+        least = np.minimum(least[: n - _WINDOW + 1], least[_WINDOW - 8 :])
+        chosen[n - (least & 0xFFFFFFFF)] = True
+    return np.concatenate(([0], np.flatnonzero(chosen) + 1))
+
+
+def pieces_of(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of a text's pieces."""
+    cuts = _cuts_of(*_words_of(text))
+    places = [m.span() for m in (_UNIT if _UNSPACED.search(text.lower()) else _WORD).finditer(text)]
+    return [places[i][0] for i in cuts[:-1]], [places[i - 1][1] for i in cuts[1:]]
+
+
+def all_runs_of(text: str, sentences: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first pieces and lengths in pieces of the runs that stand for every run of a text."""
+    h, closes = _words_of(text)
+    n = len(h)
+    cuts = _cuts_of(h, closes)
+    last = len(cuts) - 1
+    whole = np.concatenate(([True], closes, [True]))[: n + 1]
+    whole[n] = True
+    bounds = np.flatnonzero(whole[cuts])
+    # Every `sentences` neighbouring sentences.
+    a, b = [bounds[:-sentences]], [bounds[sentences:]]
+    # From each cut, and up to each cut, until there are enough words and pieces.
+    at = np.arange(last + 1)
+    stop = np.maximum(np.searchsorted(cuts, cuts + words), at + sentences)
+    a.append(at[stop <= last]), b.append(stop[stop <= last])
+    start = np.minimum(np.searchsorted(cuts, cuts - words, "right") - 1, at - sentences)
+    a.append(start[start >= 0]), b.append(at[start >= 0])
+    a, b = np.concatenate(a), np.concatenate(b)
+    # Runs of whole sentences, enough of them, are covered by the first kind.
+    between = np.searchsorted(bounds, b) - np.searchsorted(bounds, a)
+    needless = whole[cuts[a]] & whole[cuts[b]] & (between >= sentences)
+    needless[: max(0, len(bounds) - sentences)] = False
+    pairs = np.unique(a[~needless] * (last + 1) + b[~needless])
+    a, b = pairs // (last + 1), pairs % (last + 1)
+    up, down = _powers(n + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), ((h | np.uint64(1)) * up[:n]).cumsum(dtype=np.uint64)))
+    x = (total[cuts[b]] - total[cuts[a]]) * down[cuts[a]] + (cuts[b] - cuts[a]).astype(np.uint64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return (x ^ (x >> np.uint64(31))).view(np.int64), a, b - a
+
+
+def _all_run_rows(docs: DataFrame, sentences: int, words: int) -> DataFrame:
+    def make(batch: pa.RecordBatch) -> dict:
+        ids, found = [], []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            ids.append(doc_id), found.append(all_runs_of(text, sentences, words))
+        h, at, n = (np.concatenate(x) for x in zip(*found))
+        return {"h": h, "doc_id": np.repeat(np.array(ids, np.int64), [len(f[0]) for f in found]), "at": at, "n": n}
+
+    return map_batches(id_and_text(docs).filter("doc_id is not null and text is not null"), make, "h long, doc_id long, at int, n int")
+
+
 def repeated_sentences(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFrame:
     """Documents that lose sentences: doc_id, removed (places of sentences, ascending) and first_doc_ids.
 
     first_doc_ids are the documents that keep the text. Rows with null doc_id or text take no part. Rows that share
     a doc_id and a text count as one row. An empty table gives no rows.
     """
-    runs = cut(_run_rows(docs, sentences, words), "runs")
+    return _removed(cut(_run_rows(docs, sentences, words), "runs"))
+
+
+def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFrame:
+    """As repeated_sentences(), for every run of sentences or pieces: doc_id, removed (places of pieces), first_doc_ids."""
+    return _removed(cut(_all_run_rows(docs, sentences, words), "runs"))
+
+
+def _removed(runs: DataFrame) -> DataFrame:
     # A run that very many documents share is counted within each task first, and is one row from there on.
     firsts = runs.groupBy("h").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "at")).alias("first"))
     repeated = firsts.filter("copies > 1").select("h", "first")
@@ -97,9 +225,9 @@ def repeated_sentences(docs: DataFrame, sentences: int = 2, words: int = 20) ->
     return marked.select("doc_id", covered.alias("removed"), "first_doc_ids")
 
 
-def without(text: str, removed: list[int]) -> str:
-    """The text without these sentences and without the blank space before each."""
-    starts, ends, _ = sentences_of(text)
+def without(text: str, removed: list[int], ends: list[int] | None = None) -> str:
+    """The text without these sentences, or pieces that end there, and without the blank space before each."""
+    ends = sentences_of(text)[1] if ends is None else ends
     out, at = [], 0
     for i in removed:
         out.append(text[at : ends[i - 1] if i else 0] if at <= (ends[i - 1] if i else 0) else "")
@@ -108,12 +236,12 @@ def without(text: str, removed: list[int]) -> str:
 
 
 def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFrame:
-    """``docs`` with the repeated sentences removed from text; every row and every other column stays."""
-    found = repeated_sentences(docs, sentences, words).select(F.col("doc_id").alias("_doc_id"), F.col("removed").alias("_removed"))
+    """``docs`` with every repeated run removed from text; every row and every other column stays."""
+    found = repeated_runs(docs, sentences, words).select(F.col("doc_id").alias("_doc_id"), F.col("removed").alias("_removed"))
 
     @F.udf("string")
     def clean(text, removed):
-        return text if not removed or text is None else without(text, removed)
+        return text if not removed or text is None else without(text, removed, pieces_of(text)[1])
 
     joined = docs.join(found, F.col("doc_id") == F.col("_doc_id"), "left")
     return joined.select(*(clean("text", "_removed").alias("text") if c == "text" else F.col(c) for c in docs.columns))

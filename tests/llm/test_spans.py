@@ -50,3 +50,62 @@ def test_without_keeps_the_rest():
     n = len(starts)
     assert spans.without(text, list(range(n))) == "" and spans.without(text, []) == text
     assert spans.without(text, [0]).strip() == text[starts[1] :]
+
+
+def brute_all(rows, same_cuts, k=2, words=20):
+    """Every run of k whole sentences or more, and every run of k pieces or more with enough words; with ``same_cuts``,
+    only those repeat that are cut alike too."""
+    seen = defaultdict(set)
+    for d, t in rows:
+        h, closes = spans._words_of(t)
+        cuts = spans._cuts_of(h, closes).tolist()
+        unit = spans._UNIT if spans._UNSPACED.search(t) else spans._WORD
+        tokens = unit.findall(t.lower())
+        whole = [c in (0, len(tokens)) or bool(closes[c - 1]) for c in cuts]
+        for i in range(len(cuts)):
+            for j in range(i + k, len(cuts)):
+                sentences = whole[i] and whole[j] and sum(whole[i:j]) >= k
+                if sentences or cuts[j] - cuts[i] >= words:
+                    inner = [(cuts[x] - cuts[i], whole[x]) for x in range(i, j + 1)] if same_cuts else []
+                    seen[(*tokens[cuts[i] : cuts[j]], *inner)].add((d, i, j))
+    out = defaultdict(set)
+    for places in seen.values():
+        first = min((d, i) for d, i, _ in places)
+        for d, i, j in places:
+            if (d, i) != first:
+                out[d].update(range(i, j))
+    return {d: sorted(v) for d, v in out.items()}
+
+
+def _found(spark, rows):
+    return {r["doc_id"]: r["removed"] for r in spans.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_every_run_against_brute_force(spark, rng):
+    vocabulary = [f"w{i}" for i in range(30)] + ["end.", 'said."', "stop!", "line\n", "。"]
+    blocks = [" ".join(rng.choice(vocabulary, int(n))) for n in rng.integers(3, 70, 25)]
+    rows = [(d, " ".join(blocks[i] if rng.random() < 0.6 else " ".join(rng.choice(vocabulary, 15)) for i in rng.integers(0, 25, 5))) for d in range(60)]
+    got, least, most = _found(spark, rows), brute_all(rows, True), brute_all(rows, False)
+    assert set(least) <= set(got) <= set(most) and len(least) > 40
+    assert all(set(least.get(d, ())) <= set(got[d]) <= set(most[d]) for d in got)
+
+
+def test_tails_and_short_sentences_are_found(spark):
+    long = " ".join(f"long{i}" for i in range(25))
+    tail = f"{long}. One two three. Four five six. Seven eight nine."
+    rows = [(1, tail), (2, f"Other words. {tail}"), (3, "We came late. They left. Nobody knew."), (4, "It rained. We came late. They left. So it went."), (5, 'He said "Go on." Then "No!" she cried. Off.'), (6, 'x y z. He said "Go on." Then "No!" she cried. p q.'), (7, "第一句话在这里。第二句话在那里！完了"), (8, "别的话。第一句话在这里。第二句话在那里！其他")]
+    got = _found(spark, rows)
+    texts = {r["doc_id"]: r["text"] for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {2, 4, 6, 8}
+    assert [texts[i].strip() for i in (2, 4, 6, 8)] == ["Other words.", "It rained. So it went.", "x y z. p q.", "别的话。其他"]
+
+
+def test_every_passage_without_full_stops_is_found(spark, rng):
+    rows = []
+    for p in range(150):
+        passage = " ".join(f"p{p}x{i}" for i in range(51))
+        for d in (2 * p, 2 * p + 1):
+            before, after = (" ".join(f"d{d}{side}{i}" for i in range(int(rng.integers(0, 30)))) for side in "ab")
+            rows.append((d, f"A start {before} {passage} {after} goes on."))
+    got = _found(spark, rows)
+    assert set(got) == {2 * p + 1 for p in range(150)}
