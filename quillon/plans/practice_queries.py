@@ -162,7 +162,7 @@ def catalog_search_wildcard(spark, sf):
 @query("document_search", "SELECT doc_id, source FROM documents WHERE lang = 'en' AND (text ILIKE '%license%' OR source ILIKE '%license%') ORDER BY source, doc_id LIMIT 500")
 def document_search(spark, sf):
     d = catalog.filtered(table(spark, sf, "documents"), {"lang": "en", "source": None})
-    return d.filter(catalog.keyword([F.col("text"), F.col("source")], "license")).orderBy("source", "doc_id").limit(500).select("doc_id", "source")
+    return d.filter(catalog.keyword([F.col("text"), F.col("source")], "license")).orderBy("source", "doc_id").select("doc_id", "source")
 
 
 @query("only_wrong", "SELECT id, stem FROM questions q WHERE EXISTS (SELECT 1 FROM review_state r WHERE r.question_id = q.id AND NOT mastered)")

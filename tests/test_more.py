@@ -4,6 +4,7 @@ from quillon.functions import json as J
 from quillon.functions import math as M
 from quillon.functions import text as X
 from quillon.operators import evaluation, extraction, layout, pairing, practice, quality, reports, versions
+from quillon.plans import practice_queries
 from quillon.sources import readers, sinks
 
 
@@ -110,3 +111,10 @@ def test_advice_and_plans(spark):
     assert p[:3] == [(1, 1, "read_knowledge", "b", 75), (1, 2, "official_practice", "b", 50), (1, 3, "official_review", "b", 5)]
     assert [r[3] for r in p[::3]] == ["b", "a", "c", "b"] and p[8] == (3, 3, "ai_variant", "c", 3)
     assert {r["category"] for r in reports.plan(weak.limit(0)).collect()} == {"综合能力"} and reports.plan(weak, 99, 1, ["q"]).count() == 90
+
+
+def test_document_search_has_no_limit(spark, tmp_path):
+    rows = [(i, f"a License {i}", "en", "s") for i in range(600)] + [(600, "none", "en", "s"), (601, "license", "fr", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = practice_queries.document_search(spark, str(tmp_path)).collect()
+    assert [r["doc_id"] for r in found] == list(range(600))
