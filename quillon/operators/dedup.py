@@ -88,17 +88,18 @@ def banded(prints: DataFrame, bands: int = 4) -> DataFrame:
     return prints.select("id", F.posexplode(keys).alias("band", "key"))
 
 
-def candidate_pairs(bands: DataFrame, cap: int = 500) -> DataFrame:
-    """Different pairs a < b that share a band key, of buckets of at most ``cap`` rows; larger ones are skipped, as a
-    cap is part of this operator's definition (see oversized())."""
-    sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter(F.col("n").between(2, cap))
-    kept = bands.join(sizes.select("band", "key"), ["band", "key"], "left_semi")
-    left, right = kept.withColumnRenamed("id", "a"), kept.withColumnRenamed("id", "b")
-    return left.join(right, ["band", "key"]).filter("a < b").select("a", "b").distinct()
+def candidate_pairs(bands: DataFrame, block: int = 500) -> DataFrame:
+    """Different pairs a < b that share a band key, of buckets of any size. A bucket of more than ``block`` rows meets in
+    several tasks: each row stands in one of its blocks on the one side and in all of them on the other."""
+    sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= 2)
+    kept = bands.join(sizes.select("band", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), ["band", "key"])
+    left = kept.select("band", "key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("a"))
+    right = kept.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"))
+    return left.join(right, ["band", "key", "block"]).filter("a < b").select("a", "b").distinct()
 
 
 def oversized(bands: DataFrame, cap: int = 500) -> DataFrame:
-    """Buckets that candidate_pairs() skips."""
+    """Buckets of more than ``cap`` rows."""
     return bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter(F.col("n") > cap)
 
 
@@ -113,11 +114,40 @@ def jaccard_of_pairs(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     return joined.select("a", "b", (c / (F.col("na") + F.col("nb") - c)).alias("similarity"))
 
 
-def duplicate_clusters(texts: DataFrame, least: float = 0.72, cap: int = 500) -> DataFrame:
-    """(id, text) to clusters of near copies: cluster (its smallest id), size, similarity (the highest within)."""
-    grams = cut(gram_sets(texts), "grams")
-    pairs = jaccard_of_pairs(candidate_pairs(banded(gram_simhash(grams)), cap), grams).filter(F.col("similarity") >= least)
-    pairs = cut(pairs, "pairs")
+def representatives(texts: DataFrame) -> DataFrame:
+    """(id, text) to (id, rep): the smallest id whose text has the same letters and digits, so the same grams."""
+    signed = texts.select("id", F.sha2(letters_and_digits(F.col("text")), 256).alias("signature"))
+    first = signed.groupBy("signature").agg(F.min("id").alias("rep"))
+    return signed.join(first, "signature").select("id", "rep")
+
+
+def _near(texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Near pairs of representatives, (a, b, similarity), and the members (id, rep) of those that have grams."""
+    reps = cut(representatives(texts), "representatives")
+    grams = cut(gram_sets(texts.join(reps.filter("id = rep").select("id"), "id", "left_semi")), "grams")
+    pairs = jaccard_of_pairs(candidate_pairs(banded(gram_simhash(grams))), grams).filter(F.col("similarity") >= least)
+    members = reps.join(grams.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select("id", "rep")
+    return cut(pairs, "pairs"), members
+
+
+def near_pairs(texts: DataFrame, least: float = 0.72) -> DataFrame:
+    """(id, text) to all candidate pairs a < b of at least this similarity. Copies are compared once, and their pairs
+    are made from the groups."""
+    pairs, members = _near(texts, least)
+    x, y = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
+    across = pairs.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    within = x.join(y, F.col("a") == F.col("b")).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(within)
+
+
+def duplicate_clusters(texts: DataFrame, least: float = 0.72) -> DataFrame:
+    """(id, text) to clusters of near copies: cluster (its smallest id), size, similarity (the highest within).
+
+    Copies hang on their representative as a star, so a group of any size adds one link for each copy.
+    """
+    pairs, members = _near(texts, least)
+    stars = members.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    pairs = cut(pairs.unionByName(stars), "links")
     nodes = connected_components(pairs.select("a", "b"))
     sizes = nodes.groupBy("component").agg(F.count("*").alias("size"))
     best = pairs.join(nodes, F.col("a") == F.col("node")).groupBy("component").agg(F.max("similarity").alias("similarity"))

@@ -113,9 +113,7 @@ _JAC = f"{_BANDS}, n AS (SELECT id, count(*) AS n FROM grams GROUP BY 1), c AS (
 
 @query("shingle_jaccard_pairs", f"WITH {_JAC} SELECT a, b, round(similarity, 9) AS similarity FROM jac")
 def shingle_jaccard_pairs(spark, sf):
-    grams = dedup.gram_sets(_texts(spark, sf))
-    pairs = dedup.candidate_pairs(dedup.banded(dedup.gram_simhash(grams)))
-    return dedup.jaccard_of_pairs(pairs, grams).filter("similarity >= 0.72").select("a", "b", F.round("similarity", 9).alias("similarity"))
+    return dedup.near_pairs(_texts(spark, sf)).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
 @query("dup_clusters", f"""WITH RECURSIVE {_JAC}, e AS (SELECT a, b FROM jac UNION SELECT b, a FROM jac), r(id, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), l AS (SELECT id, min(root) AS cluster FROM r GROUP BY 1)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from quillon.functions import json as J
 from quillon.functions import math as M
 from quillon.functions import text as X
-from quillon.operators import evaluation, extraction, layout, pairing, practice, quality, reports, versions
+from quillon.operators import dedup, evaluation, extraction, layout, pairing, practice, quality, reports, versions
 from quillon.plans import practice_queries
 from quillon.sources import readers, sinks
 
@@ -118,3 +118,14 @@ def test_document_search_has_no_limit(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     found = practice_queries.document_search(spark, str(tmp_path)).collect()
     assert [r["doc_id"] for r in found] == list(range(600))
+
+
+def test_large_groups_of_copies_stay_whole(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf at night"
+    rows = [(i, base + "!" * (i % 3)) for i in range(620)] + [(1000, base + " x"), (2000, "entirely other words without any tie 12345")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    near = {(r["a"], r["b"]): r["similarity"] for r in dedup.near_pairs(texts).collect()}
+    assert len(near) == 621 * 620 // 2 and near[(0, 619)] == 1.0 and 0.9 < near[(5, 1000)] < 1
+    assert [tuple(r) for r in dedup.duplicate_clusters(texts).collect()] == [(0, 621, 1.0)]
+    prints = spark.createDataFrame([(i, "01" * 32) for i in range(620)] + [(999, "10" * 32)], "id long, fp string")
+    assert dedup.candidate_pairs(dedup.banded(prints)).count() == 620 * 619 // 2
