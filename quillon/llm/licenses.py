@@ -8,6 +8,7 @@ its probabilities. A prediction counts when the family's templates confirm it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -64,6 +65,12 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return [(m.start(), m.end()) for m in re.finditer(r"[^\n]*\S[^\n]*", text)]
 
 
+def blocks(lines: list[tuple[int, int]], text: str) -> list[tuple[int, int]]:
+    """Numbers of the first and past the last line of each paragraph: lines with no blank line between."""
+    starts = [0, *(i for i in range(1, len(lines)) if text.count("\n", lines[i - 1][1], lines[i][0]) > 1), len(lines)]
+    return list(zip(starts, starts[1:]))
+
+
 @dataclass
 class LicenseModel:
     families: list[str]
@@ -77,6 +84,9 @@ class LicenseModel:
     cues: frozenset[str] = frozenset()
     grams: dict[str, list[set]] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.pairs = {tuple(g.split(" ")) for ts in self.grams.values() for t in ts for g in t if " " in g}
+
     def probabilities(self, found: list[set[str]]) -> np.ndarray:
         scores = np.repeat(self.bias[None, :], len(found), axis=0)
         for i, f in enumerate(found):
@@ -91,25 +101,71 @@ class LicenseModel:
         """Largest share of a template's features that are in the text."""
         return max((len(t & found) / len(t) for t in self.grams[family]), default=0.0)
 
+    def needed(self) -> int:
+        """Word 2-grams of templates that a confirmed notice has at least, even with all of a template's words."""
+        shares = [self.confirm * len(t) - sum(" " not in g for g in t) for ts in self.grams.values() for t in ts]
+        return max(0, int(np.ceil(min(shares, default=0) - 1e-9)))
+
+    def _judge(self, words: list[str], spans: list[tuple[int, int]], at: int, size: int) -> tuple[int, int, str, float, float] | None:
+        part = words[at : at + size]
+        if len(self.cues.intersection(part)) < 2:
+            return None
+        found = features(part)
+        p = self.probabilities([found])[0]
+        best = int(p.argmax())
+        family = self.families[best]
+        if family == UNKNOWN or p[best] < self.least:
+            return None
+        like = self.likeness(family, found)
+        return (spans[at][0], spans[min(at + size, len(spans)) - 1][1], family, float(p[best]), like) if like >= self.confirm else None
+
     def scan(self, text: str | None) -> list[tuple[int, int, str, float, float]]:
-        """Confirmed notices of a whole text: start, end, family, probability, likeness. Long lines go by windows."""
+        """Confirmed notices of a whole text: start, end, family, probability, likeness.
+
+        Lines are judged by themselves, long ones by windows. A paragraph of several lines is then judged as one text, for
+        notices wrapped over lines: by windows, and from each of its lines by as many lines as a window holds. There, a
+        notice counts if it goes over a line's end and no notice of its family is reported at its place.
+        """
+        text = text or ""
+        lines = paragraphs(text)
+        needed, pairs = self.needed(), self.pairs
         out = []
-        for a, b in paragraphs(text or ""):
-            spans = [(m.start() + a, m.end() + a) for m in _WORDS.finditer(text[a:b])]
-            words = [text[x:y].lower() for x, y in spans]
-            for at in [0] if len(words) <= _LONG else range(0, len(words) - _STEP, _STEP):
-                part = words[at : at + _LONG]
-                if len(self.cues.intersection(part)) < 2:
-                    continue
-                found = features(part)
-                p = self.probabilities([found])[0]
-                best = int(p.argmax())
-                family = self.families[best]
-                if family == UNKNOWN or p[best] < self.least:
-                    continue
-                like = self.likeness(family, found)
-                if like >= self.confirm and not (out and out[-1][2] == family and out[-1][1] > spans[at][0]):
-                    out.append((spans[at][0], spans[min(at + _LONG, len(spans)) - 1][1], family, float(p[best]), like))
+        for first, last in blocks(lines, text):
+            spans, words, begins = [], [], [0]
+            for a, b in lines[first:last]:
+                own = [(m.start() + a, m.end() + a) for m in _WORDS.finditer(text[a:b])]
+                spans += own
+                words += [text[x:y].lower() for x, y in own]
+                begins.append(len(words))
+            hits = [i for i, pair in enumerate(zip(words, words[1:])) if pair in pairs]
+            if len(hits) < needed:
+                continue
+            # Windows with too few 2-grams of templates can't be confirmed.
+            hopeful = lambda x, y: bisect_left(hits, y - 1) - bisect_left(hits, x) >= needed
+            found: list[tuple[int, int, str, float, float]] = []
+            for x, y in zip(begins, begins[1:]):
+                in_line: list[tuple[int, int, str, float, float]] = []
+                for at in [x] if y - x <= _LONG else range(x, y - _STEP, _STEP):
+                    if y > x and hopeful(at, min(at + _LONG, y)) and (row := self._judge(words, spans, at, min(_LONG, y - at))):
+                        if not (in_line and in_line[-1][2] == row[2] and in_line[-1][1] > row[0]):
+                            in_line.append(row)
+                found += in_line
+            if last - first > 1:
+                wide: dict[tuple[int, int], None] = {}
+                begins = sorted(set(begins))
+                for i, x in enumerate(begins):
+                    for j in range(i + 2, len(begins)):
+                        if begins[j] - x > _LONG:
+                            break
+                        wide[x, begins[j]] = None
+                for at in range(0, max(1, len(words) - _STEP), _STEP):
+                    wide[at, min(at + _LONG, len(words))] = None
+                for x, y in wide:
+                    if hopeful(x, y) and bisect_right(begins, x) != bisect_right(begins, y - 1):
+                        row = self._judge(words, spans, x, y - x)
+                        if row and not any(f[2] == row[2] and f[0] < row[1] and row[0] < f[1] for f in found):
+                            found.append(row)
+            out += sorted(found)
         return out
 
 

@@ -14,3 +14,15 @@ def test_notices_and_clean_text(documents, odd, none):
     assert found == {r[0] for r in cue} and found
     assert licenses.scan(odd, model).count() == 0 and licenses.scan(none, model).count() == 0
     assert licenses.train(none).scan("Released under the MIT License.")[0][2] == "MIT"
+
+
+def test_notices_wrapped_over_lines(documents):
+    model = licenses.train(documents)
+    for family, templates in licenses.TEMPLATES.items():
+        for words in map(str.split, templates):
+            for k in range(1, len(words)) if len(words) > 5 else ():
+                text = "/*\n * Copyright 2020 some person\n * " + " ".join(words[:k]) + "\n * " + " ".join(words[k:]) + "\n */\nint main(void)\n"
+                assert family in [r[2] for r in model.scan(text)], text
+    lines = "Released under the MIT License.\nThis work is licensed under the GNU General Public License, version 3."
+    assert [r[2] for r in model.scan(lines)] == ["MIT", "GPL"]
+    assert model.scan("\n".join(licenses.DISTRACTORS)) == []
