@@ -1,7 +1,8 @@
 """Written tables in the shared folder that all executors and the driver can reach.
 
 Cutting lineage goes through Parquet here, never through a local checkpoint: a lost executor
-then costs a re-read, not a recomputation of everything upstream.
+then costs a re-read, not a recomputation of everything upstream. Tables stay until the application
+ends, or until ``clear``.
 """
 
 from __future__ import annotations
@@ -12,33 +13,61 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: str | None = None
+#: Bytes of a Parquet row group: writers hold one in memory, and a stage's results are only read once or twice.
+_ROW_GROUP = 32 << 20
+_MARKED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
     global _OWN_DIR
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
     if _OWN_DIR is None:
         _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="quillon-")
     return _OWN_DIR
 
 
+def application_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/quillon/{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        fs, target = file_system(spark, path)
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+        _MARKED.add(path)
+    return path
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/quillon/{label}-{uuid.uuid4().hex}"
+    """A path in the application's folder that nothing else uses."""
+    return f"{application_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables this application has written; results that still read them can't be read any more."""
+    path = application_dir(spark)
+    remove(spark, path)
+    _MARKED.discard(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table through Hadoop's file system API."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = file_system(spark, path)
+    fs.delete(target, True)
