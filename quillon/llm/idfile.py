@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import jvmcoder
-from quillon.llm.arrow import _arrow_schema, encoder, id_and_text
+from quillon.llm.arrow import _arrow_schema, encoder, id_and_text, parts
 from quillon.storage import fresh_path
 
 MAGIC = b"QID1"
@@ -324,7 +324,7 @@ def from_payload(payload: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segment: int = 4_000_000) -> None:
     """Encode whole texts (null: empty), end each with ``end_id`` and write them to ``path`` in ascending doc_id order.
 
-    Null ids come first; rows with the same id follow each other in no set order. A segment is closed at the first
+    Null ids come first; rows with the same id follow each other in order of a hash of their texts. A segment is closed at the first
     document that brings it to ``segment`` ids.
     """
     schema = _arrow_schema(_SEGMENTS)
@@ -340,20 +340,19 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segme
             row = (file_no, number, len(held), size, top, ids.astype("<u4").tobytes(), length)
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-        for batch in batches:
-            ids_of, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 500):
-                for doc_id, ids in zip(ids_of[at : at + 500], encode(texts[at : at + 500])):
-                    doc_ids.append(doc_id)
-                    held.append(np.append(ids, np.uint32(end_id)))
-                    size += len(ids) + 1
-                    if size >= segment:
-                        yield close()
-                        doc_ids, held, size, number = [], [], 0, number + 1
+        for batch in (part for whole in batches for part in parts(whole)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
+                doc_ids.append(doc_id)
+                held.append(np.append(ids, np.uint32(end_id)))
+                size += len(ids) + 1
+                if size >= segment:
+                    yield close()
+                    doc_ids, held, size, number = [], [], 0, number + 1
         if held:
             yield close()
 
-    in_order = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The text's hash deals out rows without an id, and orders rows that share one.
+    in_order = id_and_text(docs).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     segments = in_order.mapInArrow(run, _SEGMENTS)
     segments.select("file_no", "segment", "documents", "ids", jvmcoder.encoded(docs.sparkSession, "head", "raw", "length").alias("payload")).write.parquet(path)
 
@@ -364,7 +363,6 @@ def read_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
     With ``with_ids`` also ids, as little-endian unsigned 32-bit integers. A wrong checksum fails the query.
     """
     files = spark.read.parquet(path)
-    decoded = files.select("file_no", "segment", F.inline(jvmcoder.decoded(spark, "payload", with_ids)))
     # One number for each file comes to the driver; segments are summed up within their file.
     totals = sorted((r["file_no"], r["n"]) for r in files.groupBy("file_no").agg(F.sum("ids").alias("n")).collect())
     begins, at = [], 0
@@ -374,7 +372,10 @@ def read_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
     by_file = spark.createDataFrame(begins, "file_no int, begin long")
     earlier = Window.partitionBy("file_no").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     segments = files.select("file_no", "segment", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("earlier")).join(by_file, "file_no")
-    return decoded.join(segments.select("file_no", "segment", (F.col("begin") + F.col("earlier")).alias("base")), ["file_no", "segment"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    # The few segments get their bases before their documents are unpacked, so no document is shuffled.
+    based = files.select("file_no", "segment", "payload").join(segments.select("file_no", "segment", (F.col("begin") + F.col("earlier")).alias("base")), ["file_no", "segment"])
+    decoded = based.select("base", F.inline(jvmcoder.decoded(spark, "payload", with_ids)))
+    return decoded.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

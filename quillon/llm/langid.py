@@ -10,37 +10,28 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.arrow import id_and_text, map_batches
+from quillon.llm.arrow import id_and_text, kept, map_batches, text_column
 
 _BITS = 18
 _SPACE = 1 << _BITS
 _A, _B, _C = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 UNKNOWN = "und"
 
-_LETTERS: np.ndarray | None = None
-_FLAGS: np.ndarray | None = None
 
-
-def _letters() -> np.ndarray:
-    """Code points of letters; zero for all others."""
-    global _LETTERS
-    if _LETTERS is None:
-        _LETTERS = np.fromiter((cp if chr(cp).isalpha() else 0 for cp in range(0x110000)), np.uint32, 0x110000)
-    return _LETTERS
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Code points of letters, with zero for all others; and a flag for each n-gram's number."""
+    return np.fromiter((cp if chr(cp).isalpha() else 0 for cp in range(0x110000)), np.uint32, 0x110000), np.zeros(_SPACE, bool)
 
 
 def ngrams(text: str | None) -> np.ndarray:
     """Numbers of the text's different n-grams (1 to 3 letters; all that isn't a letter is one boundary), sorted."""
-    global _FLAGS
-    if _FLAGS is None:
-        _FLAGS = np.zeros(_SPACE, bool)
+    letters, flags = kept("letters", _tables)
     cps = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = _letters()[cps]
+    c = letters[cps]
     if not c.any():
         return np.zeros(0, np.int32)
     # Several boundaries in turn count as one, and each text begins and ends with one.
@@ -51,9 +42,9 @@ def ngrams(text: str | None) -> np.ndarray:
     two = (one[:-1] ^ (c[1:] + np.uint32(1)) * _B) * _C
     three = (two[:-1] ^ (c[2:] + np.uint32(2)) * _A) * _B
     for h in (one[one != 0], two, three):
-        _FLAGS[h >> shift] = True
-    found = np.flatnonzero(_FLAGS).astype(np.int32)
-    _FLAGS[found] = False
+        flags[h >> shift] = True
+    found = np.flatnonzero(flags).astype(np.int32)
+    flags[found] = False
     return found
 
 
@@ -66,7 +57,7 @@ class KernelModel:
     marks: np.ndarray
     roots: np.ndarray
     weights: np.ndarray
-    step: int = 256
+    step: int = 64
 
     def kernels(self, grams: list[np.ndarray]) -> np.ndarray:
         out = []
@@ -81,9 +72,9 @@ class KernelModel:
         return np.concatenate(out) if out else np.zeros((0, len(self.roots)))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        grams = [ngrams(t) for t in texts]
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        grams = [ngrams(t) for t in texts]
         scores = self.kernels(grams) @ self.weights
         best = scores.argmax(axis=1)
         top = np.clip((scores[np.arange(len(best)), best] + 1) / 2, 0, 1)
@@ -96,26 +87,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(labelled: DataFrame, sample: int = 3000, landmarks: int = 40, ridge: float = 1e-3, most_languages: int = 500) -> KernelModel:
+def train(labelled: DataFrame, sample: int = 3000, landmarks: int = 40, ridge: float = 1e-3) -> KernelModel:
     """Learn from columns doc_id, text and lang.
 
-    At most ``sample`` texts are learned from, as many of each language as may be, chosen by a hash of doc_id;
+    About ``sample`` texts are learned from, as many of each language as may be, the first by a hash of doc_id;
     ``landmarks`` of each language are landmarks. Their whole texts are read, on the executors; the driver gets
-    their n-grams. Rows with null text or lang are left out. Only the ``most_languages`` commonest labels are learned, so
-    a column of stray labels can't fill the driver.
+    their n-grams. Rows with null text or lang are left out, and rows that repeat a doc_id count once. Every label is
+    learned; more labels than ``sample`` raise ValueError, as a column like that holds no languages.
     """
     rows = labelled.filter("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("draw"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(sample + 1).collect()}
+    if len(sizes) > sample:
+        raise ValueError(f"more than {sample} labels")
     if not sizes:
         return KernelModel([], np.zeros(_SPACE, np.int32), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)))
     each = max(1, sample // len(sizes))
-    share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, 1.2 * each / n))))
-    drawn = rows.filter(F.pmod("draw", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).orderBy(F.xxhash64("draw"), "doc_id").limit(sample)
+    # A hash picks half as many again of each language as are wanted, 50 at least, before any row is moved.
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, max(1.5 * each, 50) / n))))
+    drawn = rows.filter(F.pmod("draw", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).groupBy("lang", "doc_id", "draw").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("draw"), "doc_id")
+    drawn = drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= each).select("lang", "text", "place")
 
     def grams(batch: pa.RecordBatch) -> dict:
-        return {"lang": batch.column("lang"), "grams": [ngrams(t) for t in batch.column("text").to_pylist()]}
+        return {"lang": batch.column("lang"), "place": batch.column("place"), "grams": [ngrams(t) for t in batch.column("text").to_pylist()]}
 
-    got = map_batches(drawn.select("lang", "text"), grams, "lang string, grams array<int>").toArrow()
+    got = map_batches(drawn, grams, "lang string, place int, grams array<int>").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
     langs = got.column("lang").to_pylist()
     texts = [np.array(g, np.int32) for g in got.column("grams").to_pylist()]
     filled = [i for i, g in enumerate(texts) if len(g)]
@@ -159,11 +155,12 @@ def identify(docs: DataFrame, model: KernelModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: KernelModel, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with a score of at least ``least``."""
+    """The rows of ``docs`` whose text has a language with a score of at least ``least``.
+
+    Rows with null texts or texts without a letter go; null ids, repeated rows and further columns stay as they are.
+    """
 
-    @F.pandas_udf("boolean")
-    def known(texts):
-        langs, scores = model.predict([t if isinstance(t, str) else None for t in texts])
-        return pd.Series([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores)], dtype=bool)
+    def known(texts: list[str | None]) -> list[bool]:
+        return [lang != UNKNOWN and s >= least for lang, s in zip(*model.predict(texts))]
 
-    return docs.filter(known(F.col("text")))
+    return docs.filter(text_column(F.col("text").cast("string"), known, "boolean"))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.arrow import _arrow_schema, encoder, id_and_text
+from quillon.llm.arrow import _arrow_schema, encoder, id_and_text, parts
 from quillon.storage import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
@@ -189,7 +189,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         encode = encoder(path).encode
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.arrow import id_and_text, map_batches
+from quillon.llm.arrow import id_and_text, kept, map_batches, text_column
 
 # Kinds in the order of results, base kinds first.
 BASE = ("email", "ip", "card", "phone")
@@ -150,13 +150,8 @@ def _inner_phone(text: str, start: int, end: int) -> int:
     return best
 
 
-_FINDER: Finder | None = None
-
-
 def finder() -> Finder:
-    global _FINDER
-    _FINDER = _FINDER or Finder()
-    return _FINDER
+    return kept("finder", Finder)
 
 
 def _joined(spans: list[Span]) -> str:
@@ -201,9 +196,8 @@ def redacted(text: str | None) -> str | None:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with redacted texts and, where there is such a column, the new n_chars; all else stays."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(redacted, na_action="ignore")
+    def clean(texts: list[str | None]) -> list[str | None]:
+        return [redacted(t) for t in texts]
 
-    out = docs.withColumn("text", clean(F.col("text")))
+    out = docs.withColumn("text", text_column(F.col("text").cast("string"), clean, "string"))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

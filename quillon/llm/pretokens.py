@@ -3,8 +3,8 @@
 A byte-level BPE never merges across the boundaries of its pre-tokens, so the ids of a text are the ids of its
 pre-tokens in order. Boundaries are found here for many texts at once with numpy, each *different* pre-token goes
 through the ``tokenizers`` library once, and its ids are looked up for every occurrence. Texts with characters whose
-class or normal form depends on neighbours (anything outside plain Latin) are given to the library whole, so the ids
-are the library's for every text.
+class or normal form depends on neighbours (anything outside plain Latin), and texts with the string of an added token,
+such as an end mark, are given to the library whole, so the ids are the library's for every text.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ import numpy as np
 LETTER, NUMBER, OTHER, SPACE, BREAK, UNSAFE = range(6)
 _SAFE_PUNCTUATION = (0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026, 0x20AC)
 
-_CHUNK = 1_500_000
-_KEEP = 2_000_000
+_CHUNK = 250_000
+_KEEP = 300_000
 
 
 def _class_table() -> np.ndarray:
@@ -57,7 +57,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         probe = self.tokenizer.encode(" a", add_special_tokens=False).ids
         self.spaces = probe != self.tokenizer.encode("a", add_special_tokens=False).ids
         self.table = _class_table()
@@ -84,6 +84,10 @@ class WordEncoder:
                 part, size = [], 0
         return out + (self._encode_chunk(part) if part else [])
 
+    def _has_added(self, text: str) -> bool:
+        low = text.lower()
+        return any(a in low for a in self.added)
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -96,6 +100,8 @@ class WordEncoder:
         classes[ends] = BREAK
         odd = np.flatnonzero(classes == UNSAFE)
         whole = set(np.unique(np.searchsorted(ends, odd)).tolist()) if len(odd) else set()
+        if self._has_added(big):
+            whole.update(i for i, t in enumerate(texts) if self._has_added(t))
         starts, stops = self._boundaries(cps, classes)
         ids, counts = self._lookup(big, cps, starts, stops)
         total = np.concatenate(([0], np.cumsum(counts)))

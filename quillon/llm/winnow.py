@@ -12,14 +12,13 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.arrow import id_and_text, map_batches
+from quillon.llm.arrow import id_and_text, map_batches, text_column
 
-_CHUNK = 2_000_000
+_CHUNK = 500_000
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -260,11 +259,10 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, windo
     held = _collected(benchmark.select("item_id", F.col("text").cast("string").alias("text")), k, window, most_bytes)
     if held is not None:
 
-        @F.pandas_udf("boolean")
-        def clean(texts):
-            return pd.Series([not (h > 0 and share * h >= n) for n, h, _ in held.judge([t if isinstance(t, str) else None for t in texts])], dtype=bool)
+        def clean(texts: list[str | None]) -> list[bool]:
+            return [not (h > 0 and share * h >= n) for n, h, _ in held.judge(texts)]
 
-        return docs.filter(clean(F.col("text")))
+        return docs.filter(text_column(F.col("text").cast("string"), clean, "boolean"))
     # Texts stand for their rows here, so that rows without an id are judged too.
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
     bad = contamination(keyed.select(F.col("_text_hash").alias("doc_id"), "text"), benchmark, k, window, share, most_bytes)

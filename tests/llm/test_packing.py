@@ -13,7 +13,6 @@ PATH = tokenizer_path("byte_bpe_50k.json")
 
 def check_packed(docs, packed, capacity):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     rows = packed.collect()
     of, sequences = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -11,7 +11,6 @@ PATH = tokenizer_path("byte_bpe_50k.json")
 
 def brute(rows):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     out = defaultdict(lambda: [0, 0])
     for r in rows:
         n = len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids)
