@@ -1,6 +1,6 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds the anchors: at-signs, plus signs, digits, schemes and identifier cues. At each
+One Aho-Corasick pass over a text in lower case finds the anchors: at-signs, plus signs, digits, schemes and identifier cues. At each
 anchor a deterministic local parser expands to the span's boundaries and validates it. Kinds email, ip, card and phone
 have base spans: leftmost, non-overlapping within their kind, failing ones dropped without a retry. To these the
 method adds what a retry at an inner boundary finds (kinds card and phone), links that carry credentials (kind url),
@@ -23,17 +23,18 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "iban", "account")
 
 # Anchors.
-SCHEMES = ("http://", "https://", "ftp://", "mailto:")
-CUES = ("IBAN", "iban", "token", "api_key", "apikey", "secret", "password", "passwd", "account", "acct")
+SCHEMES = ("http://", "https://", "ftp://")
+CUES = ("iban", "token", "api_key", "api-key", "api key", "apikey", "secret", "password", "passwd", "account", "acct")
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_URL = re.compile(r"(?:https?|ftp)://[A-Za-z0-9._%~-]+:[^\s@/:]+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s<>\"']*)?")
+_URL = re.compile(r"(?i:https?|ftp)://[A-Za-z0-9._%~-]+:[^\s@/:]+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s<>\"']*)?")
 _IBAN = re.compile(r"[\s:=#]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-_VALUE = re.compile(r"\s?[:=#]\s?[\"']?([A-Za-z0-9_-]{8,128})(?![A-Za-z0-9_-])")
+# A noun may stand between a cue and its mark. Values are of eight characters or more, in parts joined by dots and the like.
+_VALUE = re.compile(r"(?:[ _-]?(?i:numbers?|nr|no|id|key|code|value)\b\.?)?[\"']?\s?[:=#]\s?[\"']?((?=[A-Za-z0-9._~+/-]{8})[A-Za-z0-9_-]+(?:[._~+/][A-Za-z0-9_-]+)*={0,2})")
+_UPPER = {i: i + 32 for i in range(65, 91)}
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 Span = tuple[str, int, int]
@@ -74,10 +75,13 @@ class Finder:
     def spans(self, text: str | None) -> tuple[list[Span], list[Span]]:
         """Base and added spans, each by kind as listed, then by start. Ends are exclusive; null counts as empty."""
         text = text or ""
+        low = text.lower()
+        if len(low) != len(text):  # a rare letter got longer
+            low = text.translate(_UPPER)
         base: dict[str, list[Span]] = {k: [] for k in BASE}
         added: dict[str, list[Span]] = {k: [] for k in BASE + ADDED}
-        email_end = ip_end = card_end = phone_end = url_end = 0
-        for last, (kind, size) in self.anchors.iter(text):
+        email_end = ip_end = card_end = phone_end = url_end = iban_end = 0
+        for last, (kind, size) in self.anchors.iter(low):
             at = last - size + 1
             if kind == "d":
                 if at >= card_end and (m := _DIGITS.match(text, at)):
@@ -110,11 +114,16 @@ class Finder:
                 if at >= url_end and (m := _URL.match(text, at)):
                     url_end = m.end()
                     added["url"].append(("url", at, url_end))
-            elif (m := _IBAN.match(text, last + 1)) and text[at : last + 1].upper() == "IBAN":
-                if iban_is_valid(m[1]):
-                    added["iban"].append(("iban", m.start(1), m.end(1)))
-            elif (m := _VALUE.match(text, last + 1)) and any(c.isdigit() for c in m[1]):
-                if not added["account"] or added["account"][-1][1] < m.start(1):
+            elif low.startswith("iban", at):
+                if (m := _IBAN.match(text, last + 1)) and m.start(1) >= iban_end:
+                    value = m[1]
+                    while not iban_is_valid(value) and " " in value:  # capitals or digits may follow it
+                        value = value.rpartition(" ")[0]
+                    if iban_is_valid(value):
+                        iban_end = m.start(1) + len(value)
+                        added["iban"].append(("iban", m.start(1), iban_end))
+            elif (m := _VALUE.match(text, last + 1)) and len(m[1]) >= 8 and any(c.isdigit() for c in m[1]):
+                if not added["account"] or added["account"][-1][2] <= m.start(1):
                     added["account"].append(("account", m.start(1), m.end(1)))
         return [s for k in BASE for s in base[k]], [s for k in BASE + ADDED for s in added[k]]
 
@@ -163,7 +172,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Spans of personal data in every whole text.
 
     Returns doc_id; n_email, n_ip, n_card, n_phone and base_sha256 of the base spans; spans, all of them. Places count
-    code points. Null counts as empty; repeated rows are searched each; an empty table gives no rows.
+    code points. Null counts as empty; repeated rows are searched each; null ids stay null; further columns are ignored;
+    an empty table gives no rows. Spans of different kinds may overlap; spans of one kind never do: the first wins.
     """
 
     def make(batch: pa.RecordBatch) -> dict:
@@ -194,7 +204,7 @@ def redacted(text: str | None) -> str | None:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with redacted texts and, where there is such a column, the new n_chars; all else stays."""
+    """``docs`` with redacted texts and, where there is such a column, the new n_chars; all else stays, null texts too."""
 
     def clean(texts: list[str | None]) -> list[str | None]:
         return [redacted(t) for t in texts]

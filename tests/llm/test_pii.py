@@ -51,6 +51,24 @@ def test_added_spans():
     base, added = pii.finder().spans(text)
     assert {(k, text[a:b]) for k, a, b in base + added} >= {("phone", "+1 (726) 555-7857"), ("card", "4325404893167225"), ("account", "f33e61083db5dbdf4bd2"), ("iban", "DE89370400440532013000")}
     assert pii.redacted(text) == 'x [PHONE] [CARD] y token = "[ACCOUNT]" IBAN [IBAN] z'
+    jwt = "eyJhbGciOiJIUzI1NiJ9." + "eyJzdWIiOiIxMjM0NTY3ODkwIn0" * 8 + ".dozjgNryP4J3jVmNHl0w5N"
+    for text, value in {
+        "Password: hunter2abc": "hunter2abc",
+        "Account: 12345678": "12345678",
+        "account number: 12345678.": "12345678",
+        "ACCOUNT NO. 12345678": None,
+        "Acct no.: 12345678": "12345678",
+        "API_KEY=abcd1234": "abcd1234",
+        "api-key: abcd1234": "abcd1234",
+        '{"Api Key": "abcd1234"}': "abcd1234",
+        f"token: {jwt}": jwt,
+        "secret: something": None,
+        "passwords: forgotten1 by all": None,
+        "İ secret=abcd1234": "abcd1234",
+    }.items():
+        found = [text[a:b] for k, a, b in pii.finder().spans(text)[1] if k == "account"]
+        assert found == ([value] if value else []), text
+    assert [s[0] for s in pii.finder().spans("Iban: DE89370400440532013000 HTTPS://Joe:pw@host.org/x mailto:a@b.org")[1]] == ["url", "iban"]
     assert pii.redacted(None) is None and pii.redacted("") == ""
 
 
