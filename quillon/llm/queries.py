@@ -21,12 +21,16 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after two batches: all documents come in, then all copies of a text but the first go out."""
+    """Totals after three batches: all documents come in uncounted, their counts are revised, and all copies of a text
+    but the first go out."""
     counted = cut(tokencounts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZERS["byte"]), "byte_bpe_50k"), "counted")
+    uncounted = counted.withColumn("n_tokens", F.lit(0).cast("long"))
     ledger = tokencounts.TokenLedger(spark, fresh_path(spark, "ledger"))
-    ledger.commit("inserts", tokencounts.signed(counted, 1))
+    ledger.commit("documents", tokencounts.signed(uncounted, 1))
+    ledger.commit("counts", tokencounts.revised(uncounted, counted))
     ledger.commit("copies", tokencounts.copies_leaving(counted))
-    ledger.commit("inserts", tokencounts.signed(counted, 1))  # a batch that comes again changes nothing
+    ledger.compact()
+    ledger.commit("documents", tokencounts.signed(uncounted, 1))  # a batch that comes again changes nothing
     return ledger.totals()
 
 
