@@ -1,15 +1,16 @@
 """Token ids in a compact binary format: a context-mixing range coder over independent, checksummed blocks.
 
-Ids are cut into blocks that each start from a fresh model, so any block can be decoded alone. Coding an id takes one
-or five steps. Where the two ids before it (order 2), or the one before it (order 1), have been followed by some id,
-that id is the guess, and whether it is right is coded with a probability mixed from both orders' records and the hit
-rate so far (order 0); the mixer's weights learn as it goes. A wrong or missing guess is followed by the id itself, four
-bits at a time, under adaptive order-0 counts. All arithmetic is on whole numbers: files decode alike everywhere.
+Ids are cut into blocks that each start from a fresh model, so any block can be decoded alone. Each order predicts an id.
+Where the two ids before it (order 2), or the one before it (order 1), have been followed by some id, that id is the
+guess, and whether it is right is coded with a probability mixed from both orders' records and the hit rate so far; the
+mixer's weights learn as it goes. If order 2 guessed wrong and order 1 has another guess, that one's turn is next. What
+neither guessed is coded by order 0, four bits at a time, under adaptive counts for each beginning of an id. All
+arithmetic is on whole numbers: files decode alike everywhere.
 
 The executors' JVMs code and decode (``jvmcoder``). The same coder in numpy, which takes many blocks in step with each
 other, one id of each at a time, reads and writes single payloads without Spark; a test holds their bytes equal.
 
-Layout of a payload (little-endian): magic ``QID1``; u32 documents, u32 block length, u64 ids, u8 digits per id, u8 0;
+Layout of a payload (little-endian): magic ``QID2``; u32 documents, u32 block length, u64 ids, u8 digits per id, u8 0;
 per document i64 doc_id, u8 whether it is null, u64 ids; per block u32 ids, u32 coded bytes, u32 crc32 of its ids; the
 blocks' bytes. The end holds the crc32 of all before it.
 """
@@ -30,15 +31,17 @@ from quillon.llm import jvmcoder
 from quillon.llm.arrow import _arrow_schema, encoder, id_and_text, parts
 from quillon.storage import fresh_path
 
-MAGIC = b"QID1"
+MAGIC = b"QID2"
+#: Ids of a block: long enough to learn from, and little to lose where one is damaged.
+BLOCK = 16_384
 _HEAD = struct.Struct("<4sIIQBB")
 _SEGMENTS = "file_no int, segment int, documents long, ids long, head binary, raw binary, length int"
 _SLOTS = 1024
 _FULL = 1 << 48
 _LOW = 1 << 32
 _ONE = 14
-_NODES = 256
-_RATES = np.array([5, 4, 4, 3, 3, 3, 3, 3], np.int16)
+_NODES = 4096
+_RATES = np.array([6, 6, 5, 3, 3, 3, 3, 3], np.int16)
 
 _STRETCH: np.ndarray | None = None
 _SQUASH: np.ndarray | None = None
@@ -71,6 +74,8 @@ class _Lanes:
         # Records of 16-bit hit probabilities: by order 2's and order 1's sureness and agreement, and of all guesses.
         self.hit = np.full(3 * lanes * 64, 1 << 15, np.int64)
         self.weights = np.full((3, lanes), 1 << 15, np.int64)
+        # Order 1's hit probabilities after order 2 was wrong, by order 1's sureness.
+        self.again = np.full((lanes, 32), 1 << 15, np.int64)
         self.of_order = np.array([[0], [lanes * _SLOTS]]) + self.rows * _SLOTS
         self.of_record = np.array([[0], [lanes * 64], [2 * lanes * 64]]) + self.rows * 64
         # Order-0 counts: for each place the nodes of the digits before it, hashed where they are many.
@@ -79,7 +84,8 @@ class _Lanes:
         self.counts = np.tile((np.arange(17) << (_ONE - 4)).astype(np.int16), (lanes * int(self.first[-1]), 1))
 
     def guesses(self, n: int) -> tuple:
-        """For the first n lanes: slots and what they hold, the guess (or -1), its mixed probability and what was mixed."""
+        """For the first n lanes: slots and what they hold, the guess and the next one (or -1), the guess's mixed
+        probability and what was mixed."""
         b1 = self.before1[:n]
         slots = self.of_order[:, :n].copy()
         slots[0] += (b1 * 0x9E3B + self.before2[:n] * 0x85EB) >> 3 & (_SLOTS - 1)
@@ -88,6 +94,7 @@ class _Lanes:
         sure = held & 31
         ids = (held >> 5) - 1
         guess = np.where(sure[0] > 0, ids[0], ids[1])
+        second = np.where(ids[1] == guess, -1, ids[1])
         place = self.of_record[:, :n].copy()
         place[:2] += 2 * sure + (ids[0] == ids[1])
         p = self.hit[place]
@@ -95,7 +102,7 @@ class _Lanes:
         dot = (self.weights[:, :n] * st).sum(axis=0) >> 16
         np.minimum(dot, 2047, out=dot)
         np.maximum(dot, -2047, out=dot)
-        return slots, sure, ids, guess, place, p, st, self.squash[dot + 2047]
+        return slots, sure, ids, guess, second, place, p, st, self.squash[dot + 2047]
 
     def learn_hit(self, at: np.ndarray, hit: np.ndarray, place: np.ndarray, p: np.ndarray, st: np.ndarray, mixed: np.ndarray) -> None:
         """Adjust records and weights of lanes ``at``, whose guesses were right or not."""
@@ -105,6 +112,14 @@ class _Lanes:
         self.hit[place[:, at]] = was + ((one * 65519 + (1 - one) * 16 - was) >> 4)
         self.weights[:, at] += (st[:, at] * ((one << 12) - mixed[at]) * 6) >> 10
 
+    def second_chance(self, at: np.ndarray, sure: np.ndarray) -> np.ndarray:
+        return np.clip(self.again[at, sure[1, at]] >> 4, 1, 4095)
+
+    def learn_second(self, at: np.ndarray, hit: np.ndarray, sure: np.ndarray) -> None:
+        one = hit.astype(np.int64)
+        was = self.again[at, sure[1, at]]
+        self.again[at, sure[1, at]] = was + ((one * 65519 + (1 - one) * 16 - was) >> 4)
+
     def learn_id(self, n: int, x: np.ndarray, slots: np.ndarray, sure: np.ndarray, ids: np.ndarray) -> None:
         right = ids == x
         fresh = ~right & (sure <= 1)
@@ -123,7 +138,7 @@ class _Writer(_Lanes):
         super().__init__(lanes, digits)
         self.low = np.zeros(lanes, np.int64)
         # The first unit only takes a carry. No step takes more than 14 bits.
-        self.out = np.zeros((lanes, length * (digits + 1) + 8), np.uint16)
+        self.out = np.zeros((lanes, length * (digits + 2) + 8), np.uint16)
         self.place = np.ones(lanes, np.int64)
 
     def put(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
@@ -206,13 +221,19 @@ def encode_blocks(ids: np.ndarray, length: int, digits: int) -> list[bytes]:
         if not n:
             break
         x = table[t, :n].astype(np.int64)
-        slots, sure, held, guess, place, p, st, mixed = w.guesses(n)
+        slots, sure, held, guess, second, place, p, st, mixed = w.guesses(n)
         hit = x == guess
         has = np.flatnonzero(guess >= 0)
         if len(has):
             h, m = hit[has], mixed[has]
             w.put(has, np.where(h, 0, m), np.where(h, m, 4096 - m), 12)
             w.learn_hit(has, h, place, p, st, mixed)
+        also = np.flatnonzero(~hit & (second >= 0))
+        if len(also):
+            h, chance = x[also] == second[also], w.second_chance(also, sure)
+            w.put(also, np.where(h, 0, chance), np.where(h, chance, 4096 - chance), 12)
+            w.learn_second(also, h, sure)
+            hit[also] = h
         at = np.flatnonzero(~hit)
         if len(at):
             # All digits are known here, and no two share a node: their counts are read and adjusted together.
@@ -238,7 +259,7 @@ def decode_blocks(blocks: list[bytes], sizes: list[int], digits: int) -> np.ndar
     r = _Reader(blocks, digits)
     for t in range(length):
         n = lanes if t < short else lanes - 1
-        slots, sure, held, guess, place, p, st, mixed = r.guesses(n)
+        slots, sure, held, guess, second, place, p, st, mixed = r.guesses(n)
         x = guess.copy()
         has = np.flatnonzero(guess >= 0)
         miss = guess < 0
@@ -249,6 +270,15 @@ def decode_blocks(blocks: list[bytes], sizes: list[int], digits: int) -> np.ndar
             r.take(has, np.where(h, 0, m), np.where(h, m, 4096 - m), step)
             r.learn_hit(has, h, place, p, st, mixed)
             miss[has] = ~h
+        also = np.flatnonzero(miss & (second >= 0))
+        if len(also):
+            chance = r.second_chance(also, sure)
+            value, step = r.peek(also, 12)
+            h = value < chance
+            r.take(also, np.where(h, 0, chance), np.where(h, chance, 4096 - chance), step)
+            r.learn_second(also, h, sure)
+            x[also[h]] = second[also[h]]
+            miss[also] = ~h
         at = np.flatnonzero(miss)
         if len(at):
             v = np.zeros(len(at), np.int64)
@@ -268,27 +298,25 @@ def decode_blocks(blocks: list[bytes], sizes: list[int], digits: int) -> np.ndar
     return np.ascontiguousarray(table.T).reshape(-1)[: (lanes - 1) * length + short]
 
 
-def head(doc_ids: list[int | None], documents: list[np.ndarray], ids: np.ndarray, block: int = 2048, lanes: int = 512) -> tuple[bytes, int]:
-    """What stands before the blocks' heads, and the length of a block. Small payloads take shorter blocks, so that many can be coded in step."""
-    length = int(max(512, min(block, len(ids) // lanes)))
+def head(doc_ids: list[int | None], documents: list[np.ndarray], ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """What stands before the blocks' heads."""
     if len(ids) and int(ids.max()) >= 1 << 25:
         raise ValueError("ids of 2^25 and more are not provided for")
-    out = [_HEAD.pack(MAGIC, len(documents), length, len(ids), _digits(ids), 0)]
+    out = [_HEAD.pack(MAGIC, len(documents), block, len(ids), _digits(ids), 0)]
     out.append(np.array([d or 0 for d in doc_ids], "<i8").tobytes())
     out.append(np.array([d is None for d in doc_ids], np.uint8).tobytes())
     out.append(np.array([len(d) for d in documents], "<u8").tobytes())
-    return b"".join(out), length
+    return b"".join(out)
 
 
-def to_payload(doc_ids: list[int | None], documents: list[np.ndarray], block: int = 2048, lanes: int = 512) -> bytes:
+def to_payload(doc_ids: list[int | None], documents: list[np.ndarray], block: int = BLOCK) -> bytes:
     """Documents' ids as one payload, coded here; ``write_ids`` has the executors' JVMs make the same bytes."""
     ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
-    top, length = head(doc_ids, documents, ids, block, lanes)
-    coded = encode_blocks(ids, length, _digits(ids))
-    out = [top]
+    coded = encode_blocks(ids, block, _digits(ids))
+    out = [head(doc_ids, documents, ids, block)]
     raw = ids.astype("<u4")
     for i, b in enumerate(coded):
-        part = raw[i * length : (i + 1) * length]
+        part = raw[i * block : (i + 1) * block]
         out.append(struct.pack("<III", len(part), len(b), zlib.crc32(part.tobytes())))
     out += coded
     whole = b"".join(out)
@@ -336,8 +364,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segme
 
         def close() -> pa.RecordBatch:
             ids = np.concatenate(held)
-            top, length = head(doc_ids, held, ids)
-            row = (file_no, number, len(held), size, top, ids.astype("<u4").tobytes(), length)
+            row = (file_no, number, len(held), size, head(doc_ids, held, ids), ids.astype("<u4").tobytes(), BLOCK)
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in (part for whole in batches for part in parts(whole)):
