@@ -87,25 +87,35 @@ def _is_in(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class Fingerprints:
-    """The benchmark's kept hashes and windows."""
+    """The benchmark's kept hashes and windows, as sorted arrays: about 20 bytes for each window."""
 
     def __init__(self, items: list[tuple[object, str | None]], k: int = 5, window: int = 13):
         self.k, self.window = k, window
-        kept, windows = [], defaultdict(lambda: defaultdict(set))
-        for item, text in items:
+        texts = sorted((str(i), t) for i, t in items if i is not None and t)
+        #: Items' names, sorted as strings, so their numbers sort alike.
+        self.names = sorted({i for i, _ in texts})
+        number = {i: n for n, i in enumerate(self.names)}
+        kept: list[np.ndarray] = []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        for item, text in texts:
             words, _ = word_hashes([text])
-            if not len(words) or item is None:
-                continue
-            n = min(window, len(words))
-            if n == window:
-                kept.append(winnowed(words, k, window))
-            for h in _sums(words, _WHOLE, n).tolist():
-                windows[n][h].add(str(item))
+            if len(words):
+                n = min(window, len(words))
+                if n == window:
+                    kept.append(np.unique(winnowed(words, k, window)))
+                hashes = np.unique(_sums(words, _WHOLE, n))
+                found[n].append((hashes, np.full(len(hashes), number[item], np.int32)))
         self.kept = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
-        self.lengths = {}
-        for n, held in windows.items():
-            order = np.array(sorted(held), np.uint64)
-            self.lengths[n] = (order, [sorted(held[h]) for h in order.tolist()])
+        #: By window length: the different hashes, where each one's items begin (one more number), and the items' numbers.
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, rows in found.items():
+            hashes, members = (np.concatenate(c) for c in zip(*rows))
+            order = np.lexsort((members, hashes))
+            hashes, members = hashes[order], members[order]
+            fresh = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (members[1:] != members[:-1])))
+            hashes, members = hashes[fresh], members[fresh]
+            first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+            self.lengths[n] = (hashes[first], np.append(first, len(hashes)), members)
 
     def judge(self, texts: list[str | None]) -> list[tuple[int, int, list[str]]]:
         """Of each text: words, words hit, items found (sorted as strings)."""
@@ -124,7 +134,7 @@ class Fingerprints:
         words, bounds = word_hashes(texts)
         hit = np.zeros(len(words) + 1, np.int64)
         items: dict[int, set] = defaultdict(set)
-        for n, (order, held) in self.lengths.items():
+        for n, (order, begins, members) in self.lengths.items():
             if len(words) < n:
                 continue
             if n == self.window:
@@ -147,22 +157,22 @@ class Fingerprints:
                 np.add.at(hit, at + n, -1)
                 texts_of = np.searchsorted(bounds, at, side="right") - 1
                 for d, slot in set(zip(texts_of.tolist(), np.searchsorted(order, whole).tolist())):
-                    items[d].update(held[slot])
+                    items[d].update(members[begins[slot] : begins[slot + 1]].tolist())
         covered = np.concatenate(([0], np.cumsum(np.cumsum(hit[:-1]) > 0)))
         n_hit = covered[bounds[1:]] - covered[bounds[:-1]]
-        return [(int(b - a), int(h), sorted(items.get(d, ()))) for d, (a, b, h) in enumerate(zip(bounds[:-1], bounds[1:], n_hit))]
+        return [(int(b - a), int(h), [self.names[i] for i in sorted(items.get(d, ()))]) for d, (a, b, h) in enumerate(zip(bounds[:-1], bounds[1:], n_hit))]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, window: int = 13, share: int = 20, most_bytes: int = 64 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, window: int = 13, share: int = 20, most_bytes: int = 64 << 20, most_windows: int = 1_000_000) -> DataFrame:
     """Words of each document inside any benchmark window, and the items that have such windows.
 
     Null texts have no words; items without words or id can't be found; repeated items count once; a document row
     is judged alone, whatever rows repeat it. Contaminated: n_hit > 0 and share * n_hit >= n_words. The benchmark's
-    size is read first: up to ``most_bytes`` its fingerprints go to every executor; beyond, both sides' fingerprints
-    are shuffled and joined, with the same result.
+    size is read first: up to ``most_windows`` words, and so windows, in ``most_bytes`` of text its fingerprints go to
+    every executor; beyond, both sides' fingerprints are shuffled and joined, with the same result.
     """
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
-    held = _collected(items, k, window, most_bytes)
+    held = _collected(items, k, window, most_bytes, most_windows)
     if held is None:
         return _joined(docs, items, k, window, share)
 
@@ -248,22 +258,27 @@ def _joined(docs: DataFrame, items: DataFrame, k: int, window: int, share: int)
     )
 
 
-def _collected(items: DataFrame, k: int, window: int, most_bytes: int) -> Fingerprints | None:
-    """The benchmark's fingerprints, if its texts have no more than ``most_bytes``."""
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return Fingerprints([(r[0], r[1]) for r in items.select("item_id", "text").collect()], k, window) if total <= most_bytes else None
+def _collected(items: DataFrame, k: int, window: int, most_bytes: int, most_windows: int) -> Fingerprints | None:
+    """The benchmark's fingerprints, if its texts have no more than so many bytes and words."""
+    words = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
+    n, size = items.agg(F.coalesce(F.sum(words), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return Fingerprints([(r[0], r[1]) for r in items.select("item_id", "text").collect()], k, window) if size <= most_bytes and n <= most_windows else None
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, window: int = 13, share: int = 20, most_bytes: int = 64 << 20) -> DataFrame:
-    """The rows of ``docs`` whose text the benchmark doesn't contaminate."""
-    held = _collected(benchmark.select("item_id", F.col("text").cast("string").alias("text")), k, window, most_bytes)
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, window: int = 13, share: int = 20, most_bytes: int = 64 << 20, most_windows: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` whose text the benchmark doesn't contaminate, with all their columns.
+
+    Every row is judged by its text alone, so null ids and repeated rows need no care; null texts stay.
+    """
+    held = _collected(benchmark.select("item_id", F.col("text").cast("string").alias("text")), k, window, most_bytes, most_windows)
+    text = docs["text"].cast("string")
     if held is not None:
 
         def clean(texts: list[str | None]) -> list[bool]:
             return [not (h > 0 and share * h >= n) for n, h, _ in held.judge(texts)]
 
-        return docs.filter(text_column(F.col("text").cast("string"), clean, "boolean"))
+        return docs.filter(text_column(text, clean, "boolean"))
     # Texts stand for their rows here, so that rows without an id are judged too.
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    bad = contamination(keyed.select(F.col("_text_hash").alias("doc_id"), "text"), benchmark, k, window, share, most_bytes)
-    return keyed.join(bad.filter("contaminated").select(F.col("doc_id").alias("_text_hash")).distinct(), "_text_hash", "left_anti").select(*docs.columns)
+    judged = contamination(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")), benchmark, k, window, share, most_bytes, most_windows)
+    bad = judged.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, F.xxhash64(text) == bad["_bad"], "left_anti")

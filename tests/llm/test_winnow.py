@@ -52,3 +52,17 @@ def test_short_items_and_odd_rows(spark, odd, none):
     assert rows(winnow.contamination(odd, items, most_bytes=0)) == want
     assert winnow.contamination(none, items).count() == 0
     assert winnow.contamination(odd, items.limit(0)).filter("n_hit > 0").count() == 0
+
+
+def test_clashing_columns_and_the_size_of_fingerprints(spark, benchmark):
+    item = benchmark.filter("length(text) > 200").first()
+    docs = spark.createDataFrame([(None, item["text"], 1, 2), (1, "clean words only", 3, 4), (1, None, 5, 6)], "doc_id long, text string, _text_hash long, _bad int")
+    for most in (1 << 20, 0):
+        kept = winnow.keep_uncontaminated(docs, benchmark, most_bytes=most)
+        assert sorted(map(tuple, kept.collect()), key=str) == [(1, "clean words only", 3, 4), (1, None, 5, 6)]
+    assert rows(winnow.contamination(docs, benchmark, most_windows=0)) == rows(winnow.contamination(docs, benchmark))
+    text = " ".join(f"w{i}" for i in range(50_000))
+    held = winnow.Fingerprints([(1, text), (2, text)])
+    order, begins, members = held.lengths[13]
+    assert len(order) == 50_000 - 12 and len(members) == 2 * len(order) and held.names == ["1", "2"]
+    assert held.judge([text])[0] == (50_000, 50_000, ["1", "2"])
