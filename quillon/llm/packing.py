@@ -117,7 +117,9 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000, wid
     """Branch and bound over the fillings around the longest piece left, from the best-fit incumbent.
 
     A branch is cut when its waste exceeds what a packing with one sequence less than the incumbent may waste.
-    The search ends at the lower bound or after ``nodes`` fillings; the best packing met is returned.
+    The search ends at the lower bound or after ``nodes`` fillings; the best packing met is returned. At the lower bound it
+    is optimal; else that isn't proven, even where no branch is left, as at most ``width`` fillings are followed at each
+    node, found in ``steps`` steps, and each is used as often as it fits. Equal fillings go by longest piece first.
     """
     counts = {n: c for n, c in counts.items() if c > 0}
     if not counts:
@@ -211,7 +213,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     Returns a row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null text is packed
     as the end id alone; null or repeated doc_ids are packed row by row; an empty table gives no rows; further
-    columns are ignored. A document over ``capacity`` is cut into full pieces, of which the first may be shorter.
+    columns are ignored. Pieces of equal length are interchangeable, and take their places in the order of their tasks. A document over ``capacity`` is cut into full pieces, of which the first may be shorter.
     """
     # Ranks hold only for the task that gave them, so the pieces are written before they are counted and placed.
     pieces = cut(cut_pieces(docs, tokenizer, capacity, end_id), "pieces")

@@ -79,3 +79,16 @@ def test_lower_bound_never_exceeds_best_fit():
     for sizes in combinations_with_replacement((3, 5, 7, 9, 11), 5):
         counts = {n: sizes.count(n) for n in set(sizes)}
         assert packing.lower_bound(counts, 12) <= sum(f.sequences for f in packing.best_fit(counts, 12))
+
+
+def test_a_table_that_best_fit_packs_worse(spark, rng):
+    """Lengths for which best fit needs more sequences than the bound, and the search doesn't."""
+    while True:
+        sizes = rng.integers(4, 13, 24).tolist()
+        counts = {n: sizes.count(n) for n in set(sizes)}
+        bound = packing.lower_bound(counts, 24)
+        if sum(f.sequences for f in packing.best_fit(counts, 24)) > bound == sum(f.sequences for f in packing.bin_completion(counts, 24)):
+            break
+    docs = spark.createDataFrame([(i, "a" + " a" * (n - 2)) for i, n in enumerate(sizes)], "doc_id long, text string")
+    n, _ = check_packed(docs, packing.pack(docs, PATH, capacity=24), 24)
+    assert n == bound
