@@ -10,6 +10,7 @@ such as an end mark, are given to the library whole, so the ids are the library'
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
@@ -18,7 +19,7 @@ LETTER, NUMBER, OTHER, SPACE, BREAK, UNSAFE = range(6)
 _SAFE_PUNCTUATION = (0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026, 0x20AC)
 
 _CHUNK = 250_000
-_KEEP = 300_000
+_KEEP = 1_000_000
 
 
 def _class_table() -> np.ndarray:
@@ -66,8 +67,8 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -166,7 +167,7 @@ class WordEncoder:
         hashes = (hashes + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
         hashes ^= hashes >> np.uint64(32)
         values, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > _KEEP:
+        if len(self.known) > _KEEP or len(self.flat) > 8 * _KEEP:
             self._forget()
         slot = np.searchsorted(self.known, values)
         fresh = np.ones(len(values), bool)
@@ -176,9 +177,9 @@ class WordEncoder:
             at = first[fresh]
             words = [big[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())]
             made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            size = np.fromiter(map(len, made), np.int64, len(made))
-            flat = np.fromiter((i for ids in made for i in ids), np.uint32, int(size.sum()))
-            where = len(self.flat) + np.cumsum(size) - size
+            size = np.fromiter(map(len, made), np.int32, len(made))
+            flat = np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))
+            where = (len(self.flat) + np.cumsum(size) - size).astype(np.int32)
             self.flat = np.concatenate((self.flat, flat))
             put = slot[fresh]
             self.known = np.insert(self.known, put, values[fresh])
@@ -186,5 +187,5 @@ class WordEncoder:
             self.size = np.insert(self.size, put, size)
             slot = np.searchsorted(self.known, values)
         use = slot[inverse]
-        counts = self.size[use]
+        counts = self.size[use].astype(np.int64)
         return self.flat[_span_index(self.at[use], counts)], counts
