@@ -2,8 +2,9 @@
 
 Different fingerprints are put in tiles by the population counts of their four 16-bit quarters. Two fingerprints
 within ``radius`` bits have counts that differ by no more than ``radius`` over all quarters, so every other pair of
-tiles is skipped unseen. The tiles that remain are compared whole with exclusive-or and bit counts, and each
-comparison returns a spanning forest of its links: all that components need, and no more rows than fingerprints.
+tiles is skipped unseen. Blocks hold tiles with the same counts of the upper two quarters; pairs of blocks whose counts
+differ by more are never made. The tiles that remain are compared whole with exclusive-or and bit counts, and each pair
+of blocks returns a spanning forest of its links: all that components need, and no more rows than fingerprints.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.arrow import _arrow_schema, id_and_text, map_batches
+from quillon.llm.arrow import _arrow_schema, id_and_text, map_batches, small_batches
 from quillon.operators.graph import connected_components
 from quillon.storage import cut
 
-_BLOCK = 1024
+_BLOCK = 2048
+_CELLS = 1 << 18
 
 
 def fingerprint_of(text: str | None, shingle: int = 4) -> int:
@@ -74,17 +76,44 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(keep) if keep else np.zeros(0, np.int64)
 
 
+def _tiles(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints ordered by tile, the counts of each tile's quarters, and where each tile begins (one more number)."""
+    counts = np.bitwise_count(prints.view(np.uint16).reshape(-1, 4)).astype(np.int64)
+    key = counts @ np.array([1, 32, 1024, 32768])
+    order = np.argsort(key, kind="stable")
+    _, first = np.unique(key[order], return_index=True)
+    return prints[order], counts[order[first]], np.append(first, len(prints))
+
+
+def _near(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within the radius, a bounded number of cells at a time."""
+    a, b = [], []
+    step = max(1, _CELLS // max(1, len(y)))
+    for at in range(0, len(x), step):
+        i, j = np.nonzero(np.bitwise_count(x[at : at + step, None] ^ y[None, :]) <= radius)
+        a.append(i + at), b.append(j)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def links_between(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between two blocks of fingerprints (within one, if they are the same)."""
-    pairs_a, pairs_b = [], []
-    for at in range(0, len(x), 256):
-        near = np.bitwise_count(x[at : at + 256, None] ^ y[None, :]) <= radius
-        i, j = np.nonzero(near)
-        pairs_a.append(i + at)
-        pairs_b.append(j)
-    a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
-    if not len(a):
+    if not len(x) or not len(y):
         return x[:0], y[:0]
+    x, counts_x, first_x = _tiles(x)
+    y, counts_y, first_y = _tiles(y)
+    # Small blocks are compared at once: telling their tiles apart would take longer.
+    at_once = len(x) * len(y) <= _CELLS // 4
+    left, right = ([np.arange(len(x))], [np.arange(len(y))]) if at_once else ([], [])
+    for i in range(0 if at_once else len(counts_x)):
+        beside = np.abs(counts_y - counts_x[i]).sum(axis=1) <= radius
+        if beside.any():
+            left.append(np.arange(first_x[i], first_x[i + 1]))
+            right.append(np.flatnonzero(np.repeat(beside, np.diff(first_y))))
+    pairs_a, pairs_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for rows, columns in zip(left, right):
+        i, j = _near(x[rows], y[columns], radius)
+        pairs_a.append(rows[i]), pairs_b.append(columns[j])
+    a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
     both, inverse = np.unique(np.concatenate((x, y)), return_inverse=True)
     na, nb = inverse[a], inverse[len(x) + b]
     differ = na != nb
@@ -96,33 +125,32 @@ def links_between(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray
 
 
 def _near_keys(radius: int) -> list[int]:
-    """Differences of two tiles' keys (quarter counts as base-32 digits) that can hold links, each pair once."""
+    """Differences of two blocks' keys (counts of the upper quarters, base 32) that can hold links, each pair once."""
     span = range(-radius, radius + 1)
-    near = [d for d in product(span, repeat=4) if sum(map(abs, d)) <= radius]
-    return sorted(k for k in (((d[0] * 32 + d[1]) * 32 + d[2]) * 32 + d[3] for d in near) if k >= 0)
+    return sorted(k for k in (a * 32 + b for a, b in product(span, repeat=2) if abs(a) + abs(b) <= radius) if k >= 0)
 
 
 def fingerprint_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     """Links ``(a, b)`` that join the same fingerprints as all pairs of at most ``radius`` differing bits do.
 
-    ``prints`` has different fingerprints in column fp. Tiles are packed into blocks of at most 1,024, so neither
-    a tile's size nor a group of near copies decides how much a task holds.
+    ``prints`` has different fingerprints in column fp. Blocks hold about 2,048, so neither a tile's size nor a group
+    of near copies decides how much a task holds. Pairs of blocks are made of ids alone, dealt out by both ids, and
+    only then get their fingerprints: no key stands for more than one block.
     """
     spark = prints.sparkSession
-    quarters = [F.bit_count(F.expr(f"shiftrightunsigned(fp, {16 * q}) & 65535")) for q in range(4)]
-    key = ((quarters[3] * 32 + quarters[2]) * 32 + quarters[1]) * 32 + quarters[0]
-    keyed = prints.select("fp", key.cast("int").alias("key"))
+    quarter = lambda q: F.bit_count(F.expr(f"shiftrightunsigned(fp, {16 * q}) & 65535"))
+    keyed = prints.select("fp", (quarter(3) * 32 + quarter(2)).cast("int").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    # Salting needs a tile's size: at most 17^4 small rows, so this join never grows with the documents.
-    salted = keyed.join(F.broadcast(sizes), "key").select("key", "fp", F.expr(f"cast(pmod(xxhash64(fp), cast(ceil(n / {_BLOCK // 2}) as bigint)) as int)").alias("salt"))
+    # At most 17^2 small rows, so this join never grows with the documents.
+    salted = keyed.join(F.broadcast(sizes), "key").select("key", "fp", F.expr(f"cast(pmod(xxhash64(fp), cast(ceil(n / {_BLOCK}) as bigint)) as int)").alias("salt"))
     blocks = cut(salted.groupBy("key", "salt").agg(F.collect_list("fp").alias("fps")), "blocks")
-    steps = _near_keys(radius)
-    left = blocks.select(F.col("key").alias("ka"), F.col("salt").alias("sa"), F.col("fps").alias("x"), F.explode(F.array(*map(F.lit, steps))).alias("step"))
-    # A step may only lead from a tile to one that exists; half of all differences suffice, as links have no direction.
-    keys = blocks.select("key").distinct()
-    left = left.withColumn("kb", F.col("ka") + F.col("step")).join(F.broadcast(keys.withColumnRenamed("key", "kb")), "kb", "left_semi")
-    right = blocks.select(F.col("key").alias("kb"), F.col("salt").alias("sb"), F.col("fps").alias("y"))
-    pairs = left.join(right, "kb").filter("ka <> kb or sa <= sb").select("x", "y")
+    names = blocks.select("key", "salt")
+    left = names.select(F.col("key").alias("ka"), F.col("salt").alias("sa"), F.explode(F.array(*map(F.lit, _near_keys(radius)))).alias("step")).withColumn("kb", F.col("ka") + F.col("step"))
+    # Half of all differences suffice, as links have no direction.
+    right = names.select(F.col("key").alias("kb"), F.col("salt").alias("sb"))
+    pairs = left.join(right, "kb").filter("ka <> kb or sa <= sb").select("ka", "sa", "kb", "sb")
+    with_x = pairs.join(blocks.select(F.col("key").alias("ka"), F.col("salt").alias("sa"), F.col("fps").alias("x")), ["ka", "sa"])
+    with_y = with_x.join(blocks.select(F.col("key").alias("kb"), F.col("salt").alias("sb"), F.col("fps").alias("y")), ["kb", "sb"])
     schema = _arrow_schema("a long, b long")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +165,17 @@ def fingerprint_links(prints: DataFrame, radius: int = 4) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
-    return pairs.mapInArrow(compare, "a long, b long")
+    with small_batches(spark, 128):
+        return cut(with_y.select("x", "y").mapInArrow(compare, "a long, b long"), "links")
+
+
+def _grouped(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, group) of every fingerprint in ``prints``, and (group, low), the smallest doc_id of each group."""
+    # Copies meet in one row here, after counting within each task, however many there are.
+    different = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "different")
+    groups = connected_components(fingerprint_links(different.select("fp"), radius))
+    linked = different.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("group"))
+    return linked.select("fp", "group"), linked.groupBy("group").agg(F.min("low").alias("low"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -147,18 +185,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     never names one, unless no row of the group has an id; repeated rows stay; an empty table gives no rows.
     """
     prints = cut(fingerprints(docs, shingle), "fingerprints")
-    # Copies meet in one row here, after counting within each task, however many there are.
-    different = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "different")
-    found = cut(fingerprint_links(different.select("fp"), radius), "links")
-    groups = connected_components(found)
-    linked = different.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("group"))
-    named = linked.groupBy("group").agg(F.min("low").alias("component_id"))
-    names = linked.join(named, "group").select("fp", "component_id")
+    groups, named = _grouped(prints, radius)
+    names = groups.join(named, "group").select("fp", F.col("low").alias("component_id"))
     return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's; rows without an id are kept."""
-    groups = near_duplicates(docs.filter("doc_id is not null"), shingle, radius)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: the smallest doc_id's, and of its texts the one of smallest hash.
+
+    Rows without an id come last: they stay only where no row of their group has one. A doc_id that several texts share
+    is judged text by text; rows that repeat both are one document, and stay or go together. Columns stay as they are;
+    an empty table gives no rows.
+    """
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+
+    def make(batch: pa.RecordBatch) -> dict:
+        found = np.fromiter((fingerprint_of(t, shingle) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
+        return {"doc_id": batch.column("doc_id"), "hash": batch.column("hash"), "fp": found.view(np.int64)}
+
+    prints = cut(map_batches(id_and_text(docs).withColumn("hash", F.xxhash64("text")), make, "doc_id long, hash long, fp long"), "fingerprints")
+    groups, named = _grouped(prints, radius)
+    of_row = prints.join(groups.join(named, "group"), "fp").filter("doc_id <=> low")
+    stays = cut(of_row.groupBy("group").agg(F.first("low").alias("_id"), F.min("hash").alias("_hash")).select("_id", "_hash"), "stays")
+    return docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(stays["_id"]) & (text_hash == stays["_hash"]), "left_semi")

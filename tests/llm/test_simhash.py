@@ -69,5 +69,32 @@ def test_odd_rows(odd, none):
     assert {(r["fingerprint"], r["component_id"]) for r in zero} == {("0" * 16, 4)}
     assert {r["component_id"] for r in rows if r["doc_id"] in (1, 2)} == {1}
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_one(odd).collect()
-    assert sum(r["doc_id"] is None for r in kept) == 2 and not any(r["doc_id"] in (2, 5, 6) for r in kept)
+    kept = [r["doc_id"] for r in simhash.keep_one(odd).collect()]
+    # The text without an id is like no other; the row without id and text is one of the empty ones.
+    assert kept.count(None) == 1 and kept.count(1) == 2 and not {2, 5, 6} & set(kept)
+    assert simhash.keep_one(none).count() == 0
+
+
+def test_texts_that_share_an_id_are_judged_each(spark):
+    t, u = "one two three four five six", "something else altogether that nobody has said"
+    rows = [(1, t, "a"), (2, t, "b"), (2, u, "c"), (None, u, "d"), (None, "only here and only once", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash string")
+    assert sorted(r["_hash"] for r in simhash.keep_one(docs).collect()) == ["a", "c", "e"]
+
+
+def test_blocks_against_all_pairs(rng, groups):
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    near = base ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    for n, m in ((900, 700), (30, 20), (800, 800)):
+        x = np.unique(np.concatenate((base, rng.integers(0, 2**63, n - 400 if n > 400 else 0, dtype=np.uint64))))[:n]
+        y = x if n == m else np.unique(np.concatenate((near, rng.integers(0, 2**63, 300, dtype=np.uint64))))[:m]
+        both = np.unique(np.concatenate((x, y)))
+        want, got = groups(len(both)), groups(len(both))
+        for i, j in np.argwhere(np.bitwise_count(x[:, None] ^ y[None]) <= 4):
+            want.join(np.searchsorted(both, x[i]), np.searchsorted(both, y[j]))
+        a, b = simhash.links_between(x, y, 4)
+        assert (np.bitwise_count(a ^ b) <= 4).all()
+        for p, q in zip(a, b):
+            got.join(np.searchsorted(both, p), np.searchsorted(both, q))
+        pairs = {(want.find(i), got.find(i)) for i in range(len(both))}
+        assert len(pairs) == len({p for p, _ in pairs}) == len({q for _, q in pairs})
