@@ -1,9 +1,12 @@
 """Nearest neighbours by multi-index hashing.
 
-Vectors are turned by a learned rotation and their signs are a binary code. Codes are cut into substrings of 8 bits,
-each with an index of its own over every block of rows. Two codes within a Hamming radius r agree to within r / m bits,
-rounded down, in at least one of m substrings (pigeonhole), so probing each substring's index to that distance retrieves
-every code within r. What is retrieved is ranked by the inner product of the original vectors.
+Vectors are turned by a learned rotation and their signs are a binary code. Codes are cut into substrings of 8 bits, and
+a block of rows has an index of every substring: for each of its 256 values the rows that have it, as a bitmap.
+Two codes within a Hamming radius r = m s + a differ by at most s bits in one of the first a + 1 of m substrings, or by
+at most s - 1 in one of the others (pigeonhole), so looking up the values at that distance retrieves every code within r.
+The bitmaps of all values at a distance from one are joined once for a block; a query then looks up one for a substring.
+Only what is looked up has its whole code compared, and only what is within the radius is ranked, by the inner product of
+the original vectors.
 """
 
 from __future__ import annotations
@@ -11,15 +14,25 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.arrow import _arrow_schema
+from quillon.llm.arrow import _arrow_schema, small_batches
+from quillon.storage import cut
 
-_FOUND = "query_id long, vec_id long, score double"
+_FOUND = "query_id long, vec_id long, score double, compared long"
+_VALUES = np.arange(256, dtype=np.uint8)
+#: Pairs that are looked up at a time.
+_CELLS = 1 << 20
+#: Query blocks whose results, and row blocks whose indexes, a task holds at a time.
+_MERGED, _INDEXED = 64, 8
+_ROWS = ("ids", "vectors", "codes")
+_ASKED = ("qids", "qvectors", "qcodes")
 
 
 @dataclass
@@ -30,6 +43,10 @@ class Codes:
     rotation: np.ndarray
     radius: int
 
+    @property
+    def bits(self) -> int:
+        return self.rotation.shape[1]
+
     def encode(self, x: np.ndarray) -> np.ndarray:
         """Codes as rows of bytes."""
         return np.packbits((x - self.centre) @ self.rotation > 0, axis=1)
@@ -42,36 +59,40 @@ def usable(table: DataFrame) -> DataFrame:
     return table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding")).filter(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
 
 
-def learn(rows: DataFrame, bits: int | None = None, sample: int = 8000, rounds: int = 40, recall: float = 0.985, k: int = 20) -> Codes:
-    """Learn the rotation by iterative quantisation on at most ``sample`` rows, drawn by a hash of vec_id.
+def learn(rows: DataFrame, bits: int | None = None, sample: int = 8000, rounds: int = 30, recall: float = 0.94, k: int = 20) -> Codes:
+    """Learn rotations by iterative quantisation on at most ``sample`` rows, the first by a hash of vec_id.
 
-    The radius is the smallest that holds ``recall`` of the k nearest of 300 of these rows among the sample.
+    There are two bits for each dimension, 64 at least: each rotation gives one for a dimension. The radius is the
+    smallest that holds ``recall`` of the k nearest of 300 of these rows among the sample; of more rows the nearest are
+    nearer, and more of them are found.
     """
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    n = rows.count()
+    # A hash picks half as many again as are wanted before any task sends rows; repeated ids count once.
+    picked = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(min(1.0, max(1.5 * sample, 100) / max(n, 1)) * (1 << 30)))
+    drawn = picked.groupBy("vec_id").agg(F.first("embedding").alias("embedding")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     x = np.array(drawn.column("embedding").to_pylist(), float)
     if not len(x):
         return Codes(np.zeros(1), np.zeros((1, 8)), 0)
     dim = x.shape[1]
-    bits = bits or max(64, 8 * math.ceil(dim / 8))
+    bits = bits or max(64, 16 * math.ceil(dim / 8))
     centre = x.mean(axis=0)
     rng = np.random.default_rng(11)
-    if bits <= dim:
-        _, _, axes = np.linalg.svd(x - centre, full_matrices=False)
-        start = axes[:bits].T if len(axes) >= bits else np.linalg.qr(rng.normal(size=(dim, bits)))[0]
-    else:
-        start = np.linalg.qr(rng.normal(size=(bits, bits)))[0][:dim]
-    flat = (x - centre) @ start
-    turn = np.linalg.qr(rng.normal(size=(bits, bits)))[0]
-    for _ in range(rounds):
-        u, _, vt = np.linalg.svd(np.where(flat @ turn > 0, 1.0, -1.0).T @ flat)
-        turn = (u @ vt).T
-    codes = Codes(centre, start @ turn, 0)
+    turns, some = [], x - centre
+    for at in range(0, bits, dim):
+        width = min(dim, bits - at)
+        # Random rotations to begin with, so that further bits of the same dimensions differ.
+        turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, :width]
+        for _ in range(rounds):
+            u, _, vt = np.linalg.svd(some.T @ np.where(some @ turn > 0, 1.0, -1.0), full_matrices=False)
+            turn = u @ vt
+        turns.append(turn)
+    codes = Codes(centre, np.concatenate(turns, axis=1), 0)
     packed = codes.encode(x)
-    some = np.arange(min(300, len(x)))
-    scores = x[some] @ x.T
-    scores[some, some] = -np.inf
+    asked = np.arange(min(300, len(x)))
+    scores = x[asked] @ x.T
+    scores[asked, asked] = -np.inf
     near = np.argsort(-scores, axis=1)[:, : min(k, len(x) - 1)]
-    distances = np.sort(np.bitwise_count(packed[some][:, None] ^ packed[near]).sum(axis=2, dtype=np.int64).ravel())
+    distances = np.sort(np.bitwise_count(packed[asked][:, None] ^ packed[near]).sum(axis=2, dtype=np.int64).ravel())
     codes.radius = int(distances[min(len(distances) - 1, int(recall * len(distances)))]) if len(distances) else bits
     return codes
 
@@ -80,126 +101,202 @@ class Block:
     """A block of rows with an index of each substring of their codes."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray):
-        self.ids, self.vectors, self.codes = ids, vectors, codes
-        # For each substring: its values that occur, and which of these each row has.
-        self.index = [np.unique(codes[:, j], return_inverse=True) for j in range(codes.shape[1])]
-
-    def within(self, codes: np.ndarray, radius: int) -> np.ndarray:
-        """Rows (columns of the result) within the radius of each query code."""
+        self.ids, self.vectors, self.words = ids, vectors, _words(codes)
+        rows = np.arange(len(ids))
+        self.index = []
+        for j in range(codes.shape[1]):
+            has = np.zeros((256, len(ids)), bool)
+            has[codes[:, j], rows] = True
+            self.index.append([np.packbits(has, axis=1)])
+
+    def _near(self, j: int, reach: int) -> np.ndarray:
+        """For each value of a substring: the rows whose value differs by at most ``reach`` bits."""
+        held = self.index[j]
+        while len(held) <= reach:
+            wider = held[-1].copy()
+            for bit in range(8):
+                wider |= held[-1][_VALUES ^ np.uint8(1 << bit)]
+            held.append(wider)
+        return held[reach]
+
+    def looked_up(self, codes: np.ndarray, radius: int) -> np.ndarray:
+        """Numbers (query number times rows, plus row) of all pairs that agree enough in some substring, each once."""
         m = codes.shape[1]
-        reach = radius // m
-        near = np.zeros((len(codes), len(self.ids)), bool)
-        for j, (values, which) in enumerate(self.index):
-            probed = np.bitwise_count(codes[:, j, None] ^ values[None, :]) <= reach
-            near |= probed[:, which]
-        whole = np.zeros(near.shape, np.uint16)
-        for a in range(m):
-            whole += np.bitwise_count(codes[:, a, None] ^ self.codes[None, :, a])
-        return near & (whole <= radius)
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, codes: np.ndarray, radius: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query: ids and scores of its k nearest here, best first.
-
-        The radius grows until it holds k rows or all, so a block with few rows near a query still gives its best.
-        """
-        own = query_ids[:, None] == self.ids[None, :]
-        near = self.within(codes, radius) & ~own
-        want = np.minimum(k, (~own).sum(axis=1))
-        m = codes.shape[1]
-        while (few := np.flatnonzero(near.sum(axis=1) < want)).size and radius < 8 * m:
-            radius = min(8 * m, radius + 2)
-            near[few] = self.within(codes[few], radius) & ~own[few]
-        rough = np.where(near, queries @ self.vectors.T, -np.inf)
-        for i in range(len(query_ids)):
-            n = int(want[i])
-            if not n:
-                continue
-            # Ties must not depend on how a matrix product rounds: scores near the last one are all computed alike.
-            last = -np.partition(-rough[i], n - 1)[n - 1]
-            at = np.flatnonzero(rough[i] >= last - 1e-9 * (1 + abs(last)))
-            exact = (self.vectors[at] * queries[i]).sum(axis=1)
-            order = np.lexsort((self.ids[at], -exact))[:n]
-            yield int(query_ids[i]), self.ids[at[order]], exact[order]
-
-
-def _pack(rows: DataFrame, codes: Codes, size: int, names: tuple[str, str, str]) -> DataFrame:
-    """Rows as blocks of one slot and at most ``size``: ids, vectors and codes as bytes."""
+        met = np.zeros((len(codes), (len(self.ids) + 7) // 8), np.uint8)
+        for j in range(m):
+            reach = min(8, radius // m - (j > radius % m))
+            if reach >= 0:
+                met |= self._near(j, reach)[codes[:, j]]
+        return np.flatnonzero(np.unpackbits(met, axis=1, count=len(self.ids)))
+
+    def within(self, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (query, row) of codes within the radius: looked up, then compared whole."""
+        asked, rows, words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], _words(codes)
+        step = max(1, _CELLS // max(1, len(self.ids)))
+        for at in range(0, len(codes), step):
+            q, r = np.divmod(self.looked_up(codes[at : at + step], radius), len(self.ids))
+            q += at
+            near = np.zeros(len(q), np.uint16)
+            for own, other in zip(self.words, words):
+                near += np.bitwise_count(own[r] ^ other[q])
+            keep = near <= radius
+            asked.append(q[keep]), rows.append(r[keep])
+        return np.concatenate(asked), np.concatenate(rows)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, codes: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Query numbers, ids and scores of each query's k best rows within the radius, and how many were scored."""
+        q, r = self.within(codes, radius)
+        other = query_ids[q] != self.ids[r]
+        q, r = q[other], r[other]
+        scores = np.empty(len(q))
+        for at in range(0, len(q), 1 << 15):
+            part = slice(at, at + (1 << 15))
+            # Every score is worked out alike, so that equal vectors have equal scores.
+            scores[part] = (self.vectors[r[part]] * queries[q[part]]).sum(axis=1)
+        return *best(q, self.ids[r], scores, k), len(q)
+
+
+def _words(codes: np.ndarray) -> list[np.ndarray]:
+    """Codes as columns of 64 bits."""
+    wide = np.zeros((len(codes), -(-codes.shape[1] // 8) * 8), np.uint8)
+    wide[:, : codes.shape[1]] = codes
+    return [np.ascontiguousarray(c) for c in wide.view(np.uint64).T]
+
+
+def best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, best first; equal scores by id."""
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    keep = place < k
+    return q[keep], ids[keep], scores[keep]
+
+
+def _pack(rows: DataFrame, codes: Codes, size: int, slots: int, names: tuple[str, ...]) -> DataFrame:
+    """Rows as blocks of at most ``size``, dealt out to slots in turn: ids, vectors and codes.
+    Each task packs what it reads, so no vector is shuffled for this."""
     ddl = "slot int, " + ", ".join(f"{n} binary" for n in names)
     schema = _arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = batch.column("slot").to_numpy()
-            for slot in np.unique(slots).tolist():
-                own = batch.filter(pa.array(slots == slot))
-                for at in range(0, own.num_rows, size):
-                    part = own.slice(at, size)
-                    x = np.array(part.column("embedding").to_pylist(), float)
-                    ids = part.column("vec_id").to_numpy().astype("<i8")
-                    row = (slot, ids.tobytes(), x.astype("<f8").tobytes(), codes.encode(x).tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+        number = TaskContext.get().partitionId()
+        held: list[pa.RecordBatch] = []
+        waiting = 0
 
-    return rows.select("slot", "vec_id", "embedding").mapInArrow(run, ddl)
+        def block(table: pa.Table) -> pa.RecordBatch:
+            x = np.array(table.column("embedding").to_pylist(), float)
+            made = codes.encode(x)
+            columns = (table.column("vec_id").to_numpy().astype("<i8"), x.astype("<f8"), made)
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((number % slots, *(c.tobytes() for c in columns)), schema)], schema=schema)
 
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                held.append(batch.slice(at, size))
+                waiting += held[-1].num_rows
+                if waiting >= size:
+                    table = pa.Table.from_batches(held)
+                    yield block(table.slice(0, size))
+                    number += 1
+                    held, waiting = table.slice(size).to_batches(), waiting - size
+        if waiting:
+            yield block(pa.Table.from_batches(held))
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 20, codes: Codes | None = None, block: int = 1024, query_block: int = 256) -> DataFrame:
-    """The k rows of ``table`` with the largest inner product with each query: query_id, rank, vec_id, score.
+    return rows.select("vec_id", "embedding").mapInArrow(run, ddl)
 
-    Both tables have vec_id and embedding; a query's own vec_id is no candidate. Vectors that are null, zero or hold
-    a null or non-finite component take no part; nor do vectors of another length than most, which no product fits.
-    Equal scores go to the smaller vec_id; repeated rows count as one candidate each; with fewer than k candidates
-    all are returned; empty tables give no rows.
 
-    The query set meets all rows in blocks: index blocks are built once each, and each block returns k rows for each
-    query at most, so copies of one vector never multiply.
-    """
-    spark = table.sparkSession
-    rows, asked = usable(table), usable(queries)
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = sizes[0]["n"]
-    rows, asked = rows.filter(F.size("embedding") == dim), asked.filter(F.size("embedding") == dim)
-    codes = codes or learn(rows, k=k)
-    # Rows are dealt into slots and queries into groups, as many as the root of the number of blocks: then neither what
-    # is sent nor the partial results, k for each query and slot, grow with the product of both.
-    slots = max(1, math.ceil(math.sqrt(rows.count() / block)))
-    groups = max(1, math.ceil(slots / 2))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    index = _pack(rows.withColumn("slot", deal(slots)).repartition(slots, "slot"), codes, block, ("ids", "vectors", "codes"))
-    asked_blocks = _pack(asked.withColumn("slot", deal(groups)).repartition(groups, "slot"), codes, query_block, ("qids", "qvectors", "qcodes"))
-    sent = asked_blocks.withColumnRenamed("slot", "group").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    held = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    schema = _arrow_schema(_FOUND)
-    width = codes.rotation.shape[1] // 8
+def _searched(index: DataFrame, asked: DataFrame, codes: Codes, slots: int, groups: int, radius: int, k: int) -> DataFrame:
+    """query_id, vec_id, score of each query's best within the radius; and, on some rows, how many pairs were scored."""
+    schema, m, dim = _arrow_schema(_FOUND), codes.bits // 8, codes.rotation.shape[0]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of blocks; those of one query block come one after the other, and their results are merged."""
-        asking: bytes | None = None
-        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        """Pairs of blocks; the results of a query block are merged, of a bounded number of query blocks at a time."""
+        found: dict[bytes, tuple] = {}
+        indexed: dict[bytes, Block] = {}
 
         def results() -> Iterator[pa.RecordBatch]:
-            if found:
-                columns = (np.concatenate([np.full(len(v), q) for q, (v, _) in found.items()]), *(np.concatenate([r[i] for r in found.values()]) for i in (0, 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            for key, (q, ids, scores, compared) in found.items():
+                if len(q):
+                    first = np.zeros(len(q), np.int64)
+                    first[0] = compared
+                    columns = (np.frombuffer(key, "<i8")[q], ids, scores, first)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            found.clear()
 
         for batch in batches:
             for i in range(batch.num_rows):
-                get = lambda c, kind, i=i, batch=batch: np.frombuffer(batch.column(c)[i].as_py(), kind)
+                get = lambda c, kind, i=i, batch=batch: np.frombuffer(batch.column(c)[i].as_buffer(), kind)
+                own = batch.column("ids")[i].as_py()
+                block = indexed.pop(own, None) or Block(np.frombuffer(own, "<i8"), get("vectors", "<f8").reshape(-1, dim), get("codes", np.uint8).reshape(-1, m))
+                if len(indexed) >= _INDEXED:
+                    del indexed[next(iter(indexed))]
+                indexed[own] = block
                 key = batch.column("qids")[i].as_py()
-                if key != asking:
-                    yield from results()
-                    asking, found = key, {}
-                part = Block(get("ids", "<i8"), get("vectors", "<f8").reshape(-1, dim), get("codes", np.uint8).reshape(-1, width))
-                for q, v, s in part.search(np.frombuffer(key, "<i8"), get("qvectors", "<f8").reshape(-1, dim), get("qcodes", np.uint8).reshape(-1, width), codes.radius, k):
-                    if q in found:
-                        v, s = np.concatenate((found[q][0], v)), np.concatenate((found[q][1], s))
-                        order = np.lexsort((v, -s))[:k]
-                        v, s = v[order], s[order]
-                    found[q] = v, s
+                *new, n = block.search(np.frombuffer(key, "<i8"), get("qvectors", "<f8").reshape(-1, dim), get("qcodes", np.uint8).reshape(-1, m), radius, k)
+                if key in found:
+                    *old, compared = found[key]
+                    found[key] = (*best(*(np.concatenate(c) for c in zip(old, new)), k), compared + n)
+                else:
+                    if len(found) >= _MERGED:
+                        yield from results()
+                    found[key] = (*new, n)
         yield from results()
 
-    pairs = sent.join(held, ["group", "slot"]).select("ids", "vectors", "codes", "qids", "qvectors", "qcodes")
-    found = pairs.mapInArrow(search, _FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # Rows are dealt into slots and queries into groups, as many as the root of the number of blocks: then neither what
+    # is sent nor the partial results, k for each query and slot, grow with the product of both.
+    held = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    sent = asked.withColumnRenamed("slot", "group").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    with small_batches(index.sparkSession, 8):
+        return cut(sent.join(held, ["group", "slot"]).select(*_ROWS, *_ASKED).mapInArrow(search, _FOUND), "found")
+
+
+def nearest(table: DataFrame, queries: DataFrame, k: int = 20, codes: Codes | None = None, block: int = 2048, query_block: int = 512) -> DataFrame:
+    """The k rows of ``table`` with the largest inner product with each query: query_id, rank, vec_id, score.
+
+    Both tables have vec_id and embedding; a query's own vec_id is no candidate. Vectors that are null, zero or hold
+    a null or non-finite component take no part; vectors of different lengths have no product, so each length is
+    searched by itself (ValueError beyond 64 lengths). Equal scores go to the smaller vec_id; repeated rows count as one
+    candidate each; a query id that repeats is asked with the smallest of its vectors; with fewer than k candidates all
+    are returned; empty tables give no rows.
+
+    The query set meets all rows in blocks, each indexed once; what a pair of blocks looks up within the radius is ranked.
+    Queries with fewer than k rows within it are searched again with a wider one, in the end with all bits.
+    """
+    spark = table.sparkSession
+    rows, asked = usable(table), usable(queries)
+    sizes = sorted(r["n"] for r in rows.groupBy(F.size("embedding").alias("n")).count().limit(65).collect())
+    if len(sizes) > 64:
+        raise ValueError("more than 64 different lengths of vectors")
+    found = [_nearest(rows.filter(F.size("embedding") == n), asked.filter(F.size("embedding") == n), k, codes, block, query_block) for n in sizes]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    every = reduce(DataFrame.unionByName, found)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, k: int, codes: Codes | None, block: int, query_block: int) -> DataFrame:
+    """query_id, vec_id, score: at least each query's k best, of vectors of one length."""
+    codes = codes or learn(rows, k=k)
+    blocks = max(1, math.ceil(rows.count() / block))
+    slots = math.ceil(math.sqrt(blocks))
+    # Few blocks, and whole ones: small files are packed together, without a shuffle.
+    index = cut(_pack(rows.coalesce(blocks), codes, block, slots, _ROWS), "index")
+    left = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    radius, found = codes.radius, []
+    while True:
+        left = cut(left, "asked")
+        n = left.count()
+        if not n:
+            break
+        groups = max(1, math.ceil(slots / 2))
+        asked = cut(_pack(left.coalesce(max(1, math.ceil(n / query_block))), codes, query_block, groups, _ASKED), "queries")
+        found.append(_searched(index, asked, codes, slots, groups, radius, k).drop("compared"))
+        if radius >= codes.bits:
+            break
+        enough = found[-1].groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+        left = left.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti")
+        # What a wider search finds includes what a narrower one did.
+        found[-1] = found[-1].join(enough.select("query_id"), "query_id", "left_semi")
+        radius = codes.bits if radius >= codes.bits * 3 // 4 else (radius + codes.bits) // 2
+    return reduce(DataFrame.unionByName, found) if found else index.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")

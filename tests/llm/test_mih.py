@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from quillon.llm import mih
 
@@ -35,9 +36,38 @@ def test_recall(spark):
 def test_every_code_within_the_radius_is_found(rng):
     codes = rng.integers(0, 256, (500, 8), dtype=np.uint8)
     block = mih.Block(np.arange(500), rng.normal(size=(500, 4)), codes)
-    for radius in (0, 5, 20, 29):
+    for radius in (0, 5, 13, 20, 29, 64):
         want = np.bitwise_count(codes[:40, None] ^ codes[None]).sum(axis=2) <= radius
-        assert np.array_equal(block.within(codes[:40], radius), want)
+        got = np.zeros(want.shape, bool)
+        got[block.within(codes[:40], radius)] = True
+        assert np.array_equal(got, want)
+    # What is looked up for a small radius is a small part of all pairs.
+    assert len(block.looked_up(codes[:40], 5)) < 0.1 * 40 * 500
+
+
+def test_only_what_is_within_the_radius_is_scored(rng):
+    centres = rng.normal(size=(20, 32))
+    x = (centres[rng.integers(0, 20, 2000)] + 0.1 * rng.normal(size=(2000, 32))).astype(float)
+    turn = np.linalg.qr(rng.normal(size=(64, 64)))[0][:32]
+    codes = mih.Codes(x.mean(axis=0), turn, 12)
+    packed = codes.encode(x)
+    q, ids, scores, compared = mih.Block(np.arange(2000), x, packed).search(np.arange(50), x[:50], packed[:50], 12, 5)
+    assert compared < 0.2 * 50 * 2000 and len(q) == 250
+    assert np.allclose(scores, (x[ids] * x[q]).sum(axis=1))
+
+
+def test_recall_on_fifty_thousand_rows(spark, rng):
+    centres = rng.normal(size=(500, 32))
+    x = centres[rng.integers(0, 500, 50_000)] + 0.7 * rng.normal(size=(50_000, 32))
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": pa.array(x.tolist())}))
+    asked = np.arange(0, 50_000, 250)
+    got = {}
+    for r in mih.nearest(table, table.filter("vec_id % 250 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert sum(len(got[q] & set(w.tolist())) for q, w in zip(asked.tolist(), want)) >= 0.9 * want.size
 
 
 def test_odd_rows(spark):
