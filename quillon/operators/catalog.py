@@ -113,9 +113,10 @@ def library(base: DataFrame, questions: DataFrame, reviews: DataFrame, favorites
     )
 
 
-def user_metadata(ids: DataFrame, favorites: DataFrame, notes: DataFrame, reviews: DataFrame, most: int = 500) -> DataFrame:
-    """What is kept on each of at most ``most`` ids, with defaults for ids that have nothing."""
-    wanted = ids.select(F.col("id").alias("question_id")).distinct().orderBy("question_id").limit(most)
+def user_metadata(ids: DataFrame, favorites: DataFrame, notes: DataFrame, reviews: DataFrame, most: int | None = None) -> DataFrame:
+    """What is kept on each id, of the first ``most`` if so many are asked for, with defaults for ids that have nothing."""
+    wanted = ids.select(F.col("id").alias("question_id")).distinct()
+    wanted = wanted if most is None else wanted.orderBy("question_id").limit(most)
     f = favorites.select("question_id", F.lit(True).alias("_favorite"))
     n = notes.select("question_id", F.col("content").alias("_note"))
     r = reviews.select("question_id", F.col("last_cause").alias("_cause"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.text import letters_and_digits, loose_signature, shingles, strict_signature
 from quillon.operators.graph import connected_components
@@ -41,23 +47,56 @@ def cross_library(secondary: DataFrame, primary: DataFrame, least: int = 20, gra
     """Match secondary rows (id, stem) to primary rows (id, stem) by tiers: strict, then loose signature, then
     containment of a primary stem of ``least`` letters or more. id, tier, primary_id (the smallest that matches).
 
-    Containment is not a pairwise test: a contained stem has its first ``grams`` letters in the text, so both sides
-    meet on those n-grams of which some primary stem starts with, and only such pairs are compared.
+    Signatures are made once and joined by their SHA-256. Containment is not a pairwise test: of each
+    ``least - grams + 1`` n-grams in turn a text keeps the one of smallest hash, so a contained stem's first such
+    n-gram is kept in the text as well, and only pairs that meet there are compared.
     """
-    p = primary.select(F.col("id").alias("primary_id"), strict_signature(F.col("stem")).alias("strict"), loose_signature(F.col("stem")).alias("loose"))
-    s = secondary.select("id", strict_signature(F.col("stem")).alias("strict"), loose_signature(F.col("stem")).alias("loose"))
-    strict = p.filter("strict <> '||'").groupBy("strict").agg(F.min("primary_id").alias("primary_id"))
-    loose = p.filter("loose <> ''").groupBy("loose").agg(F.min("primary_id").alias("primary_id"))
-    by_strict = s.join(strict, "strict").select("id", F.lit("strict").alias("tier"), "primary_id")
-    rest = s.join(by_strict.select("id"), "id", "left_anti")
-    by_loose = rest.join(loose, "loose").select("id", F.lit("loose").alias("tier"), "primary_id")
-    rest = rest.join(by_loose.select("id"), "id", "left_anti")
-    needles = p.filter(F.length("loose") >= least).select("primary_id", "loose", F.substring("loose", 1, grams).alias("gram")).withColumnRenamed("loose", "needle")
-    hay = rest.filter(F.length("loose") >= least).select("id", F.col("loose").alias("hay"), F.explode(shingles(F.col("loose"), grams)).alias("gram"))
-    starts = hay.select("id", "gram").join(needles.select("gram").distinct(), "gram", "left_semi")
-    pairs = starts.join(needles, "gram").join(rest.select("id", F.col("loose").alias("hay")), "id")
-    by_text = pairs.filter(F.contains("hay", "needle")).groupBy("id").agg(F.min("primary_id").alias("primary_id"))
-    return by_strict.unionByName(by_loose).unionByName(by_text.select("id", F.lit("contains").alias("tier"), "primary_id"))
+
+    def signed(rows: DataFrame, name: str) -> DataFrame:
+        strict, loose = strict_signature(F.col("stem")), loose_signature(F.col("stem"))
+        # Hashes of empty signatures are null and match nothing.
+        return rows.select(F.col("id").alias(name), F.when(strict != "||", F.sha2(strict, 256)).alias("strict"), F.when(loose != "", F.sha2(loose, 256)).alias("loose"), loose.alias("letters"))
+
+    p, s = cut(signed(primary, "primary_id"), "primary"), cut(signed(secondary, "id"), "secondary")
+    strict = p.groupBy("strict").agg(F.min("primary_id").alias("by_strict"))
+    loose = p.groupBy("loose").agg(F.min("primary_id").alias("by_loose"))
+    keyed = s.select("id", "strict", "loose").join(strict, "strict", "left").join(loose, "loose", "left").select("id", "by_strict", "by_loose")
+    tiers = cut(keyed, "tiers")
+    whole = tiers.filter("by_strict is not null or by_loose is not null")
+    by_hash = whole.select("id", F.when(F.col("by_strict").isNotNull(), "strict").otherwise("loose").alias("tier"), F.coalesce("by_strict", "by_loose").alias("primary_id"))
+    rest = s.select("id", "letters").join(tiers.filter("by_strict is null and by_loose is null").select("id"), "id", "left_semi").filter(F.length("letters") >= least)
+    window = least - grams + 1
+    needles = _anchored(p.filter(F.length("letters") >= least).select(F.col("primary_id").alias("id"), "letters"), grams, window, first=True)
+    hay = _anchored(rest, grams, window, first=False).select("id", F.explode("anchors").alias("anchor"))
+    starts = needles.select(F.col("id").alias("primary_id"), F.element_at("anchors", 1).alias("anchor"))
+    pairs = hay.join(starts, "anchor").select("id", "primary_id").distinct()
+    compared = pairs.join(p.select("primary_id", F.col("letters").alias("needle")), "primary_id").join(rest.withColumnRenamed("letters", "hay"), "id")
+    by_text = compared.filter(F.contains("hay", "needle")).groupBy("id").agg(F.min("primary_id").alias("primary_id"))
+    return by_hash.unionByName(by_text.select("id", F.lit("contains").alias("tier"), "primary_id"))
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _anchored(texts: DataFrame, grams: int, window: int, first: bool) -> DataFrame:
+    """(id, letters) to (id, anchors): the smallest hash of each ``window`` n-grams in turn, or of the first of them."""
+    factors = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(grams)], np.uint64)
+    kind = texts.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column("letters").to_pylist():
+                c = _code_points(text[: grams + window - 1] if first else text)
+                n = len(c) - grams + 1
+                h = sum(c[j : j + n] * factors[j] for j in range(grams))
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                low = np.lib.stride_tricks.sliding_window_view(h, window).min(axis=1)
+                found.append(np.unique(low).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "anchors"])
+
+    return texts.mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("anchors", T.ArrayType(T.LongType()))]))
 
 
 def gram_sets(texts: DataFrame, n: int = 3, least: int = 4) -> DataFrame:
@@ -81,6 +120,59 @@ def gram_simhash(grams: DataFrame) -> DataFrame:
     return votes.select("id", F.concat(*ones).alias("fp"))
 
 
+class _GramHashes:
+    """The first eight bytes of the md5 of 3-grams, each different one hashed once."""
+
+    def __init__(self):
+        self.known = np.zeros(0, np.int64)
+        self.hashes = np.zeros((0, 8), np.uint8)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.known, grams)
+        at[at == len(self.known)] = 0
+        fresh = grams[self.known[at] != grams] if len(self.known) else grams
+        if len(fresh):
+            if len(self.known) > 500_000:
+                self.__init__()
+                fresh = grams
+            mask = (1 << 21) - 1
+            made = [hashlib.md5("".join(chr(g >> s & mask) for s in (42, 21, 0)).encode("utf-8", "surrogatepass")).digest()[:8] for g in fresh.tolist()]
+            put = np.searchsorted(self.known, fresh)
+            self.known = np.insert(self.known, put, fresh)
+            self.hashes = np.insert(self.hashes, put, np.frombuffer(b"".join(made), np.uint8).reshape(-1, 8), axis=0)
+            at = np.searchsorted(self.known, grams)
+        return self.hashes[at]
+
+
+def gram_prints(texts: DataFrame, least: int = 4) -> DataFrame:
+    """(id, text) to (id, signature, fp, grams): what gram_sets() and gram_simhash() say of 3-grams, in one pass and one
+    row a text.
+
+    grams are the different 3-grams as numbers, 21 bits for each character; fp is a string of 64 bits, highest first;
+    signature, the SHA-256 of the text's letters and digits, is the same for texts with the same ones.
+    """
+    kind = texts.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("signature", T.StringType()), T.StructField("fp", T.StringType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _GramHashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                ids, signatures, prints, sets = [], [], [], []
+                for i, text in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist()):
+                    c = _code_points(text)
+                    grams = np.unique(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]).view(np.int64)
+                    if len(grams) >= least:
+                        ones = np.unpackbits(hashes.of(grams), axis=1).sum(axis=0)
+                        signatures.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+                        ids.append(i), sets.append(grams), prints.append("".join("1" if 2 * k > len(grams) else "0" for k in ones.tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(signatures, pa.string()), pa.array(prints, pa.string()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "signature", "fp", "grams"])
+
+    normal = texts.select("id", letters_and_digits(F.col("text")).alias("t")).filter(F.length("t") >= least + 2)
+    return normal.mapInArrow(run, schema)
+
+
 def banded(prints: DataFrame, bands: int = 4) -> DataFrame:
     """(id, fp) to one row for each band: id, band, key."""
     width = 64 // bands
@@ -103,31 +195,29 @@ def oversized(bands: DataFrame, cap: int = 500) -> DataFrame:
     return bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter(F.col("n") > cap)
 
 
-def jaccard_of_pairs(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """(a, b) to (a, b, similarity): the Jaccard index of their gram sets, by joins on the gram."""
-    sizes = grams.groupBy("id").agg(F.count("*").alias("n"))
-    ga, gb = grams.select(F.col("id").alias("a"), "gram"), grams.select(F.col("id").alias("b"), "gram")
-    common = pairs.join(ga, "a").join(gb, ["b", "gram"]).groupBy("a", "b").agg(F.count("*").alias("common"))
-    na, nb = sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-    joined = pairs.join(common, ["a", "b"], "left").join(na, "a").join(nb, "b")
-    c = F.coalesce("common", F.lit(0))
-    return joined.select("a", "b", (c / (F.col("na") + F.col("nb") - c)).alias("similarity"))
-
-
-def representatives(texts: DataFrame) -> DataFrame:
-    """(id, text) to (id, rep): the smallest id whose text has the same letters and digits, so the same grams."""
-    signed = texts.select("id", F.sha2(letters_and_digits(F.col("text")), 256).alias("signature"))
-    first = signed.groupBy("signature").agg(F.min("id").alias("rep"))
-    return signed.join(first, "signature").select("id", "rep")
+def jaccard_of_pairs(pairs: DataFrame, sets: DataFrame, least: float = 0.0) -> DataFrame:
+    """(a, b) to (a, b, similarity): the Jaccard index of their gram sets, (id, grams), where it is ``least`` or more."""
+    x, y = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    common, both = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    # Said so that the sets of a pair that isn't alike are compared once.
+    alike = common * (1 + least) >= (least - 1e-9) * both
+    return pairs.join(x, "a").join(y, "b").filter(alike).select("a", "b", (common / (both - common)).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def _near(texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Near pairs of representatives, (a, b, similarity), and the members (id, rep) of those that have grams."""
-    reps = cut(representatives(texts), "representatives")
-    grams = cut(gram_sets(texts.join(reps.filter("id = rep").select("id"), "id", "left_semi")), "grams")
-    pairs = jaccard_of_pairs(candidate_pairs(banded(gram_simhash(grams))), grams).filter(F.col("similarity") >= least)
-    members = reps.join(grams.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select("id", "rep")
-    return cut(pairs, "pairs"), members
+    """Near pairs of representatives, (a, b, similarity), and the members (id, rep) of all texts that have grams.
+
+    The smallest id whose text has the same letters and digits, so the same grams, represents a text.
+    """
+    sets = cut(gram_prints(texts), "grams")
+    first = sets.groupBy("signature").agg(F.min("id").alias("rep"))
+    members = sets.select("id", "signature").join(first, "signature").select("id", "rep")
+    prints = sets.select("id", "fp", F.size("grams").alias("n")).join(first.select(F.col("rep").alias("id")), "id", "left_semi")
+    pairs = candidate_pairs(banded(prints))
+    # Sets whose sizes differ more can't be so alike: such pairs never meet their sets.
+    na, nb = prints.select(F.col("id").alias("a"), F.col("n").alias("na")), prints.select(F.col("id").alias("b"), F.col("n").alias("nb"))
+    likely = pairs.join(na, "a").join(nb, "b").filter(F.least("na", "nb") >= F.lit(least - 1e-9) * F.greatest("na", "nb")).select("a", "b")
+    return cut(jaccard_of_pairs(likely, sets.select("id", "grams"), least), "pairs"), members
 
 
 def near_pairs(texts: DataFrame, least: float = 0.72) -> DataFrame:
@@ -160,6 +250,18 @@ def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def numbered_titles(rows: DataFrame, title: str = "title", order: str = "ordinal") -> DataFrame:
-    """Repeated titles get their number from the second on."""
-    n = F.row_number().over(Window.partitionBy(title).orderBy(order))
-    return rows.withColumn("shown", F.when(n > 1, F.concat(F.col(title), F.lit("（"), n.cast("string"), F.lit("）"))).otherwise(F.col(title)))
+    """Repeated titles get their number from the second on.
+
+    Rows are put in order and numbered within each task, and what earlier tasks had of a title is added: a title that
+    very many rows share is no task's alone. Rows with the same title and order share no number, in no set order.
+    """
+    sorted_ = rows.repartitionByRange(F.col(title), F.col(order)).sortWithinPartitions(title, order).withColumn("_part", F.spark_partition_id())
+    # Numbers hold only for the task that gave them, so rows are written before they are counted.
+    placed = cut(sorted_.withColumn("_n", F.row_number().over(Window.partitionBy("_part", title).orderBy(order))), "titles")
+    counts = placed.groupBy(title, "_part").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(title).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col(title).alias("_title"), F.col("_part").alias("_p"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
+    n = F.col("_n") + F.col("_base")
+    joined = placed.join(bases, F.col(title).eqNullSafe(F.col("_title")) & (F.col("_part") == F.col("_p")))
+    shown = F.when(n > 1, F.concat(F.col(title), F.lit("（"), n.cast("string"), F.lit("）"))).otherwise(F.col(title))
+    return joined.select(*rows.columns, shown.alias("shown"))

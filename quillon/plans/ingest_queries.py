@@ -156,10 +156,10 @@ def paper_regions(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", T.region_of_paper(title).alias("region"))
 
 
-@query("alignment_scores", """WITH t AS (SELECT item_id, substring(regexp_replace(text, '[\\s\\p{P}\\p{S}]', '', 'g'), 1, 140) AS q, substring(regexp_replace(substring(text, 20, 200), '[\\s\\p{P}\\p{S}]', '', 'g'), 1, 140) AS e FROM benchmark),
+@query("alignment_scores", """WITH t AS (SELECT item_id, substring(regexp_replace(text, '[\\s\\p{P}\\p{S}]', '', 'g'), 1, 140) AS q, substring(regexp_replace(concat(CAST(item_id AS VARCHAR), ' ', text), '[\\s\\p{P}\\p{S}]', '', 'g'), 1, 140) AS e FROM benchmark),
     g AS (SELECT item_id, [substring(q, CAST(i AS INT), 2) for i in range(1, length(q))] AS a, [substring(e, CAST(i AS INT), 2) for i in range(1, length(e))] AS b FROM t) SELECT item_id, round(len([x for x in b if list_contains(a, x)]) / len(list_distinct(a)), 6) AS score FROM g""")
 def alignment_scores(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", F.round(pairing.alignment(F.col("text"), F.substring("text", 20, 200)), 6).alias("score"))
+    return table(spark, sf, "benchmark").select("item_id", F.round(pairing.alignment(F.col("text"), F.concat_ws(" ", F.col("item_id").cast("string"), "text")), 6).alias("score"))
 
 
 def _books(spark, sf):
@@ -200,20 +200,20 @@ def review_decisions(spark, sf):
     return versions.reviewed(rows, decisions)
 
 
-@query("wrong_cause_update", "SELECT question_id, CASE WHEN question_id % 2 = 0 THEN nullif(CASE WHEN question_id % 4 = 0 THEN '' ELSE 'slip' END, '') ELSE last_cause END AS last_cause FROM review_state")
+@query("wrong_cause_update", "SELECT r.question_id, CASE WHEN q.subject = 'a' THEN CASE WHEN q.difficulty <> 1 THEN 'slip' END ELSE r.last_cause END AS last_cause FROM review_state r LEFT JOIN questions q ON q.id = r.question_id")
 def wrong_cause_update(spark, sf):
-    from quillon.plans.model import attempts
+    from quillon.plans.model import attempts, questions
 
     wrong = practice.review_state(attempts(spark, sf)).select("question_id", "last_cause")
-    changes = spark.range(0, 400, 2).select(F.col("id").alias("question_id"), F.when(F.col("id") % 4 == 0, "  ").otherwise(" slip ").alias("cause"))
+    changes = questions(spark, sf).filter("subject = 'a'").select(F.col("id").alias("question_id"), F.when(F.col("difficulty") == 1, "  ").otherwise(" slip ").alias("cause"))
     return versions.with_cause(wrong, changes)
 
 
-@query("conversion_misses", "SELECT source AS converter, substring(sha256(concat(source, '|', md5(text))), 1, 32) AS key FROM documents WHERE doc_id % 3 = 0 AND substring(sha256(concat(source, '|', md5(text))), 1, 32) NOT IN (SELECT substring(sha256(concat(source, '|', md5(text))), 1, 32) FROM documents WHERE doc_id % 3 = 1)")
+@query("conversion_misses", "WITH k AS (SELECT source, lang, substring(sha256(concat(source, '|', md5(text))), 1, 32) AS key FROM documents) SELECT source AS converter, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE lang = 'en')")
 def conversion_misses(spark, sf):
-    d = _docs(spark, sf).select("doc_id", F.col("source").alias("converter"), F.md5("text").alias("content_hash"))
-    cache = d.filter("doc_id % 3 = 1").select(F.substring(F.sha2(F.concat_ws("|", "converter", "content_hash"), 256), 1, 32).alias("key"), F.lit(True).alias("valid"))
-    return versions.missing(d.filter("doc_id % 3 = 0"), cache).select("converter", "key")
+    d = _docs(spark, sf).select(F.col("lang"), F.col("source").alias("converter"), F.md5("text").alias("content_hash"))
+    cache = d.filter("lang = 'en'").select(F.substring(F.sha2(F.concat_ws("|", "converter", "content_hash"), 256), 1, 32).alias("key"), F.lit(True).alias("valid")).distinct()
+    return versions.missing(d, cache).select("converter", "key")
 
 
 @query("incremental_index", "SELECT doc_id AS path FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")

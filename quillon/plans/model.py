@@ -56,7 +56,7 @@ def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def favorites(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = attempts(spark, sf_dir).filter("mode = 'purchase'")
-    return a.groupBy("question_id").agg(F.max("created_at").alias("created_at")).filter("question_id % 3 = 0")
+    return a.groupBy("question_id").agg(F.max("created_at").alias("created_at"))
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ TABLES: dict[str, str] = {
         CAST(1 + p_size % 5 AS INT) AS difficulty, string_split(p_name, ' ') AS tags, p_name AS stem, p_brand AS paper,
         CAST(2000 + p_partkey % 25 AS INT) AS year, p_partkey % 10 = 0 AS in_group, p_partkey // 7 AS family FROM part""",
     "memberships": "SELECT l_orderkey AS paper, l_linenumber AS place, l_partkey AS question_id FROM lineitem",
-    "favorites": "SELECT question_id, max(created_at) AS created_at FROM attempts WHERE mode = 'purchase' AND question_id % 3 = 0 GROUP BY 1",
+    "favorites": "SELECT question_id, max(created_at) AS created_at FROM attempts WHERE mode = 'purchase' GROUP BY 1",
     "notes": """SELECT question_id, CASE WHEN question_id % 4 = 0 THEN '  ' ELSE concat('seen ', CAST(count(*) AS VARCHAR)) END AS content,
         max(created_at) AS updated_at FROM attempts WHERE mode = 'error' GROUP BY question_id""",
     "exams": """SELECT l_orderkey AS exam_id, l_linenumber AS place, l_partkey AS question_id, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS answer,

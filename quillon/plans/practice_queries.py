@@ -159,7 +159,7 @@ def catalog_search_wildcard(spark, sf):
     return notes(spark, sf).filter(catalog.keyword([F.col("content")], "_een")).select("question_id", "content")
 
 
-@query("document_search", "SELECT doc_id, source FROM documents WHERE lang = 'en' AND (text ILIKE '%license%' OR source ILIKE '%license%') ORDER BY source, doc_id LIMIT 500")
+@query("document_search", "SELECT doc_id, source FROM documents WHERE lang = 'en' AND (text ILIKE '%license%' OR source ILIKE '%license%') ORDER BY source, doc_id")
 def document_search(spark, sf):
     d = catalog.filtered(table(spark, sf, "documents"), {"lang": "en", "source": None})
     return d.filter(catalog.keyword([F.col("text"), F.col("source")], "license")).orderBy("source", "doc_id").select("doc_id", "source")
@@ -230,10 +230,10 @@ def library_notes(spark, sf):
     return _library(spark, sf, notes(spark, sf).filter(F.trim("content") != "").select("question_id", "updated_at"))
 
 
-@query("user_metadata", """SELECT i.id AS question_id, f.question_id IS NOT NULL AS favorite, coalesce(n.content, '') AS note, coalesce(r.last_cause, '') AS cause FROM (SELECT DISTINCT id FROM questions WHERE id < 300 ORDER BY id LIMIT 500) i
+@query("user_metadata", """SELECT i.id AS question_id, f.question_id IS NOT NULL AS favorite, coalesce(n.content, '') AS note, coalesce(r.last_cause, '') AS cause FROM (SELECT DISTINCT id FROM questions) i
     LEFT JOIN favorites f ON f.question_id = i.id LEFT JOIN notes n ON n.question_id = i.id LEFT JOIN review_state r ON r.question_id = i.id""")
 def user_metadata(spark, sf):
-    return catalog.user_metadata(questions(spark, sf).filter("id < 300"), favorites(spark, sf), notes(spark, sf), practice.review_state(attempts(spark, sf)))
+    return catalog.user_metadata(questions(spark, sf), favorites(spark, sf), notes(spark, sf), practice.review_state(attempts(spark, sf)))
 
 
 @query("category_counts", "SELECT subject, category, count(*) AS questions FROM questions GROUP BY 1, 2")
@@ -374,10 +374,10 @@ def latest_per_key(spark, sf):
     return attempts(spark, sf).groupBy("user_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"), F.max("created_at").alias("created_at"))
 
 
-@query("plan_overlay", "SELECT q.id AS item_id, q.category AS plan_id, CAST(3 AS INT) AS target, CAST(least(coalesce(c.n, 0), 3) AS INT) AS completed, coalesce(c.n, 0) >= 3 AS done FROM questions q LEFT JOIN (SELECT question_id, count(*) AS n FROM attempts WHERE correct AND question_id % 2 = 0 GROUP BY 1) c ON c.question_id = q.id")
+@query("plan_overlay", "SELECT q.id AS item_id, q.category AS plan_id, CAST(3 AS INT) AS target, CAST(least(coalesce(c.n, 0), 3) AS INT) AS completed, coalesce(c.n, 0) >= 3 AS done FROM questions q LEFT JOIN (SELECT question_id, count(*) AS n FROM attempts WHERE correct GROUP BY 1) c ON c.question_id = q.id")
 def plan_overlay(spark, sf):
     items = questions(spark, sf).select(F.col("category").alias("plan_id"), F.col("id").alias("item_id"), F.lit(3).alias("target"))
-    done = attempts(spark, sf).filter("correct and question_id % 2 = 0").groupBy(F.col("question_id").alias("item_id")).agg(F.count("*").cast("int").alias("completed"))
+    done = attempts(spark, sf).filter("correct").groupBy(F.col("question_id").alias("item_id")).agg(F.count("*").cast("int").alias("completed"))
     return practice.plan_overlay(items, done.join(items.select("item_id", "plan_id"), "item_id"))
 
 

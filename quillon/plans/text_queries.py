@@ -92,10 +92,10 @@ _FP = f"""{_GRAMS}, h AS (SELECT gram, concat(lpad(bin(CAST(concat('0x', substri
 
 @query("simhash_fingerprints", f"WITH {_FP} SELECT id, fp FROM fps")
 def simhash_fingerprints(spark, sf):
-    return dedup.gram_simhash(dedup.gram_sets(_texts(spark, sf)))
+    return dedup.gram_prints(_texts(spark, sf)).select("id", "fp")
 
 
-_BANDS = f"{_FP}, bands AS (SELECT id, b AS band, substring(fp, CAST(64 - 16 * (b + 1) + 1 AS INT), 16) AS key FROM fps, range(4) r(b)), ok AS (SELECT band, key FROM bands GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 500), cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.key = y.key AND x.id < y.id JOIN ok ON ok.band = x.band AND ok.key = x.key)"
+_BANDS = f"{_FP}, bands AS (SELECT id, b AS band, substring(fp, CAST(64 - 16 * (b + 1) + 1 AS INT), 16) AS key FROM fps, range(4) r(b)), ok AS (SELECT band, key FROM bands GROUP BY 1, 2 HAVING count(*) >= 2), cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.key = y.key AND x.id < y.id JOIN ok ON ok.band = x.band AND ok.key = x.key)"
 
 
 @query("lsh_candidates", f"WITH {_BANDS} SELECT a, b FROM cand")
@@ -292,10 +292,13 @@ def median_timing(spark, sf):
 _DIG = "list_distinct([regexp_replace(x, '[^0-9.%]', '', 'g') for x in regexp_extract_all({x}, '[0-9][0-9,.%：:]*')])"
 
 
-@query("digit_agreement", f"WITH p AS (SELECT {_DIG.format(x='text')} AS a, {_DIG.format(x='substring(text, 1, 400)')} AS b FROM documents), q AS (SELECT a, b, len(list_intersect(a, b)) AS c FROM p WHERE len(a) > 0 OR len(b) > 0) SELECT count(*) AS pages, round(avg(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE c / (len(a) + len(b) - c) END), 6) AS agreement FROM q")
+_PLAIN = f"regexp_replace({_HTML}, '^{_SPACES}+|{_SPACES}+$', '', 'g')"
+
+
+@query("digit_agreement", f"WITH p AS (SELECT {_DIG.format(x='html')} AS a, {_DIG.format(x=_PLAIN)} AS b FROM pages), q AS (SELECT a, b, len(list_intersect(a, b)) AS c FROM p WHERE len(a) > 0 OR len(b) > 0) SELECT count(*) AS pages, round(avg(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE c / (len(a) + len(b) - c) END), 6) AS agreement FROM q")
 def digit_agreement(spark, sf):
-    d = _docs(spark, sf)
-    return evaluation.digit_agreement(d.select(F.col("doc_id").alias("page"), "text"), d.select(F.col("doc_id").alias("page"), F.substring("text", 1, 400).alias("text")))
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("page"), "html")
+    return evaluation.digit_agreement(p.select("page", F.col("html").alias("text")), p.select("page", T.html_to_text(F.col("html")).alias("text")))
 
 
 @query("drop_suspects", r"""WITH n AS (SELECT l_orderkey AS doc, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS i FROM lineitem), d AS (SELECT doc, n, i, lag(n) OVER (PARTITION BY doc ORDER BY i) AS p FROM n), k AS (SELECT doc, n, lag(n) OVER (PARTITION BY doc ORDER BY i) AS q FROM d WHERE p IS NULL OR p <> n)
