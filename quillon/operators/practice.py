@@ -128,7 +128,7 @@ def adaptive_scores(questions: DataFrame, weakness: DataFrame, wrong: DataFrame,
     tags = F.broadcast(wrong_rows.select(F.explode("tags").alias("t")).distinct().agg(F.collect_set("t").alias("wrong_tags")).withColumn("_one", F.lit(1)))
     tried = attempted.select(F.col("question_id").alias("id")).distinct().withColumn("_tried", F.lit(0))
     late = recent.select(F.col("question_id").alias("id")).distinct().withColumn("_late", F.lit(-40))
-    joined = questions.join(F.broadcast(ranks), "category", "left").join(F.broadcast(categories), "category", "left").withColumn("_one", F.lit(1)).join(tags, "_one").join(tried, "id", "left").join(late, "id", "left")
+    joined = questions.join(ranks, "category", "left").join(categories, "category", "left").withColumn("_one", F.lit(1)).join(tags, "_one").join(tried, "id", "left").join(late, "id", "left")
     score = 20 * F.coalesce("priority", F.lit(0)) + F.coalesce("_wrong", F.lit(0)) + 3 * F.size(F.array_intersect("tags", "wrong_tags")) + F.coalesce("_tried", F.lit(8)) + F.coalesce("_late", F.lit(0))
     return joined.select("id", score.cast("int").alias("score"))
 

@@ -161,11 +161,15 @@ def json_papers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sqlite_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of an SQLite file on the driver, in batches. Such a file is one machine's store; larger ones come as Parquet."""
+    """A table of an SQLite file on the driver, in batches. Such a file is one machine's store; larger ones come as Parquet.
+    An empty table has its columns, as strings."""
     import sqlite3
 
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        columns = [c[0] for c in db.execute(f'SELECT * FROM "{name}" LIMIT 0').description]
         frames = [spark.createDataFrame(f) for f in pd.read_sql_query(f'SELECT * FROM "{name}"', db, chunksize=50_000) if len(f)]
+    if not frames:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

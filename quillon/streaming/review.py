@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillon.storage import cut, file_system
+
 STATE = "wrong_count long, correct_streak long, mastered boolean, last_cause string, first_wrong_us long, last_us long, due_us long, completed_us long"
 OUT = "question_id long, wrong_count long, correct_streak long, mastered boolean, last_cause string, first_wrong_at timestamp_ntz, last_attempt_at timestamp_ntz, due_at timestamp_ntz, completed_at timestamp_ntz"
 _DAY = 86_400_000_000
@@ -55,16 +57,65 @@ def review_stream(attempts: DataFrame) -> DataFrame:
 
 
 def keep_latest(target: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that adds each batch under its number: replays overwrite, so a batch counts once."""
+    """A foreachBatch function that writes the latest row of each key of a batch, under the batch's number: replays
+    overwrite, so a batch counts once. ``latest`` reads what is left of all batches."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        _latest(batch, key, order).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return put
 
 
+def latest(spark: SparkSession, target: str, key: str, order: str) -> DataFrame:
+    """Of each key the row with the greatest ``order`` in all batches at ``target``; of equal ones the last batch's."""
+    rows = spark.read.parquet(target)
+    return _latest(rows.withColumn("_order", F.struct(order, "batch")), key, "_order").drop("batch", "_order")
+
+
+def _latest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    # An aggregate and not a window: a key with very many rows is one row a task before the shuffle.
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("_row")).select("_row.*")
+
+
+def folder_changes(spark: SparkSession, folder: str, known: DataFrame | None, pattern: str = "*.md") -> DataFrame:
+    """Files that were added, changed or deleted since ``known`` (path, content_hash): path, status, content_hash, content.
+
+    Contents decide, not times: a file that was touched or moved back is no change. Content is null for deleted files.
+    """
+    now = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    now = now.select("path", F.sha2("content", 256).alias("content_hash"), "content")
+    if known is None:
+        return now.select("path", F.lit("added").alias("status"), "content_hash", "content")
+    k = known.select(F.col("path").alias("_path"), F.col("content_hash").alias("_hash"))
+    status = F.when(F.col("_path").isNull(), "added").when(F.col("path").isNull(), "deleted").when(F.col("content_hash") != F.col("_hash"), "changed")
+    joined = now.join(k, F.col("path") == F.col("_path"), "full").withColumn("status", status)
+    return joined.filter("status is not null").select(F.coalesce("path", "_path").alias("path"), "status", "content_hash", "content")
+
+
+def poll(spark: SparkSession, folder: str, index: Callable[[DataFrame, int], None], state: str, pattern: str = "*.md") -> bool:
+    """One look at a folder: what changed since the last one is given to ``index``; whether there was anything.
+
+    Each look that finds something leaves a table of all paths and hashes at ``state``, after ``index`` is done: if that
+    fails, the next look finds the same changes under the same number.
+    """
+    fs, root = file_system(spark, state)
+    looks = sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(root) if fs.exists(file_system(spark, f"{state}/{f.getPath().getName()}/_SUCCESS")[1])) if fs.exists(root) else []
+    known = spark.read.schema("path string, content_hash string").parquet(f"{state}/look={looks[-1]}") if looks else None
+    number = looks[-1] + 1 if looks else 0
+    changes = cut(folder_changes(spark, folder, known, pattern), "changes")
+    if changes.isEmpty():
+        return False
+    index(changes, number)
+    after = changes.filter("status <> 'deleted'").select("path", "content_hash")
+    if known is not None:
+        after = known.join(changes.select("path"), "path", "left_anti").unionByName(after)
+    after.write.mode("overwrite").parquet(f"{state}/look={number}")
+    return True
+
+
 def watch(spark, folder: str, index: Callable[[DataFrame, int], None], checkpoint: str, pattern: str = "*.md", every: str | None = "3 seconds"):
-    """Index files as they come or change: each micro-batch of (path, content) is given to ``index``.
+    """Index files as they come: each micro-batch of (path, content) is given to ``index``. A stream knows files by path;
+    ``poll`` also finds those that were changed or deleted.
 
     ``every`` None handles what is there and stops. A query restarted from its checkpoint goes on where it stopped.
     """

@@ -129,3 +129,41 @@ def test_layout(spark):
     assert [r["page"] for r in layout.line_pages(lines, pages).orderBy("line_no").collect()] == [1, None, 1, 2]
     nums = spark.createDataFrame([(1, i, n) for i, n in enumerate([1, 2, 3, 1, 2, 2])], "doc long, place int, num int")
     assert [r["segment"] for r in layout.segments(nums).orderBy("place").collect()] == [0, 0, 0, 1, 1, 2]
+
+
+def test_a_folder_s_changes(spark, tmp_path):
+    lib, state, seen = tmp_path / "lib", str(tmp_path / "state"), []
+    lib.mkdir()
+    (lib / "a.md").write_text("one")
+    (lib / "b.md").write_text("two")
+    look = lambda: review.poll(spark, str(lib), lambda c, n: seen.append((n, sorted((r["path"].rsplit("/")[-1], r["status"]) for r in c.collect()))), state)
+    assert look() and not look()
+    (lib / "a.md").write_text("one more")
+    (lib / "b.md").unlink()
+    (lib / "c.md").write_text("three")
+
+    def broken(changes, number):
+        raise OSError
+
+    with pytest.raises(OSError):
+        review.poll(spark, str(lib), broken, state)
+    assert look() and not look()
+    assert seen == [(0, [("a.md", "added"), ("b.md", "added")]), (1, [("a.md", "changed"), ("b.md", "deleted"), ("c.md", "added")])]
+
+
+def test_latest_row_of_each_key(spark, tmp_path):
+    put = review.keep_latest(str(tmp_path / "t"), "k", "at")
+    rows = lambda *r: spark.createDataFrame(r, "k int, at int, v string")
+    put(rows((1, 1, "a"), (1, 3, "b"), (2, 5, "c")), 0)
+    put(rows((1, 2, "d"), (2, 5, "e")), 1)
+    put(rows((1, 2, "d"), (2, 5, "e")), 1)
+    assert sorted(map(tuple, review.latest(spark, str(tmp_path / "t"), "k", "at").collect())) == [(1, 3, "b"), (2, 5, "e")]
+
+
+def test_sqlite_table_without_rows(spark, tmp_path):
+    import sqlite3
+
+    with sqlite3.connect(tmp_path / "e.sqlite") as db:
+        db.execute("CREATE TABLE q (id INTEGER, stem TEXT)")
+    got = readers.sqlite_table(spark, str(tmp_path / "e.sqlite"), "q")
+    assert got.columns == ["id", "stem"] and got.count() == 0
