@@ -2,8 +2,8 @@
 
 A text is cut into sentences; a long sentence is also cut after words that a hash of the word alone picks out, so a
 passage is cut alike wherever it stands. From each sentence the shortest run of at least ``sentences`` sentences with
-at least ``words`` words is hashed. Runs are joined globally; every run that isn't the first of its hash, by doc_id
-and place, covers its sentences, and these are removed.
+at least ``words`` words is hashed, to 96 bits and in lower case. Runs are joined globally; every run that isn't the first
+of its hash, by doc_id, text and place, covers its sentences, and these are removed.
 
 ``repeated_runs`` covers every run that repeats, not the shortest from each sentence only. A text is cut into pieces:
 at the ends of its sentences and, in each ``_WINDOW`` words without one, after the word with the smallest hash, so two
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.arrow import id_and_text, map_batches
+from quillon.llm.arrow import cuts, id_and_text, kept, map_batches
 from quillon.storage import cut
 
 _WORD = re.compile(r"\S+")
@@ -36,8 +36,11 @@ _CLOSERS = "\"'”’»›)]}」』）】》〉*_"
 # Scripts without blank space between words: each character is a word, with the stops and closing marks behind it.
 _UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _UNIT = re.compile(rf"{_UNSPACED.pattern}[。！？．｡.!?…]*[{re.escape(_CLOSERS)}]*|(?:(?!{_UNSPACED.pattern})\S)+")
-_BASE = 0x9E3779B97F4A7C15 | 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
+# Two bases, for the two halves of a run's hash, each followed by its inverse.
+_BASES = tuple(x for b in (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5) for x in (b, pow(b, -1, 1 << 64)))
+# ``inside``: 30 bits of the text's hash, which tell texts with one doc_id apart, and 31 of the first piece's number.
+_RUN = "h long, g int, doc_id long, inside long, n int"
+_TAG = (1 << 30) - 1
 
 
 def sentences_of(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -60,13 +63,13 @@ def sentences_of(text: str) -> tuple[list[int], list[int], list[int]]:
     return starts, ends, sizes
 
 
-def runs_of(text: str, sentences: int, words: int) -> tuple[list[int], list[int], list[int]]:
-    """Hashes, first sentences and lengths in sentences of a text's runs."""
-    from xxhash import xxh64_intdigest
+def runs_of(text: str, sentences: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in two halves, first sentences and lengths in sentences of a text's runs."""
+    from xxhash import xxh128_digest
 
     starts, ends, sizes = sentences_of(text)
     if len(starts) < sentences:
-        return [], [], []
+        return (np.zeros(0, np.int64),) * 4
     total = np.concatenate(([0], np.cumsum(sizes)))
     stop = np.searchsorted(total, total[:-1] + words)
     stop = np.maximum(stop, np.arange(len(sizes)) + sentences)
@@ -78,22 +81,22 @@ def runs_of(text: str, sentences: int, words: int) -> tuple[list[int], list[int]
     lengths = np.fromiter((len(w) for w in raw.split(b" ")), np.int64)
     places = np.concatenate(([0], np.cumsum(lengths + 1)))
     begin, end = places[total[firsts]].tolist(), (places[total[stops]] - 1).tolist()
-    hashes = np.fromiter((xxh64_intdigest(raw[a:b]) for a, b in zip(begin, end)), np.uint64, len(begin)).view(np.int64)
-    return hashes.tolist(), firsts.tolist(), (stops - firsts).tolist()
+    halves = np.frombuffer(b"".join(xxh128_digest(raw[a:b]) for a, b in zip(begin, end)), "<i8").reshape(-1, 2)
+    return halves[:, 0], halves[:, 1], firsts, stops - firsts
 
 
-def _run_rows(docs: DataFrame, sentences: int, words: int) -> DataFrame:
+def _run_rows(docs: DataFrame, runs) -> DataFrame:
+    """The runs of every text with an id; ``runs`` gives a text's hashes, places and lengths."""
+
     def make(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"h": [], "doc_id": [], "at": [], "n": []}
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            hashes, firsts, lengths = runs_of(text or "", sentences, words)
-            out["h"] += hashes
-            out["doc_id"] += [doc_id] * len(hashes)
-            out["at"] += firsts
-            out["n"] += lengths
-        return out
+        found = [runs(t) for t in batch.column("text").to_pylist()]
+        sizes = [len(f[0]) for f in found]
+        h, g, at, n = (np.concatenate(x) for x in zip(*found))
+        doc_id, tag = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("doc_id", "text_hash"))
+        return {"h": h, "g": g.astype(np.int32), "doc_id": doc_id, "inside": (tag & _TAG) << 31 | at, "n": n}
 
-    return map_batches(id_and_text(docs).filter("doc_id is not null and text is not null"), make, "h long, doc_id long, at int, n int")
+    texts = id_and_text(docs).filter("doc_id is not null and text is not null").withColumn("text_hash", F.xxhash64("text"))
+    return map_batches(texts, make, _RUN)
 
 
 class _Words(dict):
@@ -102,31 +105,36 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & ~1
         self[word] = h | (word[-1] in _STOPS or word.rstrip(_CLOSERS)[-1:] in _STOPS)
         return self[word]
 
 
-_HASHES = _Words()
-# Powers of the base and of its inverse, as far as the longest text so far needs them.
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+class _State:
+    """What a process keeps: words' hashes, and powers of the bases as far as the longest text so far needs them."""
+
+    def __init__(self):
+        self.words = _Words()
+        self.powers = [np.ones(1, np.uint64)] * len(_BASES)
+
+    def upto(self, n: int) -> list[np.ndarray]:
+        if len(self.powers[0]) < n:
+            self.powers = [np.concatenate((np.ones(1, np.uint64), np.full(n + n // 4, b, np.uint64))).cumprod(dtype=np.uint64) for b in _BASES]
+        return self.powers
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            _POWERS[i] = np.concatenate((np.ones(1, np.uint64), np.full(2 * n, base, np.uint64))).cumprod(dtype=np.uint64)
-    return _POWERS
+def _state() -> _State:
+    return kept("spans", _State)
 
 
 def _words_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a text's words in lower case, and whether a sentence ends behind each: at a stop or a line's end."""
-    low, hashes, lines = text.lower(), [], []
+    low, hashes, lines, words = text.lower(), [], [], _state().words
     split = _UNIT.findall if _UNSPACED.search(low) else str.split
     for line in low.split("\n"):
-        hashes += map(_HASHES.__getitem__, split(line))
+        hashes += map(words.__getitem__, split(line))
         lines.append(len(hashes))
     h = np.array(hashes, np.uint64)
     closes = (h & np.uint64(1)).astype(bool)
@@ -157,8 +165,8 @@ def pieces_of(text: str) -> tuple[list[int], list[int]]:
     return [places[i][0] for i in cuts[:-1]], [places[i - 1][1] for i in cuts[1:]]
 
 
-def all_runs_of(text: str, sentences: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, first pieces and lengths in pieces of the runs that stand for every run of a text."""
+def all_runs_of(text: str, sentences: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in two halves, first pieces and lengths in pieces of the runs that stand for every run of a text."""
     h, closes = _words_of(text)
     n = len(h)
     cuts = _cuts_of(h, closes)
@@ -181,48 +189,48 @@ def all_runs_of(text: str, sentences: int, words: int) -> tuple[np.ndarray, np.n
     needless[: max(0, len(bounds) - sentences)] = False
     pairs = np.unique(a[~needless] * (last + 1) + b[~needless])
     a, b = pairs // (last + 1), pairs % (last + 1)
-    up, down = _powers(n + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), ((h | np.uint64(1)) * up[:n]).cumsum(dtype=np.uint64)))
-    x = (total[cuts[b]] - total[cuts[a]]) * down[cuts[a]] + (cuts[b] - cuts[a]).astype(np.uint64)
-    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-    return (x ^ (x >> np.uint64(31))).view(np.int64), a, b - a
-
-
-def _all_run_rows(docs: DataFrame, sentences: int, words: int) -> DataFrame:
-    def make(batch: pa.RecordBatch) -> dict:
-        ids, found = [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids.append(doc_id), found.append(all_runs_of(text, sentences, words))
-        h, at, n = (np.concatenate(x) for x in zip(*found))
-        return {"h": h, "doc_id": np.repeat(np.array(ids, np.int64), [len(f[0]) for f in found]), "at": at, "n": n}
-
-    return map_batches(id_and_text(docs).filter("doc_id is not null and text is not null"), make, "h long, doc_id long, at int, n int")
+    powers, halves = _state().upto(n + 1), []
+    for k, word in enumerate((h | np.uint64(1), (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1))):
+        up, down = powers[2 * k], powers[2 * k + 1]
+        total = np.concatenate((np.zeros(1, np.uint64), (word * up[:n]).cumsum(dtype=np.uint64)))
+        x = (total[cuts[b]] - total[cuts[a]]) * down[cuts[a]] + (cuts[b] - cuts[a]).astype(np.uint64)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+        halves.append((x ^ (x >> np.uint64(31))).view(np.int64))
+    return *halves, a, b - a
 
 
 def repeated_sentences(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFrame:
-    """Documents that lose sentences: doc_id, removed (places of sentences, ascending) and first_doc_ids.
+    """Texts that lose sentences: doc_id, tag, removed (places of sentences, ascending) and first_doc_ids.
 
-    first_doc_ids are the documents that keep the text. Rows with null doc_id or text take no part. Rows that share
-    a doc_id and a text count as one row. An empty table gives no rows.
+    first_doc_ids are the documents that keep the text; tag, 30 bits of xxhash64(text), tells texts with one doc_id
+    apart. Upper and lower case and the amount of blank space make no difference. Rows with null doc_id or text take no
+    part. Rows that share a doc_id and a text count as one row. An empty table gives no rows.
     """
-    return _removed(cut(_run_rows(docs, sentences, words), "runs"))
+    return _removed(cut(_run_rows(docs, lambda t: runs_of(t, sentences, words)), "runs"))
 
 
 def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFrame:
-    """As repeated_sentences(), for every run of sentences or pieces: doc_id, removed (places of pieces), first_doc_ids."""
-    return _removed(cut(_all_run_rows(docs, sentences, words), "runs"))
+    """As repeated_sentences(), for every run of sentences or pieces: doc_id, tag, removed (places of pieces),
+    first_doc_ids."""
+    return _removed(cut(_run_rows(docs, lambda t: all_runs_of(t, sentences, words)), "runs"))
 
 
 def _removed(runs: DataFrame) -> DataFrame:
+    # One number orders places by doc_id, then by text and place: a minimum of numbers is found by hash, where one of
+    # structs would sort all runs.
+    unit = F.lit(1 << 61).cast("decimal(19,0)")
+    placed = runs.withColumn("place", F.col("doc_id").cast("decimal(19,0)") * unit + F.col("inside").cast("decimal(19,0)"))
     # A run that very many documents share is counted within each task first, and is one row from there on.
-    firsts = runs.groupBy("h").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "at")).alias("first"))
-    repeated = firsts.filter("copies > 1").select("h", "first")
-    # The other side has any number of rows for a hash; adaptive execution can split them, as this side has one.
-    later = runs.join(repeated, "h").filter("doc_id <> first.doc_id or at <> first.at")
-    marked = later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.array_sort(F.collect_set("first.doc_id")).alias("first_doc_ids"))
+    firsts = placed.groupBy("h", "g").agg(F.count("*").alias("copies"), F.min("place").alias("first"))
+    repeated = cut(firsts.filter("copies > 1").select("h", "g", "first"), "repeated")
+    # One side has one row for a hash and the other any number, each straight from a table: adaptive execution can split it.
+    joined = runs.join(repeated, ["h", "g"]).withColumn("place", F.col("doc_id").cast("decimal(19,0)") * unit + F.col("inside").cast("decimal(19,0)"))
+    own = F.expr("first - pmod(first, cast(2305843009213693952 as decimal(38,0)))")
+    later = joined.filter("place <> first").select("doc_id", F.expr("shiftright(inside, 31)").alias("tag"), F.expr("cast(inside & 2147483647 as int)").alias("at"), "n", (own / unit).cast("long").alias("first_id"))
+    marked = later.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.array_sort(F.collect_set("first_id")).alias("first_doc_ids"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))))
-    return marked.select("doc_id", covered.alias("removed"), "first_doc_ids")
+    return marked.select("doc_id", "tag", covered.alias("removed"), "first_doc_ids")
 
 
 def without(text: str, removed: list[int], ends: list[int] | None = None) -> str:
@@ -237,11 +245,16 @@ def without(text: str, removed: list[int], ends: list[int] | None = None) -> str
 
 def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFrame:
     """``docs`` with every repeated run removed from text; every row and every other column stays."""
-    found = repeated_runs(docs, sentences, words).select(F.col("doc_id").alias("_doc_id"), F.col("removed").alias("_removed"))
-
-    @F.udf("string")
-    def clean(text, removed):
-        return text if not removed or text is None else without(text, removed, pieces_of(text)[1])
-
-    joined = docs.join(found, F.col("doc_id") == F.col("_doc_id"), "left")
-    return joined.select(*(clean("text", "_removed").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    found = repeated_runs(docs, sentences, words).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("removed").alias("_gone"))
+
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        out = []
+        for a, b in cuts(texts):
+            pairs = zip(texts.slice(a, b - a).to_pylist(), gone.slice(a, b - a).to_pylist())
+            out.append(pa.array([without(t, g, pieces_of(t)[1]) if t and g else t for t, g in pairs], pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+    text = docs["text"].cast("string")
+    joined = docs.join(found, (docs["doc_id"].cast("long") == found["_id"]) & (F.xxhash64(text).bitwiseAND(_TAG) == found["_tag"]), "left")
+    return joined.select(*(clean(text, found["_gone"]).alias("text") if c == "text" else docs[c] for c in docs.columns))

@@ -109,3 +109,18 @@ def test_every_passage_without_full_stops_is_found(spark, rng):
             rows.append((d, f"A start {before} {passage} {after} goes on."))
     got = _found(spark, rows)
     assert set(got) == {2 * p + 1 for p in range(150)}
+
+
+def test_texts_that_share_an_id_and_clashing_columns(spark):
+    passage = "One two three four. Five six seven eight. Nine ten eleven twelve."
+    rows = [(1, passage, 5, "x"), (1, f"Other. {passage}", 6, "y"), (1, passage, 7, "z"), (None, passage, 8, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _gone string")
+    got = {r["_id"]: r["text"].strip() for r in spans.remove_repeats(docs).collect()}
+    # Rows with one id and one text are one row, so it keeps its text in both; of the two texts the one of smaller hash does.
+    assert got[8] == passage and got[5] == got[7] and sorted((got[5], got[6])) in ([passage, "Other."], ["", f"Other. {passage}"])
+
+
+def test_hashes_have_two_independent_halves():
+    a, b = spans.all_runs_of("One two. Three four. Five six. Seven eight.", 2, 20)[:2]
+    assert len(a) == 3 and not set(a.tolist()) & set(b.tolist())
+    assert spans.all_runs_of("one  TWO. three four.", 2, 20)[0].tolist() == a[:1].tolist()
