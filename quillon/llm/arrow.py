@@ -47,12 +47,12 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """First and past-the-last rows of parts with at most 256 texts and, beyond one text, about 4 MB."""
+def cuts(texts: pa.Array, rows: int = _ROWS) -> Iterator[tuple[int, int]]:
+    """First and past-the-last rows of parts with at most ``rows`` texts and, beyond one text, about 4 MB."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     first = held = 0
     for i, size in enumerate(sizes):
-        if i > first and (i - first == _ROWS or held + size > _BYTES):
+        if i > first and (i - first == rows or held + size > _BYTES):
             yield first, i
             first, held = i, 0
         held += size
@@ -60,19 +60,19 @@ def cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-def parts(batch: pa.RecordBatch, by: str = "text") -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, rows: int = _ROWS) -> Iterator[pa.RecordBatch]:
     """A batch in such parts: what an operator holds besides the batch doesn't depend on Spark's batch size."""
-    for first, stop in cuts(batch.column(by)):
+    for first, stop in cuts(batch.column("text"), rows):
         yield batch.slice(first, stop - first)
 
 
-def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, list]], schema: str, rows: int = _ROWS) -> DataFrame:
     """``make`` turns each part of a batch, which has a column text, into columns of ``schema``."""
     target = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, rows):
                 columns = make(part)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in target], schema=target)
 

@@ -367,7 +367,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, segme
             row = (file_no, number, len(held), size, head(doc_ids, held, ids), ids.astype("<u4").tobytes(), BLOCK)
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-        for batch in (part for whole in batches for part in parts(whole)):
+        for batch in (part for whole in batches for part in parts(whole, 2048)):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 doc_ids.append(doc_id)
                 held.append(np.append(ids, np.uint32(end_id)))
@@ -399,10 +399,13 @@ def read_ids(spark, path: str, with_ids: bool = False) -> DataFrame:
     by_file = spark.createDataFrame(begins, "file_no int, begin long")
     earlier = Window.partitionBy("file_no").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     segments = files.select("file_no", "segment", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("earlier")).join(by_file, "file_no")
-    # The few segments get their bases before their documents are unpacked, so no document is shuffled.
-    based = files.select("file_no", "segment", "payload").join(segments.select("file_no", "segment", (F.col("begin") + F.col("earlier")).alias("base")), ["file_no", "segment"])
-    decoded = based.select("base", F.inline(jvmcoder.decoded(spark, "payload", with_ids)))
-    return decoded.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    bases = segments.select("file_no", "segment", (F.col("begin") + F.col("earlier")).alias("base"))
+    unpacked = F.inline(jvmcoder.decoded(spark, "payload", with_ids))
+    if with_ids:  # a payload is shorter than its ids, and longer than the few numbers of its documents
+        documents = files.select("file_no", "segment", "payload").join(bases, ["file_no", "segment"]).select("base", unpacked)
+    else:
+        documents = files.select("file_no", "segment", unpacked).join(bases, ["file_no", "segment"])
+    return documents.select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

@@ -191,7 +191,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         encode = encoder(path).encode
-        for batch in (part for whole in batches for part in parts(whole)):
+        for batch in (part for whole in batches for part in parts(whole, 2048)):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -18,8 +18,9 @@ import numpy as np
 LETTER, NUMBER, OTHER, SPACE, BREAK, UNSAFE = range(6)
 _SAFE_PUNCTUATION = (0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026, 0x20AC)
 
-_CHUNK = 250_000
+_CHUNK = 600_000
 _KEEP = 1_000_000
+_RECENT = 30_000
 
 
 def _class_table() -> np.ndarray:
@@ -66,10 +67,10 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int32)
-        self.size = np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.uint32)
+        # Words by hash, with where their ids begin and how many they have: most words, and those met of late.
+        self.words = self.recent = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text (uint32); null counts as empty."""
@@ -167,25 +168,33 @@ class WordEncoder:
         hashes = (hashes + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
         hashes ^= hashes >> np.uint64(32)
         values, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > _KEEP or len(self.flat) > 8 * _KEEP:
+        if len(self.words[0]) > _KEEP or self.used > 8 * _KEEP:
             self._forget()
-        slot = np.searchsorted(self.known, values)
-        fresh = np.ones(len(values), bool)
-        inside = slot < len(self.known)
-        fresh[inside] = self.known[slot[inside]] != values[inside]
-        if fresh.any():
-            at = first[fresh]
-            words = [big[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())]
+        at, size = np.zeros(len(values), np.int32), np.zeros(len(values), np.int32)
+        left = np.arange(len(values))
+        for known, places, sizes in (self.words, self.recent):
+            slot = np.minimum(np.searchsorted(known, values[left]), max(0, len(known) - 1))
+            hit = known[slot] == values[left] if len(known) else np.zeros(len(left), bool)
+            at[left[hit]], size[left[hit]] = places[slot[hit]], sizes[slot[hit]]
+            left = left[~hit]
+        if len(left):
+            words = [big[a:b] for a, b in zip(starts[first[left]].tolist(), stops[first[left]].tolist())]
             made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            size = np.fromiter(map(len, made), np.int32, len(made))
-            flat = np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))
-            where = (len(self.flat) + np.cumsum(size) - size).astype(np.int32)
-            self.flat = np.concatenate((self.flat, flat))
-            put = slot[fresh]
-            self.known = np.insert(self.known, put, values[fresh])
-            self.at = np.insert(self.at, put, where)
-            self.size = np.insert(self.size, put, size)
-            slot = np.searchsorted(self.known, values)
-        use = slot[inverse]
-        counts = self.size[use].astype(np.int64)
-        return self.flat[_span_index(self.at[use], counts)], counts
+            new = np.fromiter(map(len, made), np.int32, len(made))
+            flat = np.fromiter(chain.from_iterable(made), np.uint32, int(new.sum()))
+            if self.used + len(flat) > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros(len(self.flat) + len(flat), np.uint32)))
+            self.flat[self.used : self.used + len(flat)] = flat
+            at[left], size[left] = self.used + np.cumsum(new) - new, new
+            self.used += len(flat)
+            self.recent = _merged(self.recent, (values[left], at[left], size[left]))
+            if len(self.recent[0]) > max(_RECENT, len(self.words[0]) // 8):
+                self.words, self.recent = _merged(self.words, self.recent), tuple(x[:0] for x in self.recent)
+        counts = size[inverse].astype(np.int64)
+        return self.flat[_span_index(at[inverse], counts)], counts
+
+
+def _merged(words: tuple[np.ndarray, ...], more: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Both, by hash; they have none in common."""
+    put = np.searchsorted(words[0], more[0])
+    return tuple(np.insert(a, put, b) for a, b in zip(words, more))

@@ -47,7 +47,7 @@ def count_tokens(docs: DataFrame, path: str, version: str) -> DataFrame:
         F.xxhash64("text").alias("text_hash"),
         F.xxhash64(F.lit(7), "text").alias("text_hash2"),
     )
-    return map_batches(read, make, "doc_id long, source string, lang string, tokenizer string, text_hash long, text_hash2 long, n_tokens long")
+    return map_batches(read, make, "doc_id long, source string, lang string, tokenizer string, text_hash long, text_hash2 long, n_tokens long", 2048)
 
 
 def signed(rows: DataFrame, sign: int) -> DataFrame:
