@@ -296,3 +296,17 @@ def has_excerpt(source: Column, excerpt: Column, length: int = 20) -> Column:
     """Whether a source holds the first characters of an excerpt, white space aside. An empty excerpt is in none."""
     start = F.substring(no_space(F.coalesce(excerpt, F.lit(""))), 1, length)
     return (start != "") & F.contains(no_space(F.coalesce(source, F.lit(""))), start)
+
+
+# What evaluation leaves out of a text.
+EVALUATION_MARKS = r"""(?U)[\s\x1c-\x1f，。、；：？！,.;:?!()（）【】\[\]"'’“”]+"""
+
+
+def evaluation_text(x: Column) -> Column:
+    """A text without white space and punctuation, for comparison of what was read with the truth."""
+    return F.regexp_replace(x, EVALUATION_MARKS, "")
+
+
+def evaluation_number(x: Column) -> Column:
+    """A number without white space and thousands marks, its full-width percent sign and point made plain."""
+    return replaced(x, (r"(?U)[\s\x1c-\x1f,，]+", ""), ("％", "%"), ("。", "."))

@@ -180,3 +180,24 @@ def exam_review(sessions: DataFrame) -> DataFrame:
 def graded(items: DataFrame, require_answered: bool = False) -> DataFrame:
     """Adds ``right`` to rows with answer and key arrays; a missing answer is an empty one."""
     return items.withColumn("right", is_right(F.col("answer"), F.col("key"), require_answered))
+
+
+def variant_records(attempts: DataFrame) -> DataFrame:
+    """Attempts at variants of questions as rows to append: the variant and the answer as JSON, and whether it is right.
+
+    Takes id, question_id, stem, options, answer, explanation, user_answer and created_at. An answer is right if it has
+    the key's different values, trimmed and in upper case, in whatever order; a blank is a value, null is no answer.
+    """
+
+    def values(x: str) -> Column:
+        given = F.coalesce(F.col(x), F.array().cast("array<string>"))
+        return F.array_sort(F.array_distinct(F.transform(given, lambda v: F.upper(F.trim(v)))))
+
+    return attempts.select(
+        "id",
+        F.col("question_id").alias("source_question_id"),
+        F.to_json(F.struct("stem", "options", "answer", "explanation")).alias("variant_json"),
+        F.to_json("user_answer").alias("user_answer_json"),
+        (values("answer") == values("user_answer")).alias("correct"),
+        "created_at",
+    )

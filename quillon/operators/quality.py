@@ -220,3 +220,34 @@ def trace_coverage(evidence: DataFrame) -> DataFrame:
     counted = pages.agg(F.count_if("p.exact").alias("exact"), F.count_if(~F.col("p.exact")).alias("estimated")).withColumn("_k", F.lit(1))
     states = evidence.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("available", "partial", "unavailable"))).withColumn("_k", F.lit(1))
     return states.join(F.broadcast(counted), "_k").drop("_k")
+
+
+# The names of page types.
+SOLUTION, FIGURES, MATERIAL, BLANK, PLAIN = "解析", "图形推理候选", "资料分析", "blank-or-cover", "普通文字"
+
+
+def page_type(solved: Column, layer_chars: Column, lines: Column, figures: Column, grid: Column, images: Column, numbers: Column) -> Column:
+    """Struct of a read page's type and confidence by its signals; the first rule that holds counts, a null signal holds in none.
+
+    solved: whether a mark of answers or explanations stands on it; numbers: how many numbers its lines hold.
+    """
+    rules = [
+        (solved, SOLUTION, 0.9),
+        ((images >= 3) & (lines < 30), FIGURES, 0.75),
+        ((figures >= 2) & (grid | (numbers >= 60)), MATERIAL, 0.8),
+        (grid & (numbers >= 30), MATERIAL, 0.7),
+        ((lines <= 3) & (layer_chars < 5) & (figures == 0), BLANK, 0.85),
+    ]
+    out = [F.when(hit, F.struct(F.lit(kind).alias("type"), F.lit(sure).alias("confidence"))) for hit, kind, sure in rules]
+    return F.coalesce(*out, F.struct(F.lit(PLAIN).alias("type"), F.lit(0.6).alias("confidence")))
+
+
+def unread_page_type(chars: Column, images: Column, solutions: Column, subject: Column, material: str = "资料分析", judgement: str = "判断推理") -> Column:
+    """A coarse type of a page that hasn't been read, by its text layer, its images, its booklet and its subject."""
+    return (
+        F.when((chars < 5) & (images <= 0), BLANK)
+        .when(solutions, SOLUTION)
+        .when(subject == material, MATERIAL)
+        .when((subject == judgement) & (images > 0), FIGURES)
+        .otherwise(PLAIN)
+    )

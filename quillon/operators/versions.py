@@ -111,3 +111,22 @@ def missing(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Conversions (converter, content_hash) that the cache doesn't hold, with their key."""
     key = F.substring(F.sha2(F.concat_ws("|", "converter", "content_hash"), 256), 1, 32)
     return wanted.withColumn("key", key).join(cache.filter("valid").select("key"), "key", "left_anti")
+
+
+def protected_changes(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Rows whose protected fields a revision changed, with those fields' names in order; null equals null.
+
+    Keys that only one side has, and null keys, take no part: a new or deleted row changes no field.
+    """
+    old = before.select(F.col(key), F.struct(*fields).alias("_old"))
+    new = after.select(F.col(key), F.struct(*fields).alias("_new"))
+    changed = F.array_compact(F.array(*(F.when(~F.col(f"_old.{f}").eqNullSafe(F.col(f"_new.{f}")), F.lit(f)) for f in fields)))
+    return old.join(new, key).select(key, changed.alias("changed")).filter(F.size("changed") > 0)
+
+
+def emptied(tables: dict[str, DataFrame], names: list[str]) -> dict[str, DataFrame]:
+    """The tables with those of the given names emptied, their columns kept; the rest as they are."""
+    unknown = set(names) - set(tables)
+    if unknown:
+        raise ValueError(f"no such tables: {sorted(unknown)}")
+    return {n: t.limit(0) if n in names else t for n, t in tables.items()}
