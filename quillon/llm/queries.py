@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import idfile, langid, licenses, mih, packing, pii, simhash, spans, tokencounts, winnow
+from quillon.llm import idfile, langid, licenses, mih, packing, periodic, pii, simhash, spans, spelling, tokencounts, winnow
 from quillon.llm.arrow import TOKENIZERS, tokenizer_path
 from quillon.storage import cut, fresh_path
 
@@ -69,6 +69,14 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZERS["byte"]))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
@@ -80,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
     "op10_pack": op10_pack,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling": op13_spelling,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
