@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import idfile, langid, licenses, mih, packing, periodic, pii, simhash, spans, spelling, tokencounts, winnow
+from quillon.llm import idfile, langid, licenses, mih, packing, periodic, pii, secretscan, simhash, spans, spelling, tokencounts, winnow
 from quillon.llm.arrow import TOKENIZERS, tokenizer_path
 from quillon.storage import cut, fresh_path
 
@@ -69,6 +69,11 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZERS["byte"]))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secretscan.find_secrets(docs, secretscan.train(docs))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.find_runs(_table(spark, sf_dir, "documents"), plant=True)
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_simhash": op9_simhash,
     "op10_pack": op10_pack,
+    "op11_secrets": op11_secrets,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_spelling": op13_spelling,
 }
