@@ -72,10 +72,60 @@ def review_state(attempts: DataFrame, keys: list[str] | None = None) -> DataFram
     )
 
 
-def due_reviews(state: DataFrame, questions: DataFrame, as_of: Column, limit: int = 500) -> DataFrame:
-    """Questions of the library whose review is open and due, earliest first."""
+def review_state_after(prior: DataFrame, attempts: DataFrame) -> DataFrame:
+    """States of the attempted questions, from their states before (none: never attempted) and later attempts alone.
+
+    ``prior`` has the columns of ``review_state`` and also rows with a wrong_count of zero; so has the result. All attempts
+    must be later than their question's last_attempt_at. The same aggregates as ``review_state``: the prior state takes the
+    place of all attempts up to it, unless a wrong or forgotten answer among the new ones starts the streak anew.
+    """
+    fb = F.coalesce(F.col("feedback"), F.lit("normal")) if "feedback" in attempts.columns else F.lit("normal")
+    at = F.struct(F.col("created_at").alias("t"), F.col("id").alias("i"))
+    rows = attempts.select("question_id", "correct", F.when(F.trim("wrong_cause") != "", F.col("wrong_cause")).alias("cause"), fb.alias("fb"), at.alias("at"))
+    wrong = ~F.col("correct")
+    first = rows.groupBy("question_id").agg(
+        F.count_if(wrong).alias("wrong"),
+        F.min(F.when(wrong, F.col("at.t"))).alias("first_wrong"),
+        F.max(F.when(wrong | (F.col("fb") == "forgot"), F.col("at"))).alias("reset"),
+        F.max("at").alias("last"),
+        F.max_by("cause", F.when(wrong & F.col("cause").isNotNull(), F.col("at"))).alias("cause"),
+    )
+    after = rows.select("question_id", "correct", "fb", "at").join(first.select("question_id", "reset"), "question_id").filter(F.col("reset").isNull() | (F.col("at") >= F.col("reset")))
+    step = F.col("correct") & F.col("fb").isin("normal", "easy") & (F.col("reset").isNull() | (F.col("at") > F.col("reset")))
+    second = after.groupBy("question_id").agg(
+        F.count_if(step).alias("steps"),
+        F.min(F.when(step, F.struct("at", "fb"))).alias("first_step"),
+        F.max(F.when(~step, F.col("at"))).alias("other"),
+        F.max_by("fb", "at").alias("last_fb"),
+    )
+    old = prior.select("question_id", F.col("wrong_count").alias("_wrong"), F.col("correct_streak").alias("_streak"), F.col("last_cause").alias("_cause"), F.col("first_wrong_at").alias("_first"), F.col("due_at").alias("_due"))
+    before = F.when(F.col("reset").isNull(), F.coalesce("_streak", F.lit(0))).otherwise(0)
+    streak = before + F.col("steps")
+    count = F.coalesce("_wrong", F.lit(0)) + F.col("wrong")
+    mastered = (streak >= 2) & F.col("last_fb").isin("normal", "easy")
+    # A step masters unless it is the first of its streak.
+    from_step = (before == 0) & F.col("first_step").isNotNull() & (F.col("other").isNull() | (F.col("first_step.at") > F.col("other")))
+    days = F.when(F.col("first_step.fb") == "easy", 5).otherwise(3)
+    due = F.when(from_step, plus_days(F.col("first_step.at.t"), days)).when(F.col("other").isNotNull(), plus_days(F.col("other.t"), F.lit(1))).otherwise(F.col("_due"))
+    some = count > 0
+    return first.join(second, "question_id").join(old, "question_id", "left").select(
+        "question_id",
+        count.alias("wrong_count"),
+        F.when(some, streak).otherwise(0).alias("correct_streak"),
+        F.coalesce(some & mastered, F.lit(False)).alias("mastered"),
+        F.when(some, F.coalesce("cause", "_cause")).alias("last_cause"),
+        F.coalesce("_first", "first_wrong").alias("first_wrong_at"),
+        F.col("last.t").alias("last_attempt_at"),
+        F.when(some, due).alias("due_at"),
+        F.when(some & mastered, F.col("last.t")).alias("completed_at"),
+    )
+
+
+def due_reviews(state: DataFrame, questions: DataFrame, as_of: Column, limit: int | None = 500) -> DataFrame:
+    """Questions of the library whose review is open and due, earliest first; a limit of None gives all."""
     open_ = state.filter(F.col("completed_at").isNull() & (F.col("due_at") <= as_of))
-    return open_.join(questions.select(F.col("id").alias("question_id"), "stem", "category"), "question_id").orderBy("due_at", "question_id").limit(min(500, limit))
+    due = open_.join(questions.select(F.col("id").alias("question_id"), "stem", "category"), "question_id").orderBy("due_at", "question_id")
+    return due if limit is None else due.limit(limit)
 
 
 def recent_distinct(attempts: DataFrame, n: int) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def diff(old: DataFrame, new: DataFrame, key: str = "id", content: str = "content_hash") -> DataFrame:
-    """key and change (added, updated, removed, same) between two versions of a library."""
-    o, n = old.select(key, F.col(content).alias("_old")), new.select(key, F.col(content).alias("_new"))
-    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "updated").otherwise("same")
+    """key and change (added, updated, removed, same) between two versions of a library; a null content equals a null one."""
+    o, n = (df.select(key, F.struct(F.col(content).alias("c")).alias(side)) for df, side in ((old, "_old"), (new, "_new")))
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(~F.col("_old.c").eqNullSafe(F.col("_new.c")), "updated").otherwise("same")
     return o.join(n, key, "full_outer").select(key, change.alias("change"))
 
 

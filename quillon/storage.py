@@ -71,3 +71,51 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table through Hadoop's file system API."""
     fs, target = file_system(spark, path)
     fs.delete(target, True)
+
+
+def rename_once(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a written file or folder its name in one step, unless the name is taken; whether it was given.
+
+    The loser of a race is deleted, so nothing half-written ever has the name.
+    """
+    jvm = spark._jvm
+    fs, old = file_system(spark, source)
+    _, new = file_system(spark, target)
+    fs.mkdirs(new.getParent())
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        files.rename(old, new, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception:
+        fs.delete(old, True)
+        if fs.exists(new):
+            return False
+        raise
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, such as a manifest."""
+    fs, target = file_system(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file; FileExistsError if there is one."""
+    fs, target = file_system(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    stream = fs.create(target, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, in order; none if there is no such folder."""
+    fs, target = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
