@@ -8,12 +8,12 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillon.storage import cut, file_system
 
-STATE = "wrong_count long, correct_streak long, mastered boolean, last_cause string, first_wrong_us long, last_us long, due_us long, completed_us long"
 OUT = "question_id long, wrong_count long, correct_streak long, mastered boolean, last_cause string, first_wrong_at timestamp_ntz, last_attempt_at timestamp_ntz, due_at timestamp_ntz, completed_at timestamp_ntz"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _DAY = 86_400_000_000
 _EPOCH = datetime(1970, 1, 1)
 
@@ -33,27 +33,113 @@ def step(s: tuple, us: int, correct: bool, cause: str | None, feedback: str) ->
     return wrong, streak, False, last_cause, first, us, us + {"easy": 5, "normal": 3}.get(feedback, 1) * _DAY, None
 
 
-def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    s = state.get if state.exists else (0, 0, False, None, None, None, None, None)
-    # A batch's attempts of one question are put in order here; no attempt is ever dropped as late.
-    rows = pd.concat(list(frames)).sort_values(["us", "id"])
-    for r in rows.itertuples():
-        s = step(s, int(r.us), bool(r.correct), r.wrong_cause, r.feedback or "normal")
-    state.update(tuple(None if x is None else x for x in s))
-    if s[0]:
-        at = lambda us: None if us is None else _EPOCH + timedelta(microseconds=int(us))
-        yield pd.DataFrame([(key[0], s[0], s[1], s[2], s[3], at(s[4]), at(s[5]), at(s[6]), at(s[7]))], columns=[c.split()[0] for c in OUT.split(", ")]).astype({"first_wrong_at": "datetime64[us]", "last_attempt_at": "datetime64[us]", "due_at": "datetime64[us]", "completed_at": "datetime64[us]"})
+_FOLD = (
+    "wrong long, first_wrong long, reset_us long, reset_id long, last_us long, last_id long, last_fb string, cause_us long, cause_id long, cause string, "
+    "steps long, step_us long, step_id long, step_fb string, other_us long, other_id long"
+)
+_EMPTY = (0, None, None, None, None, None, None, None, None, None, 0, None, None, None, None, None)
+_TIMES = ("first_wrong_at", "last_attempt_at", "due_at", "completed_at")
+
+
+def _later(us: int, number: int, than_us: int | None, than_id: int | None) -> bool:
+    return than_us is None or (us, number) > (than_us, than_id)
+
+
+class ReviewLog(StatefulProcessor):
+    """The review fold of one question, whatever order its attempts come in.
+
+    Two states: a summary, and a log of the attempts after the last reset (a wrong or forgotten answer), by time and id. An
+    attempt before the reset changes the summary's counts only. One after it is logged and counted. A new last reset, also
+    one that comes late, drops the log up to it and counts the rest anew. Frames are taken one at a time.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.fold = handle.getValueState("fold", _FOLD)
+        self.log = handle.getMapState("log", "us long, id long", "fb string, step boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        s = list(self.fold.get() if self.fold.exists() else _EMPTY)
+        names = [c.split()[0] for c in _FOLD.split(", ")]
+        f = dict(zip(names, s))
+        for frame in rows:
+            self._take(f, frame)
+        self.fold.update(tuple(f[n] for n in names))
+        if f["wrong"]:
+            yield _shown(key[0], f)
+
+    def _take(self, f: dict, frame: pd.DataFrame) -> None:
+        fresh, moved = [], False
+        for r in frame.itertuples():
+            us, number = int(r.us), int(r.id)
+            fb = r.feedback if isinstance(r.feedback, str) else "normal"
+            if _later(us, number, f["last_us"], f["last_id"]):
+                f["last_us"], f["last_id"], f["last_fb"] = us, number, fb
+            if not r.correct:
+                f["wrong"] += 1
+                f["first_wrong"] = us if f["first_wrong"] is None else min(us, f["first_wrong"])
+                if isinstance(r.wrong_cause, str) and r.wrong_cause.strip(" ") and _later(us, number, f["cause_us"], f["cause_id"]):
+                    f["cause_us"], f["cause_id"], f["cause"] = us, number, r.wrong_cause
+            resets = not r.correct or fb == "forgot"
+            if not _later(us, number, f["reset_us"], f["reset_id"]):
+                continue
+            if resets:
+                f["reset_us"], f["reset_id"], moved = us, number, True
+            else:
+                fresh.append((us, number, fb, fb in ("normal", "easy")))
+        for us, number, fb, step in fresh:
+            if _later(us, number, f["reset_us"], f["reset_id"]):
+                self.log.updateValue((us, number), (fb, step))
+                if not moved:
+                    _count(f, us, number, fb, step)
+        if moved:
+            f.update(steps=0, step_us=None, step_id=None, step_fb=None, other_us=f["reset_us"], other_id=f["reset_id"])
+            gone = []
+            for (us, number), (fb, step) in self.log.iterator():
+                if _later(us, number, f["reset_us"], f["reset_id"]):
+                    _count(f, us, number, fb, step)
+                else:
+                    gone.append((us, number))
+            for at in gone:
+                self.log.removeKey(at)
+
+    def close(self) -> None:
+        pass
+
+
+def _count(f: dict, us: int, number: int, fb: str, step: bool) -> None:
+    """One more attempt after the last reset: a step of the streak, or another that only sets a date."""
+    if not step:
+        if _later(us, number, f["other_us"], f["other_id"]):
+            f["other_us"], f["other_id"] = us, number
+        return
+    f["steps"] += 1
+    if f["step_us"] is None or (us, number) < (f["step_us"], f["step_id"]):
+        f["step_us"], f["step_id"], f["step_fb"] = us, number, fb
+
+
+def _shown(question: int, f: dict) -> pd.DataFrame:
+    mastered = f["steps"] >= 2 and f["last_fb"] in ("normal", "easy")
+    if f["steps"] and (f["other_us"] is None or (f["step_us"], f["step_id"]) > (f["other_us"], f["other_id"])):
+        due = f["step_us"] + (5 if f["step_fb"] == "easy" else 3) * _DAY
+    else:
+        due = f["other_us"] + _DAY
+    row = (question, f["wrong"], f["steps"], mastered, f["cause"], *(None if us is None else _EPOCH + timedelta(microseconds=us) for us in (f["first_wrong"], f["last_us"], due, f["last_us"] if mastered else None)))
+    return pd.DataFrame([row], columns=[c.split()[0] for c in OUT.split(", ")]).astype(dict.fromkeys(_TIMES, "datetime64[us]"))
 
 
 def review_stream(attempts: DataFrame) -> DataFrame:
     """Streaming attempts (id, question_id, correct, wrong_cause, created_at, optional feedback) to changed states.
 
-    Each batch gives the new state of every question in it that has ever been answered wrongly (update mode). There is
-    no watermark: attempts never expire.
+    Each batch gives the new state of every question in it that has ever been answered wrongly (update mode), equal to
+    ``practice.review_state`` of all attempts so far: attempts may come late, in any order. There is no watermark and
+    attempts never expire; what is kept of a question is a summary and its attempts after the last wrong or forgotten answer.
+    A session whose state store is not RocksDB raises ValueError: keyed logs need it (``spark.sql.streaming.stateStore.providerClass``).
     """
+    if not attempts.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider"):
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     fb = F.coalesce("feedback", F.lit("normal")) if "feedback" in attempts.columns else F.lit("normal")
     rows = attempts.select("id", "question_id", "correct", "wrong_cause", F.unix_micros(F.col("created_at").cast("timestamp")).alias("us"), fb.alias("feedback"))
-    return rows.groupBy("question_id").applyInPandasWithState(_update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("question_id").transformWithStateInPandas(ReviewLog(), OUT, "Update", "None")
 
 
 def keep_latest(target: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
