@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import stable_id
+from quillon.sources.sqlite import sqlite_table  # noqa: F401
 
 MOST_BYTES, MOST_DEPTH = 5 << 20, 32
 SKIPPED = (".git", "node_modules", ".obsidian", ".trash")
@@ -31,13 +32,42 @@ ALIASES = {
 _OPTION = re.compile(r"^\s*(?:[-*]\s*)?([A-HＡ-Ｈ])\s*[.、．:：)]\s*(.+)$", re.M)
 
 
-def files(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
-    """Files of a folder tree: path, length, modified, content. Ignored folders, too deep and too large ones are left out."""
+def listed(spark: SparkSession, folder: str, pattern: str = "*.md", most_bytes: int | None = MOST_BYTES, most_depth: int | None = MOST_DEPTH) -> DataFrame:
+    """Files of a folder tree with ``left_out``: why one isn't read (ignored, size, depth), null if it is. None: no limit.
+
+    Content is null for files that are left out. Symbolic links are followed nowhere by Hadoop's remote file systems; on a
+    local one those that lead out of the folder are left out (link).
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     parts = F.split("path", "/")
-    depth = F.size(parts) - len(folder.rstrip("/").split("/"))
-    hidden = F.exists(parts, lambda p: p.isin(*SKIPPED))
-    return raw.filter((F.col("length") <= MOST_BYTES) & (depth <= MOST_DEPTH) & ~hidden).select("path", "length", F.col("modificationTime").alias("modified"), "content")
+    depth = F.size(F.split(F.regexp_replace("path", "^[a-z]+:/*", ""), "/")) - len([x for x in folder.split("://")[-1].split("/") if x])
+    reason = F.when(F.exists(parts, lambda p: p.isin(*SKIPPED)), "ignored")
+    if most_depth is not None:
+        reason = reason.when(depth > most_depth, "depth")
+    if most_bytes is not None:
+        reason = reason.when(F.col("length") > most_bytes, "size")
+    for link in _links(folder):
+        reason = reason.when(F.col("path").startswith(link + "/") | (F.col("path") == link), "link")
+    return raw.withColumn("left_out", reason).select("path", "length", F.col("modificationTime").alias("modified"), F.when(F.col("left_out").isNull(), F.col("content")).alias("content"), "left_out")
+
+
+def _links(folder: str) -> list[str]:
+    """Symbolic links in a local folder, as Spark names their paths; remote file systems have none."""
+    import os
+
+    root = folder.removeprefix("file://")
+    if "://" in root or not os.path.isdir(root):
+        return []
+    found = []
+    for at, folders, names in os.walk(root):
+        found += ["file:" + os.path.join(at, n) for n in (*folders, *names) if os.path.islink(os.path.join(at, n))]
+    return found
+
+
+def files(spark: SparkSession, folder: str, pattern: str = "*.md", most_bytes: int | None = MOST_BYTES, most_depth: int | None = MOST_DEPTH) -> DataFrame:
+    """Files of a folder tree: path, length, modified, content. Ignored folders, symbolic links, too deep and too large files
+    are left out; ``listed`` says which."""
+    return listed(spark, folder, pattern, most_bytes, most_depth).filter("left_out is null").drop("left_out")
 
 
 def eligible(listing: DataFrame, most: int = 256 << 20) -> DataFrame:
@@ -160,22 +190,6 @@ def json_papers(spark: SparkSession, folder: str) -> DataFrame:
     return good.select("paper", "year", (F.col("place") + 1).alias("place"), "q.*")
 
 
-def sqlite_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of an SQLite file on the driver, in batches. Such a file is one machine's store; larger ones come as Parquet.
-    An empty table has its columns, as strings."""
-    import sqlite3
-
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        columns = [c[0] for c in db.execute(f'SELECT * FROM "{name}" LIMIT 0').description]
-        frames = [spark.createDataFrame(f) for f in pd.read_sql_query(f'SELECT * FROM "{name}"', db, chunksize=50_000) if len(f)]
-    if not frames:
-        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def taxonomy(tree: DataFrame) -> DataFrame:
     """(json) of modules, groups and topics, each with code and name, to code and "module-group-topic"."""
     leaf = "struct<code:string,name:string>"
