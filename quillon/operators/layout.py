@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,37 @@ def reading_order(regions: DataFrame, gutter: float = 0.5, share: float = 0.35)
     return regions.join(pages, ["doc", "page"]).withColumn("column", column).withColumn("place", F.row_number().over(order)).drop("_two")
 
 
+def histogram_gutter(centres: list[float], width: float, smooth: int = 31, share: float = 0.15, least_width: float = 2000, least_lines: int = 6) -> int | None:
+    """The place between two columns of a page in pixels, or None: the emptiest place of its middle in a smoothed histogram of
+    the lines' centres, if it is nearly empty next to the fullest one."""
+    size = int(width) + 1
+    if len(centres) < least_lines or size <= least_width:
+        return None
+    counts = np.bincount(np.clip(np.asarray(centres, float).astype(int), 0, size - 1), minlength=size)
+    smoothed = np.convolve(counts, np.ones(smooth) / smooth, mode="same")
+    first, last = int(size // 2 * 0.4), int(size // 2 * 1.6)
+    gap = first + int(np.argmin(smoothed[first:last]))
+    return gap if smoothed[gap] < share * smoothed.max() and smoothed[gap] < 1 else None
+
+
+def histogram_order(regions: DataFrame) -> DataFrame:
+    """(doc, page, bbox in pixels, region_no) with column and place in reading order, columns parted by ``histogram_gutter``.
+
+    An alternative to ``reading_order``, which suits pages better on the whole: it is for scans whose gutter is off centre.
+    """
+    centre = (F.element_at("bbox", 1) + F.element_at("bbox", 3)) / 2
+
+    @F.pandas_udf("int")
+    def gutter(centres: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([histogram_gutter(c, w) for c, w in zip(centres, width)], dtype="Int32")
+
+    # A page's lines are few, so its array stays small.
+    pages = regions.groupBy("doc", "page").agg(F.collect_list(centre).alias("_c"), F.max(F.element_at("bbox", 3)).alias("_w")).select("doc", "page", gutter("_c", "_w").alias("_gap"))
+    column = F.when(centre >= F.col("_gap"), 1).otherwise(0)
+    order = Window.partitionBy("doc", "page").orderBy("column", F.element_at("bbox", 2), F.element_at("bbox", 1), "region_no")
+    return regions.join(pages, ["doc", "page"]).withColumn("column", column).withColumn("place", F.row_number().over(order)).drop("_gap")
+
+
 def segments(numbers: DataFrame) -> DataFrame:
     """(doc, place, num) with ``segment``: a new one begins where the number falls or repeats."""
     w = Window.partitionBy("doc").orderBy("place")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quillon.functions.text import for_alignment, shingles
 
@@ -57,28 +60,67 @@ def by_position(questions: DataFrame, solutions: DataFrame, reach: int = 2) -> D
     return pairs.join(best, ["book", "set_no", "offset"]).select("book", "set_no", "num", "solution_num", "offset", "answer", "score")
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def common_run(a: str, b: str) -> int:
+    """Length of the longest run of characters that both texts hold.
+
+    Bisection over the length: hashes of all runs of one length, from prefix sums, meet or don't; where some meet the runs
+    themselves are compared, as runs whose hashes alone are equal would not count.
+    """
+    x, y = _codes(a), _codes(b)
+    power = np.ones(max(len(x), len(y)) + 1, np.uint64)
+    power[1:] = 0x9E3779B97F4A7C15
+    np.multiply.accumulate(power, out=power)
+
+    def prefix(c: np.ndarray) -> np.ndarray:
+        mixed = (c + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.concatenate(([np.uint64(0)], np.cumsum((mixed ^ (mixed >> np.uint64(31))) * power[: len(c)])))
+
+    px, py = prefix(x), prefix(y)
+
+    def shared(n: int) -> bool:
+        # Each run's sum is brought to the power of the last place, so that places don't matter.
+        hx = (px[n:] - px[:-n]) * power[len(x) - n :: -1][: len(x) - n + 1]
+        hy = (py[n:] - py[:-n]) * power[len(y) - n :: -1][: len(y) - n + 1]
+        shift = len(x) - len(y)
+        hx, hy = (hx, hy * power[shift]) if shift >= 0 else (hx * power[-shift], hy)
+        both = np.intersect1d(hx, hy)
+        if not len(both):
+            return False
+        runs = {a[i : i + n] for i in np.flatnonzero(np.isin(hx, both)).tolist()}
+        return any(b[i : i + n] in runs for i in np.flatnonzero(np.isin(hy, both)).tolist())
+
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if shared(middle) else (low, middle - 1)
+    return low
+
+
 def longest_common(a: str | None, b: str | None) -> float:
-    """Length of the longest common run of characters over the shorter text's length."""
-    if not a or not b:
-        return 0.0
-    best, row = 0, [0] * (len(b) + 1)
-    for x in a:
-        above = 0
-        for j, y in enumerate(b, 1):
-            above, row[j] = row[j], above + 1 if x == y else 0
-            best = max(best, row[j])
-    return best / min(len(a), len(b))
+    """Length of the longest common run of characters over the shorter text's length; 0 if either is empty."""
+    return common_run(a, b) / min(len(a), len(b)) if a and b else 0.0
+
+
+@F.pandas_udf(DoubleType())
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``longest_common`` of two columns, batch by batch."""
+    return pd.Series([longest_common(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def by_section(questions: DataFrame, solutions: DataFrame, titles: Column, least: float = 0.6, gap: int = 3) -> DataFrame:
-    """Pair by number within sections that match by title, each solution once. ``titles``: the likeness of q_title and s_title.
+def by_section(questions: DataFrame, solutions: DataFrame, titles: Column | None = None, least: float = 0.6, gap: int = 3) -> DataFrame:
+    """Pair by number within sections that match by title, each solution once. ``titles``: the likeness of q_title and s_title,
+    their longest common run over the shorter's length by default.
 
     A section goes to the one with the most alike title (``least`` or more), else to the one in its position. Of several
     candidates the nearest in order wins; pairs whose orders within their sections differ by more than ``gap`` are left out.
     """
     qs = questions.select("book", F.col("section").alias("q_section"), F.col("title").alias("q_title")).distinct()
     ss = solutions.select("book", F.col("section").alias("s_section"), F.col("title").alias("s_title")).distinct()
-    like = qs.join(ss, "book").withColumn("likeness", titles)
+    like = qs.join(ss, "book").withColumn("likeness", likeness("q_title", "s_title") if titles is None else titles)
     named = like.filter(F.col("likeness") >= least).groupBy("book", "q_section").agg(F.max_by("s_section", F.struct("likeness", -F.col("s_section"))).alias("s_section"))
     placed = qs.join(named.select("book", "q_section"), ["book", "q_section"], "left_anti").select("book", "q_section", F.col("q_section").alias("s_section"))
     sections = named.unionByName(placed)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ordering import running_total
+
 
 def diff(old: DataFrame, new: DataFrame, key: str = "id", content: str = "content_hash") -> DataFrame:
     """key and change (added, updated, removed, same) between two versions of a library; a null content equals a null one."""
@@ -93,18 +95,13 @@ def switched(rows: DataFrame, chosen: object, key: str = "id") -> DataFrame:
     return rows.withColumn("active", F.col(key) == F.lit(chosen))
 
 
-def evicted(entries: DataFrame, most_bytes: int) -> DataFrame:
+def evicted(entries: DataFrame, most_bytes: int, per_task: int = 500_000) -> DataFrame:
     """Cache entries (key, bytes, used_at) that have to go, the longest unused first, until the rest fits.
 
-    The running total needs one order over all entries: days are summed first and only the day in which the limit
-    falls is ordered entry by entry.
+    The running total over all entries is summed by ranges of about ``per_task`` entries, whatever times they share.
     """
-    day = F.to_date("used_at")
-    days = entries.groupBy(day.alias("day")).agg(F.sum("bytes").alias("bytes"))
-    newer = days.withColumn("newer", F.coalesce(F.sum("bytes").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = entries.withColumn("day", day).join(newer.select("day", "newer"), "day")
-    inside = F.sum("bytes").over(Window.partitionBy("day").orderBy(F.desc("used_at"), "key").rowsBetween(Window.unboundedPreceding, 0))
-    return joined.withColumn("total", F.col("newer") + inside).filter(F.col("total") > most_bytes).select("key", "bytes", "used_at")
+    totals = running_total(entries.select("key", "bytes", "used_at"), "bytes", [F.desc("used_at"), F.asc("key")], per_task=per_task)
+    return totals.filter(F.col("total") > most_bytes).select("key", "bytes", "used_at")
 
 
 def missing(wanted: DataFrame, cache: DataFrame) -> DataFrame:

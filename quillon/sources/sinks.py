@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.text import file_segment, html_escaped
+from quillon.sources.store import checksums
+from quillon.storage import cut, file_system, remove, rename_once
 
 
 def question_markdown() -> Column:
@@ -18,8 +26,8 @@ def question_markdown() -> Column:
     return F.concat_ws("\n\n", head, F.col("stem"), F.nullif(options, F.lit("")), tail)
 
 
-def library_document(rows: DataFrame, answers: bool = True, notes: bool = False, html: bool = False) -> DataFrame:
-    """One text for each subject, its questions in order of id: (id, subject, stem, options, answer, note) to subject, text."""
+def library_body(answers: bool = True, notes: bool = False, html: bool = False) -> Column:
+    """A question of a library's document: (id, stem, options, answer, note) as Markdown or HTML."""
     show = (lambda c: html_escaped(c)) if html else (lambda c: c)
     options = F.array_join(F.transform("options", lambda o: F.concat(o["key"], F.lit(". "), show(o["text"]))), "<br>" if html else "\n")
     parts = [F.concat(F.lit("<h3>" if html else "### "), F.col("id").cast("string"), F.lit("</h3>" if html else "")), show(F.col("stem")), F.nullif(options, F.lit(""))]
@@ -27,14 +35,120 @@ def library_document(rows: DataFrame, answers: bool = True, notes: bool = False,
         parts.append(F.concat(F.lit("Answer: "), F.array_join("answer", "")))
     if notes:
         parts.append(F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("Note: "), show(F.col("note")))))
-    body = F.concat_ws("<br>\n" if html else "\n\n", *parts)
-    texts = rows.select("subject", F.struct("id", body.alias("t")).alias("e"))
+    return F.concat_ws("<br>\n" if html else "\n\n", *parts)
+
+
+def library_document(rows: DataFrame, answers: bool = True, notes: bool = False, html: bool = False) -> DataFrame:
+    """One text for each subject, its questions in order of id, for libraries of which a subject fits a row; ``write_library``
+    writes any."""
+    texts = rows.select("subject", F.struct("id", library_body(answers, notes, html).alias("t")).alias("e"))
     return texts.groupBy("subject").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["t"]), "\n\n").alias("text"))
 
 
-def write_markdown(questions: DataFrame, path: str) -> None:
-    """A text file for each category, its name safe for any file system."""
-    questions.select(file_segment(F.col("category")).alias("name"), question_markdown().alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+def write_library(rows: DataFrame, path: str, answers: bool = True, notes: bool = False, html: bool = False, per_task: int = 200_000) -> DataFrame:
+    """A file for each subject, its questions in order of id: what ``library_document`` says, of any size. Returns what
+    ``write_ordered`` does."""
+    head, foot = ("<!doctype html>\n<meta charset=\"utf-8\">\n", "\n") if html else ("", "\n")
+    name = F.concat(file_segment(F.col("subject")), F.lit(".html" if html else ".md"))
+    texts = rows.select(name.alias("name"), "id", library_body(answers, notes, html).alias("text"))
+    return write_ordered(texts, path, ["id"], between="\n\n", head=head, foot=foot, per_task=per_task)
+
+
+def _local(path: str):
+    """The file system of a path as Arrow sees it, from whatever machine this runs on."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path.removeprefix("file:"))
+
+
+def write_ordered(rows: DataFrame, path: str, order: list[str], between: str = "\n", head: str = "", foot: str = "", per_task: int = 200_000) -> DataFrame:
+    """A file for each ``name`` of (name, text and the columns of order): its texts in order, ``between`` them a separator.
+
+    Rows are sorted in ranges of about ``per_task``. Each task streams its range into pieces, and one task for each file
+    streams the pieces into it: no task holds more than a batch of rows or a block of bytes, and one name may have any
+    number of texts. The folder appears whole, by one rename; FileExistsError if it is there. Null names and texts are left
+    out. Returns name, rows and bytes of each file.
+    """
+    spark = rows.sparkSession
+    fs, target = file_system(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    full = str(fs.makeQualified(target).toString())
+    pending = f"{full}._pending-{uuid.uuid4().hex}"
+    given = rows.filter("name is not null and text is not null")
+    n = -(-given.count() // per_task) or 1
+    keys = ["name", *order]
+    ranged = given.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_range", F.spark_partition_id()).select("name", "text", "_range")
+    glue = between.encode()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _local(pending)
+        attempt, name, out, count = uuid.uuid4().hex[:12], None, None, 0
+        done: list[tuple] = []
+
+        def close() -> None:
+            out.close()
+            done.append((name, number, place, count))
+
+        number, place = 0, ""
+        for batch in batches:
+            for this, text, range_ in zip(*(batch.column(c).to_pylist() for c in ("name", "text", "_range"))):
+                if this != name:
+                    if out is not None:
+                        close()
+                    name, number, count = this, range_, 0
+                    place = f"pieces/{range_:08d}-{len(done):08d}-{attempt}"
+                    system.create_dir(f"{root}/pieces", recursive=True)
+                    out = system.open_output_stream(f"{root}/{place}")
+                else:
+                    out.write(glue)
+                out.write(text.encode("utf-8", "surrogatepass"))
+                count += 1
+        if out is not None:
+            close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["name", "number", "place", "count"])
+
+    made = cut(ranged.mapInArrow(pieces, "name string, number long, place string, count long"), "pieces")
+    # A file has one piece for each range at most.
+    files = made.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "place"))), lambda p: p["place"]).alias("places"), F.sum("count").alias("rows"))
+    start, end = head.encode(), foot.encode()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _local(pending)
+        system.create_dir(f"{root}/files", recursive=True)
+        for batch in batches:
+            for name, places, count in zip(*(batch.column(c).to_pylist() for c in ("name", "places", "rows"))):
+                unfinished, size = f"{root}/pieces/whole-{uuid.uuid4().hex}", 0
+                with system.open_output_stream(unfinished) as out:
+                    size += out.write(start) if start else 0
+                    for i, place in enumerate(places):
+                        size += out.write(glue) if i and glue else 0
+                        with system.open_input_stream(f"{root}/{place}") as piece:
+                            while block := piece.read(1 << 20):
+                                size += out.write(block)
+                    size += out.write(end) if end else 0
+                system.move(unfinished, f"{root}/files/{name}")  # another attempt's file, if any, holds the same
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([count], pa.int64()), pa.array([size], pa.int64())], names=["name", "rows", "bytes"])
+
+    written = cut(files.repartition("name").mapInArrow(join, "name string, rows long, bytes long"), "files")
+    file_system(spark, f"{pending}/files")[0].mkdirs(file_system(spark, f"{pending}/files")[1])
+    moved = rename_once(spark, f"{pending}/files", full)
+    remove(spark, pending)
+    if not moved:
+        raise FileExistsError(path)
+    return written
+
+
+def write_markdown(questions: DataFrame, path: str) -> DataFrame:
+    """One Markdown file for each question, named by its id; the folder appears whole. Returns name, rows and bytes.
+
+    Ids whose safe names are the same get a suffix of their hash; of repeated ids the texts follow each other.
+    """
+    segment = file_segment(F.col("id").cast("string"))
+    plain = F.lower(segment) == F.col("id").cast("string")
+    name = F.concat(F.when(plain, segment).otherwise(F.concat(segment, F.lit("-"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 8))), F.lit(".md"))
+    return write_ordered(questions.select(name.alias("name"), question_markdown().alias("text")), path, ["text"], foot="\n")
 
 
 def ledger(rows: DataFrame, path: str) -> None:
@@ -69,20 +183,33 @@ def template_csv(pages: DataFrame, path: str) -> None:
     pages.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
+_MANIFEST = "name string, version int, rows long, checksum string, schema string"
+
+
 def package(tables: dict[str, DataFrame], path: str, version: int = 1) -> None:
-    """A folder with every table and a manifest of their rows, written last: a package without one is not complete."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    """A folder with every table and a manifest of their rows and checksums. It appears whole, by one rename; FileExistsError
+    if it is there already."""
     spark = next(iter(tables.values())).sparkSession
-    counts = [(name, version, spark.read.parquet(f"{path}/{name}").count()) for name in tables]
-    spark.createDataFrame(counts, "name string, version int, rows long").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    fs, target = file_system(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    pending = f"{path.rstrip('/')}._pending-{uuid.uuid4().hex}"
+    manifest = []
+    for name, df in tables.items():
+        df.write.parquet(f"{pending}/{name}")
+        sums = checksums(spark.read.schema(df.schema).parquet(f"{pending}/{name}")).first()
+        manifest.append((name, version, sums["rows"], sums["checksum"], df.schema.json()))
+    spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.json(f"{pending}/manifest")
+    if not rename_once(spark, pending, path.rstrip("/")):
+        raise FileExistsError(path)
 
 
 def read_package(spark, path: str) -> dict[str, DataFrame]:
-    """The tables of a package; ValueError if its manifest doesn't agree with them."""
+    """The tables of a package; ValueError if any hasn't the contents that the manifest names."""
     out = {}
-    for row in spark.read.schema("name string, version int, rows long").json(f"{path}/manifest").collect():
-        out[row["name"]] = spark.read.parquet(f"{path}/{row['name']}")
-        if out[row["name"]].count() != row["rows"]:
-            raise ValueError(f"{row['name']} has not the rows that the manifest names")
+    for row in spark.read.schema(_MANIFEST).json(f"{path}/manifest").collect():
+        table = spark.read.schema(T.StructType.fromJson(json.loads(row["schema"]))).parquet(f"{path}/{row['name']}")
+        if tuple(checksums(table).first()) != (row["rows"], row["checksum"]):
+            raise ValueError(f"{row['name']} has not the contents that the manifest names")
+        out[row["name"]] = table
     return out
