@@ -29,12 +29,6 @@ def chunk_documents(spark, sf):
     return parsers.chunk_documents(_docs(spark, sf).select(F.col("doc_id").alias("doc"), "text")).select("doc", "chunk_no", F.char_length("chunk").alias("chars"))
 
 
-@query("question_detection")
-def question_detection(spark, sf):
-    lines = _docs(spark, sf).select(F.col("doc_id").alias("doc"), T.clean_lines(F.col("text")).alias("lines"))
-    return parsers.parse_lines(lines, parsers.page_numbers).select("doc", "num", "options", "line_no")
-
-
 def _book(spark, sf):
     """A booklet for each order: its lines are numbered questions with options."""
     row = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
@@ -43,6 +37,11 @@ def _book(spark, sf):
     return orders.select("doc", F.flatten(lines).alias("lines"))
 
 
+@query("question_detection", "SELECT l_orderkey AS doc, CAST(row_number() OVER w AS INT) AS num, CAST(4 AS INT) AS options, CAST(5 * (row_number() OVER w - 1) AS INT) AS line_no FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)")
+def question_detection(spark, sf):
+    return parsers.parse_lines(_book(spark, sf), parsers.page_numbers).select("doc", "num", "options", "line_no")
+
+
 @query("question_book", "SELECT l_orderkey AS doc, CAST(1 AS INT) AS set_no, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS num, concat('question text ', CAST(l_partkey AS VARCHAR)) AS stem, CAST(4 AS INT) AS options FROM lineitem")
 def question_book(spark, sf):
     return parsers.parse_lines(_book(spark, sf), parsers.question_book).select("doc", "set_no", "num", "stem", F.size("options").alias("options"))

@@ -149,9 +149,10 @@ def catalog_search(spark, sf):
     return questions(spark, sf).filter(catalog.keyword([F.col("stem"), F.array_join("tags", " ")], "RED")).select("id", "stem")
 
 
-@query("catalog_search_literal", "SELECT question_id, content FROM notes WHERE contains(lower(content), '_een')")
+@query("catalog_search_literal", "SELECT doc_id, length(text) AS chars FROM documents WHERE contains(lower(text), '%%% ')")
 def catalog_search_literal(spark, sf):
-    return notes(spark, sf).filter(catalog.keyword([F.col("content")], "_een", literal=True)).select("question_id", "content")
+    """The marks of LIKE stand for themselves."""
+    return table(spark, sf, "documents").filter(catalog.keyword([F.col("text")], "%%% ", literal=True)).select("doc_id", F.char_length("text").alias("chars"))
 
 
 @query("catalog_search_wildcard", "SELECT question_id, content FROM notes WHERE content ILIKE '%_een%'")
