@@ -70,7 +70,12 @@ def features(words: list[str]) -> set[str]:
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
     """Places of a text's lines that aren't blank."""
-    return [(m.start(), m.end()) for m in re.finditer(r"[^\n]*\S[^\n]*", text)]
+    out, at = [], 0
+    for line in text.split("\n"):
+        if line.strip():
+            out.append((at, at + len(line)))
+        at += len(line) + 1
+    return out
 
 
 def blocks(lines: list[tuple[int, int]], text: str) -> list[tuple[int, int]]:

@@ -95,3 +95,16 @@ def test_texts_without_a_telling_word_have_no_notice(documents):
         for t in templates:
             rest = {g for g in t if telling.isdisjoint(g.split(" "))}
             assert len(rest) < model.confirm * len(t)
+
+
+def test_long_runs_of_blanks_take_linear_time(spark, documents):
+    """A million blanks on one line of a text that names a licence, and a million blank lines."""
+    import time
+
+    model = licenses.train(documents)
+    start = time.time()
+    for blanks in (" " * 1_000_000, "\n" * 1_000_000, " \t" * 200_000 + "\n" + "  " * 200_000):
+        found = model.scan("Licensed under the MIT License." + blanks + "\nReleased under the BSD 3-Clause License.")
+        assert [f[2] for f in found] == ["MIT", "BSD"]
+    assert time.time() - start < 30
+    assert licenses.paragraphs("a\n \n\n b \r\n") == [(0, 1), (5, 9)]
