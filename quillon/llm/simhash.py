@@ -3,27 +3,28 @@
 Different fingerprints are put in tiles by the population counts of their four 16-bit quarters. Two fingerprints
 within ``radius`` bits have counts that differ by no more than ``radius`` over all quarters, so every other pair of
 tiles is skipped unseen. Blocks hold tiles with the same counts of the upper two quarters; pairs of blocks whose counts
-differ by more are never made. The tiles that remain are compared whole with exclusive-or and bit counts, and each pair
-of blocks returns a spanning forest of its links: all that components need, and no more rows than fingerprints.
+differ by more are skipped. The tiles that remain are compared whole with exclusive-or and bit counts. Blocks meet in the
+cells of a grid, and each cell returns a spanning forest of its links: all that components need, and no more rows than
+fingerprints.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillon.llm.arrow import _arrow_schema, id_and_text, map_batches, small_batches
+from quillon.llm.arrow import id_and_text, map_batches
 from quillon.operators.graph import connected_components
 from quillon.storage import cut
 
 _BLOCK = 2048
 _CELLS = 1 << 18
+#: Links of a cell before they are merged to a forest.
+_LINKS = 1 << 20
 
 
 def fingerprint_of(text: str | None, shingle: int = 4) -> int:
@@ -130,43 +131,73 @@ def _near_keys(radius: int) -> list[int]:
     return sorted(k for k in (a * 32 + b for a, b in product(span, repeat=2) if abs(a) + abs(b) <= radius) if k >= 0)
 
 
+def _groups_for(rows: int) -> int:
+    """How many groups blocks are dealt out to: half the root of the blocks, so that neither the blocks that a cell holds nor
+    the cells that a block is sent to grow faster than that root."""
+    return 1 if rows <= 2 * _BLOCK else max(8, -(-int(np.sqrt(rows / _BLOCK)) // 2))
+
+
+def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all these links."""
+    x, y = np.concatenate(a), np.concatenate(b)
+    if not len(x):
+        return x, y
+    both, inverse = np.unique(np.concatenate((x, y)), return_inverse=True)
+    keep = _forest(inverse[: len(x)], inverse[len(x) :])
+    return both[inverse[: len(x)][keep]], both[inverse[len(x) :][keep]]
+
+
+def cell_links(xs: list[tuple[int, np.ndarray]], ys: list[tuple[int, np.ndarray]] | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two groups of blocks (key and fingerprints), or within one; pairs of blocks
+    whose keys differ too much are skipped."""
+    steps = {k for d in _near_keys(radius) for k in (d, -d)}
+    none = np.zeros(0, np.uint64)
+    a, b, held = [none], [none], 0
+    for i, (kx, x) in enumerate(xs):
+        for ky, y in xs[i:] if ys is None else ys:
+            if ky - kx in steps:
+                p, q = links_between(x, y, radius)
+                a.append(p), b.append(q)
+                held += len(p)
+                if held > _LINKS:
+                    p, q = _merged(a, b)
+                    a, b, held = [p], [q], 0
+    return _merged(a, b)
+
+
 def fingerprint_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     """Links ``(a, b)`` that join the same fingerprints as all pairs of at most ``radius`` differing bits do.
 
     ``prints`` has different fingerprints in column fp. Blocks hold about 2,048, so neither a tile's size nor a group
-    of near copies decides how much a task holds. Pairs of blocks are made of ids alone, dealt out by both ids, and
-    only then get their fingerprints: no key stands for more than one block.
+    of near copies decides how much a task holds. Blocks are dealt out to groups, and a cell of the grid of groups gets the
+    blocks of its row and its column once each; pairs of blocks are made within it. What is shuffled grows with power 1.5
+    of the fingerprints.
     """
-    spark = prints.sparkSession
     quarter = lambda q: F.bit_count(F.expr(f"shiftrightunsigned(fp, {16 * q}) & 65535"))
     keyed = prints.select("fp", (quarter(3) * 32 + quarter(2)).cast("int").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
     # At most 17^2 small rows, so this join never grows with the documents.
     salted = keyed.join(F.broadcast(sizes), "key").select("key", "fp", F.expr(f"cast(pmod(xxhash64(fp), cast(ceil(n / {_BLOCK}) as bigint)) as int)").alias("salt"))
     blocks = cut(salted.groupBy("key", "salt").agg(F.collect_list("fp").alias("fps")), "blocks")
-    names = blocks.select("key", "salt")
-    left = names.select(F.col("key").alias("ka"), F.col("salt").alias("sa"), F.explode(F.array(*map(F.lit, _near_keys(radius)))).alias("step")).withColumn("kb", F.col("ka") + F.col("step"))
-    # Half of all differences suffice, as links have no direction.
-    right = names.select(F.col("key").alias("kb"), F.col("salt").alias("sb"))
-    pairs = left.join(right, "kb").filter("ka <> kb or sa <= sb").select("ka", "sa", "kb", "sb")
-    with_x = pairs.join(blocks.select(F.col("key").alias("ka"), F.col("salt").alias("sa"), F.col("fps").alias("x")), ["ka", "sa"])
-    with_y = with_x.join(blocks.select(F.col("key").alias("kb"), F.col("salt").alias("sb"), F.col("fps").alias("y")), ["kb", "sb"])
-    schema = _arrow_schema("a long, b long")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for name in ("x", "y"):
-                column = batch.column(name)
-                sides.append((column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()))
-            (xs, xo), (ys, yo) = sides
-            got = [links_between(xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]], radius) for i in range(batch.num_rows)]
-            a, b = (np.concatenate([g[k] for g in got]).view(np.int64) for k in (0, 1))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
-
-    with small_batches(spark, 128):
-        return cut(with_y.select("x", "y").mapInArrow(compare, "a long, b long"), "links")
+    groups = _groups_for(blocks.agg(F.coalesce(F.sum(F.size("fps")), F.lit(0))).first()[0])
+    own = F.pmod(F.xxhash64("key", "salt"), F.lit(groups)).cast("int")
+    dealt = blocks.select("key", "fps", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    cells = dealt.select(F.least("own", "other").alias("row"), F.greatest("own", "other").alias("column"), "own", "key", "fps")
+
+    def compare(table: pa.Table) -> pa.Table:
+        first, second = table.column("row")[0].as_py(), table.column("column")[0].as_py()
+        sides: dict[int, list[tuple[int, np.ndarray]]] = {first: [], second: []}
+        for batch in table.to_batches():
+            fps = batch.column("fps")
+            prints_, ends = fps.values.to_numpy().view(np.uint64), fps.offsets.to_numpy()
+            for i, (o, k) in enumerate(zip(batch.column("own").to_pylist(), batch.column("key").to_pylist())):
+                sides[o].append((k, prints_[ends[i] : ends[i + 1]]))
+        a, b = cell_links(sides[first], None if first == second else sides[second], radius)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    # Said how many: cells are few bytes and much work, so they must not be put together by their size.
+    spread = cells.repartition(groups * (groups + 1) // 2, "row", "column")
+    return cut(spread.groupBy("row", "column").applyInArrow(compare, "a long, b long"), "links")
 
 
 def _grouped(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:

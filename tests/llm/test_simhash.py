@@ -98,3 +98,35 @@ def test_blocks_against_all_pairs(rng, groups):
             got.join(np.searchsorted(both, p), np.searchsorted(both, q))
         pairs = {(want.find(i), got.find(i)) for i in range(len(both))}
         assert len(pairs) == len({p for p, _ in pairs}) == len({q for _, q in pairs})
+
+
+def test_grid_of_cells_against_all_pairs(spark, groups, rng):
+    """Enough fingerprints for many cells: the same components as all pairs give, chains of near ones across cells."""
+    base = rng.integers(0, 1 << 63, 7000, dtype=np.uint64)
+    chain = [base[0]]
+    for _ in range(300):
+        chain.append(chain[-1] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 4, dtype=np.uint64)))
+    near = base[1:1200] ^ (np.uint64(1) << rng.integers(0, 64, 1199, dtype=np.uint64))
+    every = np.unique(np.concatenate((base, chain, near)))
+    assert simhash._groups_for(len(every)) > 1
+    links = [(r["a"], r["b"]) for r in simhash.fingerprint_links(spark.createDataFrame([(int(x),) for x in every.view(np.int64)], "fp long")).collect()]
+    place = {int(x): i for i, x in enumerate(every.view(np.int64))}
+    got, want = groups(len(every)), groups(len(every))
+    for a, b in links:
+        assert int(np.bitwise_count(every[place[a]] ^ every[place[b]])) <= 4
+        got.join(place[a], place[b])
+    for i in range(len(every)):
+        for j in np.flatnonzero(np.bitwise_count(every[i] ^ every[i + 1 :]) <= 4).tolist():
+            want.join(i, i + 1 + j)
+    assert len({want.find(i) for i in range(len(every))}) < len(every) - 1400
+    same = {}
+    for i in range(len(every)):
+        assert same.setdefault(got.find(i), want.find(i)) == want.find(i)
+    assert len(same) == len({want.find(i) for i in range(len(every))})
+
+
+def test_what_is_sent_grows_with_power_one_and_a_half():
+    sent = [n * simhash._groups_for(n) for n in (10**7, 10**9)]
+    assert sent[1] / sent[0] < 1.1 * 100**1.5
+    held = [2 * n / simhash._groups_for(n) for n in (10**7, 10**9)]
+    assert held[1] / held[0] < 1.1 * 100**0.5
