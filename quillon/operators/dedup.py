@@ -190,6 +190,15 @@ def candidate_pairs(bands: DataFrame, block: int = 500) -> DataFrame:
     return left.join(right, ["band", "key", "block"]).filter("a < b").select("a", "b").distinct()
 
 
+def candidate_links(prints: DataFrame) -> DataFrame:
+    """(id, fp) to a, b and kind: candidate pairs of different fingerprints, each by its smallest id, and the others of the
+    same fingerprint (b) with that (a)."""
+    first = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
+    pairs = candidate_pairs(banded(first.select(F.col("rep").alias("id"), "fp"))).withColumn("kind", F.lit("candidate"))
+    copies = prints.join(first, "fp").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit("copy").alias("kind"))
+    return pairs.unionByName(copies)
+
+
 def oversized(bands: DataFrame, cap: int = 500) -> DataFrame:
     """Buckets of more than ``cap`` rows."""
     return bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter(F.col("n") > cap)
@@ -220,14 +229,12 @@ def _near(texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     return cut(jaccard_of_pairs(likely, sets.select("id", "grams"), least), "pairs"), members
 
 
-def near_pairs(texts: DataFrame, least: float = 0.72) -> DataFrame:
-    """(id, text) to all candidate pairs a < b of at least this similarity. Copies are compared once, and their pairs
-    are made from the groups."""
+def near_links(texts: DataFrame, least: float = 0.72) -> DataFrame:
+    """(id, text) to a, b, similarity and kind: near pairs a < b of representatives, each the smallest id of the texts with
+    the same letters and digits, and copies (b) with their representative (a). A group of n copies is n - 1 rows."""
     pairs, members = _near(texts, least)
-    x, y = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
-    across = pairs.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    within = x.join(y, F.col("a") == F.col("b")).filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("similarity"))
-    return across.unionByName(within)
+    copies = members.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), F.lit("copy").alias("kind"))
+    return pairs.select("a", "b", "similarity", F.lit("near").alias("kind")).unionByName(copies)
 
 
 def duplicate_clusters(texts: DataFrame, least: float = 0.72) -> DataFrame:

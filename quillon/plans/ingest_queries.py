@@ -9,6 +9,7 @@ from quillon.functions import math as M
 from quillon.functions import text as T
 from quillon.operators import evaluation, extraction, layout, pairing, practice, quality, versions
 from quillon.plans.model import table
+from quillon.plans.text_queries import _OF_ORDER, _of_order
 from quillon.plans.registry import query
 from quillon.sources import parsers
 
@@ -162,40 +163,41 @@ def alignment_scores(spark, sf):
 
 
 def _books(spark, sf):
-    o = _li(spark, sf).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    o = _li(spark, sf).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_returnflag").alias("flag"))
     book = (F.col("l_orderkey") % 50).alias("book")
-    return o.select(book, F.col("l_orderkey").alias("set_no"), F.col("l_linenumber").alias("num"), F.concat(F.lit("question text number "), F.col("p").cast("string")).alias("stem"), F.col("l_linenumber").alias("line_no"), "p")
+    return o.select(book, F.col("l_orderkey").alias("set_no"), F.col("l_linenumber").alias("num"), F.concat(F.lit("question text number "), F.col("p").cast("string")).alias("stem"), F.col("l_linenumber").alias("line_no"), "p", "flag")
 
 
-@query("pair_by_key", "WITH q AS (SELECT l_orderkey % 50 AS book, l_orderkey AS set_no, l_linenumber AS num, min(l_partkey) AS p FROM lineitem GROUP BY ALL) SELECT book, set_no, num, CASE WHEN p % 3 = 0 THEN 'B' WHEN p % 3 = 1 THEN 'C' END AS answer FROM q")
+@query("pair_by_key", "WITH q AS (SELECT l_orderkey % 50 AS book, l_orderkey AS set_no, l_linenumber AS num, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL) SELECT book, set_no, num, CASE flag WHEN 'R' THEN 'B' WHEN 'N' THEN 'C' END AS answer FROM q")
 def pair_by_key(spark, sf):
+    """C11: returned lines have a solution with a reprint, new ones a grouped answer, the others neither."""
     q = _books(spark, sf)
-    s = q.filter("p % 3 <> 2").select("book", "set_no", "num", F.when(F.col("p") % 3 == 0, "B").otherwise("").alias("answer"), F.when(F.col("p") % 3 == 0, F.col("stem")).alias("excerpt"))
-    a = q.filter("p % 3 = 1").select("book", F.col("set_no").alias("chapter"), "num", F.lit("C").alias("answer"))
+    s = q.filter("flag <> 'A'").select("book", "set_no", "num", F.when(F.col("flag") == "R", "B").otherwise("").alias("answer"), F.when(F.col("flag") == "R", F.col("stem")).alias("excerpt"))
+    a = q.filter("flag = 'N'").select("book", F.col("set_no").alias("chapter"), "num", F.lit("C").alias("answer"))
     return pairing.by_key(q, s, a).select("book", "set_no", "num", "answer")
 
 
-@query("pairing_summary", "WITH q AS (SELECT l_orderkey % 50 AS book, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT book, count(*) FILTER (WHERE p % 3 = 0) AS paired, count(*) FILTER (WHERE p % 3 <> 0) AS pending, count(*) FILTER (WHERE p % 3 = 1) AS unused FROM q GROUP BY 1")
+@query("pairing_summary", "WITH q AS (SELECT l_orderkey % 50 AS book, max(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT book, count(*) FILTER (WHERE flag = 'R') AS paired, count(*) FILTER (WHERE flag <> 'R') AS pending, count(*) FILTER (WHERE flag = 'N') AS unused FROM q GROUP BY 1")
 def pairing_summary(spark, sf):
     q = _books(spark, sf)
-    return pairing.pairing_summary(q, q.filter("p % 3 <> 2"), q.filter("p % 3 = 0"))
+    return pairing.pairing_summary(q, q.filter("flag <> 'A'"), q.filter("flag = 'R'"))
 
 
 # State changes.
 
 
-@query("upsert_retention", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) FILTER (WHERE event_id % 3 = 0) AS value FROM events GROUP BY 1")
+@query("upsert_retention", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) FILTER (WHERE event_type <> 'error') AS value FROM events GROUP BY 1")
 def upsert_retention(spark, sf):
-    e = table(spark, sf, "events").select("user_id", "event_type", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("value"), F.struct("ts", "event_id").alias("at"))
+    e = table(spark, sf, "events").select("user_id", "event_type", F.when(F.col("event_type") != "error", F.col("value")).alias("value"), F.struct("ts", "event_id").alias("at"))
     none = e.filter("false").select("user_id", "event_type", "value")
     return versions.upserted(none, e, ["user_id"], "at", ["value"])
 
 
-@query("review_decisions", "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'published' WHEN doc_id % 3 = 0 THEN 'approved' WHEN doc_id % 3 = 1 THEN 'rejected' ELSE 'pending' END AS status, doc_id % 7 <> 0 AND doc_id % 3 <> 2 AS processed FROM documents")
+@query("review_decisions", "SELECT d.doc_id AS id, CASE WHEN lang = 'de' THEN 'published' WHEN q = 1 THEN 'approved' WHEN q = 0 THEN 'rejected' ELSE 'pending' END AS status, lang <> 'de' AND q IS NOT NULL AS processed FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id")
 def review_decisions(spark, sf):
-    i = F.col("doc_id")
-    rows = _docs(spark, sf).select(i.alias("id"), F.when(i % 7 == 0, "published").otherwise("pending").alias("status"))
-    decisions = _docs(spark, sf).filter("doc_id % 3 < 2").select(i.alias("id"), F.when(i % 3 == 0, "approve").otherwise("reject").alias("decision"))
+    """Labels of quality decide on documents; those of one language are out already."""
+    rows = _docs(spark, sf).select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "de", "published").otherwise("pending").alias("status"))
+    decisions = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.when(F.max("quality") == 1, "approve").otherwise("reject").alias("decision"))
     return versions.reviewed(rows, decisions)
 
 
@@ -215,27 +217,36 @@ def conversion_misses(spark, sf):
     return versions.missing(d, cache).select("converter", "key")
 
 
-@query("incremental_index", "SELECT doc_id AS path FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
+@query("incremental_index", "SELECT doc_id AS path FROM documents WHERE contains(text, '###') OR text <> trim(text, '.')")
 def incremental_index(spark, sf):
+    """Files that were indexed with full stops at their ends, but for those with junk, which never were."""
     d = _docs(spark, sf)
-    files = d.select(F.col("doc_id").alias("path"), F.md5(F.concat("text", F.when(F.col("doc_id") % 5 == 0, "!").otherwise(""))).alias("content_hash"))
-    return versions.to_parse(files, d.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), F.md5("text").alias("content_hash"))).select("path")
+    files = d.select(F.col("doc_id").alias("path"), F.md5(F.trim("text", F.lit("."))).alias("content_hash"))
+    return versions.to_parse(files, d.filter(~F.col("text").contains("###")).select(F.col("doc_id").alias("path"), F.md5("text").alias("content_hash"))).select("path")
 
 
 # Metrics.
 
 
-@query("matched_items", "SELECT coalesce(t.l_orderkey, f.l_orderkey) AS page, coalesce(t.l_linenumber, f.l_linenumber) AS num, CASE WHEN t.l_orderkey IS NULL THEN 'invented' WHEN f.l_orderkey IS NULL THEN 'missed' ELSE 'matched' END AS state FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 3 <> 0) t FULL JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 4 <> 0) f ON t.l_orderkey = f.l_orderkey AND t.l_linenumber = f.l_linenumber")
+_MATCHED = "(SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem WHERE l_returnflag <> 'A') t FULL JOIN (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem WHERE l_quantity > 12) f ON t.o = f.o AND t.n = f.n"
+
+
+def _matched(spark, sf):
+    """Lines that weren't returned as what there is, lines of some size as what was found."""
+    li = _li(spark, sf).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("num"), F.lit("t").alias("text"), "l_returnflag", "l_quantity")
+    truth, found = li.filter("l_returnflag <> 'A'"), li.filter("l_quantity > 12")
+    same = ["page", "num", "text"]
+    return evaluation.matched_items(truth.select(*same).distinct(), found.select(*same).distinct().withColumn("ordinal", F.col("num")), ["page", "num"])
+
+
+@query("matched_items", f"SELECT coalesce(t.o, f.o) AS page, coalesce(t.n, f.n) AS num, CASE WHEN t.o IS NULL THEN 'invented' WHEN f.o IS NULL THEN 'missed' ELSE 'matched' END AS state FROM {_MATCHED}")
 def matched_items(spark, sf):
-    li = _li(spark, sf).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("num")).distinct().withColumn("text", F.lit("t"))
-    return evaluation.matched_items(li.filter("num % 3 <> 0"), li.filter("num % 4 <> 0").withColumn("ordinal", F.col("num")), ["page", "num"]).select("page", "num", "state")
+    return _matched(spark, sf).select("page", "num", "state")
 
 
-@query("page_metrics", "WITH m AS (SELECT coalesce(t.o, f.o) AS page, t.o IS NOT NULL AS t, f.o IS NOT NULL AS f FROM (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem WHERE l_linenumber % 3 <> 0) t FULL JOIN (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem WHERE l_linenumber % 4 <> 0) f ON t.o = f.o AND t.n = f.n) SELECT page, count(*) FILTER (WHERE t) AS truth, count(*) FILTER (WHERE f) AS found, count(*) FILTER (WHERE t AND f) AS matched, count(*) FILTER (WHERE t AND f) / nullif(count(*) FILTER (WHERE t), 0) AS recall, count(*) FILTER (WHERE t AND f) / nullif(count(*) FILTER (WHERE f), 0) AS precision FROM m GROUP BY 1")
+@query("page_metrics", f"WITH m AS (SELECT coalesce(t.o, f.o) AS page, t.o IS NOT NULL AS t, f.o IS NOT NULL AS f FROM {_MATCHED}) SELECT page, count(*) FILTER (WHERE t) AS truth, count(*) FILTER (WHERE f) AS found, count(*) FILTER (WHERE t AND f) AS matched, count(*) FILTER (WHERE t AND f) / nullif(count(*) FILTER (WHERE t), 0) AS recall, count(*) FILTER (WHERE t AND f) / nullif(count(*) FILTER (WHERE f), 0) AS precision FROM m GROUP BY 1")
 def page_metrics(spark, sf):
-    li = _li(spark, sf).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("num")).distinct().withColumn("text", F.lit("t"))
-    m = evaluation.matched_items(li.filter("num % 3 <> 0"), li.filter("num % 4 <> 0").withColumn("ordinal", F.col("num")), ["page", "num"])
-    return evaluation.page_metrics(m).drop("cer")
+    return evaluation.page_metrics(_matched(spark, sf)).drop("cer")
 
 
 @query("completeness", "SELECT count(*) AS total, count(*) FILTER (WHERE length(p_name) >= 9 AND p_size % 4 >= 2) AS complete, floor(count(*) FILTER (WHERE length(p_name) >= 9 AND p_size % 4 >= 2) * 100.0 / count(*) + 0.5) / 100 AS confidence FROM part")
@@ -250,11 +261,11 @@ def read_quality(spark, sf):
     return quality.read_quality(e)
 
 
-@query("channel_routing", "SELECT doc_id, CASE WHEN doc_id % 8 >= 3 AND doc_id % 8 < 5 THEN 'solutions' WHEN doc_id % 11 >= 4 THEN 'graphics' WHEN doc_id % 5 > 0 AND (doc_id % 3) * 2 >= doc_id % 5 THEN 'questions' WHEN doc_id % 2 > 0 THEN 'essays' WHEN doc_id % 5 > 0 THEN 'questions' ELSE 'preserved' END AS channel FROM documents")
+@query("channel_routing", f"SELECT l_orderkey, CASE WHEN a >= 3 THEN 'solutions' WHEN taxed >= 4 THEN 'graphics' WHEN n > 0 AND whole * 2 >= n THEN 'questions' WHEN r > 0 THEN 'essays' WHEN n > 0 THEN 'questions' ELSE 'preserved' END AS channel FROM ({_OF_ORDER})")
 def channel_routing(spark, sf):
-    i = F.col("doc_id")
-    d = _docs(spark, sf).select("doc_id", F.when((i % 8 >= 3) & (i % 8 < 5), 3).otherwise(0).alias("solution_marks"), (i % 11).alias("graphic_pages"), (i % 5).alias("questions"), (i % 3).alias("complete_questions"), (i % 2).alias("essay_units"))
-    return quality.route(d).select("doc_id", "channel")
+    """Q-4: orders as documents, counts of their lines as what was found in them."""
+    d = _of_order(spark, sf).select("l_orderkey", F.col("a").alias("solution_marks"), F.col("taxed").alias("graphic_pages"), F.col("n").alias("questions"), F.col("whole").alias("complete_questions"), F.col("r").alias("essay_units"))
+    return quality.route(d).select("l_orderkey", "channel")
 
 
 @query("candidate_validation", "SELECT p_partkey AS doc, CASE WHEN p_size % 3 = 0 THEN 'essay' ELSE 'single' END AS type, CASE WHEN p_partkey % 9 > 0 THEN CAST(1990 + p_size AS INT) END AS year, CAST(CASE WHEN p_size % 7 = 0 THEN 2 ELSE least(5, p_size % 7) END AS INT) AS difficulty, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'low_confidence,' END || 'short_explanation' AS warnings FROM part WHERE p_partkey % 8 > 0 AND p_size % 3 <> 1")
@@ -271,16 +282,19 @@ def candidate_validation(spark, sf):
     return extraction.candidates(p).select("doc", "type", "year", "difficulty", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query("evidence_status", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'unavailable' WHEN doc_id % 3 = 0 OR doc_id % 70 + 1 > 60 THEN 'partial' ELSE 'available' END AS status FROM documents")
+@query("evidence_status", "SELECT l_suppkey, l_linenumber, CASE WHEN n = 0 THEN 'unavailable' WHEN unknown > 0 OR n > 60 THEN 'partial' ELSE 'available' END AS status FROM (SELECT l_suppkey, l_linenumber, count(DISTINCT l_partkey) FILTER (WHERE l_partkey >= 1 AND l_returnflag <> 'A') AS n, count(*) FILTER (WHERE l_tax > 0.07 AND l_discount > 0.09) AS unknown FROM lineitem GROUP BY 1, 2)")
 def evidence_status(spark, sf):
-    i = F.col("doc_id")
-    pages = F.when(i % 4 == 0, F.array(F.lit(None).cast("int"), F.lit(0))).otherwise(F.sequence(F.lit(1), (i % 70 + 1).cast("int")))
-    return _docs(spark, sf).select("doc_id", quality.evidence_status(pages, F.when(i % 3 == 0, 1).otherwise(0)).alias("status"))
+    """Q-5: a supplier's parts as the pages that a line of evidence names."""
+    pages = F.collect_list(F.when(F.col("l_returnflag") != "A", F.col("l_partkey").cast("int")))
+    unknown = F.count_if((F.col("l_tax") > 0.07) & (F.col("l_discount") > 0.09))
+    e = _li(spark, sf).groupBy("l_suppkey", "l_linenumber").agg(pages.alias("p"), unknown.alias("u"))
+    return e.select("l_suppkey", "l_linenumber", quality.evidence_status(F.col("p"), F.col("u")).alias("status"))
 
 
-@query("case_accuracy", "SELECT lang AS feature, count(*) AS cases, round(avg(CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 1 END), 4) AS accuracy FROM documents GROUP BY 1")
+@query("case_accuracy", "SELECT lang AS feature, count(*) AS cases, round(avg(CASE WHEN contains(text, '###') OR length(text) < 20 THEN 0 ELSE 1 END), 4) AS accuracy FROM documents GROUP BY 1")
 def case_accuracy(spark, sf):
-    fails = F.when(F.col("doc_id") % 6 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    """Junk and very short texts are failures."""
+    fails = F.array_compact(F.array(F.when(F.col("text").contains("###"), "junk"), F.when(F.char_length("text") < 20, "short")))
     return evaluation.passed(_docs(spark, sf).select(F.col("lang").alias("feature"), fails.alias("failures")))
 
 

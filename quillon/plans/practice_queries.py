@@ -24,12 +24,12 @@ def flagship(spark, sf):
     return reports.by_category(attempts(spark, sf).join(snap, "question_id"), F.col("category"))
 
 
-@query("report_by_category_7d", f"""SELECT coalesce(q.category, '(none)') AS category, count(*) AS attempts, count(*) FILTER (WHERE correct) AS correct, {_GOOD} AS accuracy,
-    CAST(floor(avg(duration_seconds) + 0.5) AS BIGINT) AS mean_seconds FROM attempts a LEFT JOIN questions q ON a.question_id = q.id AND q.in_group
-    WHERE created_at >= {_AS} - INTERVAL 7 DAY GROUP BY 1""")
+@query("report_by_category_7d", f"""SELECT coalesce(CASE WHEN q.subject = 'a' THEN q.category END, '(none)') AS category, count(*) AS attempts, count(*) FILTER (WHERE correct) AS correct, {_GOOD} AS accuracy,
+    CAST(floor(avg(duration_seconds) + 0.5) AS BIGINT) AS mean_seconds FROM attempts a LEFT JOIN questions q ON a.question_id = q.id WHERE created_at >= {_AS} - INTERVAL 7 DAY GROUP BY 1""")
 def report_by_category_7d(spark, sf):
-    """D11 over B10: the snapshot category is read from JSON and may be missing."""
-    q = questions(spark, sf).filter("in_group").select(F.col("id").alias("question_id"), F.to_json(F.struct("category")).alias("question_snapshot"))
+    """D11 over B10: the snapshot category is read from JSON and is missing for one subject."""
+    snapshot = F.to_json(F.struct(F.when(F.col("subject") == "a", F.col("category")).alias("category")))
+    q = questions(spark, sf).select(F.col("id").alias("question_id"), snapshot.alias("question_snapshot"))
     recent = attempts(spark, sf).filter(since("created_at", AS_OF, 7)).join(q, "question_id", "left")
     return reports.by_category(recent, F.get_json_object("question_snapshot", "$.category"))
 
@@ -80,15 +80,16 @@ def weakest_subject(spark, sf):
     return reports.weakest(reports.mastery(attempts(spark, sf), questions(spark, sf), "category").withColumnRenamed("category", "subject"))
 
 
-@query("recent_attempts", "SELECT a.id, a.question_id, coalesce(q.stem, '(deleted)') AS title, correct FROM (SELECT * FROM attempts ORDER BY created_at DESC, id DESC LIMIT 8) a LEFT JOIN questions q ON a.question_id = q.id AND q.id % 2 = 0")
+@query("recent_attempts", "SELECT a.id, a.question_id, coalesce(q.stem, '(deleted)') AS title, correct FROM (SELECT * FROM attempts ORDER BY created_at DESC, id DESC LIMIT 8) a LEFT JOIN questions q ON a.question_id = q.id AND q.subject = 'a'")
 def recent_attempts(spark, sf):
-    return reports.recent(attempts(spark, sf), questions(spark, sf).filter("id % 2 = 0"))
+    """A library that has lost one of its subjects."""
+    return reports.recent(attempts(spark, sf), questions(spark, sf).filter("subject = 'a'"))
 
 
-@query("study_streak", f"""WITH d AS (SELECT DISTINCT {_DAY} AS day FROM attempts WHERE mode = 'error' AND created_at < TIMESTAMP '2024-01-20 00:00:00'), i AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INT) AS island FROM d),
-    r AS (SELECT count(*) AS n, max(day) AS last FROM i GROUP BY island) SELECT CAST(coalesce(max(n), 0) AS BIGINT) AS streak FROM r WHERE last >= DATE '2024-01-19' AND last <= DATE '2024-01-20'""")
+@query("study_streak", f"""WITH d AS (SELECT DISTINCT {_DAY} AS day FROM attempts), i AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INT) AS island FROM d),
+    r AS (SELECT count(*) AS n, max(day) AS last FROM i GROUP BY island) SELECT CAST(coalesce(max(n), 0) AS BIGINT) AS streak FROM r WHERE last >= DATE '2024-01-30' AND last <= DATE '2024-01-31'""")
 def study_streak(spark, sf):
-    return reports.streak(attempts(spark, sf).filter("mode = 'error' and created_at < timestamp_ntz '2024-01-20 00:00:00'"), "2024-01-20 01:00:00", TIME_ZONE)
+    return reports.streak(attempts(spark, sf), AS_OF, TIME_ZONE)
 
 
 _CATS = f"cats AS (SELECT stem AS category, count(*) AS attempts, {_GOOD} AS accuracy FROM attempts a JOIN questions q ON a.question_id = q.id GROUP BY 1)"

@@ -8,7 +8,7 @@ from quillon.functions import json as J
 from quillon.functions import math as M
 from quillon.functions import text as T
 from quillon.operators import dedup, evaluation, quality, versions
-from quillon.plans.model import table
+from quillon.plans.model import questions, table
 from quillon.plans.registry import query
 
 _WS = "regexp_replace({x}, '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\v]+', '', 'g')"
@@ -98,9 +98,13 @@ def simhash_fingerprints(spark, sf):
 _BANDS = f"{_FP}, bands AS (SELECT id, b AS band, substring(fp, CAST(64 - 16 * (b + 1) + 1 AS INT), 16) AS key FROM fps, range(4) r(b)), ok AS (SELECT band, key FROM bands GROUP BY 1, 2 HAVING count(*) >= 2), cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.key = y.key AND x.id < y.id JOIN ok ON ok.band = x.band AND ok.key = x.key)"
 
 
-@query("lsh_candidates", f"WITH {_BANDS} SELECT a, b FROM cand")
+_REPS = "reps AS (SELECT fp, min(id) AS rep FROM fps GROUP BY 1)"
+
+
+@query("lsh_candidates", f"WITH {_BANDS}, {_REPS} SELECT a, b, 'candidate' AS kind FROM cand WHERE a IN (SELECT rep FROM reps) AND b IN (SELECT rep FROM reps) UNION ALL SELECT rep, id, 'copy' FROM fps JOIN reps USING (fp) WHERE id <> rep")
 def lsh_candidates(spark, sf):
-    return dedup.candidate_pairs(dedup.banded(simhash_fingerprints(spark, sf)))
+    """Candidate pairs of different fingerprints, and what has the same one as its representative."""
+    return dedup.candidate_links(simhash_fingerprints(spark, sf))
 
 
 @query("lsh_oversized", f"WITH {_BANDS} SELECT CAST(band AS INT) AS band, key, count(*) AS n FROM bands GROUP BY 1, 2 HAVING count(*) > 8")
@@ -111,9 +115,13 @@ def lsh_oversized(spark, sf):
 _JAC = f"{_BANDS}, n AS (SELECT id, count(*) AS n FROM grams GROUP BY 1), c AS (SELECT a, b, count(*) AS c FROM cand JOIN grams ga ON ga.id = a JOIN grams gb ON gb.id = b AND gb.gram = ga.gram GROUP BY 1, 2), jac AS (SELECT a, b, c / (x.n + y.n - c) AS similarity FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE similarity >= 0.72)"
 
 
-@query("shingle_jaccard_pairs", f"WITH {_JAC} SELECT a, b, round(similarity, 9) AS similarity FROM jac")
+_SIGNED = "sig AS (SELECT t, min(id) AS rep FROM t WHERE id IN (SELECT id FROM n) GROUP BY 1)"
+
+
+@query("shingle_jaccard_pairs", f"WITH {_JAC}, {_SIGNED} SELECT a, b, round(similarity, 9) AS similarity, 'near' AS kind FROM jac WHERE a IN (SELECT rep FROM sig) AND b IN (SELECT rep FROM sig) UNION ALL SELECT rep, id, 1.0, 'copy' FROM t JOIN sig USING (t) WHERE id <> rep AND id IN (SELECT id FROM n)")
 def shingle_jaccard_pairs(spark, sf):
-    return dedup.near_pairs(_texts(spark, sf)).select("a", "b", F.round("similarity", 9).alias("similarity"))
+    """Near pairs of different texts, and copies with their representative."""
+    return dedup.near_links(_texts(spark, sf)).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("dup_clusters", f"""WITH RECURSIVE {_JAC}, e AS (SELECT a, b FROM jac UNION SELECT b, a FROM jac), r(id, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), l AS (SELECT id, min(root) AS cluster FROM r GROUP BY 1)
@@ -312,11 +320,12 @@ def drop_suspects(spark, sf):
 # Versions.
 
 
-@query("vault_diff", "SELECT coalesce(o.doc_id, n.doc_id) AS id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN md5(o.text) <> md5(concat(n.text, CASE WHEN n.doc_id % 5 = 0 THEN '!' ELSE '' END)) THEN 'updated' ELSE 'same' END AS change FROM (SELECT * FROM documents WHERE doc_id % 7 <> 0) o FULL JOIN (SELECT * FROM documents WHERE doc_id % 11 <> 0) n ON o.doc_id = n.doc_id")
+@query("vault_diff", "SELECT coalesce(o.doc_id, n.doc_id) AS id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'updated' ELSE 'same' END AS change FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE NOT contains(text, '###')) o FULL JOIN (SELECT doc_id, md5(trim(text, '.')) AS h FROM documents WHERE NOT contains(text, '%%%')) n ON o.doc_id = n.doc_id")
 def vault_diff(spark, sf):
+    """Documents as two cleanings leave them; each drops another kind of junk, the second also full stops at the ends."""
     d = _docs(spark, sf)
-    old = d.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), F.md5("text").alias("content_hash"))
-    new = d.filter("doc_id % 11 <> 0").select(F.col("doc_id").alias("id"), F.md5(F.concat("text", F.when(F.col("doc_id") % 5 == 0, "!").otherwise(""))).alias("content_hash"))
+    old = d.filter(~F.col("text").contains("###")).select(F.col("doc_id").alias("id"), F.md5("text").alias("content_hash"))
+    new = d.filter(~F.col("text").contains("%%%")).select(F.col("doc_id").alias("id"), F.md5(F.trim("text", F.lit("."))).alias("content_hash"))
     return versions.diff(old, new)
 
 
@@ -335,42 +344,57 @@ def favorite_toggles(spark, sf):
     return versions.toggled(table(spark, sf, "events").filter("event_type = 'click'"), "user_id", "ts")
 
 
-@query("cache_eviction", "SELECT doc_id AS key, n_chars AS bytes, used_at FROM (SELECT doc_id, n_chars, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * CAST(doc_id * 7 % 1000 AS INT) AS used_at, sum(n_chars) OVER (ORDER BY doc_id * 7 % 1000 DESC, doc_id) AS total FROM documents) WHERE total > 1000000")
+@query("cache_eviction", "SELECT event_id AS key, CAST(round(value) AS BIGINT) AS bytes, ts AS used_at FROM (SELECT *, sum(round(value)) OVER (ORDER BY ts DESC, event_id) AS total FROM events) WHERE total > 20000")
 def cache_eviction(spark, sf):
-    used = F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, cast(doc_id * 7 % 1000 as int))")
-    return versions.evicted(_docs(spark, sf).select(F.col("doc_id").alias("key"), F.col("n_chars").alias("bytes"), used.alias("used_at")), 1_000_000)
+    """Events as a cache's entries."""
+    entries = table(spark, sf, "events").select(F.col("event_id").alias("key"), F.round("value").cast("long").alias("bytes"), F.col("ts").alias("used_at"))
+    return versions.evicted(entries, 20_000, per_task=50_000)
 
 
-@query("id_remap", "SELECT event_id, k * 10 + 1 AS question_id FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k % 2 = 0")
+@query("id_remap", "SELECT event_id, q.id * 10 + 1 AS question_id FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) JOIN questions q ON q.id = k AND q.subject = 'a'")
 def id_remap(spark, sf):
+    """A subject's questions get new ids."""
     e = table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("question_id"))
-    mapping = spark.range(0, 100, 2).select(F.col("id").alias("old"), (F.col("id") * 10 + 1).alias("new"))
+    mapping = questions(spark, sf).filter("subject = 'a'").select(F.col("id").alias("old"), (F.col("id") * 10 + 1).alias("new"))
     return versions.remapped(e, mapping)
 
 
-@query("publish_gate", "SELECT doc_id, (lang = 'en' AND doc_id % 9 <> 0) OR doc_id % 2 = 0 AS allowed FROM documents")
+@query("publish_gate", "SELECT d.doc_id, (coalesce(lang, '') = 'en' AND NOT contains(text, '$$$')) OR coalesce(quality = 1, false) AS allowed FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id")
 def publish_gate(spark, sf):
+    """Q-3: junk in a text stands for a pairing to be confirmed, a label of quality for a person's word."""
     able = F.when(F.col("lang") == "en", "text-supported").when(F.col("lang") == "fr", "table-review").otherwise("graphic-review")
-    warned = F.when(F.col("doc_id") % 9 == 0, F.array(F.lit("配对待确认：1"))).otherwise(F.array().cast("array<string>"))
-    d = _docs(spark, sf).select("doc_id", able.alias("capability"), warned.alias("warnings"), F.when(F.col("doc_id") % 2 == 0, True).alias("human_confirmed"))
+    warned = F.when(F.col("text").contains("$$$"), F.array(F.lit("配对待确认：1"))).otherwise(F.array().cast("array<string>"))
+    confirmed = table(spark, sf, "labels").groupBy("doc_id").agg((F.max("quality") == 1).alias("human_confirmed"))
+    d = _docs(spark, sf).join(confirmed, "doc_id", "left").select("doc_id", able.alias("capability"), warned.alias("warnings"), "human_confirmed")
     return quality.gate(d).select("doc_id", "allowed")
 
 
-@query("capability_counts", "SELECT CASE WHEN doc_id % 13 = 0 THEN 'graphic-review' WHEN doc_id % 7 = 0 AND doc_id % 2 = 0 AND doc_id % 10 >= 5 THEN 'image-only-review' WHEN doc_id % 7 = 0 THEN 'unsupported-auto-structure' WHEN doc_id % 5 = 0 OR doc_id % 17 >= 10 THEN 'table-review' ELSE 'text-supported' END AS capability, count(*) AS n FROM documents GROUP BY 1")
+_OF_ORDER = """SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'N') AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r, bool_or(l_linestatus = 'O') AS o,
+    count(*) FILTER (WHERE l_returnflag = 'N' AND l_quantity > 25) AS whole, count(*) FILTER (WHERE l_quantity > 40) AS large, count(*) FILTER (WHERE l_quantity < 5) AS small, count(*) FILTER (WHERE l_tax > 0.06) AS taxed FROM lineitem GROUP BY 1"""
+
+
+def _of_order(spark, sf):
+    flag, amount = F.col("l_returnflag"), F.col("l_quantity")
+    counts = {"a": flag == "A", "n": flag == "N", "r": flag == "R", "whole": (flag == "N") & (amount > 25), "large": amount > 40, "small": amount < 5, "taxed": F.col("l_tax") > 0.06}
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_linestatus") == "O").alias("o"), *(F.count_if(c).alias(k) for k, c in counts.items()))
+
+
+@query("capability_counts", f"SELECT CASE WHEN a >= 4 THEN 'graphic-review' WHEN n = 0 AND o AND large >= 5 THEN 'image-only-review' WHEN n = 0 THEN 'unsupported-auto-structure' WHEN taxed > 1 OR 4 * r >= 10 THEN 'table-review' ELSE 'text-supported' END AS capability, count(*) AS n FROM ({_OF_ORDER}) GROUP BY 1")
 def capability_counts(spark, sf):
-    i = F.col("doc_id")
-    d = _docs(spark, sf).select((i % 13 == 0).alias("graphic_candidate"), (i % 7).alias("question_count"), (i % 2 == 0).alias("structured"), (i % 10).alias("figure_images"), (i % 5 == 0).cast("int").alias("table_count"), (i % 17).alias("numeric_anomalies"))
+    """Q-1: orders as files, counts of their lines as signals."""
+    d = _of_order(spark, sf).select((F.col("a") >= 4).alias("graphic_candidate"), F.col("n").alias("question_count"), F.col("o").alias("structured"), F.col("large").alias("figure_images"), F.greatest(F.lit(0), F.col("taxed") - 1).alias("table_count"), (4 * F.col("r")).alias("numeric_anomalies"))
     return d.select(quality.capability().alias("capability")).groupBy("capability").agg(F.count("*").alias("n"))
 
 
-@query("batch_facts", "SELECT CASE WHEN doc_id % 6 = 0 THEN 'skipped' ELSE 'tier' END AS fact, CASE WHEN doc_id % 6 = 0 THEN lang WHEN doc_id % 4 = 0 THEN 'preserved-source' WHEN lang = 'en' THEN 'structured' ELSE 'review-required' END AS value, count(*) AS n FROM documents GROUP BY 1, 2")
+@query("batch_facts", "SELECT CASE WHEN contains(text, '%%%') THEN 'skipped' ELSE 'tier' END AS fact, CASE WHEN contains(text, '%%%') THEN source WHEN length(text) > 1000 THEN 'preserved-source' WHEN lang = 'en' THEN 'structured' ELSE 'review-required' END AS value, count(*) AS n FROM documents GROUP BY 1, 2")
 def batch_facts(spark, sf):
-    i = F.col("doc_id")
-    d = _docs(spark, sf).select(F.when(i % 4 == 0, "document").otherwise("question").alias("kind"), F.when(F.col("lang") != "en", "table-review").alias("capability"), F.when(i % 6 == 0, F.col("lang")).alias("skip_reason"))
+    """Long texts are documents, junk is a reason to skip."""
+    kind = F.when(F.char_length("text") > 1000, "document").otherwise("question")
+    d = _docs(spark, sf).select(kind.alias("kind"), F.when(F.col("lang") != "en", "table-review").alias("capability"), F.when(F.col("text").contains("%%%"), F.col("source")).alias("skip_reason"))
     return quality.batch_facts(d)
 
 
-@query("page_facts", "SELECT count(*) FILTER (WHERE t > 0) AS known_files, CAST(coalesce(sum(t) FILTER (WHERE t > 0), 0) AS BIGINT) AS pages, CAST(coalesce(sum(greatest(0, least(e, t))) FILTER (WHERE t > 0), 0) AS BIGINT) AS empty, count(*) FILTER (WHERE t > 0 AND (e < 0 OR e > t)) AS odd FROM (SELECT CASE WHEN doc_id % 3 > 0 THEN doc_id % 20 END AS t, doc_id % 31 - 3 AS e FROM documents)")
+@query("page_facts", f"SELECT count(*) FILTER (WHERE t > 0) AS known_files, CAST(coalesce(sum(t) FILTER (WHERE t > 0), 0) AS BIGINT) AS pages, CAST(coalesce(sum(greatest(0, least(e, t))) FILTER (WHERE t > 0), 0) AS BIGINT) AS empty, count(*) FILTER (WHERE t > 0 AND (e < 0 OR e > t)) AS odd FROM (SELECT CASE WHEN o THEN n END AS t, large - small AS e FROM ({_OF_ORDER}))")
 def page_facts(spark, sf):
-    i = F.col("doc_id")
-    return quality.page_facts(_docs(spark, sf).select(F.when(i % 3 > 0, i % 20).alias("total_pages"), (i % 31 - 3).alias("empty_pages")))
+    """Orders as files, some of which report nothing and some odd numbers."""
+    return quality.page_facts(_of_order(spark, sf).select(F.when(F.col("o"), F.col("n")).alias("total_pages"), (F.col("large") - F.col("small")).alias("empty_pages")))

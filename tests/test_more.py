@@ -124,8 +124,9 @@ def test_large_groups_of_copies_stay_whole(spark):
     base = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf at night"
     rows = [(i, base + "!" * (i % 3)) for i in range(620)] + [(1000, base + " x"), (2000, "entirely other words without any tie 12345")]
     texts = spark.createDataFrame(rows, "id long, text string")
-    near = {(r["a"], r["b"]): r["similarity"] for r in dedup.near_pairs(texts).collect()}
-    assert len(near) == 621 * 620 // 2 and near[(0, 619)] == 1.0 and 0.9 < near[(5, 1000)] < 1
+    near = {(r["a"], r["b"]): (r["kind"], r["similarity"]) for r in dedup.near_links(texts).collect()}
+    assert len(near) == 620 and near[0, 619] == ("copy", 1.0) and near[0, 1000][0] == "near" and 0.9 < near[0, 1000][1] < 1
     assert [tuple(r) for r in dedup.duplicate_clusters(texts).collect()] == [(0, 621, 1.0)]
     prints = spark.createDataFrame([(i, "01" * 32) for i in range(620)] + [(999, "10" * 32)], "id long, fp string")
     assert dedup.candidate_pairs(dedup.banded(prints)).count() == 620 * 619 // 2
+    assert sorted(map(tuple, dedup.candidate_links(prints).collect())) == [(0, i, "copy") for i in range(1, 620)]
