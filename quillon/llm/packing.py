@@ -44,6 +44,39 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
+def middle_bound(counts: dict[int, int], capacity: int) -> tuple[int, int]:
+    """A bound for pieces of about a third to a half of a sequence, and the length from which pieces count half a sequence.
+
+    A piece of length n weighs a third of a sequence, more or less by its distance from a third of the capacity, such that
+    those of length t and more weigh half of one; nothing below zero. No sequence holds more than a weight of one: for
+    three pieces the weights rise with their sum, four weigh less, and for two they are a half at most. So the weights'
+    sum is a bound for each t from over a third to a half of the capacity, of which the best is taken.
+    """
+    n, c = (np.array(x, float) for x in (list(counts), list(counts.values())))
+    third = capacity / 3
+    best, at = 0, capacity // 2
+    for t in range(int(third) + 1, capacity // 2 + 1):
+        weight = np.clip(1 / 3 + (n - third) / (6 * (t - third)), 0, 0.5)
+        found = int(np.ceil((weight * c).sum() - 1e-6))
+        if found > best:
+            best, at = found, t
+    return best, at
+
+
+def paired(counts: dict[int, int], capacity: int, least: int) -> list[Filling]:
+    """The pieces from ``least`` to half the capacity two by two, the longest together; an odd one is left out."""
+    out, held = [], 0
+    for n in sorted((n for n in counts if least <= n <= capacity // 2), reverse=True):
+        c = counts[n]
+        if held and c:
+            out.append(Filling(((held, 1), (n, 1)), 1))
+            held, c = 0, c - 1
+        if c > 1:
+            out.append(Filling(((n, 2),), c // 2))
+        held = n if c % 2 else held
+    return out
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[Filling]:
     """Best-fit decreasing: each piece, longest first, goes to the fullest sequence that takes it."""
     open_: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}
@@ -113,49 +146,84 @@ def completions(room: int, lengths: list[int], left: dict[int, int], most_waste:
     return (single or found)[:width]
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000, width: int = 3, steps: int = 3000) -> list[Filling]:
+@dataclass
+class Plan:
+    """Fillings, how many sequences they are, and how many any packing needs at least."""
+
+    fillings: list[Filling]
+    sequences: int
+    bound: int
+
+
+def plan(counts: dict[int, int], capacity: int, nodes: int = 4000, width: int = 3, steps: int = 3000) -> Plan:
     """Branch and bound over the fillings around the longest piece left, from the best-fit incumbent.
 
-    A branch is cut when its waste exceeds what a packing with one sequence less than the incumbent may waste.
-    The search ends at the lower bound or after ``nodes`` fillings; the best packing met is returned. At the lower bound it
-    is optimal; else that isn't proven, even where no branch is left, as at most ``width`` fillings are followed at each
-    node, found in ``steps`` steps, and each is used as often as it fits. Equal fillings go by longest piece first.
+    The search starts from all pieces, and from what is left once the pieces that ``middle_bound`` counts as half a
+    sequence, or some more or fewer, are paired: those fill sequences best two by two, though a filling with less waste
+    may be had for each. A branch is cut when its waste exceeds what a packing with one sequence less than the
+    incumbent may waste. The search ends at the bound or after ``nodes`` fillings; the best packing met is returned. At
+    the bound it is optimal; else that isn't proven, even where no branch is left, as at most ``width`` fillings are
+    followed at each node, found in ``steps`` steps, and each is used as often as it fits, or half as often as a later
+    branch. Equal fillings go by longest piece first.
     """
     counts = {n: c for n, c in counts.items() if c > 0}
     if not counts:
-        return []
-    bound = lower_bound(counts, capacity)
+        return Plan([], 0, 0)
+    half, at = middle_bound(counts, capacity)
+    bound = max(lower_bound(counts, capacity), half)
     total = sum(n * c for n, c in counts.items())
     best = best_fit(counts, capacity)
     size = sum(f.sequences for f in best)
-    spent = 0
     # Each entry: pieces left, waste so far, fillings so far, their sequences. Depth first, best completion on top.
-    stack: list[tuple[dict[int, int], int, tuple, int]] = [(counts, 0, (), 0)]
-    while stack and size > bound and spent < nodes:
-        left, waste, path, used = stack.pop()
-        if waste > (size - 1) * capacity - total:
-            continue
-        if not left:
-            if used < size:
-                size, best = used, _listed(path)
-            continue
-        spent += 1
-        lengths = sorted(left, reverse=True)
-        top = lengths[0]
-        after = dict(left)
-        after[top] -= 1
-        room = capacity - top
-        allowed = (size - 1) * capacity - total - waste
-        ways = completions(room, [n for n in lengths if n <= room], after, allowed, width, steps) if room >= lengths[-1] else ([(room, ())] if room <= allowed else [])
-        for lost, pieces in reversed(ways):
-            each = dict(pieces)
-            each[top] = each.get(top, 0) + 1
-            times = min(left[n] // k for n, k in each.items())
-            if lost:
-                times = min(times, max(1, allowed // lost))
-            rest = {n: c - times * each.get(n, 0) for n, c in left.items()}
-            stack.append(({n: c for n, c in rest.items() if c}, waste + lost * times, (path, tuple(sorted(each.items(), reverse=True)), times), used + times))
-    return best
+    roots: list[tuple[dict[int, int], int, tuple, int]] = [(counts, 0, (), 0)]
+    if size > bound:
+        for least in dict.fromkeys(int(at * x) for x in (1.0, 0.98, 1.02, 0.95, 1.05)):
+            pairs = paired(counts, capacity, least)
+            path, left, used = (), dict(counts), 0
+            for f in pairs:
+                path, used = (path, f.pieces, f.sequences), used + f.sequences
+                for n, k in f.pieces:
+                    left[n] -= k * f.sequences
+            if pairs:
+                left = {n: c for n, c in left.items() if c}
+                roots.append((left, used * capacity - (total - sum(n * c for n, c in left.items())), path, used))
+    # All pieces with whole branches, then each root with halved ones as well.
+    for root, halved, share in [(roots[0], False, nodes), *((r, True, nodes // 4) for r in [*roots[1:], roots[0]])]:
+        spent, stack = 0, [root]
+        while stack and size > bound and spent < share:
+            left, waste, path, used = stack.pop()
+            if waste > (size - 1) * capacity - total:
+                continue
+            if not left:
+                if used < size:
+                    size, best = used, _listed(path)
+                continue
+            spent += 1
+            lengths = sorted(left, reverse=True)
+            top = lengths[0]
+            after = dict(left)
+            after[top] -= 1
+            room = capacity - top
+            allowed = (size - 1) * capacity - total - waste
+            ways = completions(room, [n for n in lengths if n <= room], after, allowed, width, steps) if room >= lengths[-1] else ([(room, ())] if room <= allowed else [])
+            branches = []
+            for lost, pieces in ways:
+                each = dict(pieces)
+                each[top] = each.get(top, 0) + 1
+                times = min(left[n] // k for n, k in each.items())
+                if lost:
+                    times = min(times, max(1, allowed // lost))
+                for t in dict.fromkeys((times, -(-times // 2)) if halved else (times,)):
+                    rest = {n: c - t * each.get(n, 0) for n, c in left.items()}
+                    branches.append((t != times, ({n: c for n, c in rest.items() if c}, waste + lost * t, (path, tuple(sorted(each.items(), reverse=True)), t), used + t)))
+            # Those that use a filling as often as it fits come first.
+            stack += [entry for _, entry in sorted(branches, key=lambda b: b[0])[::-1]]
+    return Plan(best, size, bound)
+
+
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 4000, width: int = 3, steps: int = 3000) -> list[Filling]:
+    """The fillings of ``plan``."""
+    return plan(counts, capacity, nodes, width, steps).fillings
 
 
 def _listed(path: tuple) -> list[Filling]:

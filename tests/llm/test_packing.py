@@ -92,3 +92,30 @@ def test_a_table_that_best_fit_packs_worse(spark, rng):
     docs = spark.createDataFrame([(i, "a" + " a" * (n - 2)) for i, n in enumerate(sizes)], "doc_id long, text string")
     n, _ = check_packed(docs, packing.pack(docs, PATH, capacity=24), 24)
     assert n == bound
+
+
+def test_bounds_hold_and_the_search_meets_them_on_small_cases(rng):
+    for _ in range(60):
+        capacity = int(rng.choice([12, 20, 24, 30]))
+        sizes = sorted(rng.integers(capacity // 5, capacity * 3 // 5, 7).tolist())
+        counts = {n: sizes.count(n) for n in set(sizes)}
+        found = packing.plan(counts, capacity)
+        assert packing.middle_bound(counts, capacity)[0] <= fewest(sizes, capacity)
+        assert found.bound <= found.sequences == fewest(sizes, capacity)
+
+
+def test_tables_of_middle_lengths(rng):
+    """Pieces of a third to a half of a sequence, which best fit packs badly: how far from the bound the search ends."""
+    for n, low, high, gap, gain in ((20_000, 500, 999, 0.02, 0.05), (3_000, 680, 999, 0.005, 0.0), (500, 600, 799, 0.06, 0.02), (2_000, 300, 1099, 0.01, 0.01)):
+        lengths, c = np.unique(rng.integers(low, high + 1, n), return_counts=True)
+        counts = dict(zip(lengths.tolist(), c.tolist()))
+        found = packing.plan(counts, 2048)
+        got = defaultdict(int)
+        for f in found.fillings:
+            assert sum(x * k for x, k in f.pieces) <= 2048
+            for x, k in f.pieces:
+                got[x] += k * f.sequences
+        assert dict(got) == counts and sum(f.sequences for f in found.fillings) == found.sequences
+        fit = sum(f.sequences for f in packing.best_fit(counts, 2048))
+        assert found.bound <= found.sequences <= (1 + gap) * found.bound + 1
+        assert found.sequences <= (1 - gain) * fit
