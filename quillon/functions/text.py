@@ -104,22 +104,23 @@ def shingles(x: Column, n: int = 3) -> Column:
     return F.when(F.length(x) == 0, F.array().cast("array<string>")).when(F.length(x) <= n, F.array(x)).otherwise(grams)
 
 
-def watermark_count(x: Column) -> Column:
+def watermark_count(x: Column, marks: tuple[str, ...] = WATERMARKS) -> Column:
+    """How many watermarks stand in a line; ``marks`` are the patterns of a publisher's."""
     total = F.lit(0)
-    for p in WATERMARKS:
+    for p in marks:
         total = total + F.regexp_count(x, F.lit(p))
     return total
 
 
-def without_watermarks(x: Column) -> Column:
-    return F.trim(replaced(x, *((p, "") for p in WATERMARKS), (r"\s{2,}", " ")))
+def without_watermarks(x: Column, marks: tuple[str, ...] = WATERMARKS) -> Column:
+    return F.trim(replaced(x, *((p, "") for p in marks), (r"\s{2,}", " ")))
 
 
-def clean_lines(raw: Column) -> Column:
+def clean_lines(raw: Column, marks: tuple[str, ...] = WATERMARKS) -> Column:
     """Lines of a text, cleaned: trimmed, runs of tildes made one, whole-book answers and watermarks cut, noise dropped."""
     lines = F.split(raw, r"\r?\n")
     first = F.transform(lines, lambda x: stripped(replaced(stripped(x), ("~+", "～"), (WHOLE_ANSWERS, ""))))
-    return F.filter(F.transform(first, without_watermarks), lambda x: (x != "") & ~x.rlike(STRUCTURAL_NOISE))
+    return F.filter(F.transform(first, lambda x: without_watermarks(x, marks)), lambda x: (x != "") & ~x.rlike(STRUCTURAL_NOISE))
 
 
 def is_number_stream(line: Column) -> Column:
@@ -179,6 +180,7 @@ def word_limit(stem: Column) -> Column:
     """
     x = F.regexp_replace(F.coalesce(stem, F.lit("")), r"(?U)\s+", "")
     num = lambda p, g=1: F.expr("cast(null as int)") if p is None else F.try_to_number(F.nullif(F.regexp_extract(x, p, g), F.lit("")), F.lit("9999")).cast("int")
+    # How prompts word their limits.
     between = r"([0-9]{2,4})[—–\-~～至到]([0-9]{2,4})字"
     a, b = num(between, 1), num(between, 2)
     low = F.coalesce(num("(?:不少于|不低于|至少)([0-9]{2,4})字"), num("([0-9]{2,4})字以上"), F.lit(0))
@@ -287,6 +289,7 @@ def clean_title(x: Column) -> Column:
 
     Both patterns repeat, so what cleaning once would lay bare is taken too.
     """
+    # What stands before and after a heading.
     before = r"^(?:\s*(?:[0-9]{1,3}\s*[.、．]|[（(][0-9一二三四五六七八九十]{1,3}[)）]|[-—·•*#]+)\s*)+"
     after = r"(?:\s*(?:[.。…·•]{2,}\s*[0-9]{0,4}|[（(][^()（）]*[)）]))+\s*$"
     return F.trim(replaced(x, (before, ""), (after, "")))

@@ -91,6 +91,7 @@ def header_images(regions: DataFrame, share: float = 0.25) -> DataFrame:
     box = F.struct(left.alias("x"), up.alias("y"), (right - left).alias("w"), (low - up).alias("h"))
     pages = regions.groupBy("doc").agg((F.max("page") + 1).alias("total"))
     small = regions.filter((F.col("type") == "image") & (F.char_length("img_path") > 0) & (F.size("bbox") == 4)).select("doc", "page", "region_no", "img_path", box.alias("box"), low.alias("low"))
+    # How low, high and wide the image of a header is, and how far apart two may stand.
     small = small.filter((F.col("low") < 155) & (F.col("box.h") > 0) & (F.col("box.h") < 130) & (F.col("box.w") > 0) & (F.col("box.w") < 420) & F.col("page").isNotNull())
     boxes = small.groupBy("doc", "box").agg(F.min(F.struct("page", "region_no")).alias("first")).select("doc", "box.*", "first.*")
     kind = regions.schema["doc"].dataType.simpleString()
