@@ -120,6 +120,10 @@ def gram_simhash(grams: DataFrame) -> DataFrame:
     return votes.select("id", F.concat(*ones).alias("fp"))
 
 
+#: Places of a sketch, a power of two.
+SKETCH = 4096
+
+
 class _GramHashes:
     """The first eight bytes of the md5 of 3-grams, each different one hashed once."""
 
@@ -145,29 +149,33 @@ class _GramHashes:
 
 
 def gram_prints(texts: DataFrame, least: int = 4) -> DataFrame:
-    """(id, text) to (id, signature, fp, grams): what gram_sets() and gram_simhash() say of 3-grams, in one pass and one
-    row a text.
+    """(id, text) to (id, signature, fp, grams, sketch): what gram_sets() and gram_simhash() say of 3-grams, in one pass
+    and one row a text.
 
     grams are the different 3-grams as numbers, 21 bits for each character; fp is a string of 64 bits, highest first;
-    signature, the SHA-256 of the text's letters and digits, is the same for texts with the same ones.
+    signature, the SHA-256 of the text's letters and digits, is the same for texts with the same ones; sketch has a bit
+    for each of SKETCH places to which a gram is hashed.
     """
     kind = texts.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("signature", T.StringType()), T.StructField("fp", T.StringType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("signature", T.StringType()), T.StructField("fp", T.StringType()), T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _GramHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids, signatures, prints, sets = [], [], [], []
+                ids, signatures, prints, sets, sketches = [], [], [], [], []
                 for i, text in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist()):
                     c = _code_points(text)
                     grams = np.unique(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]).view(np.int64)
                     if len(grams) >= least:
                         ones = np.unpackbits(hashes.of(grams), axis=1).sum(axis=0)
                         signatures.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+                        bits = np.zeros(SKETCH, bool)
+                        bits[(grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SKETCH.bit_length() + 1)] = True
+                        sketches.append(np.packbits(bits).view(np.int64))
                         ids.append(i), sets.append(grams), prints.append("".join("1" if 2 * k > len(grams) else "0" for k in ones.tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(signatures, pa.string()), pa.array(prints, pa.string()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "signature", "fp", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(signatures, pa.string()), pa.array(prints, pa.string()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "signature", "fp", "grams", "sketch"])
 
     normal = texts.select("id", letters_and_digits(F.col("text")).alias("t")).filter(F.length("t") >= least + 2)
     return normal.mapInArrow(run, schema)
@@ -221,11 +229,15 @@ def _near(texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     sets = cut(gram_prints(texts), "grams")
     first = sets.groupBy("signature").agg(F.min("id").alias("rep"))
     members = sets.select("id", "signature").join(first, "signature").select("id", "rep")
-    prints = sets.select("id", "fp", F.size("grams").alias("n")).join(first.select(F.col("rep").alias("id")), "id", "left_semi")
+    prints = sets.select("id", "fp", "sketch", F.size("grams").alias("n")).join(first.select(F.col("rep").alias("id")), "id", "left_semi")
     pairs = candidate_pairs(banded(prints))
-    # Sets whose sizes differ more can't be so alike: such pairs never meet their sets.
-    na, nb = prints.select(F.col("id").alias("a"), F.col("n").alias("na")), prints.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-    likely = pairs.join(na, "a").join(nb, "b").filter(F.least("na", "nb") >= F.lit(least - 1e-9) * F.greatest("na", "nb")).select("a", "b")
+    # A place of a sketch that only one side has stands for a gram that the other lacks. Pairs that can't be so alike, by
+    # that or by their sizes, never meet their sets.
+    na, nb = (prints.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, k: s + k)
+    most = F.least(F.col("na") - only("sa", "sb"), F.col("nb") - only("sb", "sa"))
+    met = pairs.join(na, "a").join(nb, "b").filter(F.least("na", "nb") >= F.lit(least - 1e-9) * F.greatest("na", "nb"))
+    likely = met.filter(most * (1 + least) >= F.lit(least - 1e-9) * (F.col("na") + F.col("nb"))).select("a", "b")
     return cut(jaccard_of_pairs(likely, sets.select("id", "grams"), least), "pairs"), members
 
 
