@@ -45,7 +45,7 @@ def submitted_state(spark, sf):
     s, rows = Store(spark, fresh_path(spark, "attempts")), attempts(spark, sf)
     week = F.floor((F.dayofmonth("created_at") - 1) / 8)
     for number, w in enumerate((2, 0, 3, 1)):
-        submission.submit(s, rows.filter(week == w), number)
+        submission.submit(s, rows.filter(week == w), number, n_parts=4)
     submission.submit(s, rows.filter(week == 3), 2)
     return submission.states(s).select("question_id", "wrong_count", "correct_streak", "mastered", "last_cause", "first_wrong_at", "last_attempt_at", "due_at", "completed_at")
 
@@ -55,7 +55,7 @@ def submitted_attempts(spark, sf):
     """The other table of the same commits."""
     s, rows = Store(spark, fresh_path(spark, "attempts")), attempts(spark, sf)
     for number, wrong in enumerate((True, False, True)):
-        submission.submit(s, rows.filter(F.col("wrong_cause").isNotNull() == wrong), min(number, 1))
+        submission.submit(s, rows.filter(F.col("wrong_cause").isNotNull() == wrong), min(number, 1), n_parts=4)
     return s.read("attempts").groupBy("question_id").agg(F.count("*").alias("attempts"), F.count_if("correct").alias("correct"), F.sum("duration_seconds").alias("seconds"))
 
 

@@ -44,13 +44,13 @@ def folded(attempts: DataFrame) -> DataFrame:
     return state.drop("_last")
 
 
-def submit(store: Store, batch: DataFrame, number: int, questions: DataFrame | None = None, source: str = "attempts") -> int | None:
+def submit(store: Store, batch: DataFrame, number: int, questions: DataFrame | None = None, source: str = "attempts", n_parts: int = 64) -> int | None:
     """Commit a batch of attempts (id, question_id, answer or correct, created_at and more) with the state that follows.
 
     Returns the new version, or None if this number was committed before. A question's state is folded on from the one
     before where all its new attempts are later; where one comes late the question's attempts are read again, so any order
     of batches leads to the same states. Attempts at questions that the library hasn't got are kept and don't count.
-    Null question ids are kept and don't count either.
+    Null question ids are kept and don't count either. The states lie in ``n_parts`` parts.
     """
     done = store.mark(source)
     if done is not None and done >= number:
@@ -67,9 +67,10 @@ def submit(store: Store, batch: DataFrame, number: int, questions: DataFrame | N
         late = cut(touched.filter(F.col("last_attempt_at") >= F.col("_first")).select("question_id"), "late")
         on = review_state_after(prior.join(first, "question_id", "left_semi").join(late, "question_id", "left_anti"), new.join(late, "question_id", "left_anti"))
         every = store.read("attempts", present.number).filter("counted").unionByName(new)
-        again = folded(every.join(late, "question_id", "left_semi"))
-        state = prior.join(first, "question_id", "left_anti").unionByName(on).unionByName(again)
-    return store.commit({"review_state": state}, {"attempts": rows}, {"review_state": "question_id", "attempts": "id"}, batch=(source, number))
+        state = prior.join(first, "question_id", "left_anti").unionByName(on)
+        if not late.isEmpty():
+            state = state.unionByName(folded(every.join(late, "question_id", "left_semi")))
+    return store.commit({"review_state": state}, {"attempts": rows}, {"review_state": "question_id", "attempts": "id"}, n_parts, batch=(source, number))
 
 
 def states(store: Store, number: int | None = None) -> DataFrame:
