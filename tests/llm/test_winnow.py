@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+import numpy as np
+import pytest
+
 from quillon.llm import winnow
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -66,3 +69,44 @@ def test_clashing_columns_and_the_size_of_fingerprints(spark, benchmark):
     order, begins, members = held.lengths[13]
     assert len(order) == 50_000 - 12 and len(members) == 2 * len(order) and held.names == ["1", "2"]
     assert held.judge([text])[0] == (50_000, 50_000, ["1", "2"])
+
+
+@pytest.mark.parametrize("bits", [0, 3, 64])
+def test_words_decide_where_hashes_meet(monkeypatch, rng, bits):
+    """With hashes of few bits nearly all windows meet; the words must tell them apart."""
+    true = winnow._sums
+
+    def narrow(words, factors, k):
+        return true(words, factors, k) & np.uint64((1 << bits) - 1) if factors is winnow._WHOLE else true(words, factors, k)
+
+    monkeypatch.setattr(winnow, "_sums", narrow)
+    monkeypatch.setattr(winnow, "_COMPARED", 50)
+    some = ["a", "bb", "cé", "d1", "中"]
+    text = lambda n: " ".join(rng.choice(some, n))
+    items = [(i, text(n)) for i, n in enumerate([2, 2, 3, 5, 9, 13, 14, 20, 40])] + [(90, "a bb"), (91, "A, bb!")]
+    docs = [(d, t) for d, t in enumerate([items[8][1] + " x " + items[7][1].upper(), text(300), "", None, "--", "a", items[6][1]])]
+    held = winnow.Fingerprints(items)
+    if bits < 64:
+
+        def judged(texts):
+            words, bounds = winnow.word_hashes(texts)
+            spell = winnow.spelled(texts)
+            out = []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                hit, found = set(), set()
+                for n, (order, begins, members) in held.lengths.items():
+                    at = np.arange(a, b - n + 1)
+                    if len(at):
+                        w = narrow(words, winnow._WHOLE, n)[at]
+                        at, w = at[np.isin(w, order)], w[np.isin(w, order)]
+                        for i, slot in zip(at, held._slots(n, at, w, *spell)):
+                            if slot >= 0:
+                                hit.update(range(i, i + n))
+                                found.update(members[begins[slot] : begins[slot + 1]].tolist())
+                out.append((int(b - a), len(hit), [held.names[i] for i in sorted(found)]))
+            return out
+    else:
+        judged = held.judge
+    got = judged([t for _, t in docs])
+    want = list(brute(docs, items))
+    assert [(n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest()) for n, h, i in got] == [w[1:5] for w in want]
