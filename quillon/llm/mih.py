@@ -22,15 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.arrow import _arrow_schema, small_batches
+from quillon.llm.arrow import _arrow_schema
 from quillon.storage import cut
 
 _FOUND = "query_id long, vec_id long, score double, compared long"
 _VALUES = np.arange(256, dtype=np.uint8)
 #: Pairs that are looked up at a time.
 _CELLS = 1 << 20
-#: Query blocks whose results, and row blocks whose indexes, a task holds at a time.
-_MERGED, _INDEXED = 64, 8
+#: Bytes of vectors of either side that a cell of the grid gets, about.
+_CELL = 32 << 20
 _ROWS = ("ids", "vectors", "codes")
 _ASKED = ("qids", "qvectors", "qcodes")
 
@@ -205,49 +205,44 @@ def _pack(rows: DataFrame, codes: Codes, size: int, slots: int, names: tuple[str
     return rows.select("vec_id", "embedding").mapInArrow(run, ddl)
 
 
+def _blocks(table: pa.Table, names: tuple[str, ...], dim: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and codes of each block."""
+    for batch in table.to_batches():
+        for i in range(batch.num_rows):
+            ids, vectors, packed = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in zip(names, ("<i8", "<f8", np.uint8)))
+            yield ids, vectors.reshape(-1, dim), packed.reshape(-1, m)
+
+
 def _searched(index: DataFrame, asked: DataFrame, codes: Codes, slots: int, groups: int, radius: int, k: int) -> DataFrame:
     """query_id, vec_id, score of each query's best within the radius; and, on some rows, how many pairs were scored."""
     schema, m, dim = _arrow_schema(_FOUND), codes.bits // 8, codes.rotation.shape[0]
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of blocks; the results of a query block are merged, of a bounded number of query blocks at a time."""
-        found: dict[bytes, tuple] = {}
-        indexed: dict[bytes, Block] = {}
-
-        def results() -> Iterator[pa.RecordBatch]:
-            for key, (q, ids, scores, compared) in found.items():
-                if len(q):
-                    first = np.zeros(len(q), np.int64)
-                    first[0] = compared
-                    columns = (np.frombuffer(key, "<i8")[q], ids, scores, first)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-            found.clear()
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                get = lambda c, kind, i=i, batch=batch: np.frombuffer(batch.column(c)[i].as_buffer(), kind)
-                own = batch.column("ids")[i].as_py()
-                block = indexed.pop(own, None) or Block(np.frombuffer(own, "<i8"), get("vectors", "<f8").reshape(-1, dim), get("codes", np.uint8).reshape(-1, m))
-                if len(indexed) >= _INDEXED:
-                    del indexed[next(iter(indexed))]
-                indexed[own] = block
-                key = batch.column("qids")[i].as_py()
-                *new, n = block.search(np.frombuffer(key, "<i8"), get("qvectors", "<f8").reshape(-1, dim), get("qcodes", np.uint8).reshape(-1, m), radius, k)
-                if key in found:
-                    *old, compared = found[key]
-                    found[key] = (*best(*(np.concatenate(c) for c in zip(old, new)), k), compared + n)
-                else:
-                    if len(found) >= _MERGED:
-                        yield from results()
-                    found[key] = (*new, n)
-        yield from results()
-
-    # Rows are dealt into slots and queries into groups, as many as the root of the number of blocks: then neither what
-    # is sent nor the partial results, k for each query and slot, grow with the product of both.
+    def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        """A cell: its blocks of rows are indexed one after the other, and each query block keeps its k best so far."""
+        sought = list(_blocks(queries, _ASKED, dim, m))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        found = [(*none, 0) for _ in sought]
+        for own in _blocks(rows, _ROWS, dim, m) if sought else ():
+            block = Block(*own)
+            for i, query_block in enumerate(sought):
+                *new, n = block.search(*query_block, radius, k)
+                *old, compared = found[i]
+                found[i] = (*best(*(np.concatenate(c) for c in zip(old, new)), k), compared + n)
+        out = []
+        for (query_ids, _, _), (q, ids, scores, compared) in zip(sought, found):
+            first = np.zeros(len(q), np.int64)
+            first[:1] = compared
+            out.append(pa.table([query_ids[q], ids, scores, first], schema=schema))
+        return pa.concat_tables([schema.empty_table(), *out])
+
+    # Rows are dealt into slots and queries into groups, and a block is sent once to each cell of its slot or group. There
+    # are as many slots as the root of the number of blocks: then neither what is sent nor the partial results, k for each
+    # query and slot, grow with the product of both.
     held = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     sent = asked.withColumnRenamed("slot", "group").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    with small_batches(index.sparkSession, 8):
-        return cut(sent.join(held, ["group", "slot"]).select(*_ROWS, *_ASKED).mapInArrow(search, _FOUND), "found")
+    # Said how many: cells are few bytes and much work, so they must not be put together by their size.
+    keys, cells = ["group", "slot"], 2 * groups * slots
+    return cut(held.repartition(cells, *keys).groupBy(*keys).cogroup(sent.repartition(cells, *keys).groupBy(*keys)).applyInArrow(search, _FOUND), "found")
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 20, codes: Codes | None = None, block: int = 2048, query_block: int = 512) -> DataFrame:
@@ -259,7 +254,8 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, codes: Codes | No
     candidate each; a query id that repeats is asked with the smallest of its vectors; with fewer than k candidates all
     are returned; empty tables give no rows.
 
-    The query set meets all rows in blocks, each indexed once; what a pair of blocks looks up within the radius is ranked.
+    The query set meets all rows in blocks, in the cells of a grid: a block of either side is sent once to a cell and indexed
+    there once; what a pair of blocks looks up within the radius is ranked.
     Queries with fewer than k rows within it are searched again with a wider one, in the end with all bits.
     """
     spark = table.sparkSession
@@ -279,7 +275,8 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int, codes: Codes | None, b
     """query_id, vec_id, score: at least each query's k best, of vectors of one length."""
     codes = codes or learn(rows, k=k)
     blocks = max(1, math.ceil(rows.count() / block))
-    slots = math.ceil(math.sqrt(blocks))
+    dim = codes.rotation.shape[0]
+    slots = max(math.ceil(math.sqrt(blocks)), math.ceil(blocks * block * dim * 8 / _CELL))
     # Few blocks, and whole ones: small files are packed together, without a shuffle.
     index = cut(_pack(rows.coalesce(blocks), codes, block, slots, _ROWS), "index")
     left = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
@@ -289,7 +286,7 @@ def _nearest(rows: DataFrame, queries: DataFrame, k: int, codes: Codes | None, b
         n = left.count()
         if not n:
             break
-        groups = max(1, math.ceil(slots / 2))
+        groups = max(1, min(math.ceil(math.sqrt(blocks) / 2), math.ceil(n / query_block)), math.ceil(n * dim * 8 / _CELL))
         asked = cut(_pack(left.coalesce(max(1, math.ceil(n / query_block))), codes, query_block, groups, _ASKED), "queries")
         found.append(_searched(index, asked, codes, slots, groups, radius, k).drop("compared"))
         if radius >= codes.bits:
