@@ -94,12 +94,20 @@ class TokenLedger:
     def _pending(self) -> str:
         return f"{self.path}/_pending-{uuid.uuid4().hex}"
 
-    def _latest(self) -> tuple[str | None, set[str]]:
-        """The number of the sum that counts, if there is one, and the ids of the batches in it."""
-        numbers = self._names("sum")
-        if not numbers:
-            return None, set()
-        return numbers[-1], {r[0] for r in self.spark.read.schema("id string").parquet(f"{self.path}/sum={numbers[-1]}/ids").collect()}
+    def _latest(self) -> str | None:
+        """The number of the sum that counts, if there is one."""
+        return max(self._names("sum"), default=None)
+
+    def _ids(self, latest: str | None) -> DataFrame:
+        """Ids of the batches in a sum; of none without a sum."""
+        return self.spark.read.schema("id string").parquet(f"{self.path}/sum={latest}/ids") if latest else self.spark.createDataFrame([], "id string")
+
+    def _new(self, names: list[str], latest: str | None) -> list[str]:
+        """Those of these batches that aren't in the sum; ids of batches long summed stay where they are."""
+        if not (names and latest):
+            return names
+        held = {r[0] for r in self._ids(latest).join(F.broadcast(self.spark.createDataFrame([(n,) for n in names], "id string")), "id", "left_semi").collect()}
+        return [n for n in names if n not in held]
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch of signed rows, unless this batch_id was committed before; whether it was applied now.
@@ -108,7 +116,7 @@ class TokenLedger:
         """
         if not _ID.fullmatch(batch_id):
             raise ValueError(f"not a batch id: {batch_id!r}")
-        if batch_id in self.batches():
+        if batch_id in self._names("batch") or not self._new([batch_id], self._latest()):
             return False
         # Map-side sums first: however many rows one source has, it is one row for each task in the shuffle.
         delta = changes.groupBy(*KEY).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
@@ -118,15 +126,17 @@ class TokenLedger:
 
     def batches(self) -> list[str]:
         """Ids of all batches that were ever committed."""
-        return sorted({*self._names("batch"), *self._latest()[1]})
-
-    def _tables(self) -> list[str]:
-        latest, held = self._latest()
-        return [f"{self.path}/sum={latest}/sums"] * (latest is not None) + [f"{self.path}/batch={b}" for b in self._names("batch") if b not in held]
+        return sorted({*self._names("batch"), *(r[0] for r in self._ids(self._latest()).collect())})
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens; groups that hold nothing any more are left out."""
-        tables = [self.spark.read.schema(_DELTA).parquet(p) for p in self._tables()]
+        latest = self._latest()
+        return self._summed(latest, self._new(self._names("batch"), latest))
+
+    def _summed(self, latest: str | None, names: list[str]) -> DataFrame:
+        """The totals of a sum, if there is one, and these batches."""
+        paths = [f"{self.path}/sum={latest}/sums"] * (latest is not None) + [f"{self.path}/batch={b}" for b in names]
+        tables = [self.spark.read.schema(_DELTA).parquet(p) for p in paths]
         deltas = reduce(DataFrame.unionByName, tables) if tables else self.spark.createDataFrame([], _DELTA)
         return deltas.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")
 
@@ -135,11 +145,12 @@ class TokenLedger:
 
         False if another compaction came first. What was summed is deleted after the switch; readers don't count it.
         """
-        latest, _ = self._latest()
-        ids = self.batches()
+        latest = self._latest()
+        # Listed once: a batch that comes in from here on is neither summed nor held to be.
+        names = self._new(self._names("batch"), latest)
         pending = self._pending()
-        self.totals().coalesce(1).write.parquet(f"{pending}/sums")
-        self.spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.parquet(f"{pending}/ids")
+        self._summed(latest, names).coalesce(1).write.parquet(f"{pending}/sums")
+        self._ids(latest).unionByName(self.spark.createDataFrame([(n,) for n in names], "id string")).coalesce(1).write.parquet(f"{pending}/ids")
         if not self._publish(pending, f"sum={int(latest or 0) + 1:010d}"):
             return False
         self.tidy()
@@ -147,13 +158,12 @@ class TokenLedger:
 
     def tidy(self) -> None:
         """Delete what the sum that counts has made needless, as a compaction that broke off may have left it."""
-        latest, held = self._latest()
+        latest, names = self._latest(), self._names("batch")
         for n in self._names("sum"):
             if n != latest:
                 remove(self.spark, f"{self.path}/sum={n}")
-        for b in self._names("batch"):
-            if b in held:
-                remove(self.spark, f"{self.path}/batch={b}")
+        for b in sorted({*names} - {*self._new(names, latest)}):
+            remove(self.spark, f"{self.path}/batch={b}")
 
 
 def copies_leaving(counted: DataFrame) -> DataFrame:

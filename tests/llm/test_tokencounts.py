@@ -93,3 +93,24 @@ def test_a_compaction_that_breaks_off(spark, documents, step, monkeypatch):
     pending = ledger._pending()
     tokencounts.signed(rows, 1).write.parquet(pending)
     assert not ledger._publish(pending, "sum=" + ledger._names("sum")[0]) and totals(ledger) == before
+
+
+def test_a_batch_that_comes_in_while_others_are_summed(spark, tmp_path, monkeypatch):
+    """It is in neither the sum nor the ids of that sum, and counts by itself."""
+    row = lambda n: tokencounts.signed(spark.createDataFrame([("s", "en", "t", n)], "source string, lang string, tokenizer string, n_tokens long"), 1)
+    ledger = tokencounts.TokenLedger(spark, str(tmp_path / "l"))
+    assert ledger.commit("a", row(3)) and ledger.compact() and ledger.commit("b", row(5))
+    pending = ledger._pending
+
+    def late():
+        monkeypatch.undo()
+        assert ledger.commit("c", row(7))
+        return pending()
+
+    monkeypatch.setattr(ledger, "_pending", late)
+    assert ledger.compact()
+    assert [tuple(r) for r in ledger.totals().select("n_docs", "n_tokens").collect()] == [(3, 15)]
+    assert ledger._names("batch") == ["c"] and ledger.batches() == ["a", "b", "c"]
+    for b in "abc":
+        assert not ledger.commit(b, row(1))
+    assert ledger.compact() and ledger.batches() == ["a", "b", "c"] and [r["n_tokens"] for r in ledger.totals().collect()] == [15]
