@@ -89,7 +89,8 @@ def merged_figures(spark, sf):
 def pair_by_position(spark, sf):
     """Booklets whose first solution is lost, so that each question goes with the solution one place before its own."""
     lines = _li(spark, sf).select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("num")).distinct()
-    text = F.concat(F.md5(F.concat_ws("-", F.col("book").cast("string"), F.col("num").cast("string"))), F.md5(F.concat_ws("+", F.col("num").cast("string"), F.col("book").cast("string"))))
+    # Digits of 64 kinds: with the 16 of a printed hash, two texts of some ten million are alike by chance.
+    text = F.base64(F.unhex(F.sha2(F.concat_ws("-", F.col("book").cast("string"), F.col("num").cast("string")), 512)))
     q = lines.select("book", F.lit(1).alias("set_no"), "num", text.alias("stem"), F.col("num").alias("line_no"))
     first = lines.groupBy("book").agg(F.min("num").alias("num"))
     s = q.join(first, ["book", "num"], "left_anti").select("book", "set_no", "num", "line_no", F.lit("A").alias("answer"), F.col("stem").alias("excerpt"))
