@@ -116,30 +116,30 @@ def preserved_pages(regions: DataFrame) -> DataFrame:
 def bound_options(regions: DataFrame, reach: float = 260.0) -> DataFrame:
     """Bind option labels A to D to the nearest image below or beside them on their page, each image once.
 
-    Labels are taken by key, then by gap, so the result doesn't depend on the order of rows. Pages are small; each
-    is bound on its own. doc, page, key, img_path, gap.
+    Labels are taken by key, then by gap, so the result doesn't depend on the order of rows. A page is one row of its
+    labels and images, folded in columns: pages are small and very many. doc, page, key, img_path, gap.
     """
+    box = F.col("bbox").cast("array<double>")
+    text = F.regexp_replace("text", r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    image, mark = F.coalesce(F.col("type") == "image", F.lit(False)), F.substring(text, 1, 1)
+    label = ~image & mark.isin(*"ABCD") & (F.char_length(text) <= 2)
+    pages = regions.groupBy("doc", "page").agg(
+        F.array_sort(F.collect_list(F.when(label, F.struct(mark.alias("key"), "region_no", box.alias("bbox"))))).alias("_labels"),
+        F.collect_list(F.when(image, F.struct("region_no", "img_path", box.alias("bbox")))).alias("_images"),
+    )
 
-    def bind(frame: pd.DataFrame) -> pd.DataFrame:
-        images = [(r.region_no, r.img_path, r.bbox) for r in frame.itertuples() if r.type == "image"]
-        labels = sorted((str(r.text).strip()[:1], r.region_no, r.bbox) for r in frame.itertuples() if r.type != "image" and str(r.text).strip()[:1] in tuple("ABCD") and len(str(r.text).strip()) <= 2)
-        used, out = set(), []
-        for key, _, box in labels:
-            x, y = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
-            near = []
-            for no, path, b in images:
-                dx, dy = max(b[0] - x, 0, x - b[2]), max(b[1] - y, 0, y - b[3])
-                gap = (dx * dx + dy * dy) ** 0.5
-                if no not in used and gap <= reach and (dx == 0 or dy == 0):
-                    near.append((gap, no, path))
-            if near:
-                gap, no, path = min(near)
-                used.add(no)
-                out.append((frame["doc"].iloc[0], frame["page"].iloc[0], key, path, gap))
-        return pd.DataFrame(out, columns=["doc", "page", "key", "img_path", "gap"])
-
-    kind = regions.schema["doc"].dataType.simpleString()
-    return regions.select("doc", "page", "region_no", "type", "bbox", "img_path", "text").groupBy("doc", "page").applyInPandas(bind, f"doc {kind}, page int, key string, img_path string, gap double")
+    def bind(held: Column, of: Column) -> Column:
+        x, y = (of["bbox"][0] + of["bbox"][2]) / 2, (of["bbox"][1] + of["bbox"][3]) / 2
+        apart = lambda low, high, at: F.greatest(low - at, F.lit(0.0), at - high)
+        places = F.transform("_images", lambda i: F.struct(apart(i["bbox"][0], i["bbox"][2], x).alias("dx"), apart(i["bbox"][1], i["bbox"][3], y).alias("dy"), i.alias("i")))
+        straight = F.filter(places, lambda p: (p["dx"] == 0) | (p["dy"] == 0))
+        gaps = F.transform(straight, lambda p: F.struct(F.sqrt(p["dx"] * p["dx"] + p["dy"] * p["dy"]).alias("gap"), p["i"]["region_no"].alias("region_no"), p["i"]["img_path"].alias("img_path")))
+        near = F.array_min(F.filter(gaps, lambda g: (g["gap"] <= reach) & ~F.exists(held, lambda h: h["region_no"] == g["region_no"])))
+        return F.concat(held, F.transform(F.array_compact(F.array(near)), lambda n: F.struct(of["key"].alias("key"), n["img_path"].alias("img_path"), n["gap"].alias("gap"), n["region_no"].alias("region_no"))))
+
+    none = F.array().cast(f"array<struct<key:string,img_path:string,gap:double,region_no:{regions.schema['region_no'].dataType.simpleString()}>>")
+    bound = pages.select("doc", F.col("page").cast("int").alias("page"), F.explode(F.aggregate("_labels", none, bind)).alias("b"))
+    return bound.select("doc", "page", "b.key", "b.img_path", "b.gap")
 
 
 def merged_figures(regions: DataFrame, most: float = 0.4, least_area: float = 0.002, banner: float = 8.0) -> DataFrame:
