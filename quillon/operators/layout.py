@@ -144,28 +144,21 @@ def bound_options(regions: DataFrame, reach: float = 260.0) -> DataFrame:
 
 def merged_figures(regions: DataFrame, most: float = 0.4, least_area: float = 0.002, banner: float = 8.0) -> DataFrame:
     """Figures without small and banner-shaped ones, and without those that overlap a kept one (first kept) too much."""
-
-    def keep(frame: pd.DataFrame) -> pd.DataFrame:
-        held: list = []
-        rows = []
-        for i, r in enumerate(frame.sort_values("region_no").itertuples()):
-            x0, y0, x1, y1 = r.bbox
-            w, h = x1 - x0, y1 - y0
-            if w * h < least_area or h <= 0 or w / h > banner:
-                continue
-            overlap = 0.0
-            for b in held:
-                common = max(0.0, min(x1, b[2]) - max(x0, b[0])) * max(0.0, min(y1, b[3]) - max(y0, b[1]))
-                union = w * h + (b[2] - b[0]) * (b[3] - b[1]) - common
-                overlap = max(overlap, common / union if union > 0 else 0.0)
-            if overlap <= most:
-                held.append(r.bbox)
-                rows.append((r.doc, r.page, r.region_no))
-        return pd.DataFrame(rows, columns=["doc", "page", "region_no"])
-
-    kind = regions.schema["doc"].dataType.simpleString()
-    figures = regions.filter("type = 'image'").select("doc", "page", "region_no", "bbox")
-    return figures.groupBy("doc", "page").applyInPandas(keep, f"doc {kind}, page int, region_no int")
+    x0, y0, x1, y1 = (F.col("bbox")[i].cast("double") for i in range(4))
+    w, h = x1 - x0, y1 - y0
+    shaped = (w * h >= least_area) & F.when(h > 0, w / h <= banner)
+    figure = F.struct("region_no", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), (w * h).alias("area"))
+    pages = regions.filter("type = 'image'").filter(shaped).groupBy("doc", "page").agg(F.array_sort(F.collect_list(figure)).alias("_figures"))
+
+    def overlaps(a: Column, b: Column) -> Column:
+        side = lambda low, high: F.greatest(F.lit(0.0), F.least(a[high], b[high]) - F.greatest(a[low], b[low]))
+        common = side("x0", "x1") * side("y0", "y1")
+        union = a["area"] + b["area"] - common
+        return F.when(union > 0, common / union).otherwise(0.0) > most
+
+    none = F.array().cast(f"array<struct<region_no:{regions.schema['region_no'].dataType.simpleString()},x0:double,y0:double,x1:double,y1:double,area:double>>")
+    kept = F.aggregate("_figures", none, lambda held, f: F.when(F.exists(held, lambda k: overlaps(f, k)), held).otherwise(F.concat(held, F.array(f))))
+    return pages.select("doc", F.col("page").cast("int").alias("page"), F.explode(kept).alias("f")).select("doc", "page", F.col("f.region_no").cast("int").alias("region_no"))
 
 
 def table_of_cells(cells: DataFrame, bucket: float = 10.0) -> DataFrame:
