@@ -1,7 +1,8 @@
 """Parsers as table functions of SQL: ``SELECT * FROM quillon_questions(TABLE(lines))``.
 
-Each takes a table of lines (doc, line_no, line) or, for chunks, of texts (doc, text). The functions themselves say that a
-document's lines go together and in what order, so a call needs no PARTITION BY.
+Each takes a table of lines (doc, line_no, line), of documents with their lines (doc, lines) or, for chunks, of texts (doc,
+text). The functions themselves say that a document's lines go together and in what order, so a call needs no PARTITION BY.
+Documents with their lines are rows already: they are neither shuffled nor sorted.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ def _analyzed(table: AnalyzeArgument, needed: tuple[str, ...], schema: StructTyp
 
 
 def _of_lines(parser: Callable[..., Iterator[dict]]):
-    """A table function that calls a parser once for each document, with its lines in order; null lines are none."""
+    """A table function that calls a parser once for each document, with its lines in order; null lines are none.
+
+    A table that has ``lines`` has a row for each document.
+    """
     schema = StructType.fromDDL(parsers.SCHEMAS[parser])
     names = schema.names
 
@@ -35,9 +39,15 @@ def _of_lines(parser: Callable[..., Iterator[dict]]):
 
         @staticmethod
         def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+            if table.isTable and "lines" in [f.name for f in table.dataType]:
+                return _analyzed(table, ("doc", "lines"), schema)
             return _analyzed(table, ("doc", "line_no", "line"), schema, partitionBy=[PartitioningColumn("doc")], orderBy=[OrderingColumn("line_no")])
 
-        def eval(self, row: Row) -> None:
+        def eval(self, row: Row) -> Iterator[tuple]:
+            if "lines" in row.__fields__:
+                for found in parser([x for x in row["lines"] or [] if x is not None]):
+                    yield (row["doc"], *(found[n] for n in names))
+                return
             self.doc = row["doc"]
             if row["line"] is not None:
                 self.lines.append(row["line"])
