@@ -2,7 +2,7 @@
 
 from quillon.operators import dedup, layout
 from quillon.plans import all_queries
-from quillon.sources import table_functions
+from quillon.sources import parsers, table_functions
 
 Q = all_queries.QUERIES
 
@@ -76,3 +76,10 @@ def test_f12_a_paper_is_no_row(spark, tmp_path, monkeypatch):
     got = sorted(map(tuple, Q["paper_files"](spark, str(tmp_path)).collect()))
     assert got == [("supplier 5", 1, "7", "A"), ("supplier 5", 2, "7", "A"), ("supplier 5", 3, "8", "N"), ("supplier 6", 1, "9", None)]
     assert given == [4]
+
+
+def test_f11_f15_parsers_make_no_frames(spark):
+    books = spark.createDataFrame([(1, ["1.a", "A.x", "B.y"]), (2, None), (3, [])], "doc long, lines array<string>")
+    parsed = parsers.parse_lines(books, parsers.question_book)
+    assert "InPandas" not in plan(parsed)
+    assert [(r["doc"], r["num"], [tuple(o) for o in r["options"]]) for r in parsed.collect()] == [(1, 1, [("A", "x"), ("B", "y")])]
