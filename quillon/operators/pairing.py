@@ -19,9 +19,12 @@ def alignment(stem: Column, excerpt: Column) -> Column:
     1 without an excerpt, which nothing speaks against; 0 if either has fewer than four characters.
     """
     q, t = for_alignment(F.coalesce(stem, F.lit(""))), for_alignment(excerpt)
-    # Both lists are bound once: inside a lambda, an outer expression would be evaluated for every element.
-    both = F.struct(shingles(q, 2).alias("grams"), F.regexp_extract_all(t, F.lit("(?s)(?=(.{2}))"), 1).alias("every"))
-    score = F.transform(F.array(both), lambda b: F.size(F.filter(b["every"], lambda g: F.array_contains(b["grams"], g))) / F.size(b["grams"]))[0]
+    # All lists are bound once: inside a lambda, an outer expression would be evaluated for every element. Common bigrams
+    # meet by hash; a place is looked up among these few only, and not at all where every bigram of the reprint is one.
+    every = F.regexp_extract_all(t, F.lit("(?s)(?=(.{2}))"), 1)
+    both = F.transform(F.array(F.struct(shingles(q, 2).alias("grams"), every.alias("every"))), lambda b: F.struct(b["grams"].alias("grams"), b["every"].alias("every"), F.array_intersect(b["grams"], b["every"]).alias("common"), F.array_distinct(b["every"]).alias("kinds")))
+    held = lambda b: F.when(F.size(b["common"]) == F.size(b["kinds"]), F.size(b["every"])).otherwise(F.size(F.filter(b["every"], lambda g: F.array_contains(b["common"], g))))
+    score = F.transform(both, lambda b: held(b) / F.size(b["grams"]))[0]
     return F.when(F.coalesce(excerpt, F.lit("")) == "", 1.0).when((F.length(q) < 4) | (F.length(t) < 4), 0.0).otherwise(score)
 
 
