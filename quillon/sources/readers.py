@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructType
 
 from quillon.functions.text import stable_id
 from quillon.sources.sqlite import sqlite_table  # noqa: F401
+from quillon.storage import arrow_file_system, cut, file_system
 
 MOST_BYTES, MOST_DEPTH = 5 << 20, 32
 SKIPPED = (".git", "node_modules", ".obsidian", ".trash")
@@ -32,13 +36,110 @@ ALIASES = {
 _OPTION = re.compile(r"^\s*(?:[-*]\s*)?([A-HＡ-Ｈ])\s*[.、．:：)]\s*(.+)$", re.M)
 
 
-def listed(spark: SparkSession, folder: str, pattern: str = "*.md", most_bytes: int | None = MOST_BYTES, most_depth: int | None = MOST_DEPTH) -> DataFrame:
+_ENTRY = "path string, name string, folder boolean, link boolean"
+_HIDDEN = re.compile(r"(?!_common_metadata|_metadata)(?:_[^=]*\Z|\.|.*\._COPYING_\Z)", re.S)
+
+
+def _inside(folder: str) -> Iterator[tuple[str, bool, bool]]:
+    """What is in a folder: name, whether it is a folder, whether it is a symbolic link; broken links are left out."""
+    system, place = arrow_file_system(folder)
+    if system.type_name != "local":
+        from pyarrow import fs
+
+        for found in system.get_file_info(fs.FileSelector(place)):
+            yield found.base_name, found.type == fs.FileType.Directory, False
+        return
+    with os.scandir(place) as entries:
+        for e in entries:
+            if not e.is_symlink():
+                yield e.name, e.is_dir(), False
+            elif os.path.exists(e.path):
+                inside = os.path.realpath(place).startswith(os.path.realpath(e.path).rstrip("/") + "/") or os.path.realpath(place) == os.path.realpath(e.path)
+                if not inside:  # a link to a folder that it is in would be followed for ever
+                    yield e.name, e.is_dir(), True
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = pa.schema([("path", pa.string()), ("name", pa.string()), ("folder", pa.bool_()), ("link", pa.bool_())])
+    for batch in batches:
+        for path, linked in zip(batch.column("path").to_pylist(), batch.column("link").to_pylist()):
+            held: list[tuple] = []
+            for name, folder, link in _inside(path):
+                if not _HIDDEN.match(name):
+                    held.append((f"{path.rstrip('/')}/{name}", name, folder, linked or link))
+                if len(held) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), types)], schema=types)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), types)], schema=types)
+
+
+def paths(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
+    """Files of a folder tree by name: path and link, whether it is a symbolic link or in one. Hidden files are left out.
+
+    Tasks list the folders, a level of the tree at a time, and each level is a written table: no list of files goes to the
+    driver. ``folder`` may be a pattern; FileNotFoundError if there is none.
+    """
+    fs, target = file_system(spark, folder)
+    roots = fs.globStatus(target)
+    if not roots:
+        raise FileNotFoundError(folder)
+    level = spark.createDataFrame([(r.getPath().toString(), r.getPath().getName(), r.isDirectory(), False) for r in roots], _ENTRY)
+    levels = [level.filter("not folder")]
+    while not level.filter("folder").isEmpty():
+        given = level.filter("folder").select("path", "link").repartition(spark.sparkContext.defaultParallelism, "path")
+        level = cut(given.mapInArrow(_entries, _ENTRY), "listing")
+        levels.append(level.filter("not folder"))
+    wanted = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+    found = levels[0]
+    for more in levels[1:]:
+        found = found.unionByName(more)
+    return found.filter(F.col("name").rlike(f"(?s)^(?:{wanted})\\z")).select("path", "link")
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = [arrow_file_system(p) for p in batch.column("path").to_pylist()]
+        # Files of one listing are in one file system.
+        infos = at[0][0].get_file_info([place for _, place in at])
+        if gone := [i.path for i in infos if not i.is_file]:
+            raise FileNotFoundError(gone[0])
+        length, modified = pa.array([i.size for i in infos], pa.int64()), pa.array([i.mtime_ns // 1_000_000 * 1_000 for i in infos], pa.timestamp("us", "UTC"))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("link"), length, modified], names=["path", "link", "length", "modified"])
+
+
+@F.udf(BinaryType(), useArrow=False)
+def _content(path: str | None) -> bytes | None:
+    # Not an Arrow function: one gives as many contents at once as a batch has rows.
+    if path is None:
+        return None
+    system, place = arrow_file_system(path)
+    if system.type_name == "local":
+        with open(place, "rb") as f:
+            return f.read()
+    with system.open_input_stream(place) as f:
+        return f.read()
+
+
+def _spread(found: DataFrame, per_task: int) -> DataFrame:
+    """Paths in tasks of about ``per_task``, whatever folders they are in."""
+    return found.repartition(-(-found.count() // per_task) or 1, "path")
+
+
+def with_content(found: DataFrame, per_task: int = 5_000) -> DataFrame:
+    """(path) to path and content, read by tasks."""
+    return _spread(found, per_task).select("path", _content("path").alias("content"))
+
+
+def listed(spark: SparkSession, folder: str, pattern: str = "*.md", most_bytes: int | None = MOST_BYTES, most_depth: int | None = MOST_DEPTH, per_task: int = 5_000) -> DataFrame:
     """Files of a folder tree with ``left_out``: why one isn't read (ignored, size, depth), null if it is. None: no limit.
 
     Content is null for files that are left out. Symbolic links are followed nowhere by Hadoop's remote file systems; on a
-    local one those that lead out of the folder are left out (link).
+    local one they are left out (link). Tasks list, look at and read about ``per_task`` files each.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    raw = _spread(paths(spark, folder, pattern), per_task).mapInArrow(_facts, "path string, link boolean, length long, modified timestamp")
     parts = F.split("path", "/")
     depth = F.size(F.split(F.regexp_replace("path", "^[a-z]+:/*", ""), "/")) - len([x for x in folder.split("://")[-1].split("/") if x])
     reason = F.when(F.exists(parts, lambda p: p.isin(*SKIPPED)), "ignored")
@@ -46,28 +147,15 @@ def listed(spark: SparkSession, folder: str, pattern: str = "*.md", most_bytes:
         reason = reason.when(depth > most_depth, "depth")
     if most_bytes is not None:
         reason = reason.when(F.col("length") > most_bytes, "size")
-    for link in _links(folder):
-        reason = reason.when(F.col("path").startswith(link + "/") | (F.col("path") == link), "link")
-    return raw.withColumn("left_out", reason).select("path", "length", F.col("modificationTime").alias("modified"), F.when(F.col("left_out").isNull(), F.col("content")).alias("content"), "left_out")
-
-
-def _links(folder: str) -> list[str]:
-    """Symbolic links in a local folder, as Spark names their paths; remote file systems have none."""
-    import os
-
-    root = folder.removeprefix("file://")
-    if "://" in root or not os.path.isdir(root):
-        return []
-    found = []
-    for at, folders, names in os.walk(root):
-        found += ["file:" + os.path.join(at, n) for n in (*folders, *names) if os.path.islink(os.path.join(at, n))]
-    return found
+    reason = reason.when(F.col("link"), "link")
+    marked = raw.withColumn("left_out", reason)
+    return marked.select("path", "length", "modified", _content(F.when(F.col("left_out").isNull(), F.col("path"))).alias("content"), "left_out")
 
 
-def files(spark: SparkSession, folder: str, pattern: str = "*.md", most_bytes: int | None = MOST_BYTES, most_depth: int | None = MOST_DEPTH) -> DataFrame:
+def files(spark: SparkSession, folder: str, pattern: str = "*.md", most_bytes: int | None = MOST_BYTES, most_depth: int | None = MOST_DEPTH, per_task: int = 5_000) -> DataFrame:
     """Files of a folder tree: path, length, modified, content. Ignored folders, symbolic links, too deep and too large files
     are left out; ``listed`` says which."""
-    return listed(spark, folder, pattern, most_bytes, most_depth).filter("left_out is null").drop("left_out")
+    return listed(spark, folder, pattern, most_bytes, most_depth, per_task).filter("left_out is null").drop("left_out")
 
 
 def eligible(listing: DataFrame, most: int = 256 << 20) -> DataFrame:
@@ -170,16 +258,17 @@ def parsed_file(path: str, text: str) -> dict:
 
 def parse_markdown(contents: DataFrame) -> DataFrame:
     """(path, content as binary or text) to rows of questions and documents. Undecodable bytes are replaced."""
-    names = [c.split()[0] for c in re.split(r",\s*(?![^<]*>)", ROW)]
+    types = to_arrow_schema(StructType.fromDDL(ROW))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [parsed_file(p, c if isinstance(c, str) else bytes(c or b"").decode("utf-8", "replace")) for p, c in zip(f["path"], f["content"])]
-            out = pd.DataFrame(rows, columns=names)
-            out["year"] = out["year"].astype("Int32")
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # A file has its text twice and its fields, so few files are rows at once.
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                rows = [parsed_file(p, c if isinstance(c, str) else bytes(c or b"").decode("utf-8", "replace")) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in types], schema=types)
 
-    return contents.select("path", "content").mapInPandas(run, ROW)
+    return contents.select("path", "content").mapInArrow(run, ROW)
 
 
 def json_papers(spark: SparkSession, folder: str) -> DataFrame:

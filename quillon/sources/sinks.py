@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from quillon.functions.text import file_segment, html_escaped
 from quillon.sources.store import checksums
-from quillon.storage import cut, file_system, remove, rename_once
+from quillon.storage import arrow_file_system, cut, file_system, remove, rename_once
 
 
 def question_markdown() -> Column:
@@ -54,20 +54,14 @@ def write_library(rows: DataFrame, path: str, answers: bool = True, notes: bool
     return write_ordered(texts, path, ["id"], between="\n\n", head=head, foot=foot, per_task=per_task)
 
 
-def _local(path: str):
-    """The file system of a path as Arrow sees it, from whatever machine this runs on."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path.removeprefix("file:"))
-
-
 def write_ordered(rows: DataFrame, path: str, order: list[str], between: str = "\n", head: str = "", foot: str = "", per_task: int = 200_000) -> DataFrame:
     """A file for each ``name`` of (name, text and the columns of order): its texts in order, ``between`` them a separator.
 
-    Rows are sorted in ranges of about ``per_task``. Each task streams its range into pieces, and one task for each file
-    streams the pieces into it: no task holds more than a batch of rows or a block of bytes, and one name may have any
-    number of texts. The folder appears whole, by one rename; FileExistsError if it is there. Null names and texts are left
-    out. Returns name, rows and bytes of each file.
+    Rows are sorted in ranges of about ``per_task``. Each task streams its range: a name that begins and ends within the range
+    is a file at once, and only the first and the last name of a range are pieces, which one task for each such file streams
+    into it. No task holds more than a batch of rows or a block of bytes, and one name may have any number of texts. The
+    folder appears whole, by one rename; FileExistsError if it is there. Null names and texts are left out. Returns name, rows
+    and bytes of each file.
     """
     spark = rows.sparkSession
     fs, target = file_system(spark, path)
@@ -79,49 +73,64 @@ def write_ordered(rows: DataFrame, path: str, order: list[str], between: str = "
     n = -(-given.count() // per_task) or 1
     keys = ["name", *order]
     ranged = given.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_range", F.spark_partition_id()).select("name", "text", "_range")
-    glue = between.encode()
+    glue, start, end = between.encode(), head.encode(), foot.encode()
+    schema = "name string, number long, place string, headed boolean, rows long, bytes long"
+    types = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _local(pending)
-        attempt, name, out, count = uuid.uuid4().hex[:12], None, None, 0
+        system, root = arrow_file_system(pending)
+        attempt, name, out, count, size, made, headed = uuid.uuid4().hex[:12], None, None, 0, 0, 0, False
         done: list[tuple] = []
 
-        def close() -> None:
+        def close(whole: bool) -> None:
+            nonlocal size
+            if whole:
+                size += out.write(end) if end else 0
             out.close()
-            done.append((name, number, place, count))
+            if whole:
+                system.move(f"{root}/{place}", f"{root}/files/{name}")  # another attempt's file, if any, holds the same
+            done.append((name, number, None if whole else place, headed, count, size))
 
         number, place = 0, ""
         for batch in batches:
             for this, text, range_ in zip(*(batch.column(c).to_pylist() for c in ("name", "text", "_range"))):
                 if this != name:
-                    if out is not None:
-                        close()
-                    name, number, count = this, range_, 0
-                    place = f"pieces/{range_:08d}-{len(done):08d}-{attempt}"
-                    system.create_dir(f"{root}/pieces", recursive=True)
+                    if out is None:
+                        for part in ("pieces", "files"):
+                            system.create_dir(f"{root}/{part}", recursive=True)
+                    else:
+                        close(headed)
+                    # The range before may end with the first name, so its head is left to the task that joins.
+                    headed = out is not None
+                    name, number, count, size = this, range_, 0, 0
+                    place = f"pieces/{range_:08d}-{made:08d}-{attempt}"
+                    made += 1
                     out = system.open_output_stream(f"{root}/{place}")
+                    size += out.write(start) if headed and start else 0
                 else:
-                    out.write(glue)
-                out.write(text.encode("utf-8", "surrogatepass"))
+                    size += out.write(glue) if glue else 0
+                size += out.write(text.encode("utf-8", "surrogatepass"))
                 count += 1
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=schema.replace(",", "").split()[::2])
+                done.clear()
         if out is not None:
-            close()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["name", "number", "place", "count"])
+            close(False)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=schema.replace(",", "").split()[::2])
 
-    made = cut(ranged.mapInArrow(pieces, "name string, number long, place string, count long"), "pieces")
+    made = cut(ranged.mapInArrow(pieces, schema), "pieces")
     # A file has one piece for each range at most.
-    files = made.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "place"))), lambda p: p["place"]).alias("places"), F.sum("count").alias("rows"))
-    start, end = head.encode(), foot.encode()
+    parts = made.filter("place is not null").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("number", "place", "headed"))).alias("parts"), F.sum("rows").alias("rows"))
+    files = parts.select("name", F.transform("parts", lambda p: p["place"]).alias("places"), F.col("parts")[0]["headed"].alias("headed"), "rows")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _local(pending)
+        system, root = arrow_file_system(pending)
         system.create_dir(f"{root}/files", recursive=True)
         for batch in batches:
-            for name, places, count in zip(*(batch.column(c).to_pylist() for c in ("name", "places", "rows"))):
+            for name, places, headed, count in zip(*(batch.column(c).to_pylist() for c in ("name", "places", "headed", "rows"))):
                 unfinished, size = f"{root}/pieces/whole-{uuid.uuid4().hex}", 0
                 with system.open_output_stream(unfinished) as out:
-                    size += out.write(start) if start else 0
+                    size += out.write(start) if start and not headed else 0
                     for i, place in enumerate(places):
                         size += out.write(glue) if i and glue else 0
                         with system.open_input_stream(f"{root}/{place}") as piece:
@@ -131,7 +140,8 @@ def write_ordered(rows: DataFrame, path: str, order: list[str], between: str = "
                 system.move(unfinished, f"{root}/files/{name}")  # another attempt's file, if any, holds the same
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([count], pa.int64()), pa.array([size], pa.int64())], names=["name", "rows", "bytes"])
 
-    written = cut(files.repartition("name").mapInArrow(join, "name string, rows long, bytes long"), "files")
+    joined = files.repartition("name").mapInArrow(join, "name string, rows long, bytes long")
+    written = cut(made.filter("place is null").select("name", "rows", "bytes").unionByName(joined), "files")
     file_system(spark, f"{pending}/files")[0].mkdirs(file_system(spark, f"{pending}/files")[1])
     moved = rename_once(spark, f"{pending}/files", full)
     remove(spark, pending)
@@ -140,7 +150,7 @@ def write_ordered(rows: DataFrame, path: str, order: list[str], between: str = "
     return written
 
 
-def write_markdown(questions: DataFrame, path: str) -> DataFrame:
+def write_markdown(questions: DataFrame, path: str, per_task: int = 5_000) -> DataFrame:
     """One Markdown file for each question, named by its id; the folder appears whole. Returns name, rows and bytes.
 
     Ids whose safe names are the same get a suffix of their hash; of repeated ids the texts follow each other.
@@ -148,7 +158,7 @@ def write_markdown(questions: DataFrame, path: str) -> DataFrame:
     segment = file_segment(F.col("id").cast("string"))
     plain = F.lower(segment) == F.col("id").cast("string")
     name = F.concat(F.when(plain, segment).otherwise(F.concat(segment, F.lit("-"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 8))), F.lit(".md"))
-    return write_ordered(questions.select(name.alias("name"), question_markdown().alias("text")), path, ["text"], foot="\n")
+    return write_ordered(questions.select(name.alias("name"), question_markdown().alias("text")), path, ["text"], foot="\n", per_task=per_task)
 
 
 def ledger(rows: DataFrame, path: str) -> None:

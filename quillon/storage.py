@@ -7,6 +7,7 @@ ends, or until ``clear``.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -67,6 +68,18 @@ def file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def arrow_file_system(path: str):
+    """The file system of a path as Arrow sees it, from whatever machine this runs on, and the path there."""
+    from pyarrow import fs
+
+    # The path of a URI would be unescaped, and Hadoop's paths are not escaped: only what stands before it is one.
+    before, place = re.match(r"((?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?)(.*)", path, re.S).groups()
+    if before in ("", "file:", "file://"):
+        return fs.LocalFileSystem(), place
+    system, root = fs.FileSystem.from_uri(f"{before}/")
+    return system, root.rstrip("/") + place
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table through Hadoop's file system API."""
     fs, target = file_system(spark, path)
