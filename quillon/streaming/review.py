@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from quillon.storage import cut, file_system
+from quillon.sources import readers
+from quillon.storage import cut, file_system, names_in, remove
 
 OUT = "question_id long, wrong_count long, correct_streak long, mastered boolean, last_cause string, first_wrong_at timestamp_ntz, last_attempt_at timestamp_ntz, due_at timestamp_ntz, completed_at timestamp_ntz"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -168,7 +169,7 @@ def folder_changes(spark: SparkSession, folder: str, known: DataFrame | None, pa
 
     Contents decide, not times: a file that was touched or moved back is no change. Content is null for deleted files.
     """
-    now = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    now = readers.with_content(readers.paths(spark, folder, pattern))
     now = now.select("path", F.sha2("content", 256).alias("content_hash"), "content")
     if known is None:
         return now.select("path", F.lit("added").alias("status"), "content_hash", "content")
@@ -204,8 +205,28 @@ def watch(spark, folder: str, index: Callable[[DataFrame, int], None], checkpoin
     ``poll`` also finds those that were changed or deleted.
 
     ``every`` None handles what is there and stops. A query restarted from its checkpoint goes on where it stopped.
+
+    Spark's file source would list, remember and name every file in the driver, and each micro-batch would list its files
+    again one by one. Here each micro-batch of a clock is a look: tasks list the folder, and paths that are in no earlier
+    look's list are written as this look's, beside the checkpoint, before ``index`` has them. A look that is tried again
+    has the same files under the same number; a look that finds nothing isn't given to ``index``.
     """
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    writer = stream.select("path", "content").writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    lists = f"{checkpoint}/found"
+
+    def look(_: DataFrame, number: int) -> None:
+        earlier = [n for n in names_in(spark, lists) if int(n.split("=")[1]) < number]
+        if not file_system(spark, lists)[0].exists(file_system(spark, f"{lists}/batch={number}/_SUCCESS")[1]):
+            found = readers.paths(spark, folder, pattern).select("path")
+            if earlier:
+                seen = spark.read.schema("path string, batch long").parquet(lists).filter(F.col("batch") < number)
+                found = found.join(seen.select("path"), "path", "left_anti")
+            found.write.mode("overwrite").parquet(f"{lists}/batch={number}")
+        fresh = spark.read.schema("path string").parquet(f"{lists}/batch={number}")
+        if fresh.isEmpty():
+            remove(spark, f"{lists}/batch={number}")
+        else:
+            index(readers.with_content(fresh), number)
+
+    writer = clock.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
