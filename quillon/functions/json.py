@@ -23,7 +23,8 @@ def loose_object(text: Column) -> Column:
     """The JSON in a model's reply: the whole text, else what a code fence holds, else from the first brace to the last."""
     fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
     braces = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), F.trim(c))
+    # A text that can't begin a JSON value is not parsed: each failure would cost an exception.
+    valid = lambda c: F.when(c.rlike(r"^[\s\uFEFF]*[\[{\"tfn0-9-]") & F.try_parse_json(c).isNotNull(), F.trim(c))
     return F.coalesce(valid(text), valid(fenced), valid(braces))
 
 

@@ -57,7 +57,7 @@ def items(reply: Column) -> Column:
     """The items of a reply: of its object's ``items``, or of an array that is the whole reply; else none."""
     # Elements are read as texts first, so that one which is no object does not spoil the others.
     whole = F.from_json(reply, "array<string>")
-    listed = F.when(F.try_parse_json(reply).isNotNull() & F.ltrim(reply).startswith("["), whole)
+    listed = F.when(F.ltrim(reply).startswith("[") & F.try_parse_json(reply).isNotNull(), whole)
     texts = F.coalesce(listed, F.from_json(J.loose_object(reply), "struct<items:array<string>>")["items"])
     return F.transform(F.filter(texts, lambda t: F.ltrim(t).startswith("{")), lambda t: F.from_json(t, ITEM))
 
@@ -70,6 +70,8 @@ def candidates(replies: DataFrame, mode: str = "mixed", subject: str = "auto", m
     characters of content and no promotion. Subject, type, year, difficulty and confidence are coerced. Replies that are
     null or no JSON give nothing; numbers in text fields are taken as their text.
     """
+    # Reading a reply costs far more than its bytes: a small file of replies would be one task.
+    replies = replies.repartition(4 * replies.sparkSession.sparkContext.defaultParallelism, "doc", "chunk_no")
     at = replies.select("doc", "chunk_no", "chunk", F.posexplode(F.slice(F.coalesce(items(F.col("reply")), F.array().cast(f"array<{ITEM}>")), 1, most)).alias("place", "i"))
     i = lambda name: F.col(f"i.{name}")
     named = _text(i("subject"))
