@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import json
-from quillon.operators import dedup, extraction, layout, pairing, quality
+from quillon.operators import dedup, extraction, layout, pairing
 from quillon.plans import all_queries
 from quillon.sources import parsers, readers, sinks, table_functions
 from quillon.streaming import review
