@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -51,7 +53,7 @@ class ReviewLog(StatefulProcessor):
 
     Two states: a summary, and a log of the attempts after the last reset (a wrong or forgotten answer), by time and id. An
     attempt before the reset changes the summary's counts only. One after it is logged and counted. A new last reset, also
-    one that comes late, drops the log up to it and counts the rest anew. Frames are taken one at a time.
+    one that comes late, drops the log up to it and counts the rest anew. Frames of ``tails`` are taken one at a time.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -71,19 +73,17 @@ class ReviewLog(StatefulProcessor):
     def _take(self, f: dict, frame: pd.DataFrame) -> None:
         fresh, moved = [], False
         for r in frame.itertuples():
-            us, number = int(r.us), int(r.id)
-            fb = r.feedback if isinstance(r.feedback, str) else "normal"
+            us, number, fb = int(r.us), int(r.id), r.feedback
             if _later(us, number, f["last_us"], f["last_id"]):
                 f["last_us"], f["last_id"], f["last_fb"] = us, number, fb
-            if not r.correct:
-                f["wrong"] += 1
-                f["first_wrong"] = us if f["first_wrong"] is None else min(us, f["first_wrong"])
-                if isinstance(r.wrong_cause, str) and r.wrong_cause.strip(" ") and _later(us, number, f["cause_us"], f["cause_id"]):
-                    f["cause_us"], f["cause_id"], f["cause"] = us, number, r.wrong_cause
-            resets = not r.correct or fb == "forgot"
+            if r.wrong:
+                f["wrong"] += int(r.wrong)
+                f["first_wrong"] = int(r.first_wrong) if f["first_wrong"] is None else min(int(r.first_wrong), f["first_wrong"])
+            if isinstance(r.cause, str) and _later(int(r.cause_us), int(r.cause_id), f["cause_us"], f["cause_id"]):
+                f["cause_us"], f["cause_id"], f["cause"] = int(r.cause_us), int(r.cause_id), r.cause
             if not _later(us, number, f["reset_us"], f["reset_id"]):
                 continue
-            if resets:
+            if r.resets:
                 f["reset_us"], f["reset_id"], moved = us, number, True
             else:
                 fresh.append((us, number, fb, fb in ("normal", "easy")))
@@ -128,6 +128,70 @@ def _shown(question: int, f: dict) -> pd.DataFrame:
     return pd.DataFrame([row], columns=[c.split()[0] for c in OUT.split(", ")]).astype(dict.fromkeys(_TIMES, "datetime64[us]"))
 
 
+_TAIL = ("question_id", "id", "us", "feedback", "resets", "wrong", "first_wrong", "cause_us", "cause_id", "cause")
+#: Rows from which a task gives on what it holds: with so many different questions there is little to drop.
+_HELD = 1 << 15
+
+
+def tails(attempts: DataFrame) -> DataFrame:
+    """Attempts without those that an attempt of the same task makes needless: what ``ReviewLog`` takes.
+
+    Of each question a task keeps its last reset and the attempts after it; the newest row also has the number of wrong
+    ones, the time of the first and the last cause, of the dropped ones too. No row of a batch is more than one attempt,
+    so a question with very many attempts is a few rows a task before the shuffle.
+    """
+    fb = F.coalesce("feedback", F.lit("normal")) if "feedback" in attempts.columns else F.lit("normal")
+    us, number = F.unix_micros(F.col("created_at").cast("timestamp")), F.col("id").cast("long")
+    wrong = ~F.coalesce("correct", F.lit(False))
+    cause = F.when(wrong & (F.trim("wrong_cause") != ""), F.col("wrong_cause"))
+    rows = attempts.select("question_id", number.alias("id"), us.alias("us"), fb.alias("feedback"), (wrong | (fb == "forgot")).alias("resets"), wrong.cast("long").alias("wrong"), us.alias("first_wrong"), us.alias("cause_us"), number.alias("cause_id"), cause.alias("cause"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.column("id").null_count or batch.column("us").null_count:
+                raise ValueError("an attempt has no id or no time")
+            fresh = pa.Table.from_arrays(batch.columns, names=_TAIL)
+            held = _tail(fresh if held is None else pa.concat_tables([held, fresh]))
+            if held.num_rows > _HELD:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _tail(rows: pa.Table) -> pa.Table:
+    """Of each question the last reset and what follows it, the newest row with the summary of all."""
+    rows = rows.combine_chunks()
+    n = rows.num_rows
+    if not n:
+        return rows
+    of = lambda name: rows[name].to_numpy()
+    question = rows["question_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+    question = (question.chunk(0) if isinstance(question, pa.ChunkedArray) else question).indices.to_numpy()
+    order = np.lexsort((of("resets"), of("id"), of("us"), question))
+    place = np.arange(n)
+    last = np.append(np.flatnonzero(np.diff(question[order])), n - 1)
+    first = np.append(0, last[:-1] + 1)
+    reset = np.maximum.reduceat(np.where(of("resets")[order], place, -1), first)
+    kept = place >= np.repeat(reset, last - first + 1)
+    wrong = of("wrong")[order]
+    counts = np.add.reduceat(wrong, first)
+    earliest = np.minimum.reduceat(np.where(wrong > 0, of("first_wrong")[order], np.iinfo(np.int64).max), first)
+    caused = np.lexsort((of("cause_id"), of("cause_us"), rows["cause"].is_valid().to_numpy(), question))[last]
+    # Which question a row is the newest of; none for the others.
+    newest = np.full(n, -1)
+    newest[last] = np.arange(len(last))
+    newest = newest[kept]
+    held, of_newest = rows.take(order[kept]), pa.array(newest, mask=newest < 0)
+    put = {"wrong": np.where(newest < 0, 0, counts[newest]), "first_wrong": np.where(newest < 0, 0, earliest[newest])}
+    put |= {name: np.where(newest < 0, 0, of(name)[caused][newest]) for name in ("cause_us", "cause_id")}
+    put |= {"cause": rows["cause"].combine_chunks().take(pa.array(caused)).take(of_newest)}
+    return pa.table({name: put.get(name, held[name]) for name in _TAIL})
+
+
 def review_stream(attempts: DataFrame) -> DataFrame:
     """Streaming attempts (id, question_id, correct, wrong_cause, created_at, optional feedback) to changed states.
 
@@ -138,9 +202,7 @@ def review_stream(attempts: DataFrame) -> DataFrame:
     """
     if not attempts.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider"):
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
-    fb = F.coalesce("feedback", F.lit("normal")) if "feedback" in attempts.columns else F.lit("normal")
-    rows = attempts.select("id", "question_id", "correct", "wrong_cause", F.unix_micros(F.col("created_at").cast("timestamp")).alias("us"), fb.alias("feedback"))
-    return rows.groupBy("question_id").transformWithStateInPandas(ReviewLog(), OUT, "Update", "None")
+    return tails(attempts).groupBy("question_id").transformWithStateInPandas(ReviewLog(), OUT, "Update", "None")
 
 
 def keep_latest(target: str, key: str, order: str) -> Callable[[DataFrame, int], None]:

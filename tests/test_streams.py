@@ -50,3 +50,34 @@ def test_review_log_needs_rocksdb(spark):
     other.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
     with pytest.raises(ValueError, match=name):
         review.review_stream(other.readStream.format("rate").load().select(F.col("value").alias("id")))
+
+
+def test_f16_a_task_gives_a_question_one_reset_and_what_follows(spark):
+    base = datetime(2024, 1, 1)
+    rows = [(i, 1, base + timedelta(minutes=i), i % 5 > 1, ["slip", " ", "x", None, "x"][i % 5], None) for i in range(30_000)]
+    rows += [(40_000 + i, None, base, i != 3, "gap", "forgot" if i == 5 else None) for i in range(8)]
+    random.Random(3).shuffle(rows)
+    found = review.tails(spark.createDataFrame(rows, SCHEMA).coalesce(1)).orderBy("question_id", "us", "id").collect()
+    assert [(r.question_id, r.id, r.resets, r.wrong, r.cause_id, r.cause) for r in found] == [
+        (None, 40_005, True, 0, 0, None), (None, 40_006, False, 0, 0, None), (None, 40_007, False, 1, 40_003, "gap"),
+        (1, 29_996, True, 0, 0, None), (1, 29_997, False, 0, 0, None), (1, 29_998, False, 0, 0, None), (1, 29_999, False, 12_000, 29_995, "slip"),
+    ]
+    assert found[2].first_wrong == found[0].us and found[6].first_wrong == found[6].us - 29_999 * 60_000_000
+
+
+def test_f16_micro_batches_do_not_grow_with_files(spark, tmp_path, monkeypatch):
+    from quillon.plans import source_queries
+    from quillon.plans.model import attempts as of
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(5).write.parquet(f"{tmp_path}/in/events.parquet")
+    monkeypatch.setattr(source_queries, "fresh_path", lambda spark, label: f"{tmp_path}/{label}")
+    monkeypatch.setattr(spark, "newSession", lambda: spark)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task, and a file, for each file that is read
+    try:
+        found = source_queries.streamed_review_state(spark, f"{tmp_path}/in")
+        assert shown(found) == shown(practice.review_state(of(spark, f"{tmp_path}/in")).select(found.columns))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert len(list((tmp_path / "attempts-stream").glob("*.parquet"))) == 20
+    assert sorted(p.name for p in (tmp_path / "states").iterdir()) == ["batch=0", "batch=1"]
