@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from quillon.functions.text import numeric_anomaly
+from quillon.storage import cut
 
 # Thresholds of the page-line filter.
 EDGE = 0.06
@@ -57,12 +59,26 @@ def completeness(questions: DataFrame) -> DataFrame:
 def recurring_lines(lines: DataFrame, by: str = "pages", length: int = REPEAT_LENGTH) -> DataFrame:
     """(doc, page, text) to the short texts that stand on at least half of four or more pages: doc, text, pages.
 
-    ``by`` counts different pages, or with "occurrences" every line.
+    ``text`` is a line, or an array of a page's lines. ``by`` counts different pages, or with "occurrences" every line.
+
+    A text is on no more pages than rows have it. Those rows are counted map-side, an array's equal lines once, and pages are
+    only told apart for texts that enough rows have. Where each row is a page of its own the rows are the pages.
     """
-    total = lines.groupBy("doc").agg(F.countDistinct("page").alias("total")).filter(F.col("total") >= REPEAT_PAGES)
-    short = lines.filter((F.char_length("text") > 0) & (F.char_length("text") <= length))
-    n = F.countDistinct("page") if by == "pages" else F.count("*")
-    return short.groupBy("doc", "text").agg(n.alias("pages")).join(total, "doc").filter(F.col("pages") / F.col("total") >= REPEAT_RATIO).drop("total")
+    many, paged = isinstance(lines.schema["text"].dataType, ArrayType), by == "pages"
+    rows = lines.filter(F.size("text") > 0) if many else lines
+    total = cut(rows.groupBy("doc").agg(F.countDistinct("page").alias("total"), F.count("*").alias("_rows")).filter(F.col("total") >= REPEAT_PAGES), "page-totals")
+    texts = F.col("text") if not many else F.explode(F.array_distinct("text") if paged else "text")
+    short = lines.select("doc", "page", texts.alias("text")).filter((F.char_length("text") > 0) & (F.char_length("text") <= length))
+    often = F.col("pages") / F.col("total") >= REPEAT_RATIO
+    found = short.groupBy("doc", "text").agg(F.count("*").alias("pages")).join(total, "doc").filter(often)
+    if not paged:
+        return found.select("doc", "text", "pages")
+    found = cut(found, "recurring")
+    whole, split = found.filter("total = _rows").select("doc", "text", "pages"), found.filter("total <> _rows").drop("pages")
+    if split.isEmpty():
+        return whole
+    told = short.join(split, ["doc", "text"]).groupBy("doc", "text", "total").agg(F.countDistinct("page").alias("pages")).filter(often)
+    return whole.unionByName(told.select("doc", "text", "pages"))
 
 
 def repeated_headers(lines: DataFrame, least: int = 3, band: float | None = 0.15) -> DataFrame:

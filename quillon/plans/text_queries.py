@@ -178,7 +178,7 @@ def table_quality(spark, sf):
 @query("recurring_lines", "WITH p AS (SELECT lang AS doc, doc_id AS page, unnest(string_split(text, ' ')) AS text FROM documents), t AS (SELECT doc, count(DISTINCT page) AS total FROM p GROUP BY 1 HAVING total >= 4), c AS (SELECT doc, text, count(DISTINCT page) AS pages FROM p WHERE length(text) BETWEEN 1 AND 60 GROUP BY 1, 2) SELECT c.doc, text, pages FROM c JOIN t ON t.doc = c.doc WHERE pages / total >= 0.5")
 def recurring_lines(spark, sf):
     """Words in the place of lines, a language's documents in the place of pages."""
-    pages = _docs(spark, sf).select(F.col("lang").alias("doc"), F.col("doc_id").alias("page"), F.explode(F.split("text", " ")).alias("text"))
+    pages = _docs(spark, sf).select(F.col("lang").alias("doc"), F.col("doc_id").alias("page"), F.split("text", " ").alias("text"))
     return quality.recurring_lines(pages, length=60)
 
 
