@@ -10,6 +10,7 @@ from quillon.functions import text as T
 from quillon.operators import dedup, evaluation, quality, versions
 from quillon.plans.model import questions, table
 from quillon.plans.registry import query
+from quillon.storage import cut
 
 _WS = "regexp_replace({x}, '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\v]+', '', 'g')"
 _LD = "regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
@@ -98,13 +99,10 @@ def simhash_fingerprints(spark, sf):
 _BANDS = f"{_FP}, bands AS (SELECT id, b AS band, substring(fp, CAST(64 - 16 * (b + 1) + 1 AS INT), 16) AS key FROM fps, range(4) r(b)), ok AS (SELECT band, key FROM bands GROUP BY 1, 2 HAVING count(*) >= 2), cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.key = y.key AND x.id < y.id JOIN ok ON ok.band = x.band AND ok.key = x.key)"
 
 
-_REPS = "reps AS (SELECT fp, min(id) AS rep FROM fps GROUP BY 1)"
-
-
-@query("lsh_candidates", f"WITH {_BANDS}, {_REPS} SELECT a, b, 'candidate' AS kind FROM cand WHERE a IN (SELECT rep FROM reps) AND b IN (SELECT rep FROM reps) UNION ALL SELECT rep, id, 'copy' FROM fps JOIN reps USING (fp) WHERE id <> rep")
+@query("lsh_candidates", f"WITH {_BANDS} SELECT a, b FROM cand")
 def lsh_candidates(spark, sf):
-    """Candidate pairs of different fingerprints, and what has the same one as its representative."""
-    return dedup.candidate_links(simhash_fingerprints(spark, sf))
+    """All pairs of documents that share a band of their fingerprints, those of copies among them."""
+    return dedup.banded_pairs(cut(simhash_fingerprints(spark, sf), "prints"))
 
 
 @query("lsh_oversized", f"WITH {_BANDS} SELECT CAST(band AS INT) AS band, key, count(*) AS n FROM bands GROUP BY 1, 2 HAVING count(*) > 8")
