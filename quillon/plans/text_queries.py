@@ -113,13 +113,10 @@ def lsh_oversized(spark, sf):
 _JAC = f"{_BANDS}, n AS (SELECT id, count(*) AS n FROM grams GROUP BY 1), c AS (SELECT a, b, count(*) AS c FROM cand JOIN grams ga ON ga.id = a JOIN grams gb ON gb.id = b AND gb.gram = ga.gram GROUP BY 1, 2), jac AS (SELECT a, b, c / (x.n + y.n - c) AS similarity FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE similarity >= 0.72)"
 
 
-_SIGNED = "sig AS (SELECT t, min(id) AS rep FROM t WHERE id IN (SELECT id FROM n) GROUP BY 1)"
-
-
-@query("shingle_jaccard_pairs", f"WITH {_JAC}, {_SIGNED} SELECT a, b, round(similarity, 9) AS similarity, 'near' AS kind FROM jac WHERE a IN (SELECT rep FROM sig) AND b IN (SELECT rep FROM sig) UNION ALL SELECT rep, id, 1.0, 'copy' FROM t JOIN sig USING (t) WHERE id <> rep AND id IN (SELECT id FROM n)")
+@query("shingle_jaccard_pairs", f"WITH {_JAC} SELECT a, b, round(similarity, 9) AS similarity FROM jac")
 def shingle_jaccard_pairs(spark, sf):
-    """Near pairs of different texts, and copies with their representative."""
-    return dedup.near_links(_texts(spark, sf)).withColumn("similarity", F.round("similarity", 9))
+    """All near pairs of documents, those of copies among them."""
+    return dedup.near_pairs(_texts(spark, sf)).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("dup_clusters", f"""WITH RECURSIVE {_JAC}, e AS (SELECT a, b FROM jac UNION SELECT b, a FROM jac), r(id, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), l AS (SELECT id, min(root) AS cluster FROM r GROUP BY 1)
