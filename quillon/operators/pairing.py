@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from quillon.functions.text import for_alignment, shingles
 
@@ -53,14 +57,103 @@ def by_position(questions: DataFrame, solutions: DataFrame, reach: int = 2) -> D
     """Pair the nth question of a set with the (n + offset)th solution, for the offset with the most verified pairs.
 
     Ties prefer 0, then the smaller shift, then the negative one. One row for each verified pair, with its offset.
+
+    Both sides meet in one table by set, so a text is shuffled once, cut to what is aligned; pairs are made and judged
+    where a set's rows stand in order, and only what is verified is shuffled again.
     """
-    order = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy("book", "set_no").orderBy("num", "line_no")))
-    q = order(questions).withColumn("offset", F.explode(F.array(*(F.lit(o) for o in range(-reach, reach + 1))))).withColumn("_m", F.col("_n") + F.col("offset"))
-    s = order(solutions).select("book", "set_no", F.col("_n").alias("_m"), F.col("num").alias("solution_num"), "answer", "excerpt")
-    pairs = q.join(s, ["book", "set_no", "_m"]).filter(F.coalesce(F.col("excerpt"), F.lit("")) != "").withColumn("score", alignment(F.col("stem"), F.col("excerpt"))).filter(F.col("score") >= THRESHOLD)
-    counts = pairs.groupBy("book", "set_no", "offset").agg(F.count("*").alias("n"))
-    best = counts.groupBy("book", "set_no").agg(F.max_by("offset", F.struct("n", -F.abs("offset"), -F.col("offset"))).alias("offset"))
-    return pairs.join(best, ["book", "set_no", "offset"]).select("book", "set_no", "num", "solution_num", "offset", "answer", "score")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    q = questions.select("book", "set_no", F.lit(False).alias("_side"), "num", "line_no", none(solutions, "num").alias("solution_num"), none(solutions, "line_no").alias("_line"), none(solutions, "answer").alias("answer"), for_alignment(F.coalesce(F.col("stem"), F.lit(""))).alias("_text"))
+    s = solutions.select("book", "set_no", F.lit(True).alias("_side"), none(questions, "num").alias("num"), none(questions, "line_no").alias("line_no"), F.col("num").alias("solution_num"), F.col("line_no").alias("_line"), "answer", for_alignment(F.coalesce(F.col("excerpt"), F.lit(""))).alias("_text"))
+    both = q.union(s).filter("book is not null and set_no is not null")
+    numbered = both.withColumn("_n", F.row_number().over(Window.partitionBy("book", "set_no", "_side").orderBy("num", "line_no", "solution_num", "_line")))
+    # Shorter texts are never alike, but have their places.
+    ordered = numbered.filter(F.length("_text") >= 4).withColumn("_first", F.row_number().over(Window.partitionBy("book", "set_no").orderBy("_n", "_side")) == 1)
+    columns = ["book", "set_no", "num", "solution_num", "answer"]
+    schema = StructType([*(StructField(c, ordered.schema[c].dataType) for c in columns), StructField("offset", IntegerType()), StructField("score", DoubleType())])
+    rows = ordered.select(*columns, "_side", "_n", "_first", "_text").sortWithinPartitions("book", "set_no", "_n", "_side")
+    # By set at once: the counts of its offsets and the best of them then meet where its pairs are.
+    pairs = rows.mapInArrow(_judged(columns, reach), schema).repartition("book", "set_no")
+    counted = pairs.withColumn("_n", F.count("*").over(Window.partitionBy("book", "set_no", "offset")))
+    best = F.max_by("offset", F.struct("_n", -F.abs("offset"), -F.col("offset"))).over(Window.partitionBy("book", "set_no"))
+    return counted.withColumn("_best", best).filter("offset = _best").select("book", "set_no", "num", "solution_num", "offset", "answer", "score")
+
+
+#: Rows that are judged at once, and places of a text's sketch.
+_ROWS, _PLACES = 4096, 256
+
+
+def _bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bigrams of texts of two characters or more in turn, as numbers of 42 bits, and how many each text has."""
+    c, lengths = _codes("".join(texts.to_pylist())), pa.compute.utf8_length(texts).to_numpy().astype(np.int64)
+    return np.delete(c[:-1] << np.uint64(21) | c[1:], np.cumsum(lengths)[:-1] - 1), lengths - 1
+
+
+def _scores(texts: pa.Array, grams: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``alignment`` of the stems i with the excerpts j, by their bigrams; of equal texts no bigram is looked up."""
+    starts = np.cumsum(counts) - counts
+
+    def of(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = counts[rows]
+        first = np.cumsum(n) - n
+        return np.repeat(keys.astype(np.uint64) << np.uint64(42), n) | grams[np.repeat(starts[rows] - first, n) + np.arange(n.sum())], first
+
+    stems, key = np.unique(i, return_inverse=True)
+    known = np.sort(of(stems, np.arange(len(stems)))[0])
+    known = known[np.append(True, known[1:] != known[:-1])]
+    sizes = np.bincount((known >> np.uint64(42)).astype(np.int64))
+    held = counts[j]
+    other = np.flatnonzero(pa.compute.not_equal(texts.take(pa.array(i)), texts.take(pa.array(j))).to_numpy(zero_copy_only=False))
+    if len(other):
+        asked, first = of(j[other], key[other])
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        held[other] = np.add.reduceat((known[at] == asked).astype(np.int64), first)
+    return held / sizes[key]
+
+
+def _judged(columns: list[str], reach: int):
+    """A function of rows in the order of their sets and places: the verified pairs within reach, with offset and score."""
+
+    def pairs(table: pa.Table, fresh: int) -> pa.RecordBatch:
+        n, side = table.column("_n").to_numpy().astype(np.int64), table.column("_side").to_numpy()
+        place = np.cumsum(table.column("_first").to_numpy()) * (n.max() + 2 * reach + 2) + n
+        q, s = np.flatnonzero(~side), np.flatnonzero(side)
+        found = []
+        for offset in range(-reach, reach + 1) if len(s) else ():
+            at = np.minimum(np.searchsorted(place[s], place[q] + offset), len(s) - 1)
+            met = (place[s[at]] == place[q] + offset) & ((q >= fresh) | (s[at] >= fresh))
+            found.append((q[met], s[at[met]], np.full(met.sum(), offset)))
+        i, j, offsets = map(np.concatenate, zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        score = np.zeros(0)
+        if len(i):
+            texts = table.column("_text").combine_chunks()
+            grams, counts = _bigrams(texts)
+            # A place that only the excerpt has stands for a bigram of its own, a place of the stem for one at least.
+            bits = np.zeros((len(counts), _PLACES), bool)
+            bits[np.repeat(np.arange(len(counts)), counts), (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)] = True
+            sketch = np.packbits(bits, axis=1).view(np.uint64)
+            held = counts[j] - np.bitwise_count(sketch[j] & ~sketch[i]).sum(axis=1, dtype=np.int64)
+            kept = held >= THRESHOLD * np.bitwise_count(sketch).sum(axis=1, dtype=np.int64)[i] - 1e-9
+            i, j, offsets = i[kept], j[kept], offsets[kept]
+        if len(i):
+            score = _scores(texts, grams, counts, i, j)
+            kept = score >= THRESHOLD
+            i, j, offsets, score = i[kept], j[kept], offsets[kept], score[kept]
+        sides = {"solution_num": j, "answer": j}
+        return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks().take(pa.array(sides.get(c, i))) for c in columns), pa.array(offsets, pa.int32()), pa.array(score, pa.float64())], names=[*columns, "offset", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                table = pa.Table.from_batches([batch.slice(at, _ROWS)])
+                fresh = 0 if before is None else before.num_rows
+                table = table if before is None else pa.concat_tables([before, table])
+                yield pairs(table, fresh)
+                # What rows of the next ones may reach: the last places of the last set.
+                n, sets = table.column("_n").to_numpy(), np.cumsum(table.column("_first").to_numpy())
+                before = table.filter(pa.array((sets == sets[-1]) & (n >= n[-1] - reach)))
+
+    return run
 
 
 def _codes(text: str) -> np.ndarray:

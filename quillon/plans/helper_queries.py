@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -88,12 +89,14 @@ def merged_figures(spark, sf):
 @query("pair_by_position", "SELECT o AS book, n AS num, n AS solution_num, CAST(-1 AS INT) AS offset FROM (SELECT DISTINCT l_orderkey AS o, l_linenumber AS n FROM lineitem) WHERE (o, n) NOT IN (SELECT (l_orderkey, min(l_linenumber)) FROM lineitem GROUP BY l_orderkey)")
 def pair_by_position(spark, sf):
     """Booklets whose first solution is lost, so that each question goes with the solution one place before its own."""
-    lines = _li(spark, sf).select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("num")).distinct()
+    # Few bytes make many texts: lines are dealt out by book before they have any, to parts that no task is put together from.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32 * spark.sparkContext.defaultParallelism)
+    lines = _li(spark, sf).select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("num")).repartition(parts, "book").distinct()
     # Digits of 64 kinds: with the 16 of a printed hash, two texts of some ten million are alike by chance.
     text = F.base64(F.unhex(F.sha2(F.concat_ws("-", F.col("book").cast("string"), F.col("num").cast("string")), 512)))
     q = lines.select("book", F.lit(1).alias("set_no"), "num", text.alias("stem"), F.col("num").alias("line_no"))
-    first = lines.groupBy("book").agg(F.min("num").alias("num"))
-    s = q.join(first, ["book", "num"], "left_anti").select("book", "set_no", "num", "line_no", F.lit("A").alias("answer"), F.col("stem").alias("excerpt"))
+    later = lines.withColumn("first", F.min("num").over(Window.partitionBy("book"))).filter("num <> first or num is null")
+    s = later.select("book", F.lit(1).alias("set_no"), "num", F.col("num").alias("line_no"), F.lit("A").alias("answer"), text.alias("excerpt"))
     return pairing.by_position(q, s).select("book", "num", "solution_num", "offset")
 
 
